@@ -45,14 +45,23 @@ def appended_log(log: DataFrame, batch: DataFrame, order: list[str] | None = Non
     return log.select(*MESSAGE_COLUMNS).unionByName(append_messages(log, batch, order))
 
 
-def session_history(log: DataFrame, session_id: str) -> DataFrame:
-    """Messages of one session in the order they were stored."""
-    return log.filter(F.col("session_id") == session_id).orderBy("id").select("id", "role", "content")
+def session_history(log: DataFrame, session_id: str | None = None) -> DataFrame:
+    """Messages of one session, or of every session, in the order they were stored."""
+    rows = log if session_id is None else log.filter(F.col("session_id") == session_id)
+    return rows.select("session_id", "id", "role", "content").orderBy("session_id", "id")
 
 
-def user_session_history(log: DataFrame, user_id: str, session_id: str) -> DataFrame:
-    """Messages of one session that belong to one user."""
-    return session_history(log.filter(F.col("user_id") == user_id), session_id)
+def user_session_history(
+    log: DataFrame, user_id: str | None = None, session_id: str | None = None
+) -> DataFrame:
+    """The same, limited to messages that belong to a user."""
+    known = F.col("user_id").isNotNull() if user_id is None else F.col("user_id") == user_id
+    rows = log.filter(known)
+    if session_id is not None:
+        rows = rows.filter(F.col("session_id") == session_id)
+    return rows.select("user_id", "session_id", "id", "role", "content").orderBy(
+        "user_id", "session_id", "id"
+    )
 
 
 def user_sessions(log: DataFrame, user_id: str | Column | None = None) -> DataFrame:

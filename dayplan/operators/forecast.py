@@ -157,9 +157,9 @@ def forecast_level(
 
 def spread_periods(level: DataFrame, periods: int, keys: Keys = ()) -> DataFrame:
     """The same value for each of ``periods`` periods."""
-    numbers = F.sequence(F.lit(1), F.lit(max(periods, 1)))
+    numbers = F.sequence(F.lit(1).cast("bigint"), F.lit(max(periods, 1)).cast("bigint"))
     return level.filter(F.lit(periods > 0)).select(
-        *keys, F.explode(numbers).cast("bigint").alias("period"), FORECAST, "status"
+        *keys, F.explode(numbers).alias("period"), FORECAST, "status"
     )
 
 

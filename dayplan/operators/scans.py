@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from dayplan.operators.running import running_total
 from dayplan.schema import DAILY_COLUMNS, DATE, DEMAND, FORECAST, Keys, bigint, date_value
+from dayplan.sources.snapshots import LAYOUTS
 
 Day = str | dt.date | Column
 
@@ -29,17 +30,19 @@ def rows_in_range(
 ) -> DataFrame:
     """Rows from ``start`` to ``end``, both included; no ``end`` means no upper limit.
 
-    On a snapshot partitioned by month, whole months outside the range are pruned.
+    On a snapshot read with its month or year column, whole partitions outside the
+    range are pruned.
     """
     first = date_value(start, as_of)
     rows = daily.filter(F.col(DATE) >= first)
-    if "month" in daily.columns:
-        rows = rows.filter(F.col("month") >= F.date_format(first, "yyyy-MM"))
+    parts = [(name, form) for name, form in LAYOUTS.items() if name in daily.columns]
+    for name, form in parts:
+        rows = rows.filter(F.col(name).cast("string") >= F.date_format(first, form))
     if end is not None:
         last = date_value(end, as_of)
         rows = rows.filter(F.col(DATE) <= last)
-        if "month" in daily.columns:
-            rows = rows.filter(F.col("month") <= F.date_format(last, "yyyy-MM"))
+        for name, form in parts:
+            rows = rows.filter(F.col(name).cast("string") <= F.date_format(last, form))
     return rows
 
 

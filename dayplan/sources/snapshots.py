@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from dayplan.schema import DATE
 
-MONTH = "month"
+# Partition columns and the part of the date they hold.
+LAYOUTS = {"month": "yyyy-MM", "year": "yyyy"}
 
 
 class SnapshotTable:
@@ -53,33 +54,38 @@ class SnapshotTable:
         if commit is None:
             raise FileNotFoundError(f"no snapshot has been published at {self.root}")
         rows = self.spark.read.parquet(f"{self.root}/data/{commit['folder']}")
-        return rows.drop(MONTH) if commit["by_month"] else rows
+        return rows.drop(commit["layout"]) if commit["layout"] else rows
 
-    def months(self) -> DataFrame:
-        """The newest version with its month column, for reads of a date range."""
+    def with_layout(self) -> DataFrame:
+        """The newest version with its partition column, for reads of a date range."""
         commit = self.current()
         return self.spark.read.parquet(f"{self.root}/data/{commit['folder']}")
 
-    def publish(self, table: DataFrame, by_month: bool = True, streams: dict | None = None) -> int:
+    def publish(
+        self, table: DataFrame, layout: str | None = "", streams: dict | None = None
+    ) -> int:
         """Write ``table`` as the next version and make it current.
 
-        Rows are spread by month with a rebalance, which lets adaptive execution
-        split a month that is large and join months that are small.  ``streams``
-        notes the last batch taken from each stream; notes are carried forward.
+        ``layout`` is ``"month"``, ``"year"`` or None for no partitioning; by default
+        that of the version before, at first by month.  Rows are spread with a
+        rebalance, which lets adaptive execution split a month that is large and join
+        months that are small.  ``streams`` notes the last batch taken from each
+        stream; notes are carried forward.
         """
-        commit = self.current() or {"version": 0}
+        commit = self.current() or {"version": 0, "layout": "month"}
+        layout = commit["layout"] if layout == "" else layout
         version = commit["version"] + 1
         folder = f"{version:08d}-{uuid.uuid4().hex[:8]}"
-        if by_month:
-            dated = table.withColumn(MONTH, F.date_format(DATE, "yyyy-MM"))
-            writer = dated.hint("rebalance", F.col(MONTH)).write.partitionBy(MONTH)
+        if layout:
+            dated = table.withColumn(layout, F.date_format(DATE, LAYOUTS[layout]))
+            writer = dated.hint("rebalance", F.col(layout)).write.partitionBy(layout)
         else:
             writer = table.write
         writer.parquet(f"{self.root}/data/{folder}")
         note = {
             "version": version,
             "folder": folder,
-            "by_month": by_month,
+            "layout": layout,
             "streams": {**commit.get("streams", {}), **(streams or {})},
         }
         path, files = self._path(f"commits/{version:08d}.json")

@@ -169,3 +169,98 @@ def agent_event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
     return event_columns(stream.parquet(sf_dir))
+
+
+def requested_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User names to look up: every customer, who exists, and every supplier, who does not."""
+    known = table(spark, sf_dir, "customer").select(F.col("c_name").alias("username"))
+    return known.unionByName(
+        table(spark, sf_dir, "supplier").select(F.col("s_name").alias("username"))
+    )
+
+
+def log_with_debug(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversation log plus one debug row per raw event, at the end of its session."""
+    log = conversation_history(spark, sf_dir).select("session_id", "id", "role", "content")
+    said = table(spark, sf_dir, "events").select(
+        F.concat(F.lit("c"), F.col("user_id").cast("string")).alias("session_id"),
+        (F.col("event_id") + 1_000_000_000_000).alias("id"),
+        F.lit("debug").alias("role"),
+        F.col("props").alias("content"),
+    )
+    return log.unionByName(said)
+
+
+def marked_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts with markup: conversations with marks at commas and full stops, and
+    documents as they are."""
+    head = F.concat(F.lit("- **"), F.col("role"), F.lit("** *said*\n"))
+    body = F.replace(F.col("text"), F.lit(", "), F.lit(" **"))
+    body = F.replace(body, F.lit(". "), F.lit("* \n - "))
+    said = table(spark, sf_dir, "conversations").select(
+        (F.col("conv_id") * 1_000_000 + F.col("turn")).alias("id"),
+        F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("session_id"),
+        F.concat(head, body).alias("content"),
+    )
+    return said.unionByName(
+        table(spark, sf_dir, "documents").select(
+            F.col("doc_id").alias("id"), F.lit("documents").alias("session_id"),
+            F.col("text").alias("content"),
+        )
+    )
+
+
+def date_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every day of the daily table written in one of eight ways."""
+    day = F.dayofmonth(DATE)
+    english = F.date_format(DATE, "MMMM")
+    forms = [
+        F.date_format(DATE, "yyyy-MM-dd"),
+        F.date_format(DATE, "dd-MM-yyyy"),
+        F.date_format(DATE, "d/M/yyyy"),
+        F.concat(english, F.lit(" "), F.year(DATE).cast("string")),
+        F.concat(F.lower(F.date_format(DATE, "MMM")), F.lit("  "), F.year(DATE).cast("string")),
+        F.upper(english),
+        F.concat(F.lit("31-02-"), F.year(DATE).cast("string")),
+        F.element_at(
+            F.array(*[F.lit(word) for word in ("today", "Yesterday", "tomorrow", "junk")]),
+            F.month(DATE) % 4 + 1,
+        ),
+    ]
+    chosen = F.element_at(F.array(*forms), day % 8 + 1)
+    return daily(spark, sf_dir, None).select(DATE, chosen.alias("raw"))
+
+
+def daily_text_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Demand by a text date: ISO, unpadded ISO and day-first text, with two kinds of
+    clash and one row that is no date."""
+    day = F.dayofmonth(DATE)
+    rows = daily(spark, sf_dir, None).select(DATE, DEMAND)
+
+    def texts(chosen, layout, extra=0):
+        text = F.date_format(DATE, layout).alias("date_text")
+        return rows.filter(chosen).select(text, (F.col(DEMAND) + extra).alias(DEMAND))
+
+    junk = spark.range(1).select(
+        F.lit("not-a-date").alias("date_text"), F.lit(0).cast("bigint").alias(DEMAND)
+    )
+    return (
+        texts(day % 3 == 0, "yyyy-MM-dd")
+        .unionByName(texts(day % 3 == 1, "dd-MM-yyyy"))
+        .unionByName(texts(day % 3 == 2, "yyyy-M-d"))
+        .unionByName(texts(day == 3, "dd-MM-yyyy", 1))
+        .unionByName(texts(day == 4, "d-M-yyyy", 2))
+        .unionByName(junk)
+    )
+
+
+def daily_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days to upsert: part of them exist, part lie beyond the calendar."""
+    rows = daily(spark, sf_dir).filter(F.col(DATE) >= F.lit("2000-06-01").cast("date"))
+    return rows.select(
+        SERIES,
+        F.date_add(DATE, 400).alias(DATE),
+        (F.col(DEMAND) + 1).alias(DEMAND),
+        (F.col(PLAN) + 2).alias(PLAN),
+        FORECAST,
+    )
