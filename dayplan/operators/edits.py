@@ -9,11 +9,12 @@ shuffles both sides.
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dayplan.operators.inventory import recalc_inventory, renumber
+from dayplan.operators.inventory import recalc_inventory, renumber, split_at
 from dayplan.operators.scans import rows_in_range
 from dayplan.schema import (
     DAILY_COLUMNS,
@@ -28,6 +29,7 @@ from dayplan.schema import (
     date_value,
     int_or_fail,
 )
+from dayplan.sources.staging import stage
 
 # Outcome texts of clearing a forecast range.
 NO_FORECAST_TEXT = "No forecast values found in the specified date range."
@@ -59,14 +61,14 @@ def as_edits(changes: DataFrame, field: str) -> DataFrame:
     return changes.withColumn("field", F.lit(field))
 
 
-def fold_edits(edits: DataFrame, keys: Keys = ()) -> DataFrame:
+def fold_edits(edits: DataFrame, keys: Keys = (), fields: Sequence[str] = EDITABLE) -> DataFrame:
     """One row per edited day, one ``_new_<field>`` column per field, last writer kept."""
     chosen = [
         F.max_by(
             int_or_fail(F.col("value"), "an edit value"),
             F.when(F.col("field") == field, F.col("seq")),
         ).alias(f"_new_{field}")
-        for field in EDITABLE
+        for field in fields
     ]
     return edits.groupBy(*keys, DATE).agg(*chosen)
 
@@ -75,41 +77,55 @@ def write_fields(daily: DataFrame, folded: DataFrame, keys: Keys = ()) -> DataFr
     """Overwrite the edited fields; days that are not in the table change nothing."""
     edited = daily.join(folded, [*keys, DATE], "left")
     for field in EDITABLE:
-        edited = edited.withColumn(field, F.coalesce(f"_new_{field}", field))
+        if f"_new_{field}" in folded.columns:
+            edited = edited.withColumn(field, F.coalesce(f"_new_{field}", field))
     return edited.select(*daily.columns)
 
 
 def first_edited(daily: DataFrame, folded: DataFrame, keys: Keys = ()) -> DataFrame:
     """``(keys..., start)``: the first day of each series whose plan or demand changes."""
-    moved = folded.filter(F.col(f"_new_{PLAN}").isNotNull() | F.col(f"_new_{DEMAND}").isNotNull())
+    moving = [name for name in (f"_new_{PLAN}", f"_new_{DEMAND}") if name in folded.columns]
+    moved = folded.filter(F.coalesce(*moving).isNotNull())
     hit = daily.select(*keys, DATE).join(moved.select(*keys, DATE), [*keys, DATE])
     return hit.groupBy(*keys).agg(F.min(DATE).alias("start"))
 
 
 def apply_edits(
-    daily: DataFrame, edits: DataFrame, keys: Keys = (), on_null: str = "error"
+    daily: DataFrame,
+    edits: DataFrame,
+    keys: Keys = (),
+    on_null: str = "error",
+    fields: Sequence[str] = EDITABLE,
 ) -> DataFrame:
-    """Write the edits, then recalculate each touched series from its first changed day."""
-    folded = fold_edits(edits, keys)
-    starts = first_edited(daily, folded, keys)
-    return recalc_inventory(write_fields(daily, folded, keys), starts, keys, on_null)
+    """Write the edits, then recalculate each touched series from its first changed day.
+
+    The folded edits and the start of each series are read by several joins and are
+    written once.  Rows outside the recalculated part can only have a new forecast,
+    so they are not joined with the edits unless forecasts are edited.
+    """
+    folded = stage(fold_edits(edits, keys, fields), "edits")
+    starts = stage(first_edited(daily, folded, keys), "starts")
+    active, earlier, rest = split_at(daily, starts, keys)
+    if FORECAST in fields:
+        rest = write_fields(rest, folded.select(*keys, DATE, f"_new_{FORECAST}"), keys)
+    return renumber(write_fields(active, folded, keys), earlier, keys, on_null).unionByName(rest)
 
 
 def set_production_plan(
     daily: DataFrame, changes: DataFrame, keys: Keys = (), on_null: str = "error"
 ) -> DataFrame:
-    return apply_edits(daily, as_edits(changes, PLAN), keys, on_null)
+    return apply_edits(daily, as_edits(changes, PLAN), keys, on_null, [PLAN])
 
 
 def set_demand(
     daily: DataFrame, changes: DataFrame, keys: Keys = (), on_null: str = "error"
 ) -> DataFrame:
-    return apply_edits(daily, as_edits(changes, DEMAND), keys, on_null)
+    return apply_edits(daily, as_edits(changes, DEMAND), keys, on_null, [DEMAND])
 
 
 def set_forecast(daily: DataFrame, changes: DataFrame, keys: Keys = ()) -> DataFrame:
     """Forecasts do not move the stock, so there is nothing to recalculate."""
-    return write_fields(daily, fold_edits(as_edits(changes, FORECAST), keys), keys)
+    return write_fields(daily, fold_edits(as_edits(changes, FORECAST), keys, [FORECAST]), keys)
 
 
 def edit_report(daily: DataFrame, edits: DataFrame, keys: Keys = ()) -> DataFrame:
@@ -200,20 +216,13 @@ def upsert_daily(
         held = rows.join(changes.select(*keys, DATE), [*keys, DATE]).select(*keys, DATE, FORECAST)
         written = changes.join(held, [*keys, DATE], "left")
     written = written.withColumn(INVENTORY, F.lit(None).cast("bigint")).select(*columns)
+    written = stage(written, "upsert")
+    starts = stage(written.groupBy(*keys).agg(F.min(DATE).alias("start")), "starts")
     kept = rows.join(written.select(*keys, DATE), [*keys, DATE], "left_anti")
-    starts = written.groupBy(*keys).agg(F.min(DATE).alias("start"))
+    active, earlier, rest = split_at(kept, starts, keys)
     if recalc_tail:
-        return recalc_inventory(kept.unionByName(written), starts, keys, on_null)
-    earlier = before_starts(rows, starts, keys)
-    return kept.unionByName(renumber(written, earlier, keys, on_null))
-
-
-def before_starts(daily: DataFrame, starts: DataFrame, keys: Keys = ()) -> DataFrame:
-    """Rows older than the start of their series."""
-    if not keys:
-        return daily.filter(F.col(DATE) < starts.select("start").scalar())
-    timed = daily.join(starts, list(keys)).filter(F.col(DATE) < F.col("start"))
-    return timed.drop("start")
+        return renumber(active.unionByName(written), earlier, keys, on_null).unionByName(rest)
+    return renumber(written, earlier, keys, on_null).unionByName(kept)
 
 
 def extend_calendar(

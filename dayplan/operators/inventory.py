@@ -55,6 +55,27 @@ def renumber(
     return total(active, keys, net_flow(on_null), INVENTORY, opening).select(*active.columns)
 
 
+def split_at(
+    daily: DataFrame, starts: DataFrame, keys: Keys = ()
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows from the start of their series on, rows before it, and all rows but the first kind.
+
+    ``starts`` has ``(keys..., start)``; a series without a start has only rows of the
+    third kind.  With few starts these are broadcast joins and no daily row moves.
+    """
+    if not keys:
+        begin = starts.select("start").scalar()
+        day = F.col(DATE)
+        rest = (day < begin) | begin.isNull()
+        return daily.filter(day >= begin), daily.filter(day < begin), daily.filter(rest)
+    first = starts.select(*[F.col(key).alias(f"_at_{key}") for key in keys], "start")
+    same = [F.col(key) == F.col(f"_at_{key}") for key in keys]
+    reached, not_yet = F.col(DATE) >= F.col("start"), F.col(DATE) < F.col("start")
+    active = daily.join(first, [*same, reached]).select(*daily.columns)
+    earlier = daily.join(first, [*same, not_yet]).select(*daily.columns)
+    return active, earlier, daily.join(first, [*same, reached], "left_anti")
+
+
 def recalc_inventory(
     daily: DataFrame,
     start: Start = None,
@@ -70,21 +91,14 @@ def recalc_inventory(
     """
     if start is None:
         return renumber(daily, None, keys, on_null, by_series)
-    if isinstance(start, DataFrame) and keys:
-        first = start.select(*keys, F.col("start").alias("_start"))
-        reached = F.col(DATE) >= F.col("_start")
-        timed = daily.join(first, list(keys))
-        active = timed.filter(reached).drop("_start")
-        earlier = timed.filter(~reached).drop("_start")
-        named = first.select(*[F.col(key).alias(f"_at_{key}") for key in keys], "_start")
-        same = [F.col(key) == F.col(f"_at_{key}") for key in keys]
-        untouched = daily.join(named, [*same, reached], "left_anti")
+    if isinstance(start, DataFrame):
+        active, earlier, rest = split_at(daily, start, keys)
     else:
-        begin = start.select("start").scalar() if isinstance(start, DataFrame) else date_value(start)
+        begin = date_value(start)
         active = daily.filter(F.col(DATE) >= begin)
         earlier = daily.filter(F.col(DATE) < begin)
-        untouched = daily.filter((F.col(DATE) < begin) | begin.isNull())
-    return renumber(active, earlier, keys, on_null, by_series).unionByName(untouched)
+        rest = daily.filter((F.col(DATE) < begin) | begin.isNull())
+    return renumber(active, earlier, keys, on_null, by_series).unionByName(rest)
 
 
 def stockouts(daily: DataFrame, keys: Keys = ()) -> DataFrame:
