@@ -1,0 +1,211 @@
+import datetime as dt
+import random
+import re
+
+import pytest
+from conftest import values
+from dayplan.operators import conversations as talk
+from dayplan.operators import users as us
+from dayplan.operators.running import number_rows
+from dayplan.schema import MESSAGE_SCHEMA
+
+T0 = dt.datetime(2024, 1, 1, 8, 0)
+
+
+def at(minutes):
+    return T0 + dt.timedelta(minutes=minutes)
+
+
+@pytest.fixture
+def log(spark):
+    rows = [
+        (1, "a", "7", "user", "hi", at(0)),
+        (2, "a", "7", "assistant", "hello", at(1)),
+        (3, "b", None, "user", "x", at(5)),
+        (4, "c", "7", "user", "later", at(9)),
+        (5, "a", "8", "debug", "trace", at(10)),
+        (6, "a", "7", "user", "again", at(11)),
+        (7, "a", "7", "assistant", "Procesando", at(12)),
+    ]
+    return spark.createDataFrame(rows, MESSAGE_SCHEMA)
+
+
+def test_histories(log):
+    assert values(talk.session_history(log, "a"), "id") == [1, 2, 5, 6, 7]
+    assert values(talk.user_session_history(log, "7", "a"), "id") == [1, 2, 6, 7]
+    assert values(talk.user_session_history(log), "id") == [1, 2, 6, 7, 4, 5]
+    assert values(talk.session_history(log), "id") == [1, 2, 5, 6, 7, 3, 4]
+
+
+def test_sessions_newest_first(log):
+    assert values(talk.user_sessions(log, "7"), "session_id") == ["c", "a"]
+    assert talk.user_sessions(log, "nobody").count() == 0
+    assert talk.user_sessions(log).count() == 3
+
+
+def test_cleared_sessions(spark, log):
+    assert sorted(values(talk.clear_session(log, "a"), "id")) == [3, 4]
+    gone = spark.createDataFrame([("a",), ("b",), ("zz",)], "session_id string")
+    assert values(talk.clear_session(log, gone), "id") == [4]
+
+
+def test_agent_context(log):
+    out = talk.agent_context(log).orderBy("id")
+    assert values(out, "id") == [1, 2, 6]
+
+
+def test_appended_ids_follow_the_log(spark, log):
+    one = talk.new_message(spark, "a", "user", "new", at(20), "7")
+    assert [tuple(row) for row in talk.append_messages(log, one).collect()] == [
+        (8, "a", "7", "user", "new", at(20))
+    ]
+    anonymous = talk.new_message(spark, "n", "user", "new", at(20)).drop("user_id")
+    assert talk.append_messages(log, anonymous).first()["user_id"] is None
+    assert talk.append_messages(log.filter("false"), one).first()["id"] == 1
+    assert talk.appended_log(log, one).count() == 8
+
+
+def test_numbering_is_dense_and_in_order(spark):
+    rows = list(range(5000))
+    random.Random(1).shuffle(rows)
+    # A third of the rows share one leading value.
+    frame = spark.createDataFrame([(0 if n % 3 == 0 else n % 50, n) for n in rows], "g int, n int")
+    out = number_rows(frame.repartition(7), ["g", "n"]).collect()
+    ordered = sorted(out, key=lambda row: (row["g"], row["n"]))
+    assert [row["id"] for row in ordered] == list(range(1, 5001))
+
+
+def test_session_labels(spark, log):
+    asked = spark.createDataFrame([("a",), ("new",)], "session_id string")
+    labels = dict(values(talk.session_labels(log, asked), "session_id", "label"))
+    assert labels == {"a": "01/01/2024 08:00", "new": "nueva sesión"}
+    assert talk.session_labels(log).count() == 3
+
+
+@pytest.mark.parametrize(
+    "stamp, label",
+    [
+        ("2024-03-05 07:08:09.123456", "05/03/2024 07:08"),
+        ("2024-03-05 07:08:09", "05/03/2024 07:08"),
+        ("2024-03-05T07:08:09.12", "05/03/2024 07:08"),
+        ("2024-03-05T07:08:09", "05/03/2024 07:08"),
+        ("05-03-2024 07:08:09", "05/03/2024 07:08"),
+        ("five past seven", "fecha desconocida"),
+        ("", "nueva sesión"),
+        (None, "nueva sesión"),
+    ],
+)
+def test_label_of_a_text_timestamp(spark, stamp, label):
+    frame = spark.createDataFrame([(1, "a", stamp)], "id long, session_id string, timestamp string")
+    assert talk.session_labels(frame).first()["label"] == label
+
+
+def render(text):
+    """Spans, then lines, then list markers, over a list of marked parts."""
+
+    def cut(parts, pattern, kind):
+        out = []
+        for mark, part in parts:
+            if mark:
+                out.append((mark, part))
+                continue
+            end = 0
+            for found in re.finditer(pattern, part):
+                out += [("", part[end : found.start()]), (kind, found.group(1))]
+                end = found.end()
+            out.append(("", part[end:]))
+        return out
+
+    parts = cut(cut([("", text)], r"\*\*(.*?)\*\*", "b"), r"\*(.*?)\*", "i")
+    lines = [[]]
+    for mark, part in parts:
+        pieces = [part] if mark else part.split("\n")
+        lines[-1].append((mark, pieces[0]))
+        lines += [[(mark, piece)] for piece in pieces[1:]]
+    shown, items = [], 0
+    for line in lines:
+        is_item = re.match(r"\s*[-*]\s+", "".join(part for mark, part in line if not mark))
+        items += bool(is_item)
+        open_marker, told = bool(is_item), ""
+        for mark, part in line:
+            found = open_marker and not mark and re.match(r"\s*[-*]\s+", part)
+            if found:
+                part, open_marker = part[found.end() :], False
+            told += part
+        shown.append(told)
+    count = {kind: sum(mark == kind for mark, _ in parts) for kind in "bi"}
+    return "\n".join(shown), count["b"], count["i"], items
+
+
+SAMPLES = [
+    "**b** x *i*",
+    "- one\n- **two**\nplain",
+    "- a\n\n- b",
+    "no markup",
+    "",
+    "*a **b** c*",
+    "**** * *",
+    "**x** - y",
+    "-**x** y",
+    "- *i* - z\n* star\n * em*",
+    "a\r\n- b - c\x85*d\x85e*",
+    " - x\n-x\n--  y",
+    "***x***\n**a\nb** *c\nd*",
+]
+
+
+def test_markup(spark):
+    pick = random.Random(3)
+    made = ["".join(pick.choices("ab *-\n *", k=pick.randrange(40))) for _ in range(400)]
+    texts = SAMPLES + made
+    frame = spark.createDataFrame(list(enumerate(texts)), "id long, content string")
+    frame = frame.selectExpr("id", "'s' as session_id", "content")
+    got = {row["id"]: tuple(row)[2:] for row in talk.message_markup(frame).collect()}
+    for number, text in enumerate(texts):
+        assert got[number] == render(text), repr(text)
+
+
+USERS = "id string, username string, display_name string"
+
+
+@pytest.fixture
+def users(spark):
+    rows = [("1", "ann", None), ("2", "bob", ""), ("3", "cy", "Cyrus")]
+    return spark.createDataFrame(rows, USERS)
+
+
+def test_profiles_fall_back_to_the_user_name(users):
+    assert values(us.user_profile(users).orderBy("id"), "display_name") == ["ann", "bob", "Cyrus"]
+    assert values(us.user_profile(users, "3"), "username") == ["cy"]
+    assert us.user_profile(users, "9").count() == 0
+
+
+def test_users_are_created_once(spark, users):
+    asked = spark.createDataFrame([("bob",), ("dee",), ("dee",), (None,)], "username string")
+    out = us.get_or_create_users(users, asked).orderBy("username").collect()
+    assert [tuple(row)[1:] for row in out] == [("bob", "bob", False), ("dee", "dee", True)]
+    assert out[0]["id"] == "2" and len(out[1]["id"]) == 36
+    grown = users.unionByName(us.new_users(users, asked))
+    again = us.get_or_create_users(grown, asked).orderBy("username").collect()
+    assert [row["id"] for row in again] == [row["id"] for row in out]
+    assert not any(row["created"] for row in again)
+
+
+def test_display_names(spark, users):
+    changes = spark.createDataFrame(
+        [("1", "A", 1), ("1", "B", 2), ("3", None, 1), ("9", "Z", 1)],
+        "id string, display_name string, seq int",
+    )
+    out = us.set_display_name(users, changes).orderBy("id")
+    assert values(out, "display_name") == ["B", "", None]
+
+
+def test_user_ids_are_moved_in_both_tables(spark, log):
+    old = spark.createDataFrame([(7, "ann", None), (8, "bob", "")], "id long, username string, display_name string")
+    moved = us.remap_user_ids(old).orderBy("username")
+    assert values(moved, "display_name") == ["ann", "bob"]
+    ids = values(moved, "id")
+    told = values(us.remap_message_users(log, old).orderBy("id"), "user_id")
+    assert told == [ids[0], ids[0], None, ids[0], ids[1], ids[0], ids[0]]
+    other = spark.createDataFrame([(9, "x", None)], old.schema)
+    assert values(us.remap_message_users(log, other).orderBy("id"), "user_id")[0] == "7"

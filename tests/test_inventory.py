@@ -1,0 +1,183 @@
+import datetime as dt
+
+import pytest
+from conftest import by_series, day, make_daily, values
+from dayplan.operators import edits as ed
+from dayplan.operators import inventory as inv
+from dayplan.operators import scans, summary
+from pyspark.sql import functions as F
+
+KEYS = ["series_key"]
+
+
+def stock(df):
+    return values(df.orderBy("date"), "inventory")
+
+
+def test_recalculation_from_the_first_day(daily_13):
+    assert stock(inv.recalc_inventory(daily_13)) == [10 * i for i in range(1, 14)]
+    assert stock(inv.recalc_inventory(daily_13, "2024-01-01")) == [10 * i for i in range(1, 14)]
+
+
+def test_recalculation_starts_from_the_stored_balance(daily_13):
+    again = inv.recalc_inventory(daily_13, day("2024-01-05"))
+    assert stock(again) == [10] * 4 + [10 * i for i in range(2, 11)]
+
+
+def test_recalculation_of_a_start_that_is_no_date_changes_nothing(daily_13):
+    assert stock(inv.recalc_inventory(daily_13, "junk")) == [10] * 13
+
+
+def walk(rows, start=None):
+    """The recurrence itself."""
+    out, balance = [], 0
+    for row in rows:
+        if start is not None and row[1] < start:
+            balance = row[5]
+            out.append(row)
+        else:
+            balance += row[3] - row[2]
+            out.append((*row[:5], balance))
+    return out
+
+
+@pytest.mark.parametrize("start", [None, "2020-06-01", "2031-01-01", "2000-01-01"])
+@pytest.mark.parametrize("by_one", [False, True])
+def test_recalculation_equals_the_recurrence(many, start, by_one):
+    rows, daily = many
+    begin = None if start is None else day(start)
+    expected = [row for series in by_series(rows).values() for row in walk(series, begin)]
+    got = inv.recalc_inventory(daily, begin, KEYS, by_series=by_one)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(expected, key=str)
+
+
+@pytest.mark.parametrize("by_one", [False, True])
+def test_one_series_without_keys(spark, many, by_one):
+    rows = [row for row in many[0] if row[0] == "s6"]
+    daily = make_daily(spark, [row[1:] for row in rows])
+    start = sorted(rows)[450][1]
+    expected = [row[1:] for row in walk(sorted(rows), start)]
+    got = inv.recalc_inventory(daily, start, by_series=by_one).orderBy("date")
+    assert list(map(tuple, got.collect())) == expected
+
+
+def test_each_series_may_have_its_own_start(spark, many):
+    rows, daily = many
+    series = by_series(rows)
+    starts = {"s5": series["s5"][100][1], "s6": series["s6"][0][1], "s2": dt.date(2040, 1, 1)}
+    frame = spark.createDataFrame(list(starts.items()), "series_key string, start date")
+    expected = []
+    for name, held in series.items():
+        expected += walk(held, starts[name]) if name in starts else held
+    got = inv.recalc_inventory(daily, frame, KEYS)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(expected, key=str)
+
+
+def test_missing_numbers_fail_or_count_as_zero(spark):
+    rows = [(day("2024-01-01"), 1, 5, None, 0), (day("2024-01-02"), None, 5, None, 0)]
+    daily = make_daily(spark, rows)
+    with pytest.raises(Exception, match="demand is NULL"):
+        inv.recalc_inventory(daily).collect()
+    assert stock(inv.recalc_inventory(daily, on_null="zero")) == [4, 9]
+    with pytest.raises(Exception, match="demand is NULL"):
+        ed.shift_demand(daily, 3).collect()
+    gap = make_daily(spark, [(day("2024-01-01"), 1, 5, None, None), (day("2024-01-02"), 1, 5, None, 0)])
+    with pytest.raises(Exception, match="inventory is NULL"):
+        inv.recalc_inventory(gap, "2024-01-02").collect()
+
+
+def test_a_missing_key_is_reported(spark):
+    daily = make_daily(spark, [("a", day("2024-01-01"), 1, 5, None, 0)], keyed=True)
+    broken = daily.withColumn("series_key", F.lit(None).cast("string"))
+    with pytest.raises(Exception, match="series key or date is NULL"):
+        inv.recalc_inventory(broken, None, KEYS).collect()
+
+
+def test_stockouts_and_proposals(spark):
+    rows = [
+        (day("2024-01-03"), 9, 4, None, -1),
+        (day("2024-01-01"), 5, 2, None, 0),
+        (day("2024-01-02"), 6, 3, None, 1),
+        (day("2024-01-04"), 6, 3, None, None),
+    ]
+    daily = make_daily(spark, rows)
+    assert values(inv.stockouts(daily), "date", "inventory") == [
+        (day("2024-01-01"), 0),
+        (day("2024-01-03"), -1),
+    ]
+    asked = inv.stockout_proposals(daily).collect()
+    assert [tuple(row) for row in asked] == [
+        (day("2024-01-01"), 5, 2, 5, 0),
+        (day("2024-01-03"), 9, 4, 9, 0),
+    ]
+    covered = inv.stockout_proposals(daily, cover_backlog=True).collect()
+    assert [row["proposed_production_plan"] for row in covered] == [2, 5]
+
+
+def test_summaries(daily_13):
+    assert tuple(summary.production_summary(daily_13).first()) == (1521, 117.0, 111, 123)
+    assert tuple(summary.demand_summary(daily_13).first()) == (1391, 107.0, 101, 113)
+    assert tuple(summary.inventory_summary(daily_13).first()) == (130, 10.0, 10, 10)
+    assert summary.latest_inventory(daily_13).first()[0] == 10
+    assert tuple(summary.kpi_cards(daily_13).first()) == (1521, 1391, 10)
+    bounds = (day("2024-01-01"), day("2024-01-13"), 13)
+    assert tuple(summary.history_bounds(daily_13).first()) == bounds
+
+
+def test_summaries_of_nothing_are_zero(spark, daily_13):
+    empty = daily_13.filter("false")
+    missing = daily_13.withColumn("demand", F.lit(None).cast("bigint"))
+    assert tuple(summary.demand_summary(empty).first()) == (0, 0.0, 0, 0)
+    assert tuple(summary.demand_summary(missing).first()) == (0, 0.0, 0, 0)
+    assert summary.latest_inventory(empty).first()[0] == 0
+    assert tuple(summary.kpi_cards(empty).first()) == (0, 0, 0)
+
+
+def test_averages_round_ties_to_even(spark):
+    rows = [(day(f"2024-01-0{i}"), value, 0, None, 0) for i, value in enumerate([0] * 7 + [1], 1)]
+    assert summary.demand_summary(make_daily(spark, rows)).first()["average_demand"] == 0.12
+    rows = [(day(f"2024-01-0{i}"), value, 0, None, 0) for i, value in enumerate([0] * 7 + [3], 1)]
+    assert summary.demand_summary(make_daily(spark, rows)).first()["average_demand"] == 0.38
+
+
+def test_lookup_by_date_text(daily_13):
+    assert values(scans.lookup_daily(daily_13, "05/01/2024"), "demand") == [105]
+    assert scans.lookup_daily(daily_13, "junk").count() == 0
+    assert scans.lookup_daily(daily_13, "31-02-2024").count() == 0
+    assert values(scans.lookup_daily(daily_13, "January 2024"), "demand") == [101]
+    assert values(scans.lookup_daily(daily_13, "today", as_of="2024-01-07"), "demand") == [107]
+
+
+def test_ranges_include_both_ends(daily_13):
+    assert scans.rows_in_range(daily_13, "2024-01-05", "2024-01-07").count() == 3
+    assert scans.rows_in_range(daily_13, "2024-01-05").count() == 9
+    assert scans.forecast_rows_in_range(daily_13, "2024-01-05").first()[0] == 9
+    assert scans.forecast_rows_in_range(daily_13, "2025-01-05").first()[0] == 0
+
+
+def test_missed_dates_list_what_is_available(spark, daily_13):
+    asked = spark.createDataFrame([(day("2024-01-05"),), (day("2024-02-05"),)], "date date")
+    found = {row["date"]: row for row in scans.lookup_available_dates(daily_13, asked).collect()}
+    assert found[day("2024-01-05")]["found"] and not found[day("2024-02-05")]["found"]
+    assert found[day("2024-01-05")]["available_dates"] is None
+    assert found[day("2024-02-05")]["available_dates"] == [dt.date(2024, 1, i) for i in range(1, 14)]
+
+
+def test_missed_dates_by_series(spark, many):
+    rows, daily = many
+    asked = spark.createDataFrame([("s2", day("1999-01-01")), ("none", day("1999-01-01"))],
+                                  "series_key string, date date")
+    found = scans.lookup_available_dates(daily, asked, KEYS)
+    held = {row["series_key"]: row["available_dates"] for row in found.collect()}
+    assert held == {"s2": [row[1] for row in by_series(rows)["s2"]], "none": None}
+
+
+def test_positions_in_a_series(many):
+    rows, daily = many
+    expected = {
+        (row[0], row[1]): place
+        for series in by_series(rows).values()
+        for place, row in enumerate(series, 1)
+    }
+    got = scans.demand_series(daily, KEYS).collect()
+    assert {(row["series_key"], row["date"]): row["position"] for row in got} == expected
