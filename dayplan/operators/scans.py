@@ -37,12 +37,12 @@ def rows_in_range(
     rows = daily.filter(F.col(DATE) >= first)
     parts = [(name, form) for name, form in LAYOUTS.items() if name in daily.columns]
     for name, form in parts:
-        rows = rows.filter(F.col(name).cast("string") >= F.date_format(first, form))
+        rows = rows.filter(F.col(name) >= F.date_format(first, form))
     if end is not None:
         last = date_value(end, as_of)
         rows = rows.filter(F.col(DATE) <= last)
         for name, form in parts:
-            rows = rows.filter(F.col(name).cast("string") <= F.date_format(last, form))
+            rows = rows.filter(F.col(name) <= F.date_format(last, form))
     return rows
 
 

@@ -12,6 +12,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from dayplan.schema import DATE
 
@@ -53,13 +54,17 @@ class SnapshotTable:
         commit = self.current() if version is None else self._commit(version)
         if commit is None:
             raise FileNotFoundError(f"no snapshot has been published at {self.root}")
-        rows = self.spark.read.parquet(f"{self.root}/data/{commit['folder']}")
+        rows = self._rows(commit)
         return rows.drop(commit["layout"]) if commit["layout"] else rows
 
+    def _rows(self, commit: dict) -> DataFrame:
+        # The schema comes from the commit, so an empty version can be read as well.
+        schema = StructType.fromJson(commit["schema"])
+        return self.spark.read.schema(schema).parquet(f"{self.root}/data/{commit['folder']}")
+
     def with_layout(self) -> DataFrame:
         """The newest version with its partition column, for reads of a date range."""
-        commit = self.current()
-        return self.spark.read.parquet(f"{self.root}/data/{commit['folder']}")
+        return self._rows(self.current())
 
     def publish(
         self, table: DataFrame, layout: str | None = "", streams: dict | None = None
@@ -77,8 +82,8 @@ class SnapshotTable:
         version = commit["version"] + 1
         folder = f"{version:08d}-{uuid.uuid4().hex[:8]}"
         if layout:
-            dated = table.withColumn(layout, F.date_format(DATE, LAYOUTS[layout]))
-            writer = dated.hint("rebalance", F.col(layout)).write.partitionBy(layout)
+            table = table.withColumn(layout, F.date_format(DATE, LAYOUTS[layout]))
+            writer = table.hint("rebalance", F.col(layout)).write.partitionBy(layout)
         else:
             writer = table.write
         writer.parquet(f"{self.root}/data/{folder}")
@@ -86,6 +91,7 @@ class SnapshotTable:
             "version": version,
             "folder": folder,
             "layout": layout,
+            "schema": table.schema.jsonValue(),
             "streams": {**commit.get("streams", {}), **(streams or {})},
         }
         path, files = self._path(f"commits/{version:08d}.json")
