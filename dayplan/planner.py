@@ -19,6 +19,7 @@ from dayplan.plans.forecast_to_plan import forecast_to_plan
 from dayplan.schema import DEMAND, FORECAST, PLAN, Keys
 from dayplan.sources.snapshots import SnapshotTable
 from dayplan.sources.staging import stage
+from dayplan.streaming.edits import publish_edits
 
 Day = str | dt.date
 
@@ -76,7 +77,7 @@ class Planner:
         before = self.daily
         report = stage(ed.edit_report(before, edits, self.keys), "report")
         if not report.filter("outcome = 'updated'").isEmpty():
-            self.table.publish(ed.apply_edits(before, edits, self.keys))
+            publish_edits(self.table, edits, self.keys)
         return report
 
     def _update_one(self, date: Day, field: str, value: int, series: dict | None) -> DataFrame:

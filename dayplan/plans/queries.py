@@ -112,7 +112,7 @@ def streamed_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     for seq in (1, 2, 3, 4):
         arriving.filter(F.col("seq") == seq).coalesce(1).write.mode("append").parquet(folder)
     table = SnapshotTable(spark, new_path(spark, "edited-daily"))
-    table.publish(views.daily_stale(spark, sf_dir), layout="year")
+    table.publish(views.daily_stale(spark, sf_dir), layout="series", keys=KEYS, parts=16)
     stream = (
         spark.readStream.schema(arriving.schema).option("maxFilesPerTrigger", 1).parquet(folder)
     )

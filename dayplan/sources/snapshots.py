@@ -1,23 +1,36 @@
 """Versioned Parquet snapshots of a table.
 
-A version is written in full to a new folder and becomes visible only when its
-commit file appears.  Nothing that is being read is ever overwritten, a failed job
-leaves no trace for readers, and of two writers of one version the second fails.
+A version is written to a new folder and becomes visible only when its commit file
+appears.  Nothing that is being read is ever overwritten, a failed job leaves no
+trace for readers, and of two writers of one version the second fails.
+
+Laid out by series, a table can also be changed in part: only the parts that hold an
+edited series are rewritten, and the commit points to the old folders for the rest.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from dayplan.schema import DATE
+from dayplan.schema import DATE, Keys
 
-# Partition columns and the part of the date they hold.
+# Partition columns that hold a part of the date.
 LAYOUTS = {"month": "yyyy-MM", "year": "yyyy"}
+SERIES_PART = "series_part"
+
+
+def series_part(keys: Keys, parts: int) -> Column:
+    """The number of the part that holds a series."""
+    if not keys:
+        return F.lit(0)
+    named = [F.col(key).cast("string") for key in keys]
+    return F.pmod(F.xxhash64(*named), F.lit(parts)).cast("int")
 
 
 class SnapshotTable:
@@ -29,71 +42,134 @@ class SnapshotTable:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def versions(self) -> list[int]:
-        folder, files = self._path("commits")
-        if not files.exists(folder):
+    def _names(self, folder: str) -> list[str]:
+        path, files = self._path(folder)
+        if not files.exists(path):
             return []
-        names = [status.getPath().getName() for status in files.listStatus(folder)]
-        return sorted(int(name.split(".")[0]) for name in names if name.endswith(".json"))
+        return sorted(status.getPath().getName() for status in files.listStatus(path))
+
+    def versions(self) -> list[int]:
+        names = self._names("commits")
+        return [int(name.split(".")[0]) for name in names if name.endswith(".json")]
 
     def current(self) -> dict | None:
-        """The newest commit: its version, its folder, and the stream batches it holds."""
+        """The newest commit: its version, its folders, and the stream batches it holds."""
         versions = self.versions()
         return self._commit(versions[-1]) if versions else None
 
     def _commit(self, version: int) -> dict:
         path, files = self._path(f"commits/{version:08d}.json")
-        with_stream = files.open(path)
+        opened = files.open(path)
         try:
-            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(with_stream, "UTF-8")
+            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(opened, "UTF-8")
         finally:
-            with_stream.close()
+            opened.close()
         return json.loads(text)
 
+    def _rows(self, commit: dict, folders: Iterable[str] | None = None) -> DataFrame:
+        # The schema comes from the commit, so an empty version can be read as well.
+        schema = StructType.fromJson(commit["schema"])
+        folders = list(commit["folders"].values()) if folders is None else list(folders)
+        if not folders:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*[f"{self.root}/data/{f}" for f in folders])
+
     def read(self, version: int | None = None) -> DataFrame:
         commit = self.current() if version is None else self._commit(version)
         if commit is None:
             raise FileNotFoundError(f"no snapshot has been published at {self.root}")
         rows = self._rows(commit)
-        return rows.drop(commit["layout"]) if commit["layout"] else rows
-
-    def _rows(self, commit: dict) -> DataFrame:
-        # The schema comes from the commit, so an empty version can be read as well.
-        schema = StructType.fromJson(commit["schema"])
-        return self.spark.read.schema(schema).parquet(f"{self.root}/data/{commit['folder']}")
+        return rows.drop(commit["layout"]) if commit["layout"] in LAYOUTS else rows
 
     def with_layout(self) -> DataFrame:
-        """The newest version with its partition column, for reads of a date range."""
+        """The newest version with its date partition column, for reads of a date range."""
         return self._rows(self.current())
 
     def publish(
-        self, table: DataFrame, layout: str | None = "", streams: dict | None = None
+        self,
+        table: DataFrame,
+        layout: str | None = "",
+        keys: Keys = (),
+        parts: int = 64,
+        streams: dict | None = None,
     ) -> int:
         """Write ``table`` as the next version and make it current.
 
-        ``layout`` is ``"month"``, ``"year"`` or None for no partitioning; by default
-        that of the version before, at first by month.  Rows are spread with a
-        rebalance, which lets adaptive execution split a month that is large and join
-        months that are small.  ``streams`` notes the last batch taken from each
-        stream; notes are carried forward.
+        ``layout`` is ``"month"``, ``"year"``, ``"series"`` (``parts`` parts by ``keys``)
+        or None for no partitioning; by default that of the version before, at first by
+        month.  Rows are spread with a rebalance, which lets adaptive execution split a
+        partition that is large and join those that are small.  ``streams`` notes the
+        last batch taken from each stream; notes are carried forward.
         """
-        commit = self.current() or {"version": 0, "layout": "month"}
-        layout = commit["layout"] if layout == "" else layout
-        version = commit["version"] + 1
-        folder = f"{version:08d}-{uuid.uuid4().hex[:8]}"
-        if layout:
+        commit = self.current() or {"layout": "month"}
+        if layout == "":
+            layout = commit["layout"]
+            keys, parts = commit.get("keys", list(keys)), commit.get("parts", parts)
+        folder = self._new_folder()
+        if layout in LAYOUTS:
             table = table.withColumn(layout, F.date_format(DATE, LAYOUTS[layout]))
-            writer = table.hint("rebalance", F.col(layout)).write.partitionBy(layout)
+            self._write(table, layout, folder)
+        elif layout == "series":
+            self._write_parts(table, keys, parts, folder)
         else:
-            writer = table.write
-        writer.parquet(f"{self.root}/data/{folder}")
-        note = {
-            "version": version,
-            "folder": folder,
-            "layout": layout,
-            "schema": table.schema.jsonValue(),
-            "streams": {**commit.get("streams", {}), **(streams or {})},
-        }
+            table.write.parquet(f"{self.root}/data/{folder}")
+        folders = {"": folder}
+        if layout == "series":
+            folders = self._part_folders(folder)
+        note = {"layout": layout, "schema": table.schema.jsonValue(), "folders": folders}
+        if layout == "series":
+            note.update(keys=list(keys), parts=parts)
+        return self._publish(note, streams)
+
+    def parts_of(self, changes: DataFrame) -> list[str] | None:
+        """Names of the stored parts that hold the series of ``changes``.
+
+        None if the table is not laid out by series.  At most ``parts`` numbers reach
+        the driver.
+        """
+        commit = self.current()
+        if commit["layout"] != "series":
+            return None
+        number = series_part(commit["keys"], commit["parts"]).alias("part")
+        touched = {f"{SERIES_PART}={row['part']}" for row in changes.select(number).distinct().collect()}
+        return sorted(touched & set(commit["folders"]))
+
+    def read_parts(self, names: Iterable[str]) -> DataFrame:
+        commit = self.current()
+        return self._rows(commit, [commit["folders"][name] for name in names])
+
+    def publish_parts(
+        self, rows: DataFrame, names: Iterable[str], streams: dict | None = None
+    ) -> int:
+        """Replace the named parts by ``rows``, which must belong to them."""
+        commit = self.current()
+        folder = self._new_folder()
+        names = list(names)
+        folders = {name: held for name, held in commit["folders"].items() if name not in names}
+        if names:
+            self._write_parts(rows, commit["keys"], commit["parts"], folder)
+            folders.update(self._part_folders(folder))
+        kept = {name: commit[name] for name in ("layout", "schema", "keys", "parts")}
+        return self._publish({**kept, "folders": folders}, streams)
+
+    def _new_folder(self) -> str:
+        return uuid.uuid4().hex
+
+    def _write(self, table: DataFrame, column: str, folder: str) -> None:
+        spread = table.hint("rebalance", F.col(column))
+        spread.write.partitionBy(column).parquet(f"{self.root}/data/{folder}")
+
+    def _write_parts(self, table: DataFrame, keys: Keys, parts: int, folder: str) -> None:
+        self._write(table.withColumn(SERIES_PART, series_part(keys, parts)), SERIES_PART, folder)
+
+    def _part_folders(self, folder: str) -> dict[str, str]:
+        names = [name for name in self._names(f"data/{folder}") if name.startswith(SERIES_PART)]
+        return {name: f"{folder}/{name}" for name in names}
+
+    def _publish(self, note: dict, streams: dict | None) -> int:
+        commit = self.current() or {"version": 0, "streams": {}}
+        version = commit["version"] + 1
+        note = {**note, "version": version, "streams": {**commit["streams"], **(streams or {})}}
         path, files = self._path(f"commits/{version:08d}.json")
         out = files.create(path, False)
         try:

@@ -8,6 +8,7 @@ the lineage, and keeps column pruning and pushdown for its readers.
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _local_folders: dict[str, str] = {}
 _kept: dict[tuple[str, str], str] = {}
+_to_clean: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -31,7 +33,20 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def app_folder(spark: SparkSession) -> str:
-    return f"{shared_folder(spark)}/dayplan-{spark.sparkContext.applicationId}"
+    """This application's own folder, which is deleted when its Python process ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _to_clean:
+        _to_clean.add(app)
+        atexit.register(_release_quietly, spark, app)
+    return f"{shared_folder(spark)}/dayplan-{app}"
+
+
+def _release_quietly(spark: SparkSession, app: str) -> None:
+    try:
+        if spark.sparkContext.applicationId == app:
+            release(spark)
+    except Exception:
+        pass  # The session was stopped before; the folder stays for the cluster to clean.
 
 
 def new_path(spark: SparkSession, label: str) -> str:

@@ -7,6 +7,21 @@ from pyspark.sql import DataFrame
 from dayplan.operators.edits import apply_edits
 from dayplan.schema import Keys
 from dayplan.sources.snapshots import SnapshotTable
+from dayplan.sources.staging import stage
+
+
+def publish_edits(
+    table: SnapshotTable, edits: DataFrame, keys: Keys = (), streams: dict | None = None
+) -> int:
+    """Apply an edit list and publish the result.
+
+    On a table laid out by series only the parts that hold an edited series are read
+    and rewritten.
+    """
+    names = table.parts_of(edits)
+    if names is None:
+        return table.publish(apply_edits(table.read(), edits, keys), streams=streams)
+    return table.publish_parts(apply_edits(table.read_parts(names), edits, keys), names, streams)
 
 
 def stream_apply_edits(
@@ -20,11 +35,8 @@ def stream_apply_edits(
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        commit = table.current()
-        if batch_id <= commit["streams"].get(checkpoint, -1):
-            return
-        daily = table.read(commit["version"])
-        table.publish(apply_edits(daily, batch, keys), streams={checkpoint: batch_id})
+        if batch_id > table.current()["streams"].get(checkpoint, -1):
+            publish_edits(table, stage(batch, "batch"), keys, {checkpoint: batch_id})
 
     query = (
         edits.writeStream.foreachBatch(apply)

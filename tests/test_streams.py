@@ -7,7 +7,7 @@ from dayplan.operators import scans
 from dayplan.schema import EVENT_SCHEMA
 from dayplan.sources.snapshots import SnapshotTable, publish_snapshot
 from dayplan.streaming import events as ev
-from dayplan.streaming.edits import stream_apply_edits
+from dayplan.streaming.edits import publish_edits, stream_apply_edits
 
 
 @pytest.fixture
@@ -127,6 +127,27 @@ def test_streamed_edits(spark, daily_13, tmp_path):
     assert table.versions() == [1, 2, 3, 4]
 
 
+def test_edits_rewrite_only_the_parts_they_touch(spark, many, tmp_path):
+    rows, daily = many
+    keys = ["series_key"]
+    table = SnapshotTable(spark, str(tmp_path / "daily"))
+    table.publish(daily, layout="series", keys=keys, parts=16)
+    assert sorted(table.read().collect(), key=str) == sorted(daily.collect(), key=str)
+    date = max(row[1] for row in rows if row[0] == "s5")
+    change = ed.one_edit(spark, date, "demand", 5, {"series_key": "s5"})
+    before = table.current()["folders"]
+    publish_edits(table, change, keys)
+    after = table.current()["folders"]
+    assert before.keys() == after.keys()
+    assert sum(before[name] != after[name] for name in before) == 1
+    expected = ed.apply_edits(daily, change, keys)
+    assert sorted(table.read().collect(), key=str) == sorted(expected.collect(), key=str)
+    stray = ed.one_edit(spark, date, "demand", 5, {"series_key": "nobody"})
+    publish_edits(table, stray, keys)
+    assert sorted(table.read().collect(), key=str) == sorted(expected.collect(), key=str)
+    assert table.publish(table.read()) == 4 and table.current()["layout"] == "series"
+
+
 def test_a_replayed_batch_is_skipped(spark, daily_13, tmp_path):
     folder, check = str(tmp_path / "edits"), str(tmp_path / "check")
     ed.one_edit(spark, "2024-01-05", "demand", 300).write.parquet(folder)
