@@ -14,7 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dayplan.operators.inventory import recalc_inventory, renumber, split_at
+from dayplan.operators.inventory import net_flow, recalc_inventory, renumber, split_at
+from dayplan.operators.running import overlay
 from dayplan.operators.scans import rows_in_range
 from dayplan.schema import (
     DAILY_COLUMNS,
@@ -75,19 +76,21 @@ def fold_edits(edits: DataFrame, keys: Keys = (), fields: Sequence[str] = EDITAB
 
 def write_fields(daily: DataFrame, folded: DataFrame, keys: Keys = ()) -> DataFrame:
     """Overwrite the edited fields; days that are not in the table change nothing."""
-    edited = daily.join(folded, [*keys, DATE], "left")
-    for field in EDITABLE:
-        if f"_new_{field}" in folded.columns:
-            edited = edited.withColumn(field, F.coalesce(f"_new_{field}", field))
-    return edited.select(*daily.columns)
+    fields = [field for field in EDITABLE if f"_new_{field}" in folded.columns]
+    return overwrite(daily.join(folded, [*keys, DATE], "left"), fields).select(*daily.columns)
 
 
-def first_edited(daily: DataFrame, folded: DataFrame, keys: Keys = ()) -> DataFrame:
-    """``(keys..., start)``: the first day of each series whose plan or demand changes."""
-    moving = [name for name in (f"_new_{PLAN}", f"_new_{DEMAND}") if name in folded.columns]
-    moved = folded.filter(F.coalesce(*moving).isNotNull())
-    hit = daily.select(*keys, DATE).join(moved.select(*keys, DATE), [*keys, DATE])
-    return hit.groupBy(*keys).agg(F.min(DATE).alias("start"))
+def overwrite(rows: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """Take the new value of a field where there is one."""
+    for field in fields:
+        if field in rows.columns:
+            rows = rows.withColumn(field, F.coalesce(f"_new_{field}", field))
+    return rows.drop(*[f"_new_{field}" for field in fields])
+
+
+def flow_amounts(rows: DataFrame, keys: Keys, sign: int = 1) -> DataFrame:
+    """``(keys..., date, amount)``: what each row adds to the stock, missing numbers as zero."""
+    return rows.select(*keys, DATE, (net_flow("zero") * sign).alias("amount"))
 
 
 def apply_edits(
@@ -99,16 +102,28 @@ def apply_edits(
 ) -> DataFrame:
     """Write the edits, then recalculate each touched series from its first changed day.
 
-    The folded edits and the start of each series are read by several joins and are
-    written once.  Rows outside the recalculated part can only have a new forecast,
-    so they are not joined with the edits unless forecasts are edited.
+    The edited days are joined with the table once, which tells where each series
+    starts and by how much its yearly sums change.  The new values then reach their
+    rows in the same shuffle that the recalculation needs.  Rows outside the
+    recalculated part can only have a new forecast.
     """
     folded = stage(fold_edits(edits, keys, fields), "edits")
-    starts = stage(first_edited(daily, folded, keys), "starts")
+    moving = [f"_new_{field}" for field in (PLAN, DEMAND) if field in fields]
+    moved = folded.filter(F.coalesce(*moving).isNotNull()).select(*keys, DATE, *moving)
+    hits = daily.select(*keys, DATE, DEMAND, PLAN).join(moved, [*keys, DATE])
+    hits = stage(hits, "hits")
+    starts = stage(hits.groupBy(*keys).agg(F.min(DATE).alias("start")), "starts")
     active, earlier, rest = split_at(daily, starts, keys)
+    addends = (
+        flow_amounts(active, keys)
+        .unionByName(flow_amounts(hits, keys, -1))
+        .unionByName(flow_amounts(overwrite(hits, fields), keys))
+    )
+    edited = overwrite(overlay(active, folded, keys), fields)
     if FORECAST in fields:
-        rest = write_fields(rest, folded.select(*keys, DATE, f"_new_{FORECAST}"), keys)
-    return renumber(write_fields(active, folded, keys), earlier, keys, on_null).unionByName(rest)
+        forecasts = folded.select(*keys, DATE, f"_new_{FORECAST}")
+        rest = write_fields(rest, forecasts.filter(F.col(f"_new_{FORECAST}").isNotNull()), keys)
+    return renumber(edited, earlier, keys, on_null, addends=addends).unionByName(rest)
 
 
 def set_production_plan(
@@ -211,18 +226,26 @@ def upsert_daily(
     """
     columns = [*keys, *DAILY_COLUMNS]
     rows = daily.select(*columns)
-    written = changes
-    if FORECAST not in changes.columns:
-        held = rows.join(changes.select(*keys, DATE), [*keys, DATE]).select(*keys, DATE, FORECAST)
-        written = changes.join(held, [*keys, DATE], "left")
+    written = stage(changes, "upsert")
+    days = written.select(*keys, DATE)
+    held = stage(rows.drop(INVENTORY).join(days, [*keys, DATE]), "held")
+    if FORECAST not in written.columns:
+        written = written.join(held.select(*keys, DATE, FORECAST), [*keys, DATE], "left")
     written = written.withColumn(INVENTORY, F.lit(None).cast("bigint")).select(*columns)
-    written = stage(written, "upsert")
-    starts = stage(written.groupBy(*keys).agg(F.min(DATE).alias("start")), "starts")
-    kept = rows.join(written.select(*keys, DATE), [*keys, DATE], "left_anti")
-    active, earlier, rest = split_at(kept, starts, keys)
-    if recalc_tail:
-        return renumber(active.unionByName(written), earlier, keys, on_null).unionByName(rest)
-    return renumber(written, earlier, keys, on_null).unionByName(kept)
+    starts = stage(days.groupBy(*keys).agg(F.min(DATE).alias("start")), "starts")
+    active, earlier, rest = split_at(rows, starts, keys)
+    if not recalc_tail:
+        kept = rows.join(held.select(*keys, DATE), [*keys, DATE], "left_anti")
+        return renumber(written, earlier, keys, on_null).unionByName(kept)
+    addends = (
+        flow_amounts(active, keys)
+        .unionByName(flow_amounts(held, keys, -1))
+        .unionByName(flow_amounts(written, keys))
+    )
+    old = overlay(active, days.withColumn("_replaced", F.lit(True)), keys)
+    old = old.filter(F.col("_replaced").isNull()).select(*columns)
+    full = old.unionByName(written)
+    return renumber(full, earlier, keys, on_null, addends=addends).unionByName(rest)
 
 
 def extend_calendar(

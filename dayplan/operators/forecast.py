@@ -1,10 +1,10 @@
 """Demand forecasts per series: moving average and exponential smoothing.
 
-Both need the last points of a series and its length, never the calendar.  Each year
-of a series becomes one row holding its points in order (at most 366); the years are
-then weighed against each other, which needs only the counts before and after.  So a
-forecast is one shuffle of the demand plus one of the small year rows, whatever the
-length of the series.
+Both go by the place of a point in its series, never by the calendar.  A moving average
+needs only the last points, which Spark can pick out before the shuffle.  Smoothing
+reads everything: each year of a series (at most 366 points) becomes one small row, and
+the years are then weighed by the counts before and after them.  So it costs one shuffle
+of the demand and one of the year rows, whatever the length of a series.
 """
 
 from __future__ import annotations
@@ -31,31 +31,72 @@ from dayplan.schema import (
 
 # Fixed value: the smoothing level starts from a straight line through this many points.
 START_POINTS = 10
+LONGEST_YEAR = 366
 
 Day = str | dt.date | Column
 
 
-def year_points(daily: DataFrame, keys: Keys) -> DataFrame:
-    """One row per series and year: its demands in date order, and the counts around it."""
+def ordered_points() -> Column:
+    """Demands of a group in date order."""
     points = F.array_sort(F.collect_list(F.struct(DATE, DEMAND)))
-    years = with_year(daily.select(*keys, DATE, DEMAND)).groupBy(*keys, YEAR).agg(
-        F.transform(points, lambda point: point[DEMAND].cast("double")).alias("points"),
-        F.count("*").alias("size"),
-        F.count_if(F.col(DEMAND).isNull()).alias("gaps"),
-        F.max(DATE).alias("last_date"),
+    return F.transform(points, lambda point: point[DEMAND].cast("double"))
+
+
+def year_levels(daily: DataFrame, alpha: float, keys: Keys) -> DataFrame:
+    """One small row per series and year.
+
+    ``gain`` is the level the year's points give to a start of zero, ``head`` its first
+    points, ``before`` and ``after`` count the points of the other years.
+    """
+    fade = F.lit(1.0 - alpha)
+    gain = F.aggregate(
+        "points", F.lit(0.0), lambda level, value: level * fade + value * F.lit(float(alpha))
     )
-    order = W.partitionBy(*keys).orderBy(YEAR)
-    earlier = order.rowsBetween(W.unboundedPreceding, -1)
-    later = order.rowsBetween(1, W.unboundedFollowing)
-    return years.withColumn("before", F.coalesce(F.sum("size").over(earlier), F.lit(0))).withColumn(
-        "after", F.coalesce(F.sum("size").over(later), F.lit(0))
+    years = (
+        with_year(daily.select(*keys, DATE, DEMAND))
+        .groupBy(*keys, YEAR)
+        .agg(
+            ordered_points().alias("points"),
+            F.count("*").alias("size"),
+            F.count_if(F.col(DEMAND).isNull()).alias("gaps"),
+            F.max(DATE).alias("last_date"),
+        )
+        .withColumn("gain", gain)
+        .withColumn("head", F.slice("points", 1, START_POINTS))
+        .drop("points")
     )
+    series = W.partitionBy(*keys)
+    earlier = series.orderBy(YEAR).rowsBetween(W.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("size").over(earlier), F.lit(0))
+    after = F.sum("size").over(series) - F.col("before") - F.col("size")
+    return years.withColumn("before", before).withColumn("after", after)
 
 
 def add_up(values: Column, term=lambda value: value) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda total, value: total + term(value))
 
 
+def last_rows(rows: DataFrame, count: int, group: Keys) -> DataFrame:
+    """The last ``count`` rows by date of each group.
+
+    For limits up to ``spark.sql.optimizer.windowGroupLimitThreshold`` Spark drops the
+    other rows before the shuffle.
+    """
+    newest = W.partitionBy(*group).orderBy(F.desc(DATE))
+    numbered = rows.withColumn("_back", F.row_number().over(newest))
+    return numbered.filter(F.col("_back") <= count).drop("_back")
+
+
+def closing_years(rows: DataFrame, count: int, keys: Keys) -> DataFrame:
+    """Rows of the last years of each series, as many years as hold its last ``count`` rows."""
+    dated = with_year(rows)
+    sizes = dated.groupBy(*keys, YEAR).agg(F.count("*").alias("size"))
+    later = W.partitionBy(*keys).orderBy(F.desc(YEAR)).rowsBetween(W.unboundedPreceding, -1)
+    after = F.coalesce(F.sum("size").over(later), F.lit(0))
+    wanted = sizes.withColumn("_after", after).filter(F.col("_after") < count)
+    return dated.join(wanted.select(*keys, YEAR), [*keys, YEAR], "left_semi").drop(YEAR)
+
+
 def moving_average_level(daily: DataFrame, window: int = 3, keys: Keys = ()) -> DataFrame:
     """Mean of the last ``window`` demands, or of all of a shorter series.
 
@@ -63,27 +104,26 @@ def moving_average_level(daily: DataFrame, window: int = 3, keys: Keys = ()) ->
     """
     if window < 1:
         raise ValueError("window must be at least 1")
-    share = F.greatest(F.lit(0), F.least(F.col("size"), F.lit(window) - F.col("after"))).cast("int")
-    tail = F.when(share > 0, F.slice("points", -share, share)).otherwise(F.array().cast("array<double>"))
-    known = F.filter("tail", lambda value: value.isNotNull())
-    ends = year_points(daily, keys).withColumn("tail", tail)
+    rows = daily.select(*keys, DATE, DEMAND)
+    if window > LONGEST_YEAR:
+        rows = closing_years(rows, window, keys)
     level = (
-        ends.groupBy(*keys)
+        last_rows(rows, window, keys)
+        .groupBy(*keys)
         .agg(
-            F.sum(F.size("tail")).alias("used"),
-            F.sum(F.size(known)).alias("known"),
-            F.sum(add_up(known)).alias("total"),
-            F.sum("size").cast("bigint").alias("points_used"),
-            F.max("last_date").alias("last_date"),
+            F.max(DATE).alias("last_date"),
+            F.count("*").alias("points_used"),
+            F.count(DEMAND).alias("known"),
+            F.avg(DEMAND).alias("mean"),
         )
-        .filter(F.col("used") > 0)
+        .filter(F.col("points_used") > 0)
     )
-    complete = F.col("known") == F.col("used")
+    complete = F.col("known") == F.col("points_used")
     return level.select(
         *keys,
         "last_date",
         "points_used",
-        F.when(complete, half_even(F.col("total") / F.col("used"))).alias(FORECAST),
+        F.when(complete, half_even(F.col("mean"))).alias(FORECAST),
         F.when(complete, "ok").otherwise("missing_demand").alias("status"),
     )
 
@@ -103,18 +143,14 @@ def smoothing_level(daily: DataFrame, alpha: float = 0.5, keys: Keys = ()) -> Da
     faded = F.when(F.lit(fade == 0.0), F.when(F.col("after") == 0, 1.0).otherwise(0.0)).otherwise(
         F.pow(F.lit(fade), F.col("after"))
     )
-    gain = F.aggregate(
-        "points", F.lit(0.0), lambda level, value: level * F.lit(fade) + value * F.lit(float(alpha))
-    )
     room = F.greatest(F.lit(0), F.lit(START_POINTS) - F.col("before")).cast("int")
-    head = F.when(room > 0, F.slice("points", F.lit(1), room)).otherwise(F.array().cast("array<double>"))
     placed = F.transform("head", lambda value, at: value * (F.col("before") + at + 1))
     parts = (
-        year_points(daily, keys)
-        .withColumn("head", head)
+        year_levels(daily, alpha, keys)
+        .withColumn("head", F.slice("head", F.lit(1), room))
         .groupBy(*keys)
         .agg(
-            F.sum(gain * faded).alias("gain"),
+            F.sum(F.col("gain") * faded).alias("gain"),
             F.sum(add_up(F.col("head"))).alias("sum_y"),
             F.sum(add_up(placed)).alias("sum_iy"),
             F.sum("size").cast("bigint").alias("points_used"),
@@ -284,14 +320,13 @@ def moving_average_series(daily: DataFrame, window: int = 3, keys: Keys = ()) ->
         F.coalesce(F.sum(DEMAND).over(inside), F.lit(0)).alias("_sum"),
     )
     lend = window - 1
-    closing = F.slice("points", -F.least(F.size("points"), F.lit(lend)), F.lit(lend))
     if lend == 0:
-        closing = F.array().cast("array<double>")
-    near = W.partitionBy(*keys).orderBy(YEAR).rowsBetween(-max(lend, 1), -1)
-    borrowed = (
-        year_points(rows, keys)
-        .withColumn("_closing", closing)
-        .select(*keys, YEAR, F.flatten(F.collect_list("_closing").over(near)).alias("_lent"))
+        return local.select(*keys, DATE, DEMAND, half_even(F.col(DEMAND)).alias(result))
+    closing = last_rows(with_year(rows), lend, [*keys, YEAR])
+    closing = closing.groupBy(*keys, YEAR).agg(ordered_points().alias("_closing"))
+    near = W.partitionBy(*keys).orderBy(YEAR).rowsBetween(-lend, -1)
+    borrowed = closing.select(
+        *keys, YEAR, F.flatten(F.collect_list("_closing").over(near)).alias("_lent")
     )
     joined = local.join(borrowed, [*keys, YEAR], "left")
     need = F.least(F.lit(window) - F.col("_days"), F.size("_lent")).cast("int")

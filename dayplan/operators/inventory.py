@@ -48,11 +48,13 @@ def renumber(
     keys: Keys = (),
     on_null: str = "error",
     by_series: bool = False,
+    addends: DataFrame | None = None,
 ) -> DataFrame:
     """``active`` with inventory carried forward from the last day of ``earlier``."""
     opening = None if earlier is None else opening_balance(earlier, keys, on_null)
-    total = running_total_by_series if by_series else running_total
-    return total(active, keys, net_flow(on_null), INVENTORY, opening).select(*active.columns)
+    if by_series:
+        return running_total_by_series(active, keys, net_flow(on_null), INVENTORY, opening)
+    return running_total(active, keys, net_flow(on_null), INVENTORY, opening, addends)
 
 
 def split_at(

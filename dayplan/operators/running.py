@@ -24,7 +24,8 @@ _TOTAL = "_total"
 
 
 def with_year(rows: DataFrame) -> DataFrame:
-    return rows.withColumn(YEAR, F.trunc(DATE, "year"))
+    """The first day of the year as a column; rows that have it already are left alone."""
+    return rows if YEAR in rows.columns else rows.withColumn(YEAR, F.trunc(DATE, "year"))
 
 
 def running_total(
@@ -33,14 +34,20 @@ def running_total(
     value: Column,
     into: str,
     opening: DataFrame | None = None,
+    addends: DataFrame | None = None,
 ) -> DataFrame:
     """Sum of ``value`` over each series up to and including each date.
 
     ``opening`` optionally gives a starting balance as ``(keys..., opening)``.  It
     enters as one more addend dated before everything else, so no join is needed.
+    ``addends`` as ``(keys..., date, amount)`` may stand in for ``value`` in the yearly
+    sums, where the same sums can be had without the shuffle that made ``rows``.
     """
     cut = with_year(rows)
-    totals = cut.groupBy(*keys, YEAR).agg(F.sum(value).alias(_TOTAL))
+    if addends is None:
+        totals = cut.groupBy(*keys, YEAR).agg(F.sum(value).alias(_TOTAL))
+    else:
+        totals = with_year(addends).groupBy(*keys, YEAR).agg(F.sum("amount").alias(_TOTAL))
     if opening is not None:
         first = F.lit("0001-01-01").cast("date").alias(YEAR)
         totals = totals.unionByName(
@@ -61,8 +68,27 @@ def running_total(
         cut.withColumn(into, F.sum(value).over(inside))
         .join(offsets, [*keys, YEAR], "left")
         .withColumn(into, (F.col(into) + before).cast("bigint"))
-        .select(*dict.fromkeys([*rows.columns, into]))
+        .select(*[name for name in dict.fromkeys([*rows.columns, into]) if name != YEAR])
+    )
+
+
+def overlay(rows: DataFrame, marks: DataFrame, keys: Keys) -> DataFrame:
+    """``rows`` and the columns that ``marks`` hold for the same day, in one shuffle.
+
+    Both are unique on ``(keys..., date)``.  They are put together by year, where the
+    marks of a day are copied onto its row; what is computed per year afterwards finds
+    the rows already in place.  Marks without a row fall away.
+    """
+    extra = [name for name in marks.columns if name not in [*keys, DATE]]
+    both = rows.withColumn("_mark", F.lit(False)).unionByName(
+        marks.withColumn("_mark", F.lit(True)), allowMissingColumns=True
     )
+    placed = with_year(both).repartition(*keys, YEAR)
+    # The mark of a day sorts just before its row.
+    order = W.partitionBy(*keys, YEAR).orderBy(DATE, F.desc("_mark"))
+    marked = (F.lag(DATE).over(order) == F.col(DATE)) & F.lag("_mark").over(order)
+    shown = [F.when(marked, F.lag(name).over(order)).alias(name) for name in extra]
+    return placed.select(*rows.columns, YEAR, "_mark", *shown).filter(~F.col("_mark")).drop("_mark")
 
 
 def running_total_by_series(

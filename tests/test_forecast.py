@@ -116,7 +116,7 @@ def test_history_cut_by_series(many):
     cut = day("2020-03-01")
     got = {
         row["series_key"]: row["points_used"]
-        for row in fc.moving_average_level(fc.history_until(daily, cut, KEYS), keys=KEYS).collect()
+        for row in fc.smoothing_level(fc.history_until(daily, cut, KEYS), keys=KEYS).collect()
     }
     for name, series in by_series(rows).items():
         kept = [row for row in series if row[1] <= cut] or series

@@ -4,6 +4,7 @@ import re
 
 import pytest
 from conftest import make_daily
+from dayplan.operators import edits as ed
 from dayplan.operators import forecast as fc
 from dayplan.operators import inventory as inv
 from dayplan.operators import scans, summary
@@ -51,7 +52,7 @@ def single_series(df):
         lambda d: scans.demand_series(d),
         lambda d: fc.moving_average_series(d),
         lambda d: fc.ses_forecast(d),
-        lambda d: fc.moving_average_forecast(d),
+        lambda d: fc.moving_average_forecast(d, 500),
     ],
 )
 def test_one_series_reaches_one_task_only_as_totals(stored, build):
@@ -83,6 +84,24 @@ def test_every_query_has_check_sql(name):
     assert name in ORACLE
 
 
+def test_a_moving_average_shuffles_only_the_last_rows(stored):
+    text = [node for _, node in tree(fc.moving_average_forecast(stored, keys=KEYS))]
+    moved = next(at for at, node in enumerate(text) if node.startswith("Exchange hashpartitioning"))
+    assert text[moved + 1].startswith("WindowGroupLimit") and "Partial" in text[moved + 1]
+    text = [node for _, node in tree(fc.moving_average_forecast(single_series(stored)))]
+    assert any(node.startswith("TakeOrderedAndProject(limit=3") for node in text)
+
+
+def test_edits_travel_in_the_shuffle_of_the_recalculation(spark, stored):
+    change = ed.one_edit(spark, "2020-06-01", "demand", 5, {"series_key": "s5"})
+    text = [node for _, node in tree(ed.set_demand(stored, change, KEYS))]
+    full = [node for node in text if node.startswith("Exchange hashpartitioning(series_key")]
+    assert sum("REPARTITION_BY_COL" in node for node in full) == 1
+    windows = [at for at, node in enumerate(text) if node.startswith("Window [")]
+    between = text[windows[0] : windows[1]]
+    assert not any(node.startswith(("Exchange", "Sort ")) for node in between)
+
+
 def test_untouched_rows_are_not_shuffled(stored):
     nodes = tree(inv.recalc_inventory(stored, "2020-06-01", KEYS))
     top = [text for depth, text in nodes]
@@ -138,5 +157,7 @@ def test_release_deletes_what_was_staged(spark, daily_13):
 
 def test_a_year_is_small_even_for_the_longest_series(spark, many):
     rows = [row[1:] for row in many[0] if row[0] == "s6"]
-    years = fc.year_points(make_daily(spark, rows), [])
-    assert max(row["size"] for row in years.select("size").collect()) <= 366
+    years = fc.year_levels(make_daily(spark, rows), 0.5, []).collect()
+    assert sum(row["size"] for row in years) == len(rows)
+    assert max(row["size"] for row in years) <= 366
+    assert max(len(row["head"]) for row in years) <= 10
