@@ -19,6 +19,7 @@ from dayplan.operators import summary
 from dayplan.plans.queries import KEYS, START, streamed_messages
 from dayplan.session import build_session
 from dayplan.sources import views
+from dayplan.sources.staging import release
 from dayplan.streaming.events import debug_messages
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -100,6 +101,7 @@ def main() -> None:
             }
         )
     )
+    release(spark)
     spark.stop()
 
 

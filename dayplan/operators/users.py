@@ -22,11 +22,14 @@ def new_users(users: DataFrame, requested: DataFrame) -> DataFrame:
     """
     names = requested.select("username").filter(F.col("username").isNotNull()).distinct()
     missing = names.join(users.select("username"), "username", "left_anti")
-    return missing.select(
+    added = missing.select(
         stable_uuid(F.col("username")).alias("id"),
         "username",
         F.lit(None).cast("string").alias("display_name"),
     )
+    if "created_at" in users.columns:
+        added = added.withColumn("created_at", F.localtimestamp())
+    return added
 
 
 def get_or_create_users(users: DataFrame, requested: DataFrame) -> DataFrame:
@@ -52,6 +55,8 @@ def remap_user_ids(users: DataFrame) -> DataFrame:
     changed = users.withColumn("id", stable_uuid(F.col("id"))).withColumn(
         "display_name", shown_name(F.col("display_name"), F.col("username"))
     )
+    if "created_at" in users.columns:
+        changed = changed.withColumn("created_at", F.coalesce("created_at", F.localtimestamp()))
     return changed.select(*users.columns)
 
 

@@ -98,11 +98,9 @@ def staged_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def streamed_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sink = new_path(spark, "debug-messages")
-    ev.collect_events(
-        views.agent_event_stream(spark, sf_dir), sink, new_path(spark, "debug-checkpoint")
-    )
-    return spark.read.parquet(sink).drop("batch")
+    stream = views.agent_event_stream(spark, sf_dir)
+    sink, checkpoint = new_path(spark, "debug-messages"), new_path(spark, "debug-checkpoint")
+    return ev.collect_events(stream, sink, checkpoint).drop("batch")
 
 
 def streamed_edits(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ def build_session(
     shuffle_partitions: int | None = None,
     **conf: str,
 ) -> SparkSession:
-    """Adaptive execution on, UTC, two-level settings left to the cluster otherwise.
+    """Adaptive execution on and dates in UTC; everything else is left to the cluster.
 
     On a cluster leave ``shuffle_partitions`` unset to keep the cluster's value;
     adaptive execution merges small partitions and splits skewed ones.

@@ -53,6 +53,11 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{app_folder(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
 
+def path_exists(spark: SparkSession, name: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once and read it back."""
     spark = df.sparkSession

@@ -7,6 +7,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
+
+from dayplan.sources.staging import path_exists
 
 logger = logging.getLogger(__name__)
 
@@ -48,9 +51,10 @@ def collect_events(
     checkpoint: str,
     on_batch: Callable[[DataFrame, int], None] | None = None,
     transform: Callable[[DataFrame], DataFrame] = debug_messages,
-):
+) -> DataFrame:
     """Run a stream to its end into Parquet at ``sink``, calling ``on_batch`` per batch.
 
+    Returns everything collected so far, with the number of the batch that brought it.
     A batch goes to its own folder and replaces what a broken attempt left there, so
     a restart from the checkpoint neither loses nor repeats rows.  An error in the
     callback is logged and does not stop the stream.
@@ -65,15 +69,19 @@ def collect_events(
             except Exception:
                 logger.exception("callback failed for batch %s", batch_id)
 
+    rows = transform(stream)
     query = (
-        transform(stream)
-        .writeStream.foreachBatch(keep)
+        rows.writeStream.foreachBatch(keep)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    return query
+    spark = stream.sparkSession
+    schema = StructType([*rows.schema.fields, StructField("batch", LongType())])
+    if not path_exists(spark, sink):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(sink)
 
 
 def two_stage_events(first: DataFrame, second: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 from dayplan.schema import daily_schema  # noqa: E402
 from dayplan.session import build_session  # noqa: E402
+from dayplan.sources.staging import release  # noqa: E402
 from pyspark.sql import types as T  # noqa: E402
 
 KEY = T.StructField("series_key", T.StringType(), False)
@@ -22,6 +23,7 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    release(session)
     session.stop()
 
 

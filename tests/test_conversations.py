@@ -7,7 +7,7 @@ from conftest import values
 from dayplan.operators import conversations as talk
 from dayplan.operators import users as us
 from dayplan.operators.running import number_rows
-from dayplan.schema import MESSAGE_SCHEMA
+from dayplan.schema import MESSAGE_SCHEMA, USER_SCHEMA
 
 T0 = dt.datetime(2024, 1, 1, 8, 0)
 
@@ -191,6 +191,16 @@ def test_users_are_created_once(spark, users):
     assert not any(row["created"] for row in again)
 
 
+def test_creation_times(spark):
+    rows = [("1", "ann", None, None), ("2", "bob", None, at(0))]
+    held = spark.createDataFrame(rows, USER_SCHEMA)
+    moved = us.remap_user_ids(held).orderBy("username").collect()
+    assert moved[0]["created_at"] is not None and moved[1]["created_at"] == at(0)
+    asked = spark.createDataFrame([("dee",)], "username string")
+    assert us.new_users(held, asked).first()["created_at"] is not None
+    assert held.unionByName(us.new_users(held, asked)).count() == 3
+
+
 def test_display_names(spark, users):
     changes = spark.createDataFrame(
         [("1", "A", 1), ("1", "B", 2), ("3", None, 1), ("9", "Z", 1)],

@@ -54,14 +54,21 @@ def test_stream_equals_batch_and_survives_its_callback(spark, events, tmp_path):
 
     def run():
         stream = spark.readStream.schema(EVENT_SCHEMA).option("maxFilesPerTrigger", 1).parquet(source)
-        ev.collect_events(stream, str(tmp_path / "out"), str(tmp_path / "check"), callback)
-        return spark.read.parquet(str(tmp_path / "out")).orderBy("seq")
+        out = ev.collect_events(stream, str(tmp_path / "out"), str(tmp_path / "check"), callback)
+        return out.orderBy("batch", "seq")
 
     assert values(run(), "content") == EXPECTED
     assert sum(count for _, count in seen) == 6 and len(seen) == 2
     assert values(run(), "content") == EXPECTED and len(seen) == 2
 
 
+def test_a_stream_without_events(spark, events, tmp_path):
+    events.filter("false").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(EVENT_SCHEMA).parquet(str(tmp_path / "in"))
+    out = ev.collect_events(stream, str(tmp_path / "out"), str(tmp_path / "check"))
+    assert out.count() == 0 and out.columns[-1] == "batch"
+
+
 def test_two_stages_keep_each_event_once(events):
     late = events.filter("seq > 4")
     out = ev.two_stage_events(events.filter("seq <= 4"), late.unionByName(late))
