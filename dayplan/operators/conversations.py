@@ -103,10 +103,8 @@ def session_labels(log: DataFrame, sessions: DataFrame | None = None) -> DataFra
     ``timestamp`` may be text in one of the accepted layouts.  ``sessions`` may name
     sessions that have no message yet.
     """
-    stamp = F.col("timestamp").cast("string")
-    first = log.groupBy("session_id").agg(
-        F.min_by(stamp, "id").alias("_first"), F.min("id").alias("_id")
-    )
+    first = log.groupBy("session_id").agg(F.min_by("timestamp", "id").alias("_first"))
+    first = first.withColumn("_first", F.col("_first").cast("string"))
     if sessions is not None:
         first = sessions.select("session_id").distinct().join(first, "session_id", "left")
     parsed = F.coalesce(

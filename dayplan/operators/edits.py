@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dayplan.operators.inventory import net_flow, recalc_inventory, renumber, split_at
-from dayplan.operators.running import overlay
+from dayplan.operators.running import overlay, replace_days
 from dayplan.operators.scans import rows_in_range
 from dayplan.schema import (
     DAILY_COLUMNS,
@@ -242,9 +242,7 @@ def upsert_daily(
         .unionByName(flow_amounts(held, keys, -1))
         .unionByName(flow_amounts(written, keys))
     )
-    old = overlay(active, days.withColumn("_replaced", F.lit(True)), keys)
-    old = old.filter(F.col("_replaced").isNull()).select(*columns)
-    full = old.unionByName(written)
+    full = replace_days(active, written, keys)
     return renumber(full, earlier, keys, on_null, addends=addends).unionByName(rest)
 
 

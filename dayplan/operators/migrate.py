@@ -23,13 +23,16 @@ def migrate_date_format(table: DataFrame, column: str = "date_text") -> DataFram
     target = F.when(
         ~is_iso & text.rlike(DAY_FIRST_SHAPE), iso_text(F.try_to_date(text, "d-M-yyyy"))
     )
-    marked = table.withColumn("_to", target)
-    candidates = marked.filter(F.col("_to").isNotNull()).select(text.alias("_from"), "_to")
-    free = candidates.join(
-        table.select(text.alias("_to")), "_to", "left_anti"
+    # Every row lays claim to its own text and, if it is to change, to its new one.
+    own = F.struct(text.alias("_to"), F.lit(None).cast("string").alias("_from"))
+    new = F.struct(target.alias("_to"), text.alias("_from"))
+    claims = table.select(F.inline(F.array(own, new))).filter(F.col("_to").isNotNull())
+    winners = claims.groupBy("_to").agg(
+        F.min("_from").alias("_from"), F.count_if(F.col("_from").isNull()).alias("_stored")
+    )
+    changed = winners.filter(F.col("_stored") == 0).select(
+        F.col("_from").alias(column), F.col("_to").alias("_won")
     )
-    winners = free.groupBy("_to").agg(F.min("_from").alias("_from"))
-    changed = winners.select(F.col("_from").alias(column), F.col("_to").alias("_won"))
     return (
         table.join(changed, column, "left")
         .withColumn(column, F.coalesce("_won", column))

@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from dayplan.schema import DATE, Keys
 from dayplan.sources.staging import stage
@@ -72,25 +73,41 @@ def running_total(
     )
 
 
-def overlay(rows: DataFrame, marks: DataFrame, keys: Keys) -> DataFrame:
-    """``rows`` and the columns that ``marks`` hold for the same day, in one shuffle.
+def side_by_side(rows: DataFrame, marks: DataFrame, keys: Keys) -> tuple[DataFrame, WindowSpec]:
+    """``rows`` and ``marks`` together by series and year, in one shuffle.
 
-    Both are unique on ``(keys..., date)``.  They are put together by year, where the
-    marks of a day are copied onto its row; what is computed per year afterwards finds
-    the rows already in place.  Marks without a row fall away.
+    Both are unique on ``(keys..., date)``.  In the order of the returned window the
+    mark of a day comes just before its row, and what is computed per year afterwards
+    finds the rows already in place and sorted.
     """
-    extra = [name for name in marks.columns if name not in [*keys, DATE]]
     both = rows.withColumn("_mark", F.lit(False)).unionByName(
         marks.withColumn("_mark", F.lit(True)), allowMissingColumns=True
     )
-    placed = with_year(both).repartition(*keys, YEAR)
-    # The mark of a day sorts just before its row.
     order = W.partitionBy(*keys, YEAR).orderBy(DATE, F.desc("_mark"))
-    marked = (F.lag(DATE).over(order) == F.col(DATE)) & F.lag("_mark").over(order)
-    shown = [F.when(marked, F.lag(name).over(order)).alias(name) for name in extra]
+    return with_year(both).repartition(*keys, YEAR), order
+
+
+def follows_mark(order: WindowSpec) -> Column:
+    """Whether a row has a mark for its day."""
+    return (F.lag(DATE).over(order) == F.col(DATE)) & F.lag("_mark").over(order)
+
+
+def overlay(rows: DataFrame, marks: DataFrame, keys: Keys) -> DataFrame:
+    """``rows`` with the other columns of ``marks`` for the same day; marks without a row
+    fall away."""
+    extra = [name for name in marks.columns if name not in [*keys, DATE]]
+    placed, order = side_by_side(rows, marks, keys)
+    shown = [F.when(follows_mark(order), F.lag(name).over(order)).alias(name) for name in extra]
     return placed.select(*rows.columns, YEAR, "_mark", *shown).filter(~F.col("_mark")).drop("_mark")
 
 
+def replace_days(rows: DataFrame, marks: DataFrame, keys: Keys) -> DataFrame:
+    """``rows`` with the days in ``marks`` replaced or added; both have the same columns."""
+    placed, order = side_by_side(rows, marks, keys)
+    replaced = F.coalesce(follows_mark(order), F.lit(False)) & ~F.col("_mark")
+    return placed.withColumn("_replaced", replaced).filter(~F.col("_replaced")).drop("_mark", "_replaced")
+
+
 def running_total_by_series(
     rows: DataFrame, keys: Keys, value: Column, into: str, opening: DataFrame | None = None
 ) -> DataFrame:

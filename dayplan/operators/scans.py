@@ -68,13 +68,13 @@ def lookup_available_dates(daily: DataFrame, requested: DataFrame, keys: Keys =
         "found", F.coalesce("found", F.lit(False))
     )
     offer = daily.groupBy(*keys).agg(F.sort_array(F.collect_set(DATE)).alias("available_dates"))
-    if keys:
-        missed = marked.filter(~F.col("found")).join(offer, list(keys), "left")
-    else:
-        everything = offer.scalar()
-        missed = marked.filter(~F.col("found")).withColumn("available_dates", everything)
-    nothing = F.lit(None).cast("array<date>")
-    return marked.filter("found").withColumn("available_dates", nothing).unionByName(missed)
+    if not keys:
+        return marked.withColumn("available_dates", F.when(~F.col("found"), offer.scalar()))
+    named = offer.select(*[F.col(key).alias(f"_at_{key}") for key in keys], "available_dates")
+    same = [F.col(key) == F.col(f"_at_{key}") for key in keys]
+    return marked.join(named, [*same, ~F.col("found")], "left").select(
+        *keys, DATE, "found", "available_dates"
+    )
 
 
 def demand_series(daily: DataFrame, keys: Keys = ()) -> DataFrame:

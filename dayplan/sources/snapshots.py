@@ -152,6 +152,23 @@ class SnapshotTable:
         kept = {name: commit[name] for name in ("layout", "schema", "keys", "parts")}
         return self._publish({**kept, "folders": folders}, streams)
 
+    def forget(self, keep: int = 2) -> list[int]:
+        """Delete all but the newest ``keep`` versions; returns the deleted ones.
+
+        Commits go first, then the folders that no remaining commit points to.
+        """
+        versions = self.versions()
+        gone = versions[: max(len(versions) - max(keep, 1), 0)]
+
+        def folders(numbers):
+            return {f for n in numbers for f in self._commit(n)["folders"].values()}
+
+        unused = folders(gone) - folders(versions[len(gone) :])
+        for name in [f"commits/{n:08d}.json" for n in gone] + [f"data/{f}" for f in sorted(unused)]:
+            path, files = self._path(name)
+            files.delete(path, True)
+        return gone
+
     def _new_folder(self) -> str:
         return uuid.uuid4().hex
 

@@ -86,12 +86,13 @@ def edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     day, month = F.dayofmonth(DATE), F.month(DATE)
 
     def edit(chosen, field, extra, seq):
-        return rows.filter(chosen).select(
-            SERIES,
-            DATE,
-            F.lit(field).alias("field"),
-            (F.col(DEMAND) + extra).alias("value"),
-            F.lit(seq).cast("bigint").alias("seq"),
+        return F.when(
+            chosen,
+            F.struct(
+                F.lit(field).alias("field"),
+                (F.col(DEMAND) + extra).alias("value"),
+                F.lit(seq).cast("bigint").alias("seq"),
+            ),
         )
 
     stray = spark.range(1).select(
@@ -101,12 +102,14 @@ def edits(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(1).cast("bigint").alias("value"),
         F.lit(4).cast("bigint").alias("seq"),
     )
-    return (
-        edit(day == 15, PLAN, 10, 1)
-        .unionByName(edit(day == 20, DEMAND, 25, 2))
-        .unionByName(edit((day == 15) & (month == 6), PLAN, 30, 3))
-        .unionByName(stray)
+    made = F.array_compact(
+        F.array(
+            edit(day == 15, PLAN, 10, 1),
+            edit(day == 20, DEMAND, 25, 2),
+            edit((day == 15) & (month == 6), PLAN, 30, 3),
+        )
     )
+    return rows.select(SERIES, DATE, F.inline(made)).unionByName(stray)
 
 
 def build_history(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -235,23 +238,24 @@ def daily_text_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Demand by a text date: ISO, unpadded ISO and day-first text, with two kinds of
     clash and one row that is no date."""
     day = F.dayofmonth(DATE)
-    rows = daily(spark, sf_dir, None).select(DATE, DEMAND)
-
-    def texts(chosen, layout, extra=0):
-        text = F.date_format(DATE, layout).alias("date_text")
-        return rows.filter(chosen).select(text, (F.col(DEMAND) + extra).alias(DEMAND))
 
+    def text(chosen, layout, extra=0):
+        named = F.date_format(DATE, layout).alias("date_text")
+        return F.when(chosen, F.struct(named, (F.col(DEMAND) + extra).alias(DEMAND)))
+
+    made = F.array_compact(
+        F.array(
+            text(day % 3 == 0, "yyyy-MM-dd"),
+            text(day % 3 == 1, "dd-MM-yyyy"),
+            text(day % 3 == 2, "yyyy-M-d"),
+            text(day == 3, "dd-MM-yyyy", 1),
+            text(day == 4, "d-M-yyyy", 2),
+        )
+    )
     junk = spark.range(1).select(
         F.lit("not-a-date").alias("date_text"), F.lit(0).cast("bigint").alias(DEMAND)
     )
-    return (
-        texts(day % 3 == 0, "yyyy-MM-dd")
-        .unionByName(texts(day % 3 == 1, "dd-MM-yyyy"))
-        .unionByName(texts(day % 3 == 2, "yyyy-M-d"))
-        .unionByName(texts(day == 3, "dd-MM-yyyy", 1))
-        .unionByName(texts(day == 4, "d-M-yyyy", 2))
-        .unionByName(junk)
-    )
+    return daily(spark, sf_dir, None).select(F.inline(made)).unionByName(junk)
 
 
 def daily_changes(spark: SparkSession, sf_dir: str) -> DataFrame:

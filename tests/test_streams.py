@@ -149,6 +149,8 @@ def test_edits_rewrite_only_the_parts_they_touch(spark, many, tmp_path):
     assert sum(before[name] != after[name] for name in before) == 1
     expected = ed.apply_edits(daily, change, keys)
     assert sorted(table.read().collect(), key=str) == sorted(expected.collect(), key=str)
+    assert table.forget(1) == [1] and table.versions() == [2]
+    assert sorted(table.read().collect(), key=str) == sorted(expected.collect(), key=str)
     stray = ed.one_edit(spark, date, "demand", 5, {"series_key": "nobody"})
     publish_edits(table, stray, keys)
     assert sorted(table.read().collect(), key=str) == sorted(expected.collect(), key=str)
