@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from dayplan.functions.markup import parsed_lines
 from dayplan.operators.running import number_rows
 from dayplan.schema import MESSAGE_SCHEMA, bigint
+from dayplan.sources.snapshots import SnapshotTable
+from dayplan.sources.staging import stage
 
 # Label texts and the layouts a stored timestamp may have.
 UNKNOWN_DATE = "fecha desconocida"
@@ -45,6 +47,16 @@ def appended_log(log: DataFrame, batch: DataFrame, order: list[str] | None = Non
     return log.select(*MESSAGE_COLUMNS).unionByName(append_messages(log, batch, order))
 
 
+def save_messages(table: SnapshotTable, batch: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """Append a batch to a published log and return its rows with their ids."""
+    spark = table.spark
+    empty = spark.createDataFrame([], MESSAGE_SCHEMA)
+    log = empty if table.current() is None else table.read()
+    rows = stage(append_messages(log, batch, order), "messages")
+    table.append(rows)
+    return rows
+
+
 def session_history(log: DataFrame, session_id: str | None = None) -> DataFrame:
     """Messages of one session, or of every session, in the order they were stored."""
     rows = log if session_id is None else log.filter(F.col("session_id") == session_id)

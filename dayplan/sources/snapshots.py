@@ -101,7 +101,7 @@ class SnapshotTable:
         partition that is large and join those that are small.  ``streams`` notes the
         last batch taken from each stream; notes are carried forward.
         """
-        commit = self.current() or {"layout": "month"}
+        commit = self.current() or {"layout": "month", "version": 0}
         if layout == "":
             layout = commit["layout"]
             keys, parts = commit.get("keys", list(keys)), commit.get("parts", parts)
@@ -119,7 +119,7 @@ class SnapshotTable:
         note = {"layout": layout, "schema": table.schema.jsonValue(), "folders": folders}
         if layout == "series":
             note.update(keys=list(keys), parts=parts)
-        return self._publish(note, streams)
+        return self._publish(note, streams, commit["version"] + 1)
 
     def parts_of(self, changes: DataFrame) -> list[str] | None:
         """Names of the stored parts that hold the series of ``changes``.
@@ -150,7 +150,25 @@ class SnapshotTable:
             self._write_parts(rows, commit["keys"], commit["parts"], folder)
             folders.update(self._part_folders(folder))
         kept = {name: commit[name] for name in ("layout", "schema", "keys", "parts")}
-        return self._publish({**kept, "folders": folders}, streams)
+        return self._publish({**kept, "folders": folders}, streams, commit["version"] + 1)
+
+    def append(self, rows: DataFrame) -> int:
+        """Add rows to a table without partitioning; the rows already there are not touched.
+
+        If another writer commits first this fails, so rows numbered after the ones
+        that were read can never repeat a number.
+        """
+        commit = self.current()
+        if commit is None:
+            return self.publish(rows, layout=None)
+        if commit["layout"] is not None:
+            raise ValueError("only a table without partitioning can be appended to")
+        folder = self._new_folder()
+        columns = StructType.fromJson(commit["schema"]).fieldNames()
+        rows.select(*columns).write.parquet(f"{self.root}/data/{folder}")
+        kept = {name: commit[name] for name in ("layout", "schema")}
+        folders = {**commit["folders"], folder: folder}
+        return self._publish({**kept, "folders": folders}, None, commit["version"] + 1)
 
     def forget(self, keep: int = 2) -> list[int]:
         """Delete all but the newest ``keep`` versions; returns the deleted ones.
@@ -183,9 +201,8 @@ class SnapshotTable:
         names = [name for name in self._names(f"data/{folder}") if name.startswith(SERIES_PART)]
         return {name: f"{folder}/{name}" for name in names}
 
-    def _publish(self, note: dict, streams: dict | None) -> int:
-        commit = self.current() or {"version": 0, "streams": {}}
-        version = commit["version"] + 1
+    def _publish(self, note: dict, streams: dict | None, version: int) -> int:
+        commit = self.current() or {"streams": {}}
         note = {**note, "version": version, "streams": {**commit["streams"], **(streams or {})}}
         path, files = self._path(f"commits/{version:08d}.json")
         out = files.create(path, False)
