@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from dayplan.operators.running import running_total
 from dayplan.schema import DAILY_COLUMNS, DATE, DEMAND, FORECAST, Keys, bigint, date_value
 from dayplan.sources.snapshots import LAYOUTS
+from dayplan.sources.staging import stage
 
 Day = str | dt.date | Column
 
@@ -67,9 +68,12 @@ def lookup_available_dates(daily: DataFrame, requested: DataFrame, keys: Keys =
     marked = wanted.join(hits, [*keys, DATE], "left").withColumn(
         "found", F.coalesce("found", F.lit(False))
     )
-    offer = daily.groupBy(*keys).agg(F.sort_array(F.collect_set(DATE)).alias("available_dates"))
+    dates = F.sort_array(F.collect_set(DATE)).alias("available_dates")
     if not keys:
-        return marked.withColumn("available_dates", F.when(~F.col("found"), offer.scalar()))
+        return marked.withColumn("available_dates", F.when(~F.col("found"), daily.agg(dates).scalar()))
+    marked = stage(marked, "wanted")
+    missed = marked.filter(~F.col("found")).select(*keys).distinct()
+    offer = daily.join(missed, list(keys), "left_semi").groupBy(*keys).agg(dates)
     named = offer.select(*[F.col(key).alias(f"_at_{key}") for key in keys], "available_dates")
     same = [F.col(key) == F.col(f"_at_{key}") for key in keys]
     return marked.join(named, [*same, ~F.col("found")], "left").select(

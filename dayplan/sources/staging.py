@@ -58,11 +58,12 @@ def path_exists(spark: SparkSession, name: str) -> bool:
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once and read it back."""
+def stage(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` once, partitioned by the column ``by`` if given, and read it back."""
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.parquet(path)
+    writer = df.write if by is None else df.write.partitionBy(by)
+    writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

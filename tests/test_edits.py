@@ -77,6 +77,18 @@ def test_edits_equal_single_updates_in_order(spark, many, count):
     assert sorted(map(tuple, got.collect()), key=str) == one_by_one(rows, edits)
 
 
+def test_many_starting_days_give_the_same_rows(spark, many, monkeypatch):
+    rows, daily = many
+    edits = [(row[0], row[1], "demand", 7, seq) for seq, row in enumerate(sorted(rows)[300:420])]
+    edits.append(("s6", max(rows)[1], "forecast", 3, 500))
+    frame = spark.createDataFrame(edits, EDIT)
+    monkeypatch.setattr(inv, "FEW_STARTS", 0)
+    got = ed.apply_edits(daily, frame, KEYS)
+    assert sorted(map(tuple, got.collect()), key=str) == one_by_one(rows, edits)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(_kind" in plan
+
+
 def test_edits_without_keys(spark, many):
     rows = [row for row in many[0] if row[0] == "s5"]
     edits = [(row[0], row[1], "demand", 7, seq) for seq, row in enumerate(sorted(rows)[50:60])]
