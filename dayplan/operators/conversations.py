@@ -88,11 +88,13 @@ def user_sessions(log: DataFrame, user_id: str | Column | None = None) -> DataFr
 
 
 def clear_session(log: DataFrame, sessions: str | DataFrame) -> DataFrame:
-    """The log without one session, or without every session listed in ``sessions``."""
+    """The log without one session, or without every session listed in ``sessions``.
+
+    The list is not made distinct first: an anti-join does not need it, and Spark can
+    split a long session only if the join reads its shuffles directly.
+    """
     if isinstance(sessions, DataFrame):
-        return log.join(sessions.select("session_id").distinct(), "session_id", "left_anti").select(
-            *log.columns
-        )
+        return log.join(sessions.select("session_id"), "session_id", "left_anti").select(*log.columns)
     return log.filter(F.col("session_id") != sessions)
 
 

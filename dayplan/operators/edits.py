@@ -147,6 +147,8 @@ def edit_report(daily: DataFrame, edits: DataFrame, keys: Keys = ()) -> DataFram
     """Each edit with its outcome: ``updated`` or ``not_found``."""
     days = edits.select(*keys, DATE).distinct()
     hits = daily.select(*keys, DATE).join(days, [*keys, DATE]).withColumn("_hit", F.lit(True))
+    # Written, so that the join below can split a day with very many edits.
+    hits = stage(hits, "hits")
     missing = F.concat(F.lit("No record found for date "), F.col(DATE).cast("string"), F.lit("."))
     return edits.join(hits, [*keys, DATE], "left").select(
         *keys,

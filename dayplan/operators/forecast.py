@@ -28,6 +28,7 @@ from dayplan.schema import (
     Keys,
     date_value,
 )
+from dayplan.sources.staging import stage
 
 # Fixed value: the smoothing level starts from a straight line through this many points.
 START_POINTS = 10
@@ -227,7 +228,8 @@ def history_until(
     rows = daily.select(*keys, DATE, DEMAND)
     begins = rows.groupBy(*keys).agg(F.min(DATE).alias("_first"))
     if keys:
-        late = begins.filter(F.col("_first") > cut).select(*keys)
+        # Written, so that its true size decides how it is joined.
+        late = stage(begins.filter(F.col("_first") > cut).select(*keys), "late")
         whole = rows.filter(F.col(DATE) > cut).join(late, list(keys), "left_semi")
     else:
         whole = rows.filter((F.col(DATE) > cut) & (begins.scalar() > cut))

@@ -4,10 +4,11 @@ import re
 
 import pytest
 from conftest import make_daily
+from dayplan.operators import conversations as talk
 from dayplan.operators import edits as ed
 from dayplan.operators import forecast as fc
 from dayplan.operators import inventory as inv
-from dayplan.operators import scans, summary
+from dayplan.operators import scans, summary, users
 from dayplan.plans import queries
 from dayplan.plans.oracle import ORACLE
 from dayplan.sources import staging, views
@@ -161,3 +162,50 @@ def test_a_year_is_small_even_for_the_longest_series(spark, many):
     assert sum(row["size"] for row in years) == len(rows)
     assert max(row["size"] for row in years) <= 366
     assert max(len(row["head"]) for row in years) <= 10
+
+
+@pytest.fixture
+def small_partitions(spark):
+    """Thresholds low enough for a small table to show what a large one would do."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB",
+    }
+    before = {name: spark.conf.get(name, None) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    yield
+    for name, value in before.items():
+        spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def final_plan(df):
+    df.write.format("noop").mode("overwrite").save()
+    rows = df.collect()
+    return rows, df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+@pytest.mark.parametrize("hot", ["'7'", "cast(null as string)"])
+def test_a_user_with_a_third_of_the_log_is_split(spark, small_partitions, hot):
+    log = spark.range(0, 60_000, 1, 8).selectExpr(
+        "id", "cast(id as string) as session_id",
+        f"if(id % 3 = 0, {hot}, cast(id % 900 as string)) as user_id", "'user' as role",
+        "sha2(cast(id as string), 256) as content",
+    )
+    people = spark.range(500).selectExpr("id", "cast(id as string) as username",
+                                         "cast(null as string) as display_name")
+    rows, plan = final_plan(users.remap_message_users(log, people))
+    assert len(rows) == 60_000 and "skew=true" in plan
+
+
+def test_a_session_with_a_third_of_the_log_is_split(spark, small_partitions):
+    log = spark.range(0, 60_000, 1, 8).selectExpr(
+        "id", "if(id % 3 = 0, 'hot', cast(id as string)) as session_id",
+        "sha2(cast(id as string), 256) as content",
+    )
+    gone = spark.range(1, 200).selectExpr("cast(id as string) as session_id")
+    rows, plan = final_plan(talk.clear_session(log, gone))
+    assert len(rows) == 60_000 - 133 and "skew=true" in plan
