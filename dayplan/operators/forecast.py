@@ -314,10 +314,11 @@ def moving_average_series(daily: DataFrame, window: int = 3, keys: Keys = ()) ->
         raise ValueError("window must be at least 1")
     rows = daily.select(*keys, DATE, DEMAND)
     result = "moving_average"
-    inside = W.partitionBy(*keys, YEAR).orderBy(DATE).rowsBetween(1 - window, W.currentRow)
+    order = W.partitionBy(*keys, YEAR).orderBy(DATE)
+    inside = order.rowsBetween(1 - window, W.currentRow)
     local = with_year(rows).select(
         "*",
-        F.count("*").over(inside).alias("_days"),
+        F.least(F.row_number().over(order), F.lit(window)).alias("_days"),
         F.count(DEMAND).over(inside).alias("_known"),
         F.coalesce(F.sum(DEMAND).over(inside), F.lit(0)).alias("_sum"),
     )
