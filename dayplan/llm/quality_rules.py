@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dayplan.llm.common import SPACES, free_name, words
+from dayplan.llm.common import SPACES, free_name
 from dayplan.sources.staging import stage
 
 REPEAT_WINDOW = 5
@@ -26,76 +26,78 @@ SPACE_CHARACTERS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 
 
-def repeated_words(found: str, windows: str) -> Column:
-    """Words inside 5-word windows that occur twice or more, first occurrences included.
+def words(text: str) -> Column:
+    trimmed = F.btrim(F.col(text), F.lit(SPACE_CHARACTERS))
+    none = F.array().cast("array<string>")
+    return F.when(trimmed == "", none).otherwise(F.split(trimmed, f"[{SPACES}]+", -1))
 
-    ``windows`` holds the 64-bit hash of each window.  Only a text in which some hash repeats
-    goes on: (hash, place) pairs are sorted, pairs beside an equal hash are the repeated
-    windows, and the union of their places is added up in order of place.
+
+def repeated_windows(windows: str) -> Column:
+    """(hash, place) of the windows in order of hash, if any hash repeats; else nothing.
+
+    ``windows`` holds the 64-bit hash of each window of a text.
+    """
+    pairs = F.transform(windows, lambda h, i: F.struct(h.alias("hash"), i.alias("place")))
+    return F.when(F.size(F.array_distinct(windows)) < F.size(windows), F.sort_array(pairs))
+
+
+def repeated_words(pairs: str) -> Column:
+    """Words inside windows that occur twice or more, first occurrences included.
+
+    Pairs beside an equal hash are the repeated windows.  In order of place, each adds what
+    lies between it and the place before it, and a whole window at most.
     """
     places = F.expr(f"""
         sort_array(transform(filter(
-            transform({found}, (p, i) -> struct(p.place as place,
-                p.hash = get({found}, i - 1).hash or p.hash = get({found}, i + 1).hash as twice)),
+            transform({pairs}, (p, i) -> struct(p.place as place,
+                p.hash = get({pairs}, i - 1).hash or p.hash = get({pairs}, i + 1).hash as twice)),
             q -> q.twice), q -> q.place))""")
     step = lambda acc, place: F.struct(
         (acc.n + F.least(F.lit(REPEAT_WINDOW), place - acc.last)).cast("bigint").alias("n"), place.cast("bigint").alias("last")
     )
     start = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(-REPEAT_WINDOW).cast("bigint").alias("last"))
-    # Each place adds what lies between it and the place before it; the first adds a whole window.
     covered = F.aggregate(places, start, step, lambda acc: acc.n)
-    return F.when(F.size(F.array_distinct(windows)) < F.size(windows), covered).otherwise(F.lit(0).cast("bigint"))
+    return F.when(F.col(pairs).isNull(), F.lit(0).cast("bigint")).otherwise(covered)
 
 
 def signals(docs: DataFrame) -> DataFrame:
     """One row per document, without its text: the counts of the base rules and its lines.
 
-    ``lines`` has each different normalised line once: its hash together with the host, and
-    the words that its occurrences hold together.  A missing text has no words or lines.
+    A line is normalised to lower case, without white space, and with 0 for every digit.
+    ``lines`` has each line with a word: its hash together with the host, and its characters
+    without white space.  A missing text has no words or lines.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(
-        F.col("doc_id").cast("bigint").alias("doc_id"),
-        F.col("source").cast("string").alias("source"),
-        text.alias("text"),
-        words(text).alias("w"),
-        F.split(text, "\n", -1).alias("split_lines"),
-    )
     last = f"size(w) - {REPEAT_WINDOW}"
     parts = ", ".join(f"get(w, i + {k})" for k in range(REPEAT_WINDOW))
-    rows = rows.withColumn(
-        "windows",
-        F.expr(f"if({last} < 0, cast(array() as array<bigint>), transform(sequence(0, {last}), i -> xxhash64({parts})))"),
-    ).withColumn(
-        "pairs",
-        F.expr("""if(size(array_distinct(windows)) < size(windows),
-            sort_array(transform(windows, (h, i) -> struct(h as hash, i as place))), null)"""),
-    )
-    filled = F.filter("split_lines", lambda line: line.rlike(f"[^{SPACES}]"))
-    normal = lambda line: F.regexp_replace(
-        F.regexp_replace(F.lower(F.trim(F.regexp_replace(line, f"[{SPACES}]+", " "))), "[0-9]", "0"), " +", " "
+    windows = f"if({last} < 0, cast(array() as array<bigint>), transform(sequence(0, {last}), i -> xxhash64({parts})))"
+    filled = F.filter(F.split("text", "\n", -1), lambda line: line.rlike(f"[^{SPACES}]"))
+    squeezed = lambda line: F.translate(line, "123456789" + SPACE_CHARACTERS, "0" * 9)
+    hashed = lambda line: F.struct(
+        F.xxhash64("source", F.lower(line)).alias("line"), F.length(line).cast("bigint").alias("n")
     )
-    rows = rows.withColumn("filled", filled).withColumn(
-        "hashed",
-        F.transform(
-            "filled",
-            lambda line: F.struct(
-                F.xxhash64("source", normal(line)).alias("line"),
-                F.regexp_count(line, F.lit(f"[^{SPACES}]+")).cast("bigint").alias("n"),
-            ),
-        ),
+    rows = (
+        docs.select(
+            F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), text.alias("text")
+        )
+        .withColumn("w", words("text"))
+        .withColumn("windows", F.expr(windows))
+        .withColumn("pairs", repeated_windows("windows"))
+        .withColumn("filled", filled)
+        .withColumn("squeezed", F.transform("filled", squeezed))
     )
+    zero = F.lit(0).cast("bigint")
     counted = rows.select(
         "doc_id",
         "source",
         F.xxhash64("source").alias("host"),
         F.xxhash64("text").alias("text_hash"),
         F.size("w").cast("bigint").alias("n_words"),
-        F.length(F.translate("text", SPACE_CHARACTERS, "")).cast("bigint").alias("word_chars"),
+        F.aggregate("squeezed", zero, lambda n, line: n + F.length(line)).alias("word_chars"),
         (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
         (F.size("filled") - F.size(F.array_distinct("filled"))).cast("bigint").alias("n_dup_lines"),
-        repeated_words("pairs", "windows").alias("n_repeat_words"),
-        "hashed",
+        repeated_words("pairs").alias("n_repeat_words"),
+        F.transform("squeezed", hashed).alias("lines"),
         F.monotonically_increasing_id().alias("row_id"),
     )
     few = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
@@ -108,7 +110,7 @@ def frequent_lines(staged: DataFrame, line_docs: int, line_share: float) -> Data
     Copies of one text on a host count once, so that copies do not make a text's own
     lines look like page furniture.
     """
-    lines = staged.select("host", "text_hash", F.explode("hashed.line").alias("line")).distinct()
+    lines = staged.select("host", "text_hash", F.explode(F.array_distinct("lines.line")).alias("line")).distinct()
     by_line = lines.groupBy("line").agg(F.count("*").alias("n_docs"), F.min("host").alias("host"))
     common = by_line.filter(F.col("n_docs") > line_docs)
     by_host = staged.select("host", "text_hash").distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
@@ -118,23 +120,24 @@ def frequent_lines(staged: DataFrame, line_docs: int, line_share: float) -> Data
 def judge(
     docs: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, kept_share: float = KEPT_SHARE
 ) -> DataFrame:
-    """One row per document with the base counts, ``n_kept_words`` and the verdict ``kept``.
+    """One row per document with the base counts, ``n_kept_chars`` and the verdict ``kept``.
 
-    A document fails if a base rule fails, or if without the lines that are frequent on its
-    host (``source``; documents without one are a host together) less than ``kept_share`` of
-    its words or fewer than ten remain.  Repeated rows are judged one by one, alike.
+    A document fails if a base rule fails, or if less than ``kept_share`` of its characters
+    (white space aside) remains without the lines that are frequent on its host.  The host is
+    ``source``; documents without one are a host together.  Repeated rows are judged one by
+    one, alike.
     """
     staged = stage(signals(docs), "quality-signals")
     frequent = stage(frequent_lines(staged, line_docs, line_share), "frequent-lines")
-    lines = staged.select("row_id", F.explode("hashed").alias("at"))
+    lines = staged.select("row_id", F.explode("lines").alias("at"))
     lines = lines.select("row_id", F.col("at.line").alias("line"), F.col("at.n").alias("n"))
     removed = lines.join(frequent, "line").groupBy("row_id").agg(F.sum("n").alias("n_removed"))
-    kept_words = F.col("n_words") - F.coalesce("n_removed", F.lit(0))
-    depleted = (kept_words < kept_share * F.col("n_words")) | (kept_words < MIN_WORDS)
+    kept_chars = F.col("word_chars") - F.coalesce("n_removed", F.lit(0))
+    depleted = kept_chars < kept_share * F.col("word_chars")
     return staged.join(removed, "row_id", "left").select(
         *["doc_id", "source", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"],
         "base_failed",
-        kept_words.cast("bigint").alias("n_kept_words"),
+        kept_chars.cast("bigint").alias("n_kept_chars"),
         (~F.col("base_failed") & ~depleted).alias("kept"),
     )
 
