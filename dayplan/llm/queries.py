@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dayplan.llm import positional_index, quality_rules, token_orc
+from dayplan.llm import order_minhash, positional_index, quality_rules, token_orc
 from dayplan.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.drop("source", "text_hash")
 
 
+def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
 def op10_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return positional_index.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), slop=2)
 
@@ -34,6 +38,7 @@ def op10_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op3_token_orc": op3_token_orc,
     "op8_quality_rules": op8_quality_rules,
+    "op9_order_minhash": op9_order_minhash,
     "op10_positional_index": op10_positional_index,
 }
 
