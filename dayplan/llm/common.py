@@ -19,6 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary() -> str:
+    """Where the tokenizer's file lies on this machine and on every executor."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def words(text: Column | str) -> Column:
     """The words of a text in order; none for a missing text."""
     text = F.col(text) if isinstance(text, str) else text

@@ -6,16 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dayplan.llm import order_minhash, positional_index, quality_rules, token_orc
-from dayplan.llm.common import table
+from dayplan.llm import mixing, order_minhash, positional_index, quality_rules, token_orc
+from dayplan.llm.common import table, vocabulary
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def vocabulary() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("word_bpe_49k.json")
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.word_budget(table(spark, sf_dir, "documents"))
 
 
 def op3_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,10 +34,43 @@ def op10_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_mixing": op2_mixing,
     "op3_token_orc": op3_token_orc,
     "op8_quality_rules": op8_quality_rules,
     "op9_order_minhash": op9_order_minhash,
     "op10_positional_index": op10_positional_index,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op2_mixing": f"""
+        with sizes as (
+            select doc_id, source,
+                coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint as size
+            from documents
+        ), by_source as (
+            select source, sum(size)::bigint as source_size, row_number() over (order by source nulls last) - 1 as rank
+            from sizes group by source
+        ), weighed as (
+            select *, [3, 1, 2][rank % 3 + 1] as weight, 2 * source_size as cap from by_source
+        ), rated as (
+            select *, row_number() over fill as turn,
+                (1.5::double * sum(source_size) over () - coalesce(sum(cap) over (fill rows between unbounded preceding and 1 preceding), 0)::double)
+                / (sum(weight) over (fill rows between current row and unbounded following))::double as rate
+            from weighed window fill as (order by cap::double / weight, rank)
+        ), targets as (
+            select *, coalesce(least(cap::double, (
+                select rate from rated where rate * weight <= cap order by turn limit 1) * weight), 0) as target
+            from rated
+        ), placed as (
+            select s.doc_id, s.size, t.source_size, t.target, floor(t.target + 0.5)::bigint as drawn,
+                coalesce(sum(s.size) over (
+                    partition by t.rank order by md5('{mixing.SEED}:' || coalesce(s.doc_id::varchar, '')), s.size
+                    rows between unbounded preceding and 1 preceding), 0)::bigint as start
+            from sizes s join targets t on s.source is not distinct from t.source
+        )
+        select doc_id, size, source_size, target,
+            case when source_size = 0 then 0 else (drawn // source_size) * size
+                + greatest(least(drawn % source_size - start, size), 0) end::bigint as taken
+        from placed
+    """,
+}
