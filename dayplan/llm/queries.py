@@ -4,14 +4,30 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
-
-from dayplan.llm import mixing, order_minhash, positional_index, quality_rules, token_orc
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from dayplan.llm import (
+    line_templates,
+    mixing,
+    order_minhash,
+    positional_index,
+    quality_rules,
+    site_quality,
+    token_orc,
+    tool_chat,
+    url_lists,
+    warc,
+)
 from dayplan.llm.common import table, vocabulary
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, table(spark, sf_dir, "pages"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.word_budget(table(spark, sf_dir, "documents"))
 
@@ -20,6 +36,95 @@ def op3_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.encode_documents(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def digit(key: Column, place: int, n: int = 1) -> Column:
+    """A number from hexadecimal digits of a hash."""
+    return F.conv(F.substring(F.md5(key), place, n), 16, 10).cast("int")
+
+
+def list_entries(pages: DataFrame) -> DataFrame:
+    """Dated list entries from the hosts of the pages: hosts that are blocked, set free and
+    blocked again, domains blocked for ten days, and first path segments that are allowed."""
+    start = F.lit("2023-01-01").cast("date")
+    keys = pages.filter("url is not null").select(url_lists.url_keys("url").alias("k")).filter(F.size("k") > 0)
+    hosts = keys.select(F.col("k")[0].alias("pattern")).distinct()
+    domains = keys.select(F.element_at(F.filter("k", lambda x: ~F.contains(x, F.lit("/"))), -1).alias("pattern")).distinct()
+    paths = keys.select(F.get(F.filter("k", lambda x: F.contains(x, F.lit("/"))), 0).alias("pattern")).filter("pattern is not null").distinct()
+
+    def listed(rows: DataFrame, name: str, kind: str, days: list[tuple[str, int]], least: int) -> DataFrame:
+        first = F.date_add(start, digit(F.col("pattern"), 1, 3) % 700)
+        events = F.array(*[F.struct(F.lit(a).alias("action"), F.date_add(first, d).alias("dated")) for a, d in days])
+        chosen = rows.filter(digit(F.col("pattern"), 32) < least)
+        return chosen.select(F.lit(name).alias("list_name"), F.lit(kind).alias("kind"), "pattern", F.explode(events).alias("e")).select("list_name", "kind", "pattern", "e.*")
+
+    return (
+        listed(hosts, "hosts", "block", [("add", 0), ("remove", 90), ("add", 200)], 6)
+        .unionByName(listed(domains, "domains", "block", [("add", 0), ("remove", 10), ("add", 300)], 16))
+        .unionByName(listed(paths, "paths", "allow", [("add", 0), ("remove", 400)], 8))
+    )
+
+
+def op4_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as captures fetched over 900 days."""
+    pages = table(spark, sf_dir, "pages")
+    fetched = F.date_add(F.lit("2023-01-01").cast("date"), ((F.col("page_id") * 7919) % 900).cast("int"))
+    captures = pages.select("page_id", "url", fetched.alias("fetched_at"))
+    return url_lists.url_verdicts(captures, list_entries(pages)).drop("url")
+
+
+def chat_messages(conversations: DataFrame) -> DataFrame:
+    """The conversations with tool calls: an assistant's turn calls a tool named by a hash of
+    the turn, often with arguments that break the schema or refer to another call, and most
+    calls have a result, now and then before the call."""
+    key = F.concat_ws(":", "conv_id", "turn")
+    call_id = lambda turn: F.concat(F.lit("call-"), F.col("conv_id").cast("string"), F.lit("-"), turn.cast("string"))
+    tool = F.element_at(F.array(F.lit("search"), F.lit("lookup"), F.lit("score"), F.lit("unlisted")), digit(key, 1) % 4 + 1)
+    other = F.col("turn") + F.when(digit(key, 2) == 0, 2).otherwise(-2)
+    number = F.when(digit(key, 3) < 3, F.lit('"many"')).otherwise(F.length("text").cast("string"))
+    query = F.when(digit(key, 4) == 0, F.lit("null")).otherwise(
+        F.regexp_replace(F.to_json(F.struct(F.substring("text", 1, 40).alias("x"))), r'^\{"x":|\}$', "")
+    )
+    more = F.when(digit(key, 5) < 4, F.concat(F.lit(', "after": "{{'), call_id(other), F.lit('}}"'))).otherwise(F.lit(""))
+    arguments = F.when(digit(key, 6) == 0, F.lit("not json")).otherwise(
+        F.concat(F.lit('{"query": '), query, F.lit(', "limit": '), number, more, F.lit("}"))
+    )
+    calls = F.array(F.struct(call_id(F.col("turn")).alias("id"), tool.alias("name"), arguments.alias("arguments")))
+    said = conversations.select(
+        "conv_id", (10 * F.col("turn")).alias("turn"), "role", "text",
+        F.when(F.col("role") == "assistant", calls).alias("calls"), F.lit(None).cast("string").alias("result_of"),
+    )
+    answered = conversations.filter((F.col("role") == "assistant") & (digit(key, 7) > 1))
+    results = answered.select(
+        "conv_id", (10 * F.col("turn") + F.when(digit(key, 8) == 0, -5).otherwise(5)).alias("turn"), F.lit("tool").alias("role"),
+        F.concat(F.lit("result of "), F.length("text").cast("string")).alias("text"), F.lit(None).cast(tool_chat.CALLS).alias("calls"),
+        call_id(F.col("turn")).alias("result_of"),
+    )
+    return said.unionByName(results)
+
+
+def tool_schemas(spark: SparkSession) -> DataFrame:
+    rows = [
+        (tool, name, kind, required)
+        for tool in ("search", "lookup", "score")
+        for name, kind, required in (("query", "string", True), ("limit", "integer", tool == "search"), ("after", "string", False))
+        if (tool, name) != ("score", "after")
+    ]
+    return spark.createDataFrame(rows, "tool string, parameter string, kind string, required boolean")
+
+
+def op5_tool_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tool_chat.format_chats(chat_messages(table(spark, sf_dir, "conversations")), tool_schemas(spark))
+
+
+def op6_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The source of a document is its site, the language its path in it."""
+    return site_quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_templates.without_templates(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality_rules.judge(table(spark, sf_dir, "documents"))
     return rows.drop("source", "text_hash")
@@ -34,8 +139,13 @@ def op10_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_warc": op1_warc,
     "op2_mixing": op2_mixing,
     "op3_token_orc": op3_token_orc,
+    "op4_url_lists": op4_url_lists,
+    "op5_tool_chat": op5_tool_chat,
+    "op6_site_quality": op6_site_quality,
+    "op7_line_templates": op7_line_templates,
     "op8_quality_rules": op8_quality_rules,
     "op9_order_minhash": op9_order_minhash,
     "op10_positional_index": op10_positional_index,
