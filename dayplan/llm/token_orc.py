@@ -12,7 +12,7 @@ import os
 import sys
 import types
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +24,10 @@ from dayplan.llm.common import free_name
 from dayplan.sources.staging import new_path
 
 END_ID = 1
-#: Words whose ids a worker remembers; the table is emptied when it is full.
-REMEMBERED_WORDS = 400_000
+#: Words and stems whose ids a worker remembers; a table is emptied when it is full.
+REMEMBERED_WORDS, REMEMBERED_STEMS = 300_000, 600_000
 FILE_SCHEMA = "doc_id bigint, file_start bigint, ids array<int>"
-_SPACES_TO_BLANK = {code: " " for code in (9, 10, 11, 12, 13)}
+_OTHER_SPACES = "\t\n\x0b\x0c\r"
 #: Letters up to here never change their neighbours when a text is normalised.
 _LAST_PLAIN_LETTER = "ɏ"
 
@@ -41,10 +41,15 @@ class WordIds(dict):
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
+        # Stems need no normalising, and each is one piece: only blanks are to be cut.
+        self.for_stems = Tokenizer.from_file(path)
+        self.for_stems.normalizer = normalizers.Sequence([])
+        bytes_only = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.for_stems.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), bytes_only])
         self.ends = None
         self.stems: dict[str, bytes] = {}
         self.marks = {mark: self.whole(mark) for mark in (".", ",")}
@@ -62,31 +67,33 @@ class WordIds(dict):
             self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         return self.ends
 
-    def learn(self, words: Iterable[str]) -> None:
+    def learn(self, words: set[str]) -> None:
         """Add the words that are not known yet, many in one call of the library."""
-        unknown = [word for word in set(words) if word not in self]
+        unknown = [word for word in words if word not in self]
         if len(self) + len(unknown) > REMEMBERED_WORDS:
             self.clear()
-            self.stems.clear()
             self[""] = b""
-            unknown = list(set(words))
+            unknown = [word for word in words if word]
         plain, stems = [], set()
         for word in unknown:
             mark = word[-1] if word[-1:] in (".", ",") else ""
             stem = word[:-1] if mark else word
             if stem.isalpha() and max(stem) <= _LAST_PLAIN_LETTER and (stem := stem.lower()).isalpha():
                 plain.append((word, stem, mark))
-                if stem not in self.stems:
-                    stems.add(stem)
-            elif word:
+                stems.add(stem)
+            else:
                 self[word] = self.whole(word)
-        self.learn_stems(list(stems))
+        new = [stem for stem in stems if stem not in self.stems]
+        if len(self.stems) + len(new) > REMEMBERED_STEMS:
+            self.stems.clear()
+            new = list(stems)
+        self.learn_stems(new)
         for word, stem, mark in plain:
             self[word] = self.stems[stem] + self.marks[mark] if mark else self.stems[stem]
 
     def learn_stems(self, stems: list[str], at_once: int = 256) -> None:
         pieces = [stems[i : i + at_once] for i in range(0, len(stems), at_once)]
-        encoded = self.tokenizer.encode_batch_fast([" ".join(p) for p in pieces], add_special_tokens=False)
+        encoded = self.for_stems.encode_batch_fast([" ".join(p) for p in pieces], add_special_tokens=False)
         for piece, found in zip(pieces, encoded, strict=True):
             ids = np.asarray(found.ids, "<u4")
             cuts = np.flatnonzero(self.is_end()[ids]) + 1
@@ -99,8 +106,12 @@ class WordIds(dict):
                 self.stems.update({stem: self.whole(stem) for stem in piece})
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [text.translate(_SPACES_TO_BLANK).split(" ") for text in texts]
-        self.learn(word for words in split for word in words)
+        split = []
+        for text in texts:
+            for space in _OTHER_SPACES:
+                text = text.replace(space, " ")
+            split.append(text.split(" "))
+        self.learn(set().union(*split))
         return [b"".join(map(self.__getitem__, words)) for words in split]
 
 
