@@ -13,6 +13,7 @@ import sys
 import types
 import zlib
 from collections.abc import Iterator
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from dayplan.sources.staging import new_path
 
 END_ID = 1
 #: Words and stems whose ids a worker remembers; a table is emptied when it is full.
-REMEMBERED_WORDS, REMEMBERED_STEMS = 300_000, 600_000
+REMEMBERED_WORDS, REMEMBERED_STEMS = 400_000, 600_000
 FILE_SCHEMA = "doc_id bigint, file_start bigint, ids array<int>"
 _OTHER_SPACES = "\t\n\x0b\x0c\r"
 #: Letters up to here never change their neighbours when a text is normalised.
@@ -36,8 +37,8 @@ class WordIds(dict):
     """The ids of a word as little-endian bytes, encoded when first asked for.
 
     White space separates tokens in this vocabulary, so the ids of a text are those of its
-    words.  A word of plain letters with a final full stop or comma shares the entry of the
-    word without it, and letters of either case share one.
+    words.  A word of plain letters with punctuation after it has the ids of both, and
+    letters of either case share theirs.
     """
 
     def __init__(self, path: str):
@@ -52,7 +53,7 @@ class WordIds(dict):
         self.for_stems.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), bytes_only])
         self.ends = None
         self.stems: dict[str, bytes] = {}
-        self.marks = {mark: self.whole(mark) for mark in (".", ",")}
+        self.marks: dict[str, bytes] = {}
         self[""] = b""
 
     def whole(self, text: str) -> bytes:
@@ -69,27 +70,32 @@ class WordIds(dict):
 
     def learn(self, words: set[str]) -> None:
         """Add the words that are not known yet, many in one call of the library."""
-        unknown = [word for word in words if word not in self]
-        if len(self) + len(unknown) > REMEMBERED_WORDS:
+        if len(self) > REMEMBERED_WORDS:
             self.clear()
+            self.marks.clear()
             self[""] = b""
-            unknown = [word for word in words if word]
-        plain, stems = [], set()
-        for word in unknown:
-            mark = word[-1] if word[-1:] in (".", ",") else ""
-            stem = word[:-1] if mark else word
-            if stem.isalpha() and max(stem) <= _LAST_PLAIN_LETTER and (stem := stem.lower()).isalpha():
-                plain.append((word, stem, mark))
-                stems.add(stem)
+        if len(self.stems) > REMEMBERED_STEMS:
+            self.stems.clear()
+        known, waiting = self.stems, []
+        for word in words.difference(self):
+            stem = word.rstrip(punctuation)
+            if stem.isalpha() and (stem.isascii() or (max(stem) <= _LAST_PLAIN_LETTER and stem.lower().isalpha())):
+                mark, stem = word[len(stem) :], stem.lower()
+                ids = known.get(stem)
+                if ids is None:
+                    waiting.append((word, stem, mark))
+                else:
+                    self[word] = ids + self.mark(mark) if mark else ids
             else:
                 self[word] = self.whole(word)
-        new = [stem for stem in stems if stem not in self.stems]
-        if len(self.stems) + len(new) > REMEMBERED_STEMS:
-            self.stems.clear()
-            new = list(stems)
-        self.learn_stems(new)
-        for word, stem, mark in plain:
-            self[word] = self.stems[stem] + self.marks[mark] if mark else self.stems[stem]
+        self.learn_stems(list({stem for _, stem, _ in waiting}))
+        for word, stem, mark in waiting:
+            self[word] = known[stem] + self.mark(mark) if mark else known[stem]
+
+    def mark(self, text: str) -> bytes:
+        if text not in self.marks:
+            self.marks[text] = self.whole(text)
+        return self.marks[text]
 
     def learn_stems(self, stems: list[str], at_once: int = 256) -> None:
         pieces = [stems[i : i + at_once] for i in range(0, len(stems), at_once)]
