@@ -267,7 +267,8 @@ def near_links(texts: DataFrame, n_sketches: int = SKETCHES, least: float = SIMI
     sketched = stage(made.dropDuplicates(["text_key"]), "sketches")
     pairs = stage(candidate_pairs(sketched, least), "candidate-pairs")
     ends = stage(pairs.select(F.col("a").alias("text_key")).union(pairs.select("b")).distinct(), "candidate-ends")
-    wanted = texts.join(ends, "text_key", "left_semi").groupBy("text_key").agg(F.min("text").alias("text"))
+    # The list of ends grows with the corpus: joined by shuffle at every size.
+    wanted = texts.join(ends.hint("merge"), "text_key", "left_semi").groupBy("text_key").agg(F.min("text").alias("text"))
     wanted = stage(wanted, "candidate-texts")
     with_b = pairs.join(wanted.select(F.col("text_key").alias("b"), F.col("text").alias("text_b")), "b")
     both = with_b.join(wanted.select(F.col("text_key").alias("a"), F.col("text").alias("text_a")), "a")
@@ -297,11 +298,12 @@ def classes(docs: DataFrame, n_sketches: int = SKETCHES, least: float = SIMILARI
         .join(degree, "text_key", "left")
         .select("doc_id", "text_key", "missing", F.coalesce("root", "text_key").alias("root"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
     )
+    placed = stage(placed, "placed-documents")
     # The smallest doc_id of a class, and its text; a missing doc_id comes after all others.
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("text_key").alias("text_key"))
     heads = placed.filter(~F.col("missing")).groupBy("root").agg(F.min(order).alias("head"), F.count("*").alias("n"))
     many = heads.filter("n > 1").select("root", F.col("head.doc_id").alias("head_id"), F.col("head.text_key").alias("head_key"), F.lit(True).alias("found"))
-    out = placed.join(many, "root", "left")
+    out = placed.join(stage(many, "class-heads"), "root", "left")
     return out.select(
         "doc_id",
         "text_key",
@@ -332,6 +334,7 @@ def one_of_each_class(docs: DataFrame) -> DataFrame:
         return keyed["doc_id"].eqNullSafe(rows[id_name]) & (keyed[own] == rows[key])
 
     # A missing text has a key of its own that is in neither list.
-    single = keyed.join(others, same(others), "left_anti").join(repeated, same(repeated), "left_anti")
+    # Other documents grow with the corpus: joined by shuffle at every size.
+    single = keyed.join(others.hint("merge"), same(others), "left_anti").join(repeated, same(repeated), "left_anti")
     several = keyed.join(repeated, same(repeated), "left_semi").dropDuplicates(["doc_id", own])
     return single.unionByName(several).select(*docs.columns)

@@ -385,4 +385,5 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     bad = contamination(docs, benchmark).filter("contaminated").select(F.col("doc_id").alias(id_name), F.col("text_hash").alias(key)).distinct()
     keyed = docs.withColumn(f"{key}_own", F.xxhash64("text"))
     same = keyed["doc_id"].eqNullSafe(bad[id_name]) & (keyed[f"{key}_own"] == bad[key])
-    return keyed.join(bad, same, "left_anti").select(*docs.columns)
+    # Contaminated rows grow with the corpus: joined by shuffle at every size.
+    return keyed.join(bad.hint("merge"), same, "left_anti").select(*docs.columns)

@@ -153,4 +153,5 @@ def good_documents(docs: DataFrame) -> DataFrame:
     bad = bad.select(F.col("doc_id").alias(id_name), F.col("source").alias(host), F.col("text_hash").alias(key)).distinct()
     own = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
     same = docs["doc_id"].eqNullSafe(bad[id_name]) & docs["source"].eqNullSafe(bad[host]) & (own == bad[key])
-    return docs.join(bad, same, "left_anti")
+    # Rejected rows grow with the corpus: joined by shuffle at every size.
+    return docs.join(bad.hint("merge"), same, "left_anti")
