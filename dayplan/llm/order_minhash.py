@@ -3,8 +3,9 @@
 A sketch takes the k-mers (five words, labelled with their occurrence) with the smallest
 hash values and keeps them in the order of the text, so that it agrees for texts that are
 close in edit distance, not only in their sets of words.  Texts that agree in a sketch are
-linked to the first text of that bucket; the links are then verified by an alignment in a
-band around the diagonal, and verified links are joined to classes.
+paired with the first text of that bucket; pairs are verified by an alignment in a band
+around the diagonal, and verified links are joined to classes.  In buckets that still hold
+several classes, further texts are paired with the members of other classes.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ SIMILARITY = 0.8
 #: Sketches of a text, and k-mers in each.
 SKETCHES = 12
 PICKS = 2
+#: Texts of a bucket with several classes that are compared with the rest of it.
+HUBS = 4
 KNOWN_WORDS = 500_000
 SKETCH_CELLS = 2_000_000
 _ONE, _TWO = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -233,14 +236,8 @@ def verifier(least: float):
     return verify
 
 
-def candidate_pairs(sketched: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """Different ``(a, b)``: every text with the first text of each bucket that it is in.
-
-    Buckets are the texts with one sketch, and those with two sketches next to each other
-    in common, whose first texts are closer relatives.  The first text of a bucket is found
-    with map-side combine; so a bucket gives as many pairs as it has texts, and a bucket of
-    many texts is spread over tasks in the join.
-    """
+def bucket_members(sketched: DataFrame) -> DataFrame:
+    """``(bucket, text_key, n)``: a bucket for each sketch, and one for each two in a row."""
     near = F.transform(
         F.sequence(F.lit(0), F.size("sketches") - 1),
         lambda i: F.struct(
@@ -249,30 +246,64 @@ def candidate_pairs(sketched: DataFrame, least: float = SIMILARITY) -> DataFrame
         ),
     )
     keys = F.flatten(F.transform(near, lambda x: F.array(x.one, x.two)))
-    member = sketched.select("text_key", "n", F.explode(keys).alias("bucket"))
-    first = F.min(F.struct("text_key", "n")).alias("first")
-    firsts = member.groupBy("bucket").agg(first, F.count("*").alias("size")).filter("size > 1")
-    firsts = stage(firsts.select("bucket", F.col("first.text_key").alias("a"), F.col("first.n").alias("n_a")), "bucket-firsts")
-    pairs = member.join(firsts, "bucket").filter(F.col("a") != F.col("text_key"))
+    return sketched.select(F.explode(keys).alias("bucket"), "text_key", "n")
+
+
+def as_pairs(met: DataFrame, least: float) -> DataFrame:
+    """Different ``(a, b)`` of ``(text_key, n, hub, n_hub)`` whose lengths allow ``least``."""
     shingle_count = lambda n: F.greatest(F.col(n) - (SHINGLE - 1), F.lit(1))
-    close = F.least(shingle_count("n"), shingle_count("n_a")) >= least * F.greatest(shingle_count("n"), shingle_count("n_a"))
-    return pairs.filter(close).select("a", F.col("text_key").alias("b")).distinct()
+    small, large = F.least(shingle_count("n"), shingle_count("n_hub")), F.greatest(shingle_count("n"), shingle_count("n_hub"))
+    close = met.filter((F.col("hub") != F.col("text_key")) & (small >= least * large))
+    return close.select(F.least("hub", "text_key").alias("a"), F.greatest("hub", "text_key").alias("b")).distinct()
+
+
+def first_pairs(shared: DataFrame, least: float) -> DataFrame:
+    """Every text with the smallest text of each of its buckets, which is found with map-side
+    combine: as many pairs as a bucket has texts, spread over tasks in the join."""
+    firsts = shared.groupBy("bucket").agg(F.min(F.struct("text_key", "n")).alias("f"))
+    firsts = firsts.select("bucket", F.col("f.text_key").alias("hub"), F.col("f.n").alias("n_hub"))
+    return as_pairs(shared.join(stage(firsts, "bucket-firsts"), "bucket"), least)
+
+
+def further_pairs(shared: DataFrame, roots: DataFrame, least: float) -> DataFrame:
+    """Pairs across classes that share a bucket: two texts can be alike where neither is like
+    the bucket's first.  Each bucket that still holds several classes has ``HUBS`` more texts,
+    others in every bucket, that are compared with its members of other classes."""
+    named = roots.select(F.col("node").alias("text_key"), "root")
+    placed = shared.join(named, "text_key", "left").withColumn("root", F.coalesce("root", "text_key"))
+    placed = stage(placed, "bucket-classes")
+    order = lambda k: F.struct(F.xxhash64("text_key", "bucket", F.lit(k)).alias("order"), "text_key", "n", "root")
+    hubs = F.array(*[F.min(order(k)) for k in range(HUBS)])
+    split = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), hubs.alias("hubs")).filter("low != high")
+    split = stage(split.select("bucket", F.explode(F.array_distinct("hubs")).alias("h")).select("bucket", F.col("h.text_key").alias("hub"), F.col("h.n").alias("n_hub"), F.col("h.root").alias("hub_root")), "bucket-hubs")
+    return as_pairs(placed.join(split, "bucket").filter(F.col("root") != F.col("hub_root")), least)
+
+
+def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    with_b = pairs.join(texts.select(F.col("text_key").alias("b"), F.col("text").alias("text_b")), "b")
+    both = with_b.join(texts.select(F.col("text_key").alias("a"), F.col("text").alias("text_a")), "a")
+    found = both.select("a", "b", "text_a", "text_b").mapInArrow(verifier(least), "a binary, b binary, similarity double")
+    return stage(found, "near-links")
 
 
-def near_links(texts: DataFrame, n_sketches: int = SKETCHES, least: float = SIMILARITY) -> DataFrame:
+def near_links(texts: DataFrame, n_sketches: int = SKETCHES, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """Verified links ``(a, b, similarity)`` between different texts ``(text_key, text)``,
-    which may be given more than once."""
+    which may be given more than once, and the classes ``(node, root)`` that they make."""
     schema = "text_key binary, n int, sketches array<bigint>"
     made = texts.select("text_key", "text").mapInArrow(sketcher(n_sketches), schema)
-    sketched = stage(made.dropDuplicates(["text_key"]), "sketches")
-    pairs = stage(candidate_pairs(sketched, least), "candidate-pairs")
-    ends = stage(pairs.select(F.col("a").alias("text_key")).union(pairs.select("b")).distinct(), "candidate-ends")
-    # The list of ends grows with the corpus: joined by shuffle at every size.
+    member = bucket_members(stage(made.dropDuplicates(["text_key"]), "sketches"))
+    several = member.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1").select("bucket")
+    shared = stage(member.join(several, "bucket"), "shared-buckets")
+    ends = stage(shared.select("text_key").distinct(), "bucket-texts")
+    # The list of texts in buckets grows with the corpus: joined by shuffle at every size.
     wanted = texts.join(ends.hint("merge"), "text_key", "left_semi").groupBy("text_key").agg(F.min("text").alias("text"))
     wanted = stage(wanted, "candidate-texts")
-    with_b = pairs.join(wanted.select(F.col("text_key").alias("b"), F.col("text").alias("text_b")), "b")
-    both = with_b.join(wanted.select(F.col("text_key").alias("a"), F.col("text").alias("text_a")), "a")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(verifier(least), "a binary, b binary, similarity double")
+    first = stage(first_pairs(shared, least), "first-pairs")
+    links = verified(first, wanted, least)
+    more = further_pairs(shared, components(links.select("a", "b")), least)
+    more = stage(more.join(first, ["a", "b"], "left_anti"), "further-pairs")
+    links = links.unionByName(verified(more, wanted, least))
+    return links, components(links.select("a", "b"))
 
 
 def classes(docs: DataFrame, n_sketches: int = SKETCHES, least: float = SIMILARITY) -> DataFrame:
@@ -288,8 +319,7 @@ def classes(docs: DataFrame, n_sketches: int = SKETCHES, least: float = SIMILARI
         "document-keys",
     )
     texts = docs.filter(F.col("text").isNotNull()).select(content_key("text").alias("text_key"), F.col("text").cast("string").alias("text"))
-    links = stage(near_links(texts, n_sketches, least), "near-links")
-    roots = components(links.select("a", "b"))
+    links, roots = near_links(texts, n_sketches, least)
     degree = (
         links.select(F.col("a").alias("text_key")).unionAll(links.select("b")).groupBy("text_key").agg(F.count("*").alias("n_links"))
     )
