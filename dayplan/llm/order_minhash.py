@@ -29,7 +29,7 @@ SIMILARITY = 0.8
 SKETCHES = 12
 PICKS = 2
 #: Texts of a bucket with several classes that are compared with the rest of it.
-HUBS = 4
+HUBS = 2
 KNOWN_WORDS = 500_000
 SKETCH_CELLS = 2_000_000
 _ONE, _TWO = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
