@@ -55,16 +55,15 @@ def leaf_templates(variants: DataFrame) -> DataFrame:
     return placed.select("leaf", F.transform("t", lambda x: x.token).alias("template"))
 
 
-def recurring_lines(docs: DataFrame, min_texts: int = MIN_TEXTS) -> DataFrame:
+def recurring_lines(lines: DataFrame, min_texts: int = MIN_TEXTS) -> DataFrame:
     """``(hash, template)`` of the masked lines whose template recurs in ``min_texts`` texts.
 
-    Copies of one text count once.  A line that recurs by itself counts as a template even
+    ``lines`` are those of ``with_leaves``.  Copies of one text count once.  A line that recurs by itself counts as a template even
     where its leaf's template is another's.
     """
-    lines = stage(with_leaves(docs).select("text_hash", "hash", "leaf", "line").distinct(), "template-lines")
     by_leaf = lines.select("leaf", "text_hash").distinct().groupBy("leaf").agg(F.count("*").alias("n"))
     busy = stage(by_leaf.filter(F.col("n") >= min_texts).select("leaf"), "busy-leaves")
-    busy_lines = lines.join(busy, "leaf")
+    busy_lines = lines.join(busy, "leaf").select("text_hash", "hash", "leaf", "line").distinct()
     variants = stage(busy_lines.groupBy("leaf", "hash", "line").agg(F.count("*").alias("n_texts")), "line-variants")
     same = F.size(F.filter(F.arrays_zip("template", F.split("line", " ", -1).alias("own")), lambda x: x.template == x.own))
     fields = F.size(F.filter("template", lambda t: t == FIELD))
@@ -89,9 +88,9 @@ def without_templates(docs: DataFrame, min_texts: int = MIN_TEXTS) -> DataFrame:
     text of which nothing else is left, which becomes empty.  A missing text is an empty one.
     Rows are cleaned one by one, so repeated rows or ids do not matter.
     """
-    dropped = stage(recurring_lines(docs, min_texts), "recurring-lines")
-    lines = with_leaves(docs).select("doc_id", "text_hash", "hash")
-    hits = lines.join(dropped.select("hash"), "hash").select("doc_id", "text_hash", "hash")
+    lines = stage(with_leaves(docs), "template-lines")
+    dropped = stage(recurring_lines(lines, min_texts), "recurring-lines")
+    hits = lines.select("doc_id", "text_hash", "hash").join(dropped.select("hash"), "hash").select("doc_id", "text_hash", "hash")
     hits = hits.groupBy(F.col("doc_id").alias("_hit_id"), F.col("text_hash").alias("_hit_text")).agg(F.collect_set("hash").alias("_hits"))
     hits = stage(hits, "dropped-by-document")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -100,7 +99,7 @@ def without_templates(docs: DataFrame, min_texts: int = MIN_TEXTS) -> DataFrame:
     split = F.split("text", "\n", -1)
     filled = lambda line: line.rlike(f"[^{SPACES}]")
     goes = lambda line: filled(line) & F.array_contains("_hits", F.xxhash64(masked(line)))
-    left = F.filter(split, lambda line: ~goes(line))
+    left = F.when(F.col("_hits").isNull(), split).otherwise(F.filter(split, lambda line: ~goes(line)))
     rest = F.when(F.exists(left, filled), F.array_join(left, "\n")).otherwise(F.lit(""))
     n_dropped = F.when(F.col("_hits").isNull(), 0).otherwise(F.size(split) - F.size(left))
     return rows.select(
