@@ -16,9 +16,10 @@ def stored_whole(column: Column) -> Column:
     return half_even(column).cast("bigint")
 
 
-def stable_uuid(text: Column) -> Column:
-    """A uuid-shaped id that depends only on ``text``, so a rerun gives the same ids."""
-    digest = F.md5(text.cast("string"))
+def stable_uuid(text: Column, space: str = "") -> Column:
+    """A uuid-shaped id that depends only on ``text`` and on the name space it is from, so a
+    rerun gives the same ids, and an old id and a name that look alike give different ones."""
+    digest = F.md5(F.concat(F.lit(space), text.cast("string")))
     pieces = [(1, 8), (9, 4), (13, 4), (17, 4), (21, 12)]
     return F.concat_ws("-", *[F.substring(digest, start, length) for start, length in pieces])
 

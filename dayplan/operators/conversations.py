@@ -95,7 +95,7 @@ def clear_session(log: DataFrame, sessions: str | DataFrame) -> DataFrame:
     """
     if isinstance(sessions, DataFrame):
         return log.join(sessions.select("session_id"), "session_id", "left_anti").select(*log.columns)
-    return log.filter(F.col("session_id") != sessions)
+    return log.filter(~F.col("session_id").eqNullSafe(F.lit(sessions)))
 
 
 def agent_context(log: DataFrame) -> DataFrame:
@@ -105,7 +105,7 @@ def agent_context(log: DataFrame) -> DataFrame:
     found by a maximum, so a long session is never sorted in one task.
     """
     last = log.groupBy("session_id").agg(F.max("id").alias("id"))
-    kept = log.filter(F.col("role") != "debug")
+    kept = log.filter(~F.col("role").eqNullSafe(F.lit("debug")))
     return kept.join(last, ["session_id", "id"], "left_anti").select(
         "session_id", "id", "role", "content"
     )

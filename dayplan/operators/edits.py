@@ -213,6 +213,18 @@ def clear_forecast_outcome(
     )
 
 
+def one_per_day(changes: DataFrame, keys: Keys = ()) -> DataFrame:
+    """One change per key and day: the last by ``seq``; without that column repeats are an error."""
+    days = [*keys, DATE]
+    names = [name for name in changes.columns if name not in [*days, "seq"]]
+    if "seq" in changes.columns:
+        last = changes.groupBy(*days).agg(F.max(F.struct("seq", *names)).alias("_last"))
+        return last.select(*days, *[F.col(f"_last.{name}").alias(name) for name in names])
+    counted = changes.groupBy(*days).agg(F.count("*").alias("_n"), *[F.first(name).alias(name) for name in names])
+    repeated = F.raise_error(F.lit("several changes for one day and no seq to order them")).cast("boolean")
+    return counted.filter(F.when(F.col("_n") == 1, True).otherwise(repeated)).select(*days, *names)
+
+
 def upsert_daily(
     daily: DataFrame,
     changes: DataFrame,
@@ -222,13 +234,14 @@ def upsert_daily(
 ) -> DataFrame:
     """Overwrite or add whole days, unique on ``(keys..., date)``, and renumber inventory.
 
-    Without a forecast column in ``changes`` existing forecasts are kept.  With
+    Of several changes for a day the one with the largest ``seq`` counts; without that
+    column they are an error.  Without a forecast column existing forecasts are kept.  With
     ``recalc_tail=False`` only the written days get a new inventory, and later days
     keep a balance that no longer follows from them.
     """
     columns = [*keys, *DAILY_COLUMNS]
     rows = daily.select(*columns)
-    written = stage(changes, "upsert")
+    written = stage(one_per_day(changes, keys), "upsert")
     days = written.select(*keys, DATE)
     held = stage(rows.drop(INVENTORY).join(days, [*keys, DATE]), "held")
     if FORECAST not in written.columns:

@@ -18,10 +18,8 @@ from dayplan.schema import (
     date_value,
     int_or_fail,
 )
-from dayplan.sources.staging import stage
 
 # Up to this many starting days a join with them is expected to be broadcast.
-FEW_STARTS = 100_000
 
 Start = str | dt.date | Column | DataFrame | None
 
@@ -67,9 +65,9 @@ def split_at(
     """Rows from the start of their series on, rows before it, and all rows but the first kind.
 
     ``starts`` has ``(keys..., start)``; a series without a start has only rows of the
-    third kind.  With few starts these are joins that Spark can broadcast, and no daily
-    row moves.  With many, the rows are joined and written once by kind, so that they
-    are shuffled once and not by each reader.
+    third kind.  These are joins on the same keys whatever the number of starts: Spark
+    broadcasts a short list, and otherwise shuffles the daily rows once for all readers
+    whose exchanges are alike.
     """
     if not keys:
         begin = starts.select("start").scalar()
@@ -79,13 +77,6 @@ def split_at(
     first = starts.select(*[F.col(key).alias(f"_at_{key}") for key in keys], "start")
     same = [F.col(key) == F.col(f"_at_{key}") for key in keys]
     reached, not_yet = F.col(DATE) >= F.col("start"), F.col(DATE) < F.col("start")
-    if starts.count() > FEW_STARTS:
-        kind = F.when(reached, "active").when(not_yet, "earlier").otherwise("unknown")
-        split = daily.join(first, same, "left").select(*daily.columns, kind.alias("_kind"))
-        split = stage(split, "split", by="_kind")
-        parts = [split.filter(wanted).select(*daily.columns) for wanted in
-                 ("_kind = 'active'", "_kind = 'earlier'", "_kind <> 'active'")]
-        return parts[0], parts[1], parts[2]
     active = daily.join(first, [*same, reached]).select(*daily.columns)
     earlier = daily.join(first, [*same, not_yet]).select(*daily.columns)
     return active, earlier, daily.join(first, [*same, reached], "left_anti")

@@ -23,7 +23,7 @@ def new_users(users: DataFrame, requested: DataFrame) -> DataFrame:
     names = requested.select("username").filter(F.col("username").isNotNull()).distinct()
     missing = names.join(users.select("username"), "username", "left_anti")
     added = missing.select(
-        stable_uuid(F.col("username")).alias("id"),
+        stable_uuid(F.col("username"), "name:").alias("id"),
         "username",
         F.lit(None).cast("string").alias("display_name"),
     )
@@ -52,7 +52,7 @@ def set_display_name(users: DataFrame, changes: DataFrame) -> DataFrame:
 
 def remap_user_ids(users: DataFrame) -> DataFrame:
     """Users with uuid-shaped text ids; a missing display name becomes the user name."""
-    changed = users.withColumn("id", stable_uuid(F.col("id"))).withColumn(
+    changed = users.withColumn("id", stable_uuid(F.col("id"), "id:")).withColumn(
         "display_name", shown_name(F.col("display_name"), F.col("username"))
     )
     if "created_at" in users.columns:
@@ -63,7 +63,7 @@ def remap_user_ids(users: DataFrame) -> DataFrame:
 def remap_message_users(log: DataFrame, users: DataFrame) -> DataFrame:
     """Messages pointing at the new ids of ``users``; unknown and missing ids stay."""
     mapping = users.select(
-        F.col("id").cast("string").alias("_old"), stable_uuid(F.col("id")).alias("_new")
+        F.col("id").cast("string").alias("_old"), stable_uuid(F.col("id"), "id:").alias("_new")
     )
     return (
         log.join(mapping, F.col("user_id") == F.col("_old"), "left")

@@ -502,14 +502,14 @@ ORACLE: dict[str, str] = {
     ),
     "remap_user_ids": using(
         "users_int",
-        f"""select {NEW_ID.format("cast(id as varchar)")} as id, username,
+        f"""select {NEW_ID.format("concat('id:', cast(id as varchar))")} as id, username,
           coalesce(nullif(display_name, ''), username) as display_name from users_int""",
     ),
     "remap_message_users": using(
         "history users_int",
         f"""select id, session_id,
           case when user_id in (select cast(id as varchar) from users_int)
-            then {NEW_ID.format("user_id")} else user_id end as user_id, role, content, timestamp
+            then {NEW_ID.format("concat('id:', user_id)")} else user_id end as user_id, role, content, timestamp
         from history""",
     ),
     "get_or_create_users": using(
@@ -518,7 +518,7 @@ ORACLE: dict[str, str] = {
           coalesce(nullif(display_name, ''), username) as display_name, false as created
         from users_int where username in (select username from names)
         union all
-        select {NEW_ID.format("username")}, username, username, true
+        select {NEW_ID.format("concat('name:', username)")}, username, username, true
         from names where username not in (select username from users_int)""",
         names="select distinct username from (select c_name as username from customer union all select s_name from supplier)",
     ),

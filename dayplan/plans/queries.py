@@ -104,16 +104,13 @@ def streamed_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def streamed_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edits arrive as files, one after the other, and are applied one file at a time."""
+    """Edits of all numbers arrive as files and are applied in batches."""
     folder = new_path(spark, "edit-stream")
     arriving = views.edits(spark, sf_dir)
-    for seq in (1, 2, 3, 4):
-        arriving.filter(F.col("seq") == seq).coalesce(1).write.mode("append").parquet(folder)
+    arriving.write.parquet(folder)
     table = SnapshotTable(spark, new_path(spark, "edited-daily"))
     table.publish(views.daily_stale(spark, sf_dir), layout="series", keys=KEYS, parts=16)
-    stream = (
-        spark.readStream.schema(arriving.schema).option("maxFilesPerTrigger", 1).parquet(folder)
-    )
+    stream = spark.readStream.schema(arriving.schema).parquet(folder)
     return stream_apply_edits(stream, table, new_path(spark, "edit-checkpoint"), KEYS)
 
 

@@ -9,6 +9,7 @@ the lineage, and keeps column pruning and pushdown for its readers.
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -24,7 +25,7 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can reach")
     app = spark.sparkContext.applicationId
     if app not in _local_folders:

@@ -77,16 +77,24 @@ def test_edits_equal_single_updates_in_order(spark, many, count):
     assert sorted(map(tuple, got.collect()), key=str) == one_by_one(rows, edits)
 
 
-def test_many_starting_days_give_the_same_rows(spark, many, monkeypatch):
+def test_many_starting_days_give_the_same_rows(spark, many):
     rows, daily = many
     edits = [(row[0], row[1], "demand", 7, seq) for seq, row in enumerate(sorted(rows)[300:420])]
     edits.append(("s6", max(rows)[1], "forecast", 3, 500))
     frame = spark.createDataFrame(edits, EDIT)
-    monkeypatch.setattr(inv, "FEW_STARTS", 0)
     got = ed.apply_edits(daily, frame, KEYS)
     assert sorted(map(tuple, got.collect()), key=str) == one_by_one(rows, edits)
-    plan = got._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(_kind" in plan
+
+
+def test_upsert_takes_the_last_change_of_a_day_or_fails(spark, daily_13):
+    day = dt.date(2024, 1, 5)
+    changes = spark.createDataFrame(
+        [(day, 1, 1, 0, 1), (day, 100, 120, 0, 2)], "date date, demand bigint, production_plan bigint, forecast bigint, seq int"
+    )
+    rows = {row.date: row for row in ed.upsert_daily(daily_13, changes).collect()}
+    assert len(rows) == daily_13.count() and rows[day].demand == 100
+    with pytest.raises(Exception, match="several changes for one day"):
+        ed.upsert_daily(daily_13, changes.drop("seq")).collect()
 
 
 def test_edits_without_keys(spark, many):
