@@ -159,7 +159,8 @@ def format_chats(rows: DataFrame, schemas: DataFrame) -> DataFrame:
     calls, results = stage(first_calls(messages), "first-calls"), stage(first_results(messages), "first-results")
     order = stage(topological_order(order_edges(messages, calls, results)), "message-order")
     checked = checked_calls(messages, schemas, results, calls)
-    one = F.struct(F.coalesce(F.col("value"), F.to_variant_object(F.array("arguments"))).alias("arguments"), "id", "name")
+    quoted = lambda name: F.regexp_replace(F.to_json(F.struct(F.col(name).alias("x"))), r'^\{"x":|\}$', "")
+    one = F.struct(F.coalesce(F.col("value"), F.try_parse_json(quoted("arguments"))).alias("arguments"), "id", "name")
     # A message's calls stand in one array already; they come back together as they were.
     formatted = checked.withColumn("one", F.to_json(one)).groupBy("msg").agg(
         F.sort_array(F.collect_list(F.struct("at", "one", "errors"))).alias("done")
@@ -167,7 +168,6 @@ def format_chats(rows: DataFrame, schemas: DataFrame) -> DataFrame:
     orphans = calls.select("conv_id", F.col("id").alias("result_of"), F.lit(True).alias("has_call"))
     out = messages.join(order, "msg", "left").join(formatted, "msg", "left")
     out = out.join(orphans.hint("shuffle_hash"), ["conv_id", "result_of"], "left")
-    quoted = lambda name: F.regexp_replace(F.to_json(F.struct(F.col(name).alias("x"))), r'^\{"x":|\}$', "")
     field = lambda key, value, there: F.when(there, F.concat(F.lit(f'"{key}":'), value))
     parts = F.concat_ws(
         ",",

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from dayplan.llm.common import free_name
 from dayplan.sources.staging import stage
 
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
@@ -79,10 +80,11 @@ def url_verdicts(captures: DataFrame, entries: DataFrame) -> DataFrame:
     )
     rank = F.struct(F.length("pattern").alias("long"), (F.col("kind") == "allow").alias("allows"), F.col("pattern"), F.col("list_name"))
     judged = active.groupBy("url", "fetched_at").agg(F.count("*").alias("n_active"), F.max(rank).alias("best"))
+    own_url, own_time = free_name(captures, "_url"), free_name(captures, "_at")
     judged = judged.select(
-        F.col("url").alias("_url"), F.col("fetched_at").alias("_at"), "n_active",
+        F.col("url").alias(own_url), F.col("fetched_at").alias(own_time), "n_active",
         F.when(F.col("best.allows"), "allow").otherwise("block").alias("verdict"), "best.pattern", "best.list_name",
     )
     names = [name for name in captures.columns if name not in ("n_active", "verdict", "pattern", "list_name")]
-    out = captures.select(*names).join(judged, (F.col("url") == F.col("_url")) & (F.col("fetched_at") == F.col("_at")), "left")
+    out = captures.select(*names).join(judged, (F.col("url") == F.col(own_url)) & (F.col("fetched_at") == F.col(own_time)), "left")
     return out.select(*names, F.coalesce("n_active", F.lit(0)).cast("bigint").alias("n_active"), F.coalesce("verdict", F.lit("none")).alias("verdict"), "pattern", "list_name")
