@@ -51,9 +51,9 @@ def save_messages(table: SnapshotTable, batch: DataFrame, order: list[str] | Non
     """Append a batch to a published log and return its rows with their ids."""
     spark = table.spark
     empty = spark.createDataFrame([], MESSAGE_SCHEMA)
-    log = empty if table.current() is None else table.read()
+    base, log = table.read_for_change() if table.versions() else (0, empty)
     rows = stage(append_messages(log, batch, order), "messages")
-    table.append(rows)
+    table.append(rows, base)
     return rows
 
 

@@ -1,7 +1,8 @@
 """The planning tools over one published daily table.
 
 Reads return DataFrames.  Writes build the whole new table in one plan and publish it
-as the next version, so a change that fails leaves the table as it was.
+as the next version, so a change that fails leaves the table as it was.  A change fails if
+another writer publishes after its read.
 """
 
 from __future__ import annotations
@@ -95,19 +96,22 @@ class Planner:
 
     def increase_all_demand(self, offset: int) -> None:
         if offset != 0:
-            self.table.publish(ed.shift_demand(self.daily, offset, self.keys))
+            base, before = self.table.read_for_change()
+            self.table.publish(ed.shift_demand(before, offset, self.keys), base=base)
 
     def clear_all_forecast(self) -> None:
-        self.table.publish(ed.clear_all_forecast(self.daily))
+        base, before = self.table.read_for_change()
+        self.table.publish(ed.clear_all_forecast(before), base=base)
 
     def clear_forecast_range(self, start_date: Day, end_date: Day | None = None) -> DataFrame:
         """Clear a range and report the outcome; a range without forecasts changes nothing."""
-        before = self.daily
+        base, before = self.table.read_for_change()
         report = stage(
             ed.clear_forecast_outcome(before, start_date, end_date, self._today()), "report"
         )
         if report.first()["cleared"]:
-            self.table.publish(ed.clear_forecast_range(before, start_date, end_date, self._today()))
+            cleared = ed.clear_forecast_range(before, start_date, end_date, self._today())
+            self.table.publish(cleared, base=base)
         return report
 
     def calculate_demand_forecast(
@@ -118,36 +122,39 @@ class Planner:
         mode: str = "update",
     ) -> DataFrame:
         """Forecast, store the forecast, and return its dated rows."""
-        before = self.daily
+        base, before = self.table.read_for_change()
         rows = stage(
             fc.future_forecast_rows(
                 before, periods, start_date, method, keys=self.keys, as_of=self._today()
             ),
             "forecast",
         )
-        self.table.publish(fc.persist_forecast(before, rows, self.keys, mode))
+        self.table.publish(fc.persist_forecast(before, rows, self.keys, mode), base=base)
         return rows
 
     def forecast_to_plan(self, periods: int = 7, start_date: Day | None = None) -> DataFrame:
         """Forecast, plan production to match, and return the stockouts that remain."""
+        base, before = self.table.read_for_change()
         planned = forecast_to_plan(
-            self.daily, periods, start_date, keys=self.keys, as_of=self._today()
+            before, periods, start_date, keys=self.keys, as_of=self._today()
         )
-        self.table.publish(planned)
+        self.table.publish(planned, base=base)
         return self.get_stockouts()
 
     def write_days(self, days: DataFrame, recalc_tail: bool = True) -> None:
         """Add or overwrite whole days."""
-        self.table.publish(ed.upsert_daily(self.daily, days, self.keys, recalc_tail))
+        base, before = self.table.read_for_change()
+        self.table.publish(ed.upsert_daily(before, days, self.keys, recalc_tail), base=base)
 
     def next_days(self, days: int, start_date: Day | None = None) -> DataFrame:
         """The dates to fill when the calendar is extended."""
         return ed.extend_calendar(self.daily, days, start_date, self.keys, self._today())
 
     def delete_all_data(self) -> DataFrame:
-        empty, report = ed.delete_all_daily(self.daily)
+        base, before = self.table.read_for_change()
+        empty, report = ed.delete_all_daily(before)
         report = stage(report, "report")
-        self.table.publish(empty)
+        self.table.publish(empty, base=base)
         return report
 
     def history_bounds(self) -> DataFrame:

@@ -1,8 +1,10 @@
 """Versioned Parquet snapshots of a table.
 
 A version is written to a new folder and becomes visible only when its commit file
-appears.  Nothing that is being read is ever overwritten, a failed job leaves no
-trace for readers, and of two writers of one version the second fails.
+appears, which is written under another name and then renamed.  Nothing that is being
+read is ever overwritten, a failed job leaves no trace for readers, and of two writers
+that read one version the second fails.  The last needs a store whose rename refuses an
+existing target, such as HDFS or a local disk; other stores need one writer at a time.
 
 Laid out by series, a table can also be changed in part: only the parts that hold an
 edited series are rewritten, and the commit points to the old folders for the rest.
@@ -81,6 +83,13 @@ class SnapshotTable:
         rows = self._rows(commit)
         return rows.drop(commit["layout"]) if commit["layout"] in LAYOUTS else rows
 
+    def read_for_change(self) -> tuple[int, DataFrame]:
+        """The newest version's number, to be given to ``publish`` as ``base``, and its rows."""
+        version = self.versions()[-1:]
+        if not version:
+            raise FileNotFoundError(f"no snapshot has been published at {self.root}")
+        return version[0], self.read(version[0])
+
     def with_layout(self) -> DataFrame:
         """The newest version with its date partition column, for reads of a date range."""
         return self._rows(self.current())
@@ -92,9 +101,13 @@ class SnapshotTable:
         keys: Keys = (),
         parts: int = 64,
         streams: dict | None = None,
+        base: int | None = None,
     ) -> int:
         """Write ``table`` as the next version and make it current.
 
+        ``base`` is the version that ``table`` was made from: if another has been published
+        since it was read, this fails.  Without it the version counts that is current now.
+
         ``layout`` is ``"month"``, ``"year"``, ``"series"`` (``parts`` parts by ``keys``)
         or None for no partitioning; by default that of the version before, at first by
         month.  Rows are spread with a rebalance, which lets adaptive execution split a
@@ -119,7 +132,7 @@ class SnapshotTable:
         note = {"layout": layout, "schema": table.schema.jsonValue(), "folders": folders}
         if layout == "series":
             note.update(keys=list(keys), parts=parts)
-        return self._publish(note, streams, commit["version"] + 1)
+        return self._publish(note, streams, (commit["version"] if base is None else base) + 1)
 
     def parts_of(self, changes: DataFrame) -> list[str] | None:
         """Names of the stored parts that hold the series of ``changes``.
@@ -139,9 +152,9 @@ class SnapshotTable:
         return self._rows(commit, [commit["folders"][name] for name in names])
 
     def publish_parts(
-        self, rows: DataFrame, names: Iterable[str], streams: dict | None = None
+        self, rows: DataFrame, names: Iterable[str], streams: dict | None = None, base: int | None = None
     ) -> int:
-        """Replace the named parts by ``rows``, which must belong to them."""
+        """Replace the named parts by ``rows``, which must belong to them; ``base`` as in ``publish``."""
         commit = self.current()
         folder = self._new_folder()
         names = list(names)
@@ -150,17 +163,17 @@ class SnapshotTable:
             self._write_parts(rows, commit["keys"], commit["parts"], folder)
             folders.update(self._part_folders(folder))
         kept = {name: commit[name] for name in ("layout", "schema", "keys", "parts")}
-        return self._publish({**kept, "folders": folders}, streams, commit["version"] + 1)
+        return self._publish({**kept, "folders": folders}, streams, (commit["version"] if base is None else base) + 1)
 
-    def append(self, rows: DataFrame) -> int:
+    def append(self, rows: DataFrame, base: int | None = None) -> int:
         """Add rows to a table without partitioning; the rows already there are not touched.
 
-        If another writer commits first this fails, so rows numbered after the ones
-        that were read can never repeat a number.
+        With the version ``base`` that was read (0 for none) this fails if another writer
+        commits first, so rows numbered after those that were read never repeat a number.
         """
         commit = self.current()
         if commit is None:
-            return self.publish(rows, layout=None)
+            return self.publish(rows, layout=None, base=base)
         if commit["layout"] is not None:
             raise ValueError("only a table without partitioning can be appended to")
         folder = self._new_folder()
@@ -168,7 +181,7 @@ class SnapshotTable:
         rows.select(*columns).write.parquet(f"{self.root}/data/{folder}")
         kept = {name: commit[name] for name in ("layout", "schema")}
         folders = {**commit["folders"], folder: folder}
-        return self._publish({**kept, "folders": folders}, None, commit["version"] + 1)
+        return self._publish({**kept, "folders": folders}, None, (commit["version"] if base is None else base) + 1)
 
     def forget(self, keep: int = 2) -> list[int]:
         """Delete all but the newest ``keep`` versions; returns the deleted ones.
@@ -202,14 +215,21 @@ class SnapshotTable:
         return {name: f"{folder}/{name}" for name in names}
 
     def _publish(self, note: dict, streams: dict | None, version: int) -> int:
-        commit = self.current() or {"streams": {}}
+        commit = self.current() or {"streams": {}, "version": 0}
+        if commit["version"] != version - 1:
+            raise RuntimeError(f"version {version} already exists at {self.root}: another writer was faster")
         note = {**note, "version": version, "streams": {**commit["streams"], **(streams or {})}}
-        path, files = self._path(f"commits/{version:08d}.json")
-        out = files.create(path, False)
+        hidden, files = self._path(f"commits/.{uuid.uuid4().hex}.tmp")
+        out = files.create(hidden, False)
         try:
             out.write(bytearray(json.dumps(note).encode()))
         finally:
             out.close()
+        path, _ = self._path(f"commits/{version:08d}.json")
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        no_options = self.spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 0)
+        context = hadoop.FileContext.getFileContext(files.getUri(), self.spark._jsc.hadoopConfiguration())
+        context.rename(files.makeQualified(hidden), files.makeQualified(path), no_options)
         return version
 
 

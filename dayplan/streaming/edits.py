@@ -16,12 +16,13 @@ def publish_edits(
     """Apply an edit list and publish the result.
 
     On a table laid out by series only the parts that hold an edited series are read
-    and rewritten.
+    and rewritten.  Fails if another version is published meanwhile.
     """
+    base, rows = table.read_for_change()
     names = table.parts_of(edits)
     if names is None:
-        return table.publish(apply_edits(table.read(), edits, keys), streams=streams)
-    return table.publish_parts(apply_edits(table.read_parts(names), edits, keys), names, streams)
+        return table.publish(apply_edits(rows, edits, keys), streams=streams, base=base)
+    return table.publish_parts(apply_edits(table.read_parts(names), edits, keys), names, streams, base)
 
 
 def stream_apply_edits(

@@ -167,3 +167,15 @@ def test_a_replayed_batch_is_skipped(spark, daily_13, tmp_path):
     assert table.versions() == [1] and values(out.orderBy("date"), "inventory")[-1] == 10
     note = json.loads((tmp_path / "daily" / "commits" / "00000001.json").read_text())
     assert note["streams"] == {check: 0}
+
+
+def test_the_second_of_two_writers_fails(spark, daily_13, tmp_path):
+    table = SnapshotTable(spark, str(tmp_path / "raced"))
+    table.publish(daily_13)
+    base, before = table.read_for_change()
+    assert table.publish(ed.shift_demand(before, 5), base=base) == 2
+    with pytest.raises(RuntimeError, match="already exists"):
+        table.publish(ed.shift_demand(before, 7), base=base)
+    demand = {row.demand for row in table.read().filter("day(date) = 1").collect()}
+    assert demand == {106} and table.versions() == [1, 2]
+    assert not [name for name in table._names("commits") if name.endswith(".tmp")]
