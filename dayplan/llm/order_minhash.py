@@ -5,7 +5,9 @@ hash values and keeps them in the order of the text, so that it agrees for texts
 close in edit distance, not only in their sets of words.  Texts that agree in a sketch are
 paired with the first text of that bucket; pairs are verified by an alignment in a band
 around the diagonal, and verified links are joined to classes.  In buckets that still hold
-several classes, further texts are paired with the members of other classes.
+several classes, further texts are paired with the members of other classes.  What is still
+mixed after that is searched exactly: a pair of texts that reaches the similarity shares one
+of its rarest k-mers, so texts of different classes are paired by those.
 """
 
 from __future__ import annotations
@@ -28,7 +30,8 @@ SIMILARITY = 0.8
 #: Sketches of a text, and k-mers in each.
 SKETCHES = 12
 PICKS = 2
-#: Texts of a bucket with several classes that are compared with the rest of it.
+#: Texts of a bucket with several classes that are compared with the rest of it before the
+#: exact search; they decide how much is left to it, not what is found.
 HUBS = 2
 KNOWN_WORDS = 500_000
 SKETCH_CELLS = 2_000_000
@@ -78,11 +81,16 @@ def occurrences(kmers: np.ndarray) -> np.ndarray:
     return out
 
 
+def labelled_shingles(hashes: np.ndarray) -> np.ndarray:
+    """The shingles of a text, told apart by how often they came before."""
+    kmers = shingles(hashes)
+    return mixed(kmers + occurrences(kmers) * _TWO)
+
+
 def sketch(hashes: np.ndarray, seeds: np.ndarray) -> np.ndarray:
     """One number per seed: the smallest ``PICKS`` labelled k-mers in the order of the text."""
-    kmers = shingles(hashes)
-    labelled = mixed(kmers + occurrences(kmers) * _TWO)
-    at_once = max(1, SKETCH_CELLS // len(kmers))
+    labelled = labelled_shingles(hashes)
+    at_once = max(1, SKETCH_CELLS // len(labelled))
     if at_once < len(seeds):  # a long text takes its seeds a few at a time
         parts = [seeds[i : i + at_once] for i in range(0, len(seeds), at_once)]
         return np.concatenate([sketch_of(labelled, part) for part in parts])
@@ -236,6 +244,17 @@ def verifier(least: float):
     return verify
 
 
+def shingle_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known = WordHashes()
+    for batch in batches:
+        for key, root, text in zip(*batch.columns, strict=True):
+            grams = labelled_shingles(word_hashes(text.as_py(), known)).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array([0, len(grams)], pa.int32()), pa.array(grams))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([key.as_py()], pa.binary()), pa.array([root.as_py()], pa.binary()), lists], ["text_key", "root", "grams"]
+            )
+
+
 def bucket_members(sketched: DataFrame) -> DataFrame:
     """``(bucket, text_key, n)``: a bucket for each sketch, and one for each two in a row."""
     near = F.transform(
@@ -265,13 +284,17 @@ def first_pairs(shared: DataFrame, least: float) -> DataFrame:
     return as_pairs(shared.join(stage(firsts, "bucket-firsts"), "bucket"), least)
 
 
+def with_roots(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    named = roots.select(F.col("node").alias("text_key"), "root")
+    placed = shared.join(named, "text_key", "left").withColumn("root", F.coalesce("root", "text_key"))
+    return stage(placed, "bucket-classes")
+
+
 def further_pairs(shared: DataFrame, roots: DataFrame, least: float) -> DataFrame:
     """Pairs across classes that share a bucket: two texts can be alike where neither is like
     the bucket's first.  Each bucket that still holds several classes has ``HUBS`` more texts,
     others in every bucket, that are compared with its members of other classes."""
-    named = roots.select(F.col("node").alias("text_key"), "root")
-    placed = shared.join(named, "text_key", "left").withColumn("root", F.coalesce("root", "text_key"))
-    placed = stage(placed, "bucket-classes")
+    placed = with_roots(shared, roots)
     order = lambda k: F.struct(F.xxhash64("text_key", "bucket", F.lit(k)).alias("order"), "text_key", "n", "root")
     hubs = F.array(*[F.min(order(k)) for k in range(HUBS)])
     split = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), hubs.alias("hubs")).filter("low != high")
@@ -279,6 +302,50 @@ def further_pairs(shared: DataFrame, roots: DataFrame, least: float) -> DataFram
     return as_pairs(placed.join(split, "bucket").filter(F.col("root") != F.col("hub_root")), least)
 
 
+def rare_shingles(grams: DataFrame, least: float) -> DataFrame:
+    """``(text_key, root, n, gram, at)``: of ``(text_key, root, grams)`` the rarest shingles of
+    each text that recur in another one.
+
+    ``at`` is the place of a shingle among all ``n`` of its text, rarest first.  Two texts that
+    share the part ``least`` of their shingles share one of the first ``n - least * n + 1``;
+    shingles that no other text has take places, but need no row.
+    """
+    each = grams.select("text_key", F.explode("grams").alias("gram"))
+    often = stage(each.groupBy("gram").agg(F.count("*").alias("df")).filter("df > 1"), "recurring-shingles")
+    ranked = each.join(often.hint("merge"), "gram").groupBy("text_key").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("found"))
+    sized = grams.select("text_key", "root", F.size("grams").alias("n"))
+    first = (F.col("n") - F.ceil(least * F.col("n") - 1e-6) + 1).cast("int")
+    alone = F.col("n") - F.size("found")
+    some = F.slice("found", 1, F.greatest(first - alone, F.lit(0)))
+    placed = ranked.join(sized.hint("merge"), "text_key").select("text_key", "root", "n", alone.alias("alone"), F.posexplode(some).alias("i", "g"))
+    return stage(placed.select("text_key", "root", "n", F.col("g.gram").alias("gram"), (F.col("alone") + F.col("i")).alias("at")), "rare-shingles")
+
+
+def remaining_pairs(shared: DataFrame, roots: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """All ``(a, b)`` in different classes that can reach ``least``, among the texts of buckets
+    that still hold several classes.
+
+    Classes meet at a rare shingle first, then those of their members whose lengths and whose
+    places of the shingle leave room for enough common ones; members of one class never meet.
+    """
+    placed = with_roots(shared, roots)
+    split = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high")
+    left = placed.join(stage(split.select("bucket"), "mixed-buckets").hint("merge"), "bucket", "left_semi").select("text_key", "root").distinct()
+    left = stage(left, "mixed-texts")
+    held = texts.join(left.hint("merge"), "text_key").select("text_key", "root", "text")
+    grams = stage(held.mapInArrow(shingle_lists, "text_key binary, root binary, grams array<bigint>"), "mixed-shingles")
+    rare = rare_shingles(grams, least)
+    groups = stage(rare.select("gram", "root").distinct(), "shingle-classes")
+    others = groups.select("gram", F.col("root").alias("other"))
+    met = groups.join(others.hint("merge"), "gram").filter(F.col("root") < F.col("other"))
+    one = rare.join(met, ["gram", "root"]).withColumnRenamed("root", "_root")
+    two = rare.select("gram", *[F.col(c).alias(f"{c}_2") for c in ("text_key", "n", "at")], F.col("root").alias("other"))
+    room = F.least(F.col("n") - F.col("at"), F.col("n_2") - F.col("at_2"))
+    fits = (room >= least / (1 + least) * (F.col("n") + F.col("n_2")) - 1e-6) & (F.least("n", "n_2") >= least * F.greatest("n", "n_2"))
+    close = one.join(two.hint("merge"), ["gram", "other"]).filter(fits)
+    return close.select(F.least("text_key", "text_key_2").alias("a"), F.greatest("text_key", "text_key_2").alias("b")).distinct()
+
+
 def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     with_b = pairs.join(texts.select(F.col("text_key").alias("b"), F.col("text").alias("text_b")), "b")
     both = with_b.join(texts.select(F.col("text_key").alias("a"), F.col("text").alias("text_a")), "a")
@@ -302,7 +369,10 @@ def near_links(texts: DataFrame, n_sketches: int = SKETCHES, least: float = SIMI
     links = verified(first, wanted, least)
     more = further_pairs(shared, components(links.select("a", "b")), least)
     more = stage(more.join(first, ["a", "b"], "left_anti"), "further-pairs")
-    links = links.unionByName(verified(more, wanted, least))
+    links = stage(links.unionByName(verified(more, wanted, least)), "bucket-links")
+    rest = remaining_pairs(shared, components(links.select("a", "b")), wanted, least)
+    rest = stage(rest.join(first.unionByName(more), ["a", "b"], "left_anti"), "remaining-pairs")
+    links = links.unionByName(verified(rest, wanted, least))
     return links, components(links.select("a", "b"))
 
 

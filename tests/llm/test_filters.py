@@ -130,6 +130,27 @@ def test_near_duplicates_equal_brute_force(spark):
     assert sorted(row.doc_id for row in kept) == sorted({row.class_id for row in rows.values()})
 
 
+def test_no_link_is_lost_in_a_bucket_of_many_classes(spark):
+    """Texts with a long common passage fill one bucket; each has a near copy of its own."""
+    pick = random.Random(5)
+    passage = " ".join(some_words(pick, 60))
+    texts = []
+    for _ in range(60):
+        own = some_words(pick, 20)
+        texts += [f"{passage} {' '.join(own)}", f"{passage} {' '.join([*own[:-1], 'other'])}"]
+    seeds = order_minhash.mixed(np.arange(1, 2, dtype=np.uint64) * order_minhash._ONE)
+    known = order_minhash.WordHashes()
+    buckets = [int(order_minhash.sketch(order_minhash.word_hashes(t, known), seeds)[0]) for t in texts]
+    assert max(Counter(buckets).values()) > 40
+    rows = {row.doc_id: row for row in order_minhash.classes(documents(spark, texts), n_sketches=1).collect()}
+    alike = {(i, j) for i in range(len(texts)) for j in range(i) if jaccard(texts[i], texts[j]) >= 0.8}
+    assert alike == {(i + 1, i) for i in range(0, len(texts), 2)}
+    together = {(i, j) for i in rows for j in range(i) if rows[i].class_id == rows[j].class_id}
+    assert together <= alike
+    assert {(i, j) for i, j in alike if buckets[i] == buckets[j]} <= together
+    assert all(rows[i].n_links == 1 and rows[j].n_links == 1 for i, j in together)
+
+
 def test_near_duplicates_of_odd_documents(spark, odd_docs):
     rows = order_minhash.classes(odd_docs.withColumn("root", odd_docs.lang)).collect()
     assert len(rows) == odd_docs.count()
