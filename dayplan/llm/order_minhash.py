@@ -325,8 +325,8 @@ def remaining_pairs(shared: DataFrame, roots: DataFrame, texts: DataFrame, least
     """All ``(a, b)`` in different classes that can reach ``least``, among the texts of buckets
     that still hold several classes.
 
-    Classes meet at a rare shingle first, then those of their members whose lengths and whose
-    places of the shingle leave room for enough common ones; members of one class never meet.
+    Texts are paired at a shared rare shingle if their lengths and its places in them leave
+    room for enough common ones; members of one class make no pair.
     """
     placed = with_roots(shared, roots)
     split = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high")
@@ -335,14 +335,12 @@ def remaining_pairs(shared: DataFrame, roots: DataFrame, texts: DataFrame, least
     held = texts.join(left.hint("merge"), "text_key").select("text_key", "root", "text")
     grams = stage(held.mapInArrow(shingle_lists, "text_key binary, root binary, grams array<bigint>"), "mixed-shingles")
     rare = rare_shingles(grams, least)
-    groups = stage(rare.select("gram", "root").distinct(), "shingle-classes")
-    others = groups.select("gram", F.col("root").alias("other"))
-    met = groups.join(others.hint("merge"), "gram").filter(F.col("root") < F.col("other"))
-    one = rare.join(met, ["gram", "root"]).withColumnRenamed("root", "_root")
-    two = rare.select("gram", *[F.col(c).alias(f"{c}_2") for c in ("text_key", "n", "at")], F.col("root").alias("other"))
+    several = rare.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high")
+    rare = stage(rare.join(several.select("gram").hint("merge"), "gram", "left_semi"), "shared-rare-shingles")
+    other = rare.select("gram", *[F.col(c).alias(f"{c}_2") for c in ("text_key", "root", "n", "at")])
     room = F.least(F.col("n") - F.col("at"), F.col("n_2") - F.col("at_2"))
     fits = (room >= least / (1 + least) * (F.col("n") + F.col("n_2")) - 1e-6) & (F.least("n", "n_2") >= least * F.greatest("n", "n_2"))
-    close = one.join(two.hint("merge"), ["gram", "other"]).filter(fits)
+    close = rare.join(other.hint("merge"), "gram").filter((F.col("root") < F.col("root_2")) & fits)
     return close.select(F.least("text_key", "text_key_2").alias("a"), F.greatest("text_key", "text_key_2").alias("b")).distinct()
 
 
