@@ -1,9 +1,10 @@
 """Line deduplication by a log-template tree (operator 7).
 
 A line goes down a tree of fixed depth: its token count, then its leading tokens, where a
-token with a digit counts as a variable field.  The lines of a leaf share a template, in
-which positions without a majority token are variable too.  Lines whose template recurs in
-enough different texts are page furniture, and are dropped from every document.
+token with a digit counts as a variable field.  The lines of a leaf are grouped by the tokens
+they agree in, and each group has a template, in which positions without a majority token are
+variable too.  Lines whose template recurs in enough different texts are page furniture, and
+are dropped from every document; long lines that recur in fewer texts stay in one of them.
 """
 
 from __future__ import annotations
@@ -17,9 +18,15 @@ from dayplan.sources.staging import stage
 LEADING = 3
 #: Different texts in which a template recurs.
 MIN_TEXTS = 10
+#: Lines of so many tokens recur from so many different texts on.
+LONG_TOKENS, LONG_TEXTS = 20, 2
 #: Share of a leaf's lines that makes a token constant, and of a line's tokens that must equal constants.
 MAJORITY, ALIKE = 0.6, 0.6
 FIELD = "<*>"
+#: Pieces of a line after its leading tokens; lines are grouped by the tokens of each set of pieces.
+PIECES = 4
+#: Lines are also grouped by their tokens that occur in the leaf LEVEL ** k times as often as a template must.
+LEVEL, LEVELS = 8, 6
 
 
 def masked(line: Column) -> Column:
@@ -31,54 +38,101 @@ def masked(line: Column) -> Column:
 
 def with_leaves(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, text_hash and for each different masked line with a token
-    its ``hash``, its ``leaf`` in the tree, and the line."""
+    its ``hash``, its ``leaf`` in the tree, whether it is ``long``, and the line."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     filled = F.filter(F.split(text, "\n", -1), lambda line: line.rlike(f"[^{SPACES}]"))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.array_distinct(F.transform(filled, masked)).alias("lines"))
     n_tokens = lambda line: F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
     leaf = lambda line: F.xxhash64(n_tokens(line), F.substring_index(line, " ", LEADING))
-    parsed = F.transform("lines", lambda line: F.struct(F.xxhash64(line).alias("hash"), leaf(line).alias("leaf"), line.alias("line")))
+    parsed = F.transform("lines", lambda line: F.struct(F.xxhash64(line).alias("hash"), leaf(line).alias("leaf"), (n_tokens(line) >= LONG_TOKENS).alias("long"), line.alias("line")))
     return rows.select("doc_id", "text_hash", F.explode(parsed).alias("x")).select("doc_id", "text_hash", "x.*")
 
 
-def leaf_templates(variants: DataFrame) -> DataFrame:
-    """``(leaf, template)`` from the different lines ``(leaf, line, n_texts)`` of each leaf.
+def group_keys(variants: DataFrame) -> DataFrame:
+    """``(leaf, key, hash, n_texts, need)``: the groups of each line ``(leaf, hash, line, n_texts, need)`` of a leaf.
 
-    Tokens are counted by leaf and position with map-side combine; only the tokens of one
+    One group for each set of pieces, of the lines with equal tokens in all of its pieces (the
+    empty set is the whole leaf), and one for each level, of the lines with equal frequent
+    tokens.  So templates that share a leaf part, unless all pieces have fields and their
+    values are as frequent as the template.
+    """
+    own = F.split("line", " ", -1)
+    tokens = variants.select("leaf", "hash", "n_texts", "need", F.posexplode(own).alias("at", "token"))
+    counts = tokens.groupBy("leaf", "at", "token").agg(F.sum("n_texts").alias("n"), F.max("need").alias("least"))
+    frequent = counts.filter("n >= least").select("leaf", "at", "token", "n")
+    often = tokens.select("leaf", "hash", "at", "token").join(frequent, ["leaf", "at", "token"])
+    often = often.groupBy("leaf", "hash").agg(F.sort_array(F.collect_list(F.struct("at", "token", "n"))).alias("often"))
+    piece = lambda i: F.floor((i - LEADING) * PIECES / F.greatest(F.size("own") - LEADING, F.lit(1)))
+
+    def pieces(chosen: int) -> Column:
+        kept = F.filter("own", lambda t, i: piece(i).isin([k for k in range(PIECES) if chosen >> k & 1]))
+        return F.xxhash64(F.lit(chosen), kept)
+
+    def level(k: int) -> Column:
+        kept = F.filter("often", lambda x: x.n >= F.col("need") * LEVEL**k)
+        return F.xxhash64(F.lit(-1), F.transform(kept, lambda x: F.struct(x.at, x.token)))
+
+    rows = variants.withColumn("own", own).join(often, ["leaf", "hash"], "left")
+    keys = F.array(*[pieces(chosen) for chosen in range(2**PIECES - 1)], *[level(k) for k in range(LEVELS)])
+    return rows.select("leaf", "hash", "n_texts", "need", F.explode(F.array_distinct(keys)).alias("key"))
+
+
+def line_groups(variants: DataFrame) -> DataFrame:
+    """``(leaf, key, hash)`` of the groups that can recur, each set of lines once."""
+    keyed = stage(group_keys(variants), "line-group-keys")
+    members = keyed.groupBy("leaf", "key").agg(
+        F.sum("n_texts").alias("n_texts"), F.max("need").alias("need"), F.count("*").alias("n"), F.bit_xor("hash").alias("mark")
+    )
+    members = members.filter("n > 1 and n_texts >= need").groupBy("leaf", "n", "mark").agg(F.min("key").alias("key"))
+    return keyed.select("leaf", "key", "hash").join(members.select("leaf", "key"), ["leaf", "key"])
+
+
+def group_templates(grouped: DataFrame) -> DataFrame:
+    """``(leaf, key, template)`` from the different lines ``(leaf, key, line, n_texts)`` of each group.
+
+    Tokens are counted by group and position with map-side combine; only the tokens of one
     template, as many as its lines have, come together.
     """
-    tokens = variants.select("leaf", "n_texts", F.posexplode(F.split("line", " ", -1)).alias("at", "token"))
-    counts = tokens.groupBy("leaf", "at", "token").agg(F.sum("n_texts").alias("n"))
-    best = counts.groupBy("leaf", "at").agg(F.max(F.struct("n", "token")).alias("best"), F.sum("n").alias("all"))
+    tokens = grouped.select("leaf", "key", "n_texts", F.posexplode(F.split("line", " ", -1)).alias("at", "token"))
+    counts = tokens.groupBy("leaf", "key", "at", "token").agg(F.sum("n_texts").alias("n"))
+    best = counts.groupBy("leaf", "key", "at").agg(F.max(F.struct("n", "token")).alias("best"), F.sum("n").alias("all"))
     constant = F.when(F.col("best.n") >= MAJORITY * F.col("all"), F.col("best.token")).otherwise(F.lit(FIELD))
-    placed = best.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("at", constant.alias("token")))).alias("t"))
-    return placed.select("leaf", F.transform("t", lambda x: x.token).alias("template"))
+    placed = best.groupBy("leaf", "key").agg(F.sort_array(F.collect_list(F.struct("at", constant.alias("token")))).alias("t"))
+    return placed.select("leaf", "key", F.transform("t", lambda x: x.token).alias("template"))
 
 
 def recurring_lines(lines: DataFrame, min_texts: int = MIN_TEXTS) -> DataFrame:
-    """``(hash, template)`` of the masked lines whose template recurs in ``min_texts`` texts.
+    """``(hash, template, keeper)`` of the masked lines whose template recurs in ``min_texts`` texts.
 
     ``lines`` are those of ``with_leaves``.  Copies of one text count once.  A line that recurs by itself counts as a template even
-    where its leaf's template is another's.
+    where its groups' templates are others'.  Long lines recur from LONG_TEXTS texts on; where they are in less than
+    ``min_texts``, ``keeper`` is the hash of the text that keeps its line.
     """
-    by_leaf = lines.select("leaf", "text_hash").distinct().groupBy("leaf").agg(F.count("*").alias("n"))
-    busy = stage(by_leaf.filter(F.col("n") >= min_texts).select("leaf"), "busy-leaves")
-    busy_lines = lines.join(busy, "leaf").select("text_hash", "hash", "leaf", "line").distinct()
-    variants = stage(busy_lines.groupBy("leaf", "hash", "line").agg(F.count("*").alias("n_texts")), "line-variants")
+    need = F.when(F.col("long"), F.lit(min(LONG_TEXTS, min_texts))).otherwise(F.lit(min_texts))
+    by_leaf = lines.select("leaf", "long", "text_hash").distinct().groupBy("leaf", "long").agg(F.count("*").alias("n"))
+    busy = stage(by_leaf.filter(F.col("n") >= need).select("leaf", need.alias("need")), "busy-leaves")
+    busy_lines = lines.select("text_hash", "hash", "leaf", "line").join(busy, "leaf").distinct()
+    variants = busy_lines.groupBy("leaf", "hash", "line", "need").agg(F.count("*").alias("n_texts"), F.min("text_hash").alias("first"))
+    variants = stage(variants, "line-variants")
+    grouped = stage(line_groups(variants).join(variants, ["leaf", "hash"]), "line-groups")
     same = F.size(F.filter(F.arrays_zip("template", F.split("line", " ", -1).alias("own")), lambda x: x.template == x.own))
     fields = F.size(F.filter("template", lambda t: t == FIELD))
     matched = (
-        variants.join(leaf_templates(variants), "leaf")
+        grouped.join(group_templates(grouped), ["leaf", "key"])
         .withColumn("alike", same >= ALIKE * F.size("template"))
         .withColumn("open", fields < F.size("template"))
     )
-    matched = stage(matched.filter("alike and open").select("leaf", "hash", F.array_join("template", " ").alias("template")), "matched-lines")
-    texts = busy_lines.select("leaf", "hash", "text_hash").join(matched.select("hash", "leaf"), ["leaf", "hash"])
-    texts = texts.select("leaf", "text_hash").distinct().groupBy("leaf").agg(F.count("*").alias("n"))
-    often = texts.filter(F.col("n") >= min_texts).select("leaf")
-    general = matched.join(often, "leaf").select("hash", "template")
-    alone = variants.filter(F.col("n_texts") >= min_texts).select("hash", F.col("line").alias("template"))
-    return general.unionByName(alone).groupBy("hash").agg(F.min("template").alias("template"))
+    matched = matched.filter("alike and open").select("leaf", "key", "hash", "need", F.array_join("template", " ").alias("template"))
+    matched = stage(matched, "matched-lines")
+    texts = busy_lines.select("leaf", "hash", "text_hash").join(matched.select("hash", "leaf", "key", "need"), ["leaf", "hash"])
+    texts = texts.select("leaf", "key", "need", "text_hash").distinct()
+    texts = texts.groupBy("leaf", "key", "need").agg(F.count("*").alias("n"), F.min("text_hash").alias("first"))
+    keeper = lambda n: F.when(F.col(n) < min_texts, F.col("first")).alias("keeper")
+    often = texts.filter("n >= need").select("leaf", "key", keeper("n"))
+    general = matched.join(often, ["leaf", "key"]).select("hash", "template", "keeper")
+    alone = variants.filter("n_texts >= need").select("hash", F.col("line").alias("template"), keeper("n_texts"))
+    kept_once = F.when(F.count("keeper") == F.count("*"), F.min("keeper")).alias("keeper")
+    return general.unionByName(alone).groupBy("hash").agg(F.min("template").alias("template"), kept_once)
 
 
 def without_templates(docs: DataFrame, min_texts: int = MIN_TEXTS) -> DataFrame:
@@ -90,7 +144,8 @@ def without_templates(docs: DataFrame, min_texts: int = MIN_TEXTS) -> DataFrame:
     """
     lines = stage(with_leaves(docs), "template-lines")
     dropped = stage(recurring_lines(lines, min_texts), "recurring-lines")
-    hits = lines.select("doc_id", "text_hash", "hash").join(dropped.select("hash"), "hash").select("doc_id", "text_hash", "hash")
+    hits = lines.select("doc_id", "text_hash", "hash").join(dropped.select("hash", "keeper"), "hash")
+    hits = hits.filter("keeper is null or keeper != text_hash")
     hits = hits.groupBy(F.col("doc_id").alias("_hit_id"), F.col("text_hash").alias("_hit_text")).agg(F.collect_set("hash").alias("_hits"))
     hits = stage(hits, "dropped-by-document")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))

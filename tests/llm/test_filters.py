@@ -249,3 +249,25 @@ def test_line_templates_generalise_fields_and_keep_prose(spark, odd_docs):
     assert line_templates.without_templates(docs, min_texts=10).count() == docs.count()
     few = line_templates.without_templates(docs, min_texts=16).collect()
     assert all(row.n_dropped == 0 for row in few)
+
+
+def test_templates_that_share_a_leaf_and_long_passages_are_all_found(spark):
+    pick = random.Random(9)
+    name = lambda: "".join(pick.choice("bcdfghjklm") for _ in range(7))
+    ends = [("on", "our", "site"), ("in", "the", "shop")]
+    texts = [f"alpha {name()}\nRead more about {name()} {' '.join(ends[i % 2])}" for i in range(30)]
+    texts += [f"beta {name()}\nRead more about {' '.join(name() for _ in range(4))}" for _ in range(60)]  # prose of the same leaf
+    places = [tuple(name() for _ in range(3)) for _ in range(4)]
+    texts += [f"gamma {name()}\nsold by the {name()} near {p[0]} of {name()} {p[1]} to {name()} {p[2]} via {name()} {p[0]}" for p in places for _ in range(12)]
+    passage = " ".join(name() for _ in range(24))
+    shared = passage.split()
+    shared[10] = "changed"
+    texts += [f"delta one {name()}\n{passage}", f"delta two {name()}\n{passage}", f"delta three {name()}\n{' '.join(shared)}"]
+    short = " ".join(name() for _ in range(12))
+    texts += [f"short {name()}\n{short}", f"short {name()}\n{short}"]
+    rows = {row.doc_id: row for row in line_templates.without_templates(documents(spark, texts)).collect()}
+    assert all(rows[i].text == texts[i].split("\n")[0] and rows[i].n_dropped == 1 for i in range(30))
+    assert all(rows[i].n_dropped == 0 for i in range(30, 90))
+    assert all(rows[i].n_dropped == 1 for i in range(90, 138))
+    assert sorted(rows[i].n_dropped for i in range(138, 141)) == [0, 1, 1]  # one text keeps the passage
+    assert rows[141].n_dropped == rows[142].n_dropped == 0
