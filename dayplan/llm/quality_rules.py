@@ -16,9 +16,8 @@ from dayplan.sources.staging import stage
 REPEAT_WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
-#: A line is frequent on a host if more documents than both of these have it.
+#: A line is frequent on a host if more different texts of it have the line, whatever its size.
 LINE_DOCS = 20
-LINE_SHARE = 0.05
 #: A document is depleted if less of its words remains without the frequent lines.
 KEPT_SHARE = 0.3
 
@@ -104,21 +103,25 @@ def signals(docs: DataFrame) -> DataFrame:
     return counted.withColumn("base_failed", few)
 
 
-def frequent_lines(staged: DataFrame, line_docs: int, line_share: float) -> DataFrame:
+def frequent_lines(staged: DataFrame, line_docs: int, line_share: float = 0.0) -> DataFrame:
     """Hashes of the lines that too many different texts of their host have.
 
+    A caller can ask for a share of the host's texts besides; by default size plays no part.
+
     Copies of one text on a host count once, so that copies do not make a text's own
     lines look like page furniture.
     """
     lines = staged.select("host", "text_hash", F.explode(F.array_distinct("lines.line")).alias("line")).distinct()
     by_line = lines.groupBy("line").agg(F.count("*").alias("n_docs"), F.min("host").alias("host"))
     common = by_line.filter(F.col("n_docs") > line_docs)
+    if not line_share:
+        return common.select("line")
     by_host = staged.select("host", "text_hash").distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
     return common.join(by_host, "host").filter(F.col("n_docs") > line_share * F.col("host_docs")).select("line")
 
 
 def judge(
-    docs: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, kept_share: float = KEPT_SHARE
+    docs: DataFrame, line_docs: int = LINE_DOCS, line_share: float = 0.0, kept_share: float = KEPT_SHARE
 ) -> DataFrame:
     """One row per document with the base counts, ``n_kept_chars`` and the verdict ``kept``.
 

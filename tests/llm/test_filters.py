@@ -74,6 +74,18 @@ def test_frequent_lines_deplete_documents_but_copies_do_not(spark):
     assert {row.doc_id for row in kept.collect()} == {i for i, row in rows.items() if row.kept}
 
 
+def test_lines_of_one_section_of_a_large_host_are_frequent(spark):
+    pick = random.Random(15)
+    menu = "the menu of one section of a large host and of no other section"
+    names = lambda n: " ".join("".join(pick.choice("bcdfghjklm") for _ in range(7)) for _ in range(n))
+    texts = [f"{names(12)}\n{menu}" if i < 15 else names(12) for i in range(900)] + [f"{names(2)}\n{menu}" for _ in range(25)]
+    rows = {row.doc_id: row for row in quality_rules.judge(documents(spark, texts)).collect()}
+    squeezed = len(menu.replace(" ", ""))
+    assert all(rows[i].n_kept_chars == rows[i].word_chars - (squeezed if i < 15 else 0) for i in range(900))
+    assert all(rows[i].kept for i in range(900))
+    assert all(not rows[i].kept and not rows[i].base_failed for i in range(900, 925))
+
+
 def test_no_documents_at_all(spark, odd_docs):
     none = odd_docs.limit(0)
     bench = spark.createDataFrame([], "item_id bigint, text string")
