@@ -16,7 +16,7 @@ from dayplan.sources.staging import stage
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8: documents that the quality rules keep."""
+    """Operator 8: documents that the quality rules keep, without the frequent lines of their host."""
     return quality_rules.good_documents(docs)
 
 

@@ -1,8 +1,9 @@
 """Quality rules with cross-document line frequencies (operator 8).
 
-All of it is SQL functions.  The texts are read once: counts of the base rules and the
-hashes of normalised lines are written to a narrow table, and what follows (documents per
-line and host, words in frequent lines per document) only reads that table.
+All of it is SQL functions.  Counts of the base rules and the hashes of normalised lines are
+written to a narrow table, and what follows (documents per line and host, words in frequent
+lines per document) only reads that table.  The texts are read once more to take the frequent
+lines out of them.
 """
 
 from __future__ import annotations
@@ -59,6 +60,16 @@ def repeated_words(pairs: str) -> Column:
     return F.when(F.col(pairs).isNull(), F.lit(0).cast("bigint")).otherwise(covered)
 
 
+def squeezed(line: Column) -> Column:
+    """The line without white space and with 0 for every digit."""
+    return F.translate(line, "123456789" + SPACE_CHARACTERS, "0" * 9)
+
+
+def line_hash(host: Column, line: Column) -> Column:
+    """What stands for a squeezed line of a host."""
+    return F.xxhash64(host, F.lower(line))
+
+
 def signals(docs: DataFrame) -> DataFrame:
     """One row per document, without its text: the counts of the base rules and its lines.
 
@@ -71,9 +82,8 @@ def signals(docs: DataFrame) -> DataFrame:
     parts = ", ".join(f"get(w, i + {k})" for k in range(REPEAT_WINDOW))
     windows = f"if({last} < 0, cast(array() as array<bigint>), transform(sequence(0, {last}), i -> xxhash64({parts})))"
     filled = F.filter(F.split("text", "\n", -1), lambda line: line.rlike(f"[^{SPACES}]"))
-    squeezed = lambda line: F.translate(line, "123456789" + SPACE_CHARACTERS, "0" * 9)
     hashed = lambda line: F.struct(
-        F.xxhash64("source", F.lower(line)).alias("line"), F.length(line).cast("bigint").alias("n")
+        line_hash(F.col("source"), line).alias("line"), F.length(line).cast("bigint").alias("n")
     )
     rows = (
         docs.select(
@@ -120,21 +130,13 @@ def frequent_lines(staged: DataFrame, line_docs: int, line_share: float = 0.0) -
     return common.join(by_host, "host").filter(F.col("n_docs") > line_share * F.col("host_docs")).select("line")
 
 
-def judge(
-    docs: DataFrame, line_docs: int = LINE_DOCS, line_share: float = 0.0, kept_share: float = KEPT_SHARE
-) -> DataFrame:
-    """One row per document with the base counts, ``n_kept_chars`` and the verdict ``kept``.
-
-    A document fails if a base rule fails, or if less than ``kept_share`` of its characters
-    (white space aside) remains without the lines that are frequent on its host.  The host is
-    ``source``; documents without one are a host together.  Repeated rows are judged one by
-    one, alike.
-    """
+def judged(docs: DataFrame, line_docs: int, line_share: float, kept_share: float) -> DataFrame:
+    """The rows of ``judge`` with ``hits``, the hashes of the document's frequent lines, if any."""
     staged = stage(signals(docs), "quality-signals")
     frequent = stage(frequent_lines(staged, line_docs, line_share), "frequent-lines")
     lines = staged.select("row_id", F.explode("lines").alias("at"))
     lines = lines.select("row_id", F.col("at.line").alias("line"), F.col("at.n").alias("n"))
-    removed = lines.join(frequent, "line").groupBy("row_id").agg(F.sum("n").alias("n_removed"))
+    removed = lines.join(frequent, "line").groupBy("row_id").agg(F.sum("n").alias("n_removed"), F.collect_set("line").alias("hits"))
     kept_chars = F.col("word_chars") - F.coalesce("n_removed", F.lit(0))
     depleted = kept_chars < kept_share * F.col("word_chars")
     return staged.join(removed, "row_id", "left").select(
@@ -142,19 +144,66 @@ def judge(
         "base_failed",
         kept_chars.cast("bigint").alias("n_kept_chars"),
         (~F.col("base_failed") & ~depleted).alias("kept"),
+        "hits",
     )
 
 
-def good_documents(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with all their columns and whole texts.
+def judge(
+    docs: DataFrame, line_docs: int = LINE_DOCS, line_share: float = 0.0, kept_share: float = KEPT_SHARE
+) -> DataFrame:
+    """One row per document with the base counts, ``n_kept_chars`` and the verdict ``kept``.
 
-    The verdict depends on text and host alone; rejected rows are found again by doc_id,
+    A document fails if a base rule fails, or if less than ``kept_share`` of its characters
+    (white space aside) remains without the lines that are frequent on its host.  The host is
+    ``source``; documents without one are a host together.  Repeated rows are judged one by
+    one, alike.
+    """
+    return judged(docs, line_docs, line_share, kept_share).drop("hits")
+
+
+def with_verdicts(docs: DataFrame, verdicts: DataFrame, how: str) -> tuple[DataFrame, Column, str]:
+    """``docs`` beside the rows of ``judged`` that are about them in one column, the text without
+    its frequent lines, and the name of the column.
+
+    Verdict and lines depend on text and host alone; the rows are found again by doc_id,
     source and a hash of the text.
     """
-    id_name, host, key = (free_name(docs, name) for name in ("bad_doc_id", "bad_source", "bad_text_hash"))
-    bad = judge(docs).filter(~F.col("kept"))
-    bad = bad.select(F.col("doc_id").alias(id_name), F.col("source").alias(host), F.col("text_hash").alias(key)).distinct()
-    own = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
-    same = docs["doc_id"].eqNullSafe(bad[id_name]) & docs["source"].eqNullSafe(bad[host]) & (own == bad[key])
-    # Rejected rows grow with the corpus: joined by shuffle at every size.
-    return docs.join(bad.hint("merge"), same, "left_anti")
+    v = free_name(docs, "verdict")
+    keys = ["doc_id", "source", "text_hash"]
+    about = verdicts.dropDuplicates(keys).select(F.struct(*verdicts.columns).alias(v))
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    same = docs["doc_id"].eqNullSafe(F.col(f"{v}.doc_id")) & docs["source"].eqNullSafe(F.col(f"{v}.source"))
+    # Verdicts grow with the corpus: joined by shuffle at every size.
+    rows = docs.join(about.hint("merge"), same & (F.xxhash64(text) == F.col(f"{v}.text_hash")), how)
+    host = docs["source"].cast("string")
+    filled = lambda line: line.rlike(f"[^{SPACES}]")
+    goes = lambda line: filled(line) & F.array_contains(F.col(f"{v}.hits"), line_hash(host, squeezed(line)))
+    left = F.array_join(F.filter(F.split(text, "\n", -1), lambda line: ~goes(line)), "\n")
+    return rows, F.when(F.col(f"{v}.hits").isNull(), docs["text"]).otherwise(left), v
+
+
+def judge_texts(docs: DataFrame) -> DataFrame:
+    """The rows of ``judge`` with ``text``, the document's text without the lines that are
+    frequent on its host, whether it is kept or not; a missing text is an empty one."""
+    verdicts = stage(judged(docs, LINE_DOCS, 0.0, KEPT_SHARE), "quality-verdicts")
+    rows, text, v = with_verdicts(docs, verdicts, "inner")
+    return rows.select(f"{v}.*", F.coalesce(text.cast("string"), F.lit("")).alias("text")).drop("hits")
+
+
+def good_documents(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with all their columns, and without the lines
+    that are frequent on their host; ``n_chars``, if there is one, follows a changed text."""
+    found = judged(docs, LINE_DOCS, 0.0, KEPT_SHARE).filter("not kept or hits is not null")
+    rows, text, v = with_verdicts(docs, found, "left")
+    rows = rows.filter(F.coalesce(F.col(f"{v}.kept"), F.lit(True)))
+    changed = F.col(f"{v}.hits").isNotNull()
+    columns = []
+    for name in docs.columns:
+        if name == "text":
+            columns.append(text.alias(name))
+        elif name == "n_chars":
+            kind = docs.schema[name].dataType
+            columns.append(F.when(changed, F.length(text).cast(kind)).otherwise(docs[name]).alias(name))
+        else:
+            columns.append(docs[name])
+    return rows.select(*columns)

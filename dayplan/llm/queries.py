@@ -126,8 +126,8 @@ def op7_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = quality_rules.judge(table(spark, sf_dir, "documents"))
-    return rows.drop("source", "text_hash")
+    rows = quality_rules.judge_texts(table(spark, sf_dir, "documents"))
+    return rows.withColumn("text_sha256", F.sha2("text", 256)).drop("source", "text_hash", "text")
 
 
 def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

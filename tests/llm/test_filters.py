@@ -86,6 +86,25 @@ def test_lines_of_one_section_of_a_large_host_are_frequent(spark):
     assert all(not rows[i].kept and not rows[i].base_failed for i in range(900, 925))
 
 
+def test_frequent_lines_leave_the_texts(spark, odd_docs):
+    pick = random.Random(16)
+    menu = "Home Menu of 12 entries"
+    bodies = [[" ".join(some_words(pick, 12)) for _ in range(2)] for _ in range(25)]
+    texts = [f"{a}\n{menu.replace('12', str(10 + i))} \n\n{b}" for i, (a, b) in enumerate(bodies)]
+    docs = documents(spark, [*texts, texts[0]]).unionByName(odd_docs.selectExpr("doc_id + 100 as doc_id", "text", "lang", "source", "n_chars"))
+    kept = quality_rules.good_documents(docs)
+    assert kept.schema.names == docs.schema.names
+    rows = [row for row in kept.collect() if row.source == "s0"]
+    want = {i: f"{a}\n\n{b}" for i, (a, b) in enumerate([*bodies, bodies[0]])}
+    assert {row.doc_id: row.text for row in rows} == want and len(rows) == 26
+    assert all(row.n_chars == len(row.text) for row in rows)
+    judged = quality_rules.judge_texts(docs).collect()
+    assert len(judged) == docs.count()
+    assert {row.doc_id: row.text for row in judged if row.source == "s0"} == want
+    whole = Counter((row.doc_id, row.text or "") for row in docs.collect() if row.source != "s0")
+    assert Counter((row.doc_id, row.text) for row in judged if row.source != "s0") == whole
+
+
 def test_no_documents_at_all(spark, odd_docs):
     none = odd_docs.limit(0)
     bench = spark.createDataFrame([], "item_id bigint, text string")
