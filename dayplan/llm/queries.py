@@ -8,12 +8,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dayplan.llm import (
+    ball_kmeans,
     line_templates,
     mixing,
     order_minhash,
     positional_index,
+    private_spans,
     quality_rules,
     site_quality,
+    term_ranking,
     token_orc,
     tool_chat,
     url_lists,
@@ -138,6 +141,18 @@ def op10_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return positional_index.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), slop=2)
 
 
+def op11_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_kmeans.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op12_private_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private_spans.find_private(table(spark, sf_dir, "documents"))
+
+
+def op13_term_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return term_ranking.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_warc": op1_warc,
     "op2_mixing": op2_mixing,
@@ -149,8 +164,52 @@ QUERIES: dict[str, Query] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_order_minhash": op9_order_minhash,
     "op10_positional_index": op10_positional_index,
+    "op11_ball_kmeans": op11_ball_kmeans,
+    "op12_private_spans": op12_private_spans,
+    "op13_term_ranking": op13_term_ranking,
 }
 
+
+def ball_kmeans_sql(rounds: int = ball_kmeans.ROUNDS, entries: int = ball_kmeans.ENTRIES) -> str:
+    """Plain k-means by comparing every part with every entry, one pair of views for each round."""
+    views = []
+    for n in range(rounds + 1):
+        views.append(f"""near{n} as materialized (
+            select vec_id, part, min(far * {entries} + entry) as best from (
+                select vec_id, part, entry, sum((x - c) * (x - c)) as far
+                from xs join book{n} using (part, place) group by all) group by all)""")
+        if n < rounds:
+            views.append(f"""book{n + 1} as materialized (
+            select part, entry, place, coalesce(s, c) as c from book{n} left join (
+                select part, best % {entries} as entry, place, floor(sum(x)::double / count(*))::bigint as s
+                from xs join near{n} using (vec_id, part) group by all) using (part, entry, place))""")
+    chain = ",\n        ".join(views)
+    return f"""
+        with kept as materialized (
+            select vec_id, label, row_number() over (order by vec_id) - 1 as turn, len(embedding) // {ball_kmeans.PARTS} as size,
+                list_transform(embedding, lambda x: floor({ball_kmeans.SCALE}::double * x)::bigint) as v
+            from embeddings
+            where embedding is not null and list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x)))
+        ), xs as materialized (
+            select vec_id, turn, (i - 1) // size as part, (i - 1) % size as place, v[i] as x
+            from (select vec_id, turn, size, v, unnest(range(1, len(v) + 1)) as i from kept)
+        ), book0 as materialized (select part, turn as entry, place, x as c from xs where turn < {entries}),
+        {chain}, coded as (
+            select vec_id, string_agg(lower(lpad(to_hex(best % {entries}), 2, '0')), '' order by part) as code,
+                sum(best // {entries})::bigint as error
+            from near{rounds} group by vec_id
+        )
+        select vec_id, code, error, sum(error) over (partition by label)::bigint as label_error,
+            (select sha256(string_agg(c::varchar, ',' order by part, entry, place)) from book{rounds}) as codebooks_sha256
+        from coded join kept using (vec_id)
+    """
+
+
+TERMS_SQL = (
+    "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+)
+
 ORACLE: dict[str, str] = {
     "op2_mixing": f"""
         with sizes as (
@@ -183,4 +242,31 @@ ORACLE: dict[str, str] = {
                 + greatest(least(drawn % source_size - start, size), 0) end::bigint as taken
         from placed
     """,
+    "op11_ball_kmeans": ball_kmeans_sql(),
+    "op13_term_ranking": f"""
+        with docs as (
+            select doc_id, {TERMS_SQL} as terms
+            from documents
+        ), items as (
+            select item_id, unnest({TERMS_SQL}) as term
+            from benchmark
+        ), asked as (select item_id, term, count(*)::bigint as repeats from items group by all),
+        corpus as (
+            select count(*) filter (where len(terms) > 0)::bigint as n_docs, coalesce(sum(len(terms)), 0)::bigint as n_terms from docs
+        ), postings as (
+            select doc_id, any_value(n)::bigint as n, term, count(*)::bigint as tf
+            from (select doc_id, len(terms) as n, unnest(terms) as term from docs)
+            where term in (select term from asked) group by doc_id, term
+        ), weights as (
+            select term, floor(1000 * ln((2 * any_value(n_docs) + 2)::double / (2 * count(*) + 1)::double))::bigint as w
+            from postings, corpus group by term
+        ), scores as (
+            select item_id, doc_id, sum(repeats * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms))))::bigint as score
+            from asked join weights using (term) join postings using (term), corpus group by item_id, doc_id
+        ), ranked as (
+            select item_id, row_number() over (partition by item_id order by score desc, doc_id)::int as rank, doc_id, score
+            from scores where score > 0
+        )
+        select item_id, rank, doc_id, score from ranked where rank <= {term_ranking.TOP}
+    """,
 }
