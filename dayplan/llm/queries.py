@@ -84,7 +84,7 @@ def chat_messages(conversations: DataFrame) -> DataFrame:
     other = F.col("turn") + F.when(digit(key, 2) == 0, 2).otherwise(-2)
     number = F.when(digit(key, 3) < 3, F.lit('"many"')).otherwise(F.length("text").cast("string"))
     query = F.when(digit(key, 4) == 0, F.lit("null")).otherwise(
-        F.regexp_replace(F.to_json(F.struct(F.substring("text", 1, 40).alias("x"))), r'^\{"x":|\}$', "")
+        F.regexp_replace(F.to_json(F.struct(F.col("text").alias("x"))), r'^\{"x":|\}$', "")
     )
     more = F.when(digit(key, 5) < 4, F.concat(F.lit(', "after": "{{'), call_id(other), F.lit('}}"'))).otherwise(F.lit(""))
     arguments = F.when(digit(key, 6) == 0, F.lit("not json")).otherwise(
