@@ -10,8 +10,9 @@ then takes the queries to every segment.  There the terms of a query are taken o
 other, rarest first.  A document gets an accumulator when a term meets it first.  As soon as
 the bounds of the remaining terms together are below the k-th best partial score known to
 the task, no document without an accumulator can be among the k best any more: no further
-ones are created, and the remaining terms update those that there are, exactly.  Each task
-hands on the k best documents of a query, and a window keeps the k best of all.
+ones are created, and the remaining terms update those that there are, exactly.  Queries of a
+block keep step, so that a step is a few array operations however small a segment is.  Each
+task hands on the k best documents of a query, and a window keeps the k best of all.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ SEGMENT_DOCS = 100_000
 #: Bytes of distinct query terms in a block of queries.  A block is broadcast; only a single
 #: query with more terms makes a larger one.
 BLOCK_BYTES = 4_000_000
+#: Accumulators of queries that keep step.
+CELLS = 4_000_000
 
 INDEX_SCHEMA = (
     "segment string, doc_ids array<bigint>, lengths array<int>, terms binary, counts binary,"
@@ -177,23 +180,13 @@ class Segment:
         self.doc_ids = row["doc_ids"]
         self.code = {term: code for code, term in enumerate(row["terms"].split(b" "))} if row["terms"] else {}
         self.counts = unpacked(row["counts"])
-        self.ends = np.cumsum(self.counts)
-        steps, firsts = np.cumsum(unpacked(row["gaps"])), self.ends - self.counts
-        before = steps[firsts] - unpacked(row["gaps"])[firsts] if len(firsts) else steps
-        self.places = steps - np.repeat(before, self.counts)
-        self.times = unpacked(row["times"])
-        self.m = damping(np.array(row["lengths"], np.int64), n_docs, n_terms)
+        self.firsts = np.cumsum(self.counts) - self.counts
+        gaps = unpacked(row["gaps"])
+        steps = np.cumsum(gaps)
+        self.places = steps - np.repeat((steps - gaps)[self.firsts], self.counts)
+        m = damping(np.array(row["lengths"], np.int64), n_docs, n_terms)
+        self.impacts = impact(unpacked(row["times"]), m[self.places])
         self.bounds = impact(unpacked(row["most"]), damping(unpacked(row["least"]), n_docs, n_terms))
-        self.known: dict[int, np.ndarray] = {}
-
-    def postings(self, code: int) -> slice:
-        return slice(self.ends[code] - self.counts[code], self.ends[code])
-
-    def impacts(self, code: int) -> np.ndarray:
-        if code not in self.known:
-            own = self.postings(code)
-            self.known[code] = impact(self.times[own], self.m[self.places[own]])
-        return self.known[code]
 
 
 class Best:
@@ -212,36 +205,63 @@ class Best:
         del self.rows[self.k :]
 
 
-def accumulate(segment: Segment, terms: list[tuple[int, int]], best: Best) -> int:
-    """Scores one query in one segment; returns how many accumulators were created.
+def accumulate(segment: Segment, codes: np.ndarray, weights: np.ndarray, best: list[Best]) -> np.ndarray:
+    """Partial scores that are whole for every document that can be among a query's k best.
 
-    ``terms``: codes, with weights that count repeats, rarest first.
+    ``codes`` has the terms of one query in a row, rarest first, -1 where the segment lacks
+    one; ``weights`` count repeats.  A document without an accumulator has a score of 0.
     """
-    scores = np.zeros(len(segment.doc_ids), np.int64)
-    rest = np.cumsum([w * int(segment.bounds[code]) for code, w in reversed(terms)])[::-1].tolist()
-    survivors = None
-    for (code, w), bound in zip(terms, rest, strict=True):
-        if survivors is None:
-            least = best.least()
-            if len(scores) >= best.k:
-                least = max(least, int(np.partition(scores, -best.k)[-best.k]))
-            if bound < least:  # an equal score could still win by its doc_id
-                survivors = np.flatnonzero(scores)
-        own = segment.postings(code)
-        places = segment.places[own]
-        if survivors is None:
-            scores[places] += w * segment.impacts(code)
-        elif len(survivors):
-            at = np.minimum(np.searchsorted(places, survivors), len(places) - 1)
-            hit = places[at] == survivors
-            which, at = survivors[hit], at[hit] + own.start
-            scores[which] += w * impact(segment.times[at], segment.m[which])
-    created = np.flatnonzero(scores) if survivors is None else survivors
-    able = created[scores[created] >= max(best.least(), 1)]
-    if len(able) > best.k:
-        able = able[scores[able] >= np.partition(scores[able], -best.k)[-best.k]]
-    best.add(scores[able].tolist(), [segment.doc_ids[place] for place in able.tolist()])
-    return len(created)
+    size, k = len(segment.doc_ids), best[0].k
+    here = codes >= 0
+    bounds = np.where(here, weights * segment.bounds[np.where(here, codes, 0)], 0)
+    rest = np.cumsum(bounds[:, ::-1], axis=1)[:, ::-1]
+    reached = np.cumsum(bounds, axis=1) - bounds
+    least = np.array([own.least() for own in best], np.int64)
+    creates = np.ones(len(codes), bool)
+    scores = np.zeros((len(codes), size), np.int64)
+    cells = scores.reshape(-1)
+    for turn in range(codes.shape[1]):
+        # Strictly below: an equal score could still win by its doc_id.
+        creates &= rest[:, turn] >= least
+        if size >= k:
+            rows = np.flatnonzero(creates & (rest[:, turn] < reached[:, turn]))
+            kth = np.partition(scores[rows], size - k, axis=1)[:, size - k]
+            creates[rows[rest[rows, turn] < kth]] = False
+        queries = np.flatnonzero(here[:, turn])
+        terms = codes[queries, turn]
+        counts = segment.counts[terms]
+        owner = np.repeat(queries, counts)
+        at = np.arange(len(owner)) + np.repeat(segment.firsts[terms] - (np.cumsum(counts) - counts), counts)
+        cell = owner * size + segment.places[at]
+        if not creates[queries].all():
+            able = creates[owner] | (cells[cell] > 0)
+            owner, at, cell = owner[able], at[able], cell[able]
+        cells[cell] += weights[owner, turn] * segment.impacts[at]
+    return scores
+
+
+def keep_best(segment: Segment, scores: np.ndarray, best: list[Best]) -> None:
+    for row, own in zip(scores, best, strict=True):
+        able = np.flatnonzero(row >= max(own.least(), 1))
+        if len(able) > own.k:
+            able = able[row[able] >= np.partition(row[able], -own.k)[-own.k]]
+        if len(able):
+            own.add(row[able].tolist(), [segment.doc_ids[place] for place in able.tolist()])
+
+
+def rank_segment(segment: Segment, local: np.ndarray, queries: list[tuple], best: list[Best]) -> None:
+    """All queries, which come by their number of terms, in runs of bounded size."""
+    first, size = 0, len(segment.doc_ids)
+    while first < len(queries):
+        last = first + 1
+        while last < len(queries) and (last + 1 - first) * max(size, len(queries[last][0])) <= CELLS:
+            last += 1
+        run, width = queries[first:last], len(queries[last - 1][0])
+        codes, weights = np.full((len(run), width), -1, np.int64), np.zeros((len(run), width), np.int64)
+        for row, (terms, own) in enumerate(run):
+            codes[row, : len(terms)], weights[row, : len(terms)] = local[terms], own
+        keep_best(segment, accumulate(segment, codes, weights, best[first:last]), best[first:last])
+        first = last
 
 
 def holding(block) -> Callable:
@@ -262,16 +282,15 @@ def holding(block) -> Callable:
 
 def ranker(block, n_docs: int, n_terms: int, k: int) -> Callable:
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = [Best(k) for _ in block.value["queries"]]
+        queries = [(np.array([t for t, _ in terms], np.int64), [w for _, w in terms]) for _, terms in block.value["queries"]]
+        best = [Best(k) for _ in queries]
         for batch in batches:
             for at in range(batch.num_rows):
                 segment = Segment({name: batch.column(name)[at].as_py() for name in batch.schema.names}, n_docs, n_terms)
-                local = [segment.code.get(term, -1) for term in block.value["codes"]]
-                for query, known in zip(block.value["queries"], best, strict=True):
-                    terms = [(local[term], w) for term, w in query if local[term] >= 0]
-                    if terms:
-                        accumulate(segment, terms, known)
-        rows = [(query, doc_id, score) for query, known in enumerate(best) for score, doc_id in known.rows]
+                if len(segment.counts):
+                    local = np.array([segment.code.get(term, -1) for term in block.value["codes"]], np.int64)
+                    rank_segment(segment, local, queries, best)
+        rows = [(number, doc_id, score) for (number, _), own in zip(block.value["queries"], best, strict=True) for score, doc_id in own.rows]
         query, doc_ids, scores = zip(*rows, strict=True) if rows else ((), (), ())
         yield pa.RecordBatch.from_arrays([pa.array(query, pa.int32()), pa.array(doc_ids, pa.int64()), pa.array(scores, pa.int64())], ["query", "doc_id", "score"])
 
@@ -288,11 +307,12 @@ def search_block(index: DataFrame, row, n_docs: int, n_terms: int, k: int) -> Da
     df = {r.term: r.n for r in counts.groupBy("term").agg(F.sum("n").alias("n")).collect()}  # the block's terms
     wanted.unpersist()
     queries, start = [], 0
-    for end in row.ends:
+    for number, end in enumerate(row.ends):
         own = sorted(((df.get(t, 0), t, n) for t, n in zip(owned[start:end], row.repeats[start:end], strict=True)))
         weighed = [(t, n * weight(n_docs, have)) for have, t, n in own if have]
-        queries.append([(t, w) for t, w in weighed if w])  # a weight of 0 adds nothing
+        queries.append((number, [(t, w) for t, w in weighed if w]))  # a weight of 0 adds nothing
         start = end
+    queries = sorted((q for q in queries if q[1]), key=lambda q: len(q[1]))
     block = spark.sparkContext.broadcast({"codes": dict(codes), "queries": queries})
     found = stage(index.drop("segment").mapInArrow(ranker(block, n_docs, n_terms, k), FOUND_SCHEMA), "ranked")
     block.unpersist()
