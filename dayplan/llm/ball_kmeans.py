@@ -91,6 +91,8 @@ def nearest(parts: np.ndarray, before: np.ndarray, balls: Balls) -> tuple[np.nda
     if size == 1 or not len(parts):
         return found, far, made
     active = np.flatnonzero(4 * far >= balls.away[before, 1])
+    if not len(active):
+        return found, far, made
     active = active[np.argsort(before[active], kind="stable")]
     owners, firsts = np.unique(before[active], return_index=True)
     rings = np.empty(len(active), np.int64)
