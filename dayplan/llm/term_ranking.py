@@ -155,9 +155,14 @@ def blocker(block_bytes: int) -> Callable:
 
 
 def query_blocks(queries: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The distinct terms of every query and their repeats, in rows of bounded size."""
+    """The distinct terms of every query and their repeats, in rows of bounded size.
+
+    Tasks are as many as blocks are expected, so that few queries in many partitions do not
+    become a block each.
+    """
     rows = queries.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).distinct()
-    return stage(rows.mapInArrow(blocker(block_bytes), BLOCK_SCHEMA), "ranking-queries")
+    total = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 8).alias("n")).first().n or 0
+    return stage(rows.coalesce(1 + total // block_bytes).mapInArrow(blocker(block_bytes), BLOCK_SCHEMA), "ranking-queries")
 
 
 def weight(n_docs: int, holding: int) -> int:
