@@ -29,6 +29,8 @@ from dayplan.schema import (
     bigint,
     date_value,
     int_or_fail,
+    is_projected,
+    real_day,
 )
 from dayplan.sources.staging import stage
 
@@ -81,11 +83,14 @@ def write_fields(daily: DataFrame, folded: DataFrame, keys: Keys = ()) -> DataFr
 
 
 def overwrite(rows: DataFrame, fields: Sequence[str]) -> DataFrame:
-    """Take the new value of a field where there is one."""
-    for field in fields:
-        if field in rows.columns:
-            rows = rows.withColumn(field, F.coalesce(f"_new_{field}", field))
-    return rows.drop(*[f"_new_{field}" for field in fields])
+    """Take the new value of a field where there is one; a projected day only takes forecasts."""
+    fixed = is_projected() if INVENTORY in rows.columns else F.lit(False)
+    new = {
+        field: F.coalesce(F.when(F.lit(field == FORECAST) | ~fixed, F.col(f"_new_{field}")), field)
+        for field in fields
+        if field in rows.columns
+    }
+    return rows.withColumns(new).drop(*[f"_new_{field}" for field in fields])
 
 
 def flow_amounts(rows: DataFrame, keys: Keys, sign: int = 1) -> DataFrame:
@@ -110,7 +115,8 @@ def apply_edits(
     folded = stage(fold_edits(edits, keys, fields), "edits")
     moving = [f"_new_{field}" for field in (PLAN, DEMAND) if field in fields]
     moved = folded.filter(F.coalesce(*moving).isNotNull()).select(*keys, DATE, *moving)
-    hits = daily.select(*keys, DATE, DEMAND, PLAN).join(moved, [*keys, DATE])
+    real = daily.filter(~is_projected())
+    hits = real.select(*keys, DATE, DEMAND, PLAN).join(moved, [*keys, DATE])
     hits = stage(hits, "hits")
     starts = stage(hits.groupBy(*keys).agg(F.min(DATE).alias("start")), "starts")
     active, earlier, rest = split_at(daily, starts, keys)
@@ -144,20 +150,25 @@ def set_forecast(daily: DataFrame, changes: DataFrame, keys: Keys = ()) -> DataF
 
 
 def edit_report(daily: DataFrame, edits: DataFrame, keys: Keys = ()) -> DataFrame:
-    """Each edit with its outcome: ``updated`` or ``not_found``."""
+    """Each edit with its outcome: ``updated`` or ``not_found``.
+
+    A projected day has no demand and no plan to edit, only its forecast.
+    """
     days = edits.select(*keys, DATE).distinct()
-    hits = daily.select(*keys, DATE).join(days, [*keys, DATE]).withColumn("_hit", F.lit(True))
+    held = daily.select(*keys, DATE, (~is_projected()).alias("_real"))
+    hits = held.join(days, [*keys, DATE]).withColumn("_hit", F.lit(True))
     # Written, so that the join below can split a day with very many edits.
     hits = stage(hits, "hits")
     missing = F.concat(F.lit("No record found for date "), F.col(DATE).cast("string"), F.lit("."))
+    done = F.coalesce(F.col("_hit") & (F.col("_real") | (F.col("field") == FORECAST)), F.lit(False))
     return edits.join(hits, [*keys, DATE], "left").select(
         *keys,
         DATE,
         "field",
         "value",
         "seq",
-        F.when(F.col("_hit"), "updated").otherwise("not_found").alias("outcome"),
-        F.when(F.col("_hit").isNull(), missing).alias("message"),
+        F.when(done, "updated").otherwise("not_found").alias("outcome"),
+        F.when(~done, missing).alias("message"),
     )
 
 
@@ -168,6 +179,7 @@ def shift_demand(
     if offset == 0:
         return daily
     moved = int_or_fail(F.col(DEMAND), DEMAND, on_null) + F.lit(int(offset)).cast("bigint")
+    moved = F.when(~is_projected(), moved)
     return recalc_inventory(daily.withColumn(DEMAND, moved), None, keys, on_null)
 
 
@@ -268,8 +280,8 @@ def extend_calendar(
     keys: Keys = (),
     as_of: str | dt.date | None = None,
 ) -> DataFrame:
-    """``days`` consecutive dates per series, from ``start`` or the day after its last one."""
-    ends = daily.groupBy(*keys).agg(F.max(DATE).alias("_last"))
+    """``days`` consecutive dates per series, from ``start`` or the day after its last real one."""
+    ends = daily.groupBy(*keys).agg(F.max(real_day()).alias("_last"))
     first = F.date_add("_last", 1) if start is None else date_value(start, as_of)
     spine = ends.withColumn("_first", first).filter(F.col("_first").isNotNull())
     last = F.date_add("_first", days - 1)

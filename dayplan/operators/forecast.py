@@ -27,6 +27,7 @@ from dayplan.schema import (
     PLAN,
     Keys,
     date_value,
+    is_projected,
 )
 from dayplan.sources.staging import stage
 
@@ -37,6 +38,13 @@ LONGEST_YEAR = 366
 Day = str | dt.date | Column
 
 
+def history_of(daily: DataFrame, keys: Keys = ()) -> DataFrame:
+    """Demand of the real days; tables of demand alone hold nothing else."""
+    if {DEMAND, PLAN, INVENTORY} <= set(daily.columns):
+        daily = daily.filter(~is_projected())
+    return daily.select(*keys, DATE, DEMAND)
+
+
 def ordered_points() -> Column:
     """Demands of a group in date order."""
     points = F.array_sort(F.collect_list(F.struct(DATE, DEMAND)))
@@ -54,7 +62,7 @@ def year_levels(daily: DataFrame, alpha: float, keys: Keys) -> DataFrame:
         "points", F.lit(0.0), lambda level, value: level * fade + value * F.lit(float(alpha))
     )
     years = (
-        with_year(daily.select(*keys, DATE, DEMAND))
+        with_year(history_of(daily, keys))
         .groupBy(*keys, YEAR)
         .agg(
             ordered_points().alias("points"),
@@ -105,7 +113,7 @@ def moving_average_level(daily: DataFrame, window: int = 3, keys: Keys = ()) ->
     """
     if window < 1:
         raise ValueError("window must be at least 1")
-    rows = daily.select(*keys, DATE, DEMAND)
+    rows = history_of(daily, keys)
     if window > LONGEST_YEAR:
         rows = closing_years(rows, window, keys)
     level = (
@@ -225,7 +233,7 @@ def history_until(
     """
     cut = date_value(start, as_of)
     inside = F.col(DATE) <= cut if include_start else F.col(DATE) < cut
-    rows = daily.select(*keys, DATE, DEMAND)
+    rows = history_of(daily, keys)
     begins = rows.groupBy(*keys).agg(F.min(DATE).alias("_first"))
     if keys:
         # Written, so that its true size decides how it is joined.
@@ -263,9 +271,16 @@ def future_forecast_rows(
     include_start: bool = True,
     as_of: Day | None = None,
 ) -> DataFrame:
-    """Dated forecasts: from ``start``, or from the day after the last known one."""
+    """Dated forecasts: from ``start``, or from the day after the last real one."""
     history = daily if start is None else history_until(daily, start, keys, include_start, as_of)
     level = forecast_level(history, method, alpha, window, keys)
+    return dated_rows(level, periods, start, keys, as_of)
+
+
+def dated_rows(
+    level: DataFrame, periods: int, start: Day | None = None, keys: Keys = (), as_of: Day | None = None
+) -> DataFrame:
+    """One row per forecast day of each level."""
     first = F.date_add("last_date", 1) if start is None else date_value(start, as_of)
     dated = level.filter(F.lit(periods > 0)).withColumn("_first", first)
     days = F.sequence("_first", F.date_add("_first", max(periods, 1) - 1))
@@ -278,7 +293,8 @@ def persist_forecast(
     """Store dated forecasts as whole numbers.
 
     ``update`` only fills days the table already has.  ``upsert`` also adds the other
-    days, with no demand, plan or inventory yet.
+    days.  Those are projected days, without demand, plan or balance: no operator takes them
+    for history, and the latest inventory stays that of the last real day.
     """
     if mode not in ("update", "upsert"):
         raise ValueError(f"mode must be 'update' or 'upsert', not {mode!r}")
@@ -312,7 +328,7 @@ def moving_average_series(daily: DataFrame, window: int = 3, keys: Keys = ()) ->
     """
     if window < 1:
         raise ValueError("window must be at least 1")
-    rows = daily.select(*keys, DATE, DEMAND)
+    rows = history_of(daily, keys)
     result = "moving_average"
     order = W.partitionBy(*keys, YEAR).orderBy(DATE)
     inside = order.rowsBetween(1 - window, W.currentRow)
@@ -346,7 +362,7 @@ def demand_forecast_series(
     daily: DataFrame, periods: int = 5, alpha: float = 0.5, keys: Keys = ()
 ) -> DataFrame:
     """History and forecast as the two labelled lines of one chart."""
-    history = daily.select(
+    history = history_of(daily, keys).select(
         *keys,
         DATE,
         F.lit("Historical Demand").alias("series"),

@@ -17,10 +17,10 @@ from dayplan.schema import (
     bigint,
     date_value,
     int_or_fail,
+    is_projected,
+    real_day,
 )
 
-# Up to this many starting days a join with them is expected to be broadcast.
-
 Start = str | dt.date | Column | DataFrame | None
 
 
@@ -32,11 +32,11 @@ def net_flow(on_null: str = "error") -> Column:
 def opening_balance(earlier: DataFrame, keys: Keys = (), on_null: str = "error") -> DataFrame:
     """Stored inventory of each series on its latest day in ``earlier``.
 
-    The stored value counts even if it is stale.  No earlier day means no row, or
-    an opening of 0 when there are no keys.
+    The stored value counts even if it is stale.  No earlier day means no row or an
+    opening of 0; projected days do not count.
     """
     latest = earlier.groupBy(*keys).agg(
-        F.max_by(INVENTORY, DATE).alias("opening"), F.max(DATE).alias("_last")
+        F.max_by(INVENTORY, real_day()).alias("opening"), F.max(real_day()).alias("_last")
     )
     balance = F.when(F.col("_last").isNull(), F.lit(0)).otherwise(
         int_or_fail(F.col("opening"), INVENTORY, on_null)
@@ -52,11 +52,19 @@ def renumber(
     by_series: bool = False,
     addends: DataFrame | None = None,
 ) -> DataFrame:
-    """``active`` with inventory carried forward from the last day of ``earlier``."""
+    """``active`` with inventory carried forward from the last day of ``earlier``.
+
+    Projected days move no stock and keep their empty balance.
+    """
     opening = None if earlier is None else opening_balance(earlier, keys, on_null)
+    rows = active.withColumn("_projected", is_projected())
+    flow = F.when(F.col("_projected"), F.lit(0).cast("bigint")).otherwise(net_flow(on_null))
     if by_series:
-        return running_total_by_series(active, keys, net_flow(on_null), INVENTORY, opening)
-    return running_total(active, keys, net_flow(on_null), INVENTORY, opening, addends)
+        out = running_total_by_series(rows, keys, flow, INVENTORY, opening)
+    else:
+        out = running_total(rows, keys, flow, INVENTORY, opening, addends)
+    balance = F.when(~F.col("_projected"), F.col(INVENTORY))
+    return out.withColumn(INVENTORY, balance).drop("_projected")
 
 
 def split_at(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dayplan.functions.numbers import half_even
-from dayplan.schema import DATE, DEMAND, INVENTORY, PLAN, Keys, bigint
+from dayplan.schema import DEMAND, INVENTORY, PLAN, Keys, bigint, real_day
 
 
 def column_summary(daily: DataFrame, column: str, label: str, keys: Keys = ()) -> DataFrame:
@@ -34,8 +34,8 @@ def inventory_summary(daily: DataFrame, keys: Keys = ()) -> DataFrame:
 
 
 def latest_inventory(daily: DataFrame, keys: Keys = ()) -> DataFrame:
-    """Inventory of the last day, without sorting; 0 for an empty table."""
-    last = F.coalesce(bigint(F.max_by(INVENTORY, DATE)), F.lit(0).cast("bigint"))
+    """Inventory of the last real day, without sorting; 0 for an empty table."""
+    last = F.coalesce(bigint(F.max_by(INVENTORY, real_day())), F.lit(0).cast("bigint"))
     return daily.groupBy(*keys).agg(last.alias("latest_inventory"))
 
 
@@ -45,14 +45,14 @@ def kpi_cards(daily: DataFrame, keys: Keys = ()) -> DataFrame:
     return daily.groupBy(*keys).agg(
         F.coalesce(bigint(F.sum(PLAN)), zero).alias("total_production"),
         F.coalesce(bigint(F.sum(DEMAND)), zero).alias("total_demand"),
-        F.coalesce(bigint(F.max_by(INVENTORY, DATE)), zero).alias("projected_inventory"),
+        F.coalesce(bigint(F.max_by(INVENTORY, real_day())), zero).alias("projected_inventory"),
     )
 
 
 def history_bounds(daily: DataFrame, keys: Keys = ()) -> DataFrame:
-    """First and last date of each series, and how many days it has."""
+    """First and last real date of each series, and how many such days it has."""
     return daily.groupBy(*keys).agg(
-        F.min(DATE).alias("first_date"),
-        F.max(DATE).alias("last_date"),
-        bigint(F.count("*")).alias("days"),
+        F.min(real_day()).alias("first_date"),
+        F.max(real_day()).alias("last_date"),
+        bigint(F.count(real_day())).alias("days"),
     )

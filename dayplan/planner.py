@@ -133,13 +133,14 @@ class Planner:
         return rows
 
     def forecast_to_plan(self, periods: int = 7, start_date: Day | None = None) -> DataFrame:
-        """Forecast, plan production to match, and return the stockouts that remain."""
+        """Forecast, plan production to match, and return the outcome of every series."""
         base, before = self.table.read_for_change()
         planned = forecast_to_plan(
             before, periods, start_date, keys=self.keys, as_of=self._today()
         )
-        self.table.publish(planned, base=base)
-        return self.get_stockouts()
+        outcomes = stage(planned.outcomes, "outcomes")
+        self.table.publish(planned.table, base=base)
+        return outcomes
 
     def write_days(self, days: DataFrame, recalc_tail: bool = True) -> None:
         """Add or overwrite whole days."""

@@ -74,6 +74,10 @@ VIEWS = {
     row_number() over (partition by series_key order by date desc) as back
   from daily_by_brand""",
     "periods": "select unnest(range(1, 8)) as period",
+    "uneven": """
+  select series_key, date, case when not (series_key like '%2' and day(date) = 13) then demand end as demand,
+    production_plan, forecast, inventory
+  from daily_by_brand where not (series_key like '%1' and date >= date '1995-01-10')""",
 }
 
 NEEDS = {
@@ -82,6 +86,7 @@ NEEDS = {
     "edits": ["daily_by_brand"],
     "changes": ["daily_by_brand"],
     "numbered": ["daily_by_brand"],
+    "uneven": ["daily_by_brand"],
 }
 
 
@@ -262,20 +267,54 @@ TEXT_DATES = """select strftime(date, '%Y-%m-%d') as date_text, demand from dail
     cast(year(date) as varchar)), demand + 2 from daily_all where day(date) = 4
   union all select 'not-a-date', 0"""
 
+PROJECTED = {
+    "level": smoothed_sql("numbered", "series_key"),
+    "projected": f"""select {DAILY} from daily_by_brand
+          union all
+          select series_key, cast(last_date + n as date), null, null, cast(trunc(forecast) as bigint), null
+          from level, (select cast(unnest(range(1, 15)) as int) as n)""",
+}
+
+UNEVEN_PLAN = {
+    "failed": """select series_key, case when count(demand) < count(*) then 'missing_demand'
+            else 'insufficient_history' end as status
+          from uneven group by 1 having count(demand) < count(*) or count(*) < 10""",
+    "placed": """select series_key, date, demand,
+            row_number() over (partition by series_key order by date) as i
+          from uneven where series_key not in (select series_key from failed)""",
+    "level": smoothed_sql("placed", "series_key"),
+    "ahead": """select l.series_key, cast(last_date + cast(period as int) as date) as date,
+            cast(trunc(forecast) as bigint) as demand, b, points
+          from level l, periods, (select series_key as k, arg_max(inventory, date) as b, count(*) as points
+            from uneven group by 1) where k = l.series_key""",
+}
+
+
+
+def nearest_sql(view: str, key: str = "") -> str:
+    """Misses with slices of the whole sorted list of dates."""
+    joined = "using (series_key)" if key else "on true"
+    return using(
+        view,
+        f"""select {key}date, list_contains(dates, date) as found,
+          case when not list_contains(dates, date) then
+            array_to_string(list_filter(dates, lambda d: d < date)[-4:], ',') end as dates_before,
+          case when not list_contains(dates, date) then
+            array_to_string(list_filter(dates, lambda d: d > date)[:4], ',') end as dates_after
+        from wanted join offered {joined}""",
+        wanted=f"""select distinct {key}cast(date_trunc('month', date) + interval 60 month as date) as date from {view}
+          union select distinct {key}date '1980-06-15' from {view}""",
+        offered=f"select {key}list(date order by date) as dates from {view} {'group by series_key' if key else ''}",
+    )
+
+
 ORACLE: dict[str, str] = {
     "scan_daily": using("daily_by_brand", f"select {DAILY} from daily_by_brand"),
     "lookup_daily": using(
         "daily_by_brand", f"select {DAILY} from daily_by_brand where date = date '1996-06-01'"
     ),
-    "lookup_available_dates": using(
-        "daily_all",
-        """select w.date, d.date is not null as found,
-          case when d.date is null then
-            (select string_agg(cast(date as varchar), ',' order by date) from daily_all) end as available_dates
-        from wanted w left join daily_all d on d.date = w.date""",
-        wanted="""select distinct cast(date_trunc('month', date) + interval 60 month as date) as date
-          from daily_all""",
-    ),
+    "lookup_available_dates": nearest_sql("daily_by_brand", "series_key, "),
+    "lookup_available_dates_single": nearest_sql("daily_all"),
     "publish_snapshot": using("daily_by_brand", f"select {DAILY} from daily_by_brand"),
     "append_messages": using(
         "history",
@@ -467,16 +506,64 @@ ORACLE: dict[str, str] = {
         cut=CUT_NUMBERED,
         level="select series_key, round_even(avg(demand), 2) as forecast from cut where back <= 3 group by 1",
     ),
+    "persist_forecast_upsert": using(
+        "numbered periods", f"select {DAILY} from projected", **PROJECTED
+    ),
+    "latest_inventory_projected": using(
+        "daily_by_brand",
+        """select series_key, inventory as latest_inventory from daily_by_brand
+        qualify row_number() over (partition by series_key order by date desc) = 1""",
+    ),
+    "apply_edits_projected": using(
+        "edits numbered periods",
+        """select e.series_key, e.date, demand, production_plan, forecast,
+          cast(case when inventory is null then null when start is null or e.date < start then inventory
+            else coalesce(b, 0) + sum(case when e.date >= start then production_plan - demand else 0 end)
+              over (partition by e.series_key order by e.date) end as bigint) as inventory
+        from edited e left join starts using (series_key) left join base using (series_key)""",
+        **PROJECTED,
+        folded="""select series_key, date,
+            arg_max(value, seq) filter (where field = 'production_plan') as p,
+            arg_max(value, seq) filter (where field = 'demand') as d
+          from edits group by 1, 2""",
+        edited="""select s.series_key, s.date, coalesce(d, demand) as demand,
+            coalesce(p, production_plan) as production_plan,
+            case when inventory is null and s.date = last_date + 3 then 77 else s.forecast end as forecast,
+            inventory, p is not null or d is not null as hit
+          from projected s left join folded f on f.series_key = s.series_key and f.date = s.date
+          join level on level.series_key = s.series_key""",
+        starts="select series_key, min(date) as start from edited where hit group by 1",
+        base="""select e.series_key, arg_max(inventory, date) as b
+          from edited e join starts using (series_key) where date < start group by 1""",
+    ),
     "forecast_to_plan": using(
+        "uneven periods",
+        """select series_key, date, demand, production_plan, forecast, inventory,
+          coalesce(status, 'planned') as status
+        from uneven left join failed using (series_key)
+        union all
+        select series_key, date, demand, demand, demand, b, 'planned' from ahead""",
+        **UNEVEN_PLAN,
+    ),
+    "forecast_to_plan_outcomes": using(
+        "uneven periods",
+        """select series_key, status, count(*) as points_used, max(date) as last_date,
+          cast(null as bigint) as forecast, cast(null as date) as first_planned,
+          cast(null as date) as last_planned, cast(0 as bigint) as days_planned
+        from uneven join failed using (series_key) group by 1, 2
+        union all
+        select series_key, 'planned', max(points), min(date) - 1, max(demand), min(date), max(date), count(*)
+        from ahead group by 1""",
+        **UNEVEN_PLAN,
+    ),
+    "forecast_to_plan_projected": using(
         "numbered periods",
-        """select series_key, date, demand, production_plan, inventory
-        from daily_by_brand where inventory <= 0
+        f"""select {DAILY}, 'planned' as status from daily_by_brand
         union all
-        select l.series_key, cast(last_date + cast(period as int) as date), cast(trunc(forecast) as bigint),
-          cast(trunc(forecast) as bigint), b
-        from level l, periods, (select series_key as k, arg_max(inventory, date) as b
-          from daily_by_brand group by 1) where k = l.series_key and b <= 0""",
-        level=smoothed_sql("numbered", "series_key"),
+        select p.series_key, p.date, p.forecast, p.forecast, p.forecast, b, 'planned'
+        from projected p join (select series_key, arg_max(inventory, date) as b
+          from daily_by_brand group by 1) using (series_key) where inventory is null""",
+        **PROJECTED,
     ),
     "normalize_date": using(
         "daily_all",

@@ -44,13 +44,18 @@ def edits_of(spark: SparkSession, sf_dir: str, field: str) -> DataFrame:
     return views.edits(spark, sf_dir).filter(F.col("field") == field)
 
 
-def available_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every first of a month of the calendar, moved on by five years."""
-    rows = views.daily(spark, sf_dir, None)
-    wanted = rows.select(F.add_months(F.trunc(DATE, "month"), 60).alias(DATE))
-    found = scans.lookup_available_dates(rows, wanted)
-    listed = F.array_join(F.transform("available_dates", lambda day: day.cast("string")), ",")
-    return found.select(DATE, "found", listed.alias("available_dates"))
+def nearest_dates(spark: SparkSession, sf_dir: str, by: str | None) -> DataFrame:
+    """Every first of a month of a series, moved on by five years, and one day of 1980."""
+    keys = [] if by is None else KEYS
+    rows = views.daily(spark, sf_dir, by)
+    months = rows.select(*keys, F.add_months(F.trunc(DATE, "month"), 60).alias(DATE))
+    early = rows.select(*keys, F.lit("1980-06-15").cast("date").alias(DATE))
+    found = scans.lookup_available_dates(rows, months.unionByName(early), keys, 4)
+    listed = [
+        F.array_join(F.transform(name, lambda day: day.cast("string")), ",").alias(name)
+        for name in ("dates_before", "dates_after")
+    ]
+    return found.select(*keys, DATE, "found", *listed)
 
 
 def without_forecast(daily: DataFrame) -> DataFrame:
@@ -89,6 +94,19 @@ def renamed_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     return users.set_display_name(text_users(spark, sf_dir), changes)
 
 
+def projected_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edit list, and demand and forecast edits of projected days."""
+    ends = views.daily(spark, sf_dir).groupBy(*KEYS).agg(F.max(DATE).alias("last"))
+    ahead = ends.select(
+        *KEYS,
+        F.date_add("last", 3).alias(DATE),
+        F.explode(F.array(F.lit(DEMAND), F.lit(FORECAST))).alias("field"),
+        F.lit(77).cast("bigint").alias("value"),
+        F.lit(5).cast("bigint").alias("seq"),
+    )
+    return views.edits(spark, sf_dir).unionByName(ahead)
+
+
 def staged_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = views.agent_events(spark, sf_dir)
     early = F.col("kind").isin("raw_response", "tool_called")
@@ -118,7 +136,8 @@ QUERIES: dict[str, Query] = {
     # scans, sources, sinks
     "scan_daily": on_daily(lambda d: scans.scan_daily(d, KEYS)),
     "lookup_daily": on_daily(lambda d: scans.lookup_daily(d, "June 1996", KEYS)),
-    "lookup_available_dates": available_dates,
+    "lookup_available_dates": lambda spark, sf_dir: nearest_dates(spark, sf_dir, "brand"),
+    "lookup_available_dates_single": lambda spark, sf_dir: nearest_dates(spark, sf_dir, None),
     "publish_snapshot": lambda spark, sf_dir: publish_snapshot(
         views.daily(spark, sf_dir), new_path(spark, "published")
     ),
@@ -188,7 +207,22 @@ QUERIES: dict[str, Query] = {
             d, fc.future_forecast_rows(d, 14, START, method="moving_average", keys=KEYS), KEYS
         )
     ),
-    "forecast_to_plan": on_daily(lambda d: inv.stockouts(forecast_to_plan(d, keys=KEYS), KEYS)),
+    "persist_forecast_upsert": views.projected,
+    "latest_inventory_projected": lambda spark, sf_dir: summary.latest_inventory(
+        views.projected(spark, sf_dir), KEYS
+    ),
+    "apply_edits_projected": lambda spark, sf_dir: ed.apply_edits(
+        views.projected(spark, sf_dir), projected_edits(spark, sf_dir), KEYS
+    ),
+    "forecast_to_plan": lambda spark, sf_dir: forecast_to_plan(
+        views.daily_uneven(spark, sf_dir), keys=KEYS
+    ).with_status(),
+    "forecast_to_plan_outcomes": lambda spark, sf_dir: forecast_to_plan(
+        views.daily_uneven(spark, sf_dir), keys=KEYS
+    ).outcomes,
+    "forecast_to_plan_projected": lambda spark, sf_dir: forecast_to_plan(
+        views.projected(spark, sf_dir), 14, keys=KEYS
+    ).with_status(),
     # dates and migrations
     "normalize_date": lambda spark, sf_dir: views.date_texts(spark, sf_dir).withColumn(
         "parsed", normalize_date(F.col("raw"), AS_OF)

@@ -71,6 +71,20 @@ EVENT_SCHEMA = T.StructType(
 )
 
 
+def is_projected() -> Column:
+    """A day that holds nothing but a stored forecast: beyond the horizon of the history.
+
+    Such days have no balance and take no part in history, summaries or "latest" until
+    they get a demand and a plan.
+    """
+    return F.col(DEMAND).isNull() & F.col(PLAN).isNull() & F.col(INVENTORY).isNull()
+
+
+def real_day() -> Column:
+    """The date of a real day, NULL on a projected one."""
+    return F.when(~is_projected(), F.col(DATE))
+
+
 def bigint(column: Column) -> Column:
     return column.cast(T.LongType())
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dayplan.operators.forecast import future_forecast_rows, persist_forecast
 from dayplan.operators.running import number_rows, running_total
 from dayplan.schema import DAILY_COLUMNS, DATE, DEMAND, FORECAST, INVENTORY, PLAN, bigint
 from dayplan.sources.staging import stage_once
@@ -213,6 +214,21 @@ def marked_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def daily_uneven(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The daily table with series of at most nine days, and with days that lack a demand."""
+    rows = daily(spark, sf_dir)
+    short = F.col(SERIES).endswith("1") & (F.col(DATE) >= F.lit("1995-01-10").cast("date"))
+    gap = F.col(SERIES).endswith("2") & (F.dayofmonth(DATE) == 13)
+    return rows.filter(~short).withColumn(DEMAND, F.when(~gap, F.col(DEMAND)))
+
+
+def projected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The daily table with two weeks of stored projections beyond the history of each series."""
+    rows = daily(spark, sf_dir)
+    ahead = future_forecast_rows(rows, 14, keys=[SERIES])
+    return persist_forecast(rows, ahead, [SERIES], "upsert")
+
+
 def date_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every day of the daily table written in one of eight ways."""
     day = F.dayofmonth(DATE)

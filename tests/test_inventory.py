@@ -159,8 +159,8 @@ def test_missed_dates_list_what_is_available(spark, daily_13):
     asked = spark.createDataFrame([(day("2024-01-05"),), (day("2024-02-05"),)], "date date")
     found = {row["date"]: row for row in scans.lookup_available_dates(daily_13, asked).collect()}
     assert found[day("2024-01-05")]["found"] and not found[day("2024-02-05")]["found"]
-    assert found[day("2024-01-05")]["available_dates"] is None
-    assert found[day("2024-02-05")]["available_dates"] == [dt.date(2024, 1, i) for i in range(1, 14)]
+    assert found[day("2024-01-05")]["dates_before"] is None
+    assert found[day("2024-02-05")]["dates_before"] == [dt.date(2024, 1, i) for i in range(9, 14)]
 
 
 def test_missed_dates_by_series(spark, many):
@@ -168,8 +168,8 @@ def test_missed_dates_by_series(spark, many):
     asked = spark.createDataFrame([("s2", day("1999-01-01")), ("none", day("1999-01-01"))],
                                   "series_key string, date date")
     found = scans.lookup_available_dates(daily, asked, KEYS)
-    held = {row["series_key"]: row["available_dates"] for row in found.collect()}
-    assert held == {"s2": [row[1] for row in by_series(rows)["s2"]], "none": None}
+    held = {row["series_key"]: row["dates_after"] for row in found.collect()}
+    assert held == {"s2": [row[1] for row in by_series(rows)["s2"]][:5], "none": []}
 
 
 def test_positions_in_a_series(many):

@@ -74,7 +74,8 @@ def test_a_forecast_is_stored(planner):
 
 
 def test_forecast_and_plan(planner):
-    assert planner.forecast_to_plan(3).count() == 0
+    assert values(planner.forecast_to_plan(3), "status") == ["planned"]
+    assert planner.get_stockouts().count() == 0
     rows = values(planner.get_daily_data(), "production_plan", "inventory")
     assert rows[-3:] == [(112, 10)] * 3
 
