@@ -2,6 +2,6 @@
 
 from dayplan.planner import Planner
 from dayplan.session import build_session
-from dayplan.sources.snapshots import SnapshotTable
+from dayplan.sources.tables import StoredTable
 
-__all__ = ["Planner", "SnapshotTable", "build_session"]
+__all__ = ["Planner", "StoredTable", "build_session"]

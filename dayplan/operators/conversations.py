@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from dayplan.functions.markup import parsed_lines
 from dayplan.operators.running import number_rows
 from dayplan.schema import MESSAGE_SCHEMA, bigint
-from dayplan.sources.snapshots import SnapshotTable
+from dayplan.sources.tables import StoredTable
 from dayplan.sources.staging import stage
 
 # Label texts and the layouts a stored timestamp may have.
@@ -47,13 +47,15 @@ def appended_log(log: DataFrame, batch: DataFrame, order: list[str] | None = Non
     return log.select(*MESSAGE_COLUMNS).unionByName(append_messages(log, batch, order))
 
 
-def save_messages(table: SnapshotTable, batch: DataFrame, order: list[str] | None = None) -> DataFrame:
-    """Append a batch to a published log and return its rows with their ids."""
-    spark = table.spark
-    empty = spark.createDataFrame([], MESSAGE_SCHEMA)
-    base, log = table.read_for_change() if table.versions() else (0, empty)
-    rows = stage(append_messages(log, batch, order), "messages")
-    table.append(rows, base)
+def save_messages(table: StoredTable, batch: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """Append a batch to a stored log and return its rows with their ids.
+
+    Batches are numbered after the log that is there, so a log has one writer at a time.
+    """
+    if not table.exists():
+        table.create(table.spark.createDataFrame([], MESSAGE_SCHEMA), layout=None)
+    rows = stage(append_messages(table.read(), batch, order), "messages")
+    table.append(rows)
     return rows
 
 

@@ -34,8 +34,12 @@ from dayplan.schema import (
 )
 from dayplan.sources.staging import stage
 
-# Outcome texts of clearing a forecast range.
+# Outcome texts.
 NO_FORECAST_TEXT = "No forecast values found in the specified date range."
+NO_OFFSET_TEXT = "Offset is zero; no changes made."
+NO_DATA_TEXT = "No data available to update."
+ALL_CLEARED_TEXT = "All forecast values cleared."
+UNREADABLE_TEXT = "The date could not be read: {}"
 
 
 def one_edit(
@@ -150,7 +154,8 @@ def set_forecast(daily: DataFrame, changes: DataFrame, keys: Keys = ()) -> DataF
 
 
 def edit_report(daily: DataFrame, edits: DataFrame, keys: Keys = ()) -> DataFrame:
-    """Each edit with its outcome: ``updated`` or ``not_found``.
+    """Each edit with its outcome: ``updated``, ``not_found``, or ``invalid_date`` for one
+    without a date, such as from a text that could not be read.
 
     A projected day has no demand and no plan to edit, only its forecast.
     """
@@ -167,8 +172,8 @@ def edit_report(daily: DataFrame, edits: DataFrame, keys: Keys = ()) -> DataFram
         "field",
         "value",
         "seq",
-        F.when(done, "updated").otherwise("not_found").alias("outcome"),
-        F.when(~done, missing).alias("message"),
+        F.when(done, "updated").when(F.col(DATE).isNull(), "invalid_date").otherwise("not_found").alias("outcome"),
+        F.when(~done, F.coalesce(missing, F.lit(UNREADABLE_TEXT.format("NULL")))).alias("message"),
     )
 
 
@@ -183,6 +188,23 @@ def shift_demand(
     return recalc_inventory(daily.withColumn(DEMAND, moved), None, keys, on_null)
 
 
+def shift_outcome(daily: DataFrame, offset: int) -> DataFrame:
+    """What shifting all demand amounts to: one row with the days changed and a message."""
+    days = daily.agg(bigint(F.count_if(~is_projected())).alias("days"))
+    changed = F.when(F.lit(offset != 0), F.col("days")).otherwise(F.lit(0).cast("bigint"))
+    done = F.format_string(
+        f"Demand increased by {int(offset)} units for %d days. Inventory recalculated cumulatively.", "days"
+    )
+    text = F.when(F.lit(offset == 0), NO_OFFSET_TEXT).when(F.col("days") == 0, NO_DATA_TEXT).otherwise(done)
+    return days.select(changed.alias("changed"), text.alias("message"))
+
+
+def clear_all_outcome(daily: DataFrame) -> DataFrame:
+    """What clearing all forecasts amounts to: one row with the forecasts cleared and a message."""
+    cleared = daily.agg(bigint(F.count(FORECAST)).alias("cleared"))
+    return cleared.withColumn("message", F.lit(ALL_CLEARED_TEXT))
+
+
 def clear_all_forecast(daily: DataFrame) -> DataFrame:
     return daily.withColumn(FORECAST, F.lit(None).cast(daily.schema[FORECAST].dataType))
 

@@ -19,7 +19,7 @@ from dayplan.schema import (
     date_value,
     is_projected,
 )
-from dayplan.sources.snapshots import LAYOUTS
+from dayplan.sources.tables import LAYOUTS
 
 Day = str | dt.date | Column
 
@@ -40,7 +40,7 @@ def rows_in_range(
 ) -> DataFrame:
     """Rows from ``start`` to ``end``, both included; no ``end`` means no upper limit.
 
-    On a snapshot read with its month or year column, whole partitions outside the
+    On a stored table read with its month or year column, whole partitions outside the
     range are pruned.
     """
     first = date_value(start, as_of)

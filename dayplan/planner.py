@@ -1,8 +1,8 @@
-"""The planning tools over one published daily table.
+"""The planning tools over one stored daily table.
 
-Reads return DataFrames.  Writes build the whole new table in one plan and publish it
-as the next version, so a change that fails leaves the table as it was.  A change fails if
-another writer publishes after its read.
+Reads return DataFrames, which are not to be used after a change.  Changes rewrite the
+partitions they touch in one job, so one that fails leaves the table as it was.  A table has
+one writer at a time.
 """
 
 from __future__ import annotations
@@ -17,10 +17,10 @@ from dayplan.operators import forecast as fc
 from dayplan.operators import inventory as inv
 from dayplan.operators import scans, summary
 from dayplan.plans.forecast_to_plan import forecast_to_plan
-from dayplan.schema import DEMAND, FORECAST, PLAN, Keys
-from dayplan.sources.snapshots import SnapshotTable
+from dayplan.schema import DEMAND, FORECAST, PLAN, Keys, date_value
 from dayplan.sources.staging import stage
-from dayplan.streaming.edits import publish_edits
+from dayplan.sources.tables import StoredTable
+from dayplan.streaming.edits import write_edits
 
 Day = str | dt.date
 
@@ -32,7 +32,7 @@ class Planner:
     the table itself never passes through it.
     """
 
-    def __init__(self, table: SnapshotTable, keys: Keys = (), as_of: Day | None = None):
+    def __init__(self, table: StoredTable, keys: Keys = (), as_of: Day | None = None):
         self.table = table
         self.keys = list(keys)
         self.as_of = as_of
@@ -75,10 +75,9 @@ class Planner:
 
     def update(self, edits: DataFrame) -> DataFrame:
         """Apply an edit list and report each edit's outcome."""
-        before = self.daily
-        report = stage(ed.edit_report(before, edits, self.keys), "report")
+        report = stage(ed.edit_report(self.daily, edits, self.keys), "report")
         if not report.filter("outcome = 'updated'").isEmpty():
-            publish_edits(self.table, edits, self.keys)
+            write_edits(self.table, edits, self.keys)
         return report
 
     def _update_one(self, date: Day, field: str, value: int, series: dict | None) -> DataFrame:
@@ -94,24 +93,30 @@ class Planner:
     def update_forecast(self, date: Day, value: int, series: dict | None = None) -> DataFrame:
         return self._update_one(date, FORECAST, value, series)
 
-    def increase_all_demand(self, offset: int) -> None:
-        if offset != 0:
-            base, before = self.table.read_for_change()
-            self.table.publish(ed.shift_demand(before, offset, self.keys), base=base)
+    def increase_all_demand(self, offset: int) -> DataFrame:
+        """Shift every demand and report how many days changed."""
+        report = stage(ed.shift_outcome(self.daily, offset), "report")
+        if report.first()["changed"]:
+            self.table.overwrite(ed.shift_demand(self.daily, offset, self.keys))
+        return report
 
-    def clear_all_forecast(self) -> None:
-        base, before = self.table.read_for_change()
-        self.table.publish(ed.clear_all_forecast(before), base=base)
+    def clear_all_forecast(self) -> DataFrame:
+        report = stage(ed.clear_all_outcome(self.daily), "report")
+        self.table.overwrite(ed.clear_all_forecast(self.daily))
+        return report
 
     def clear_forecast_range(self, start_date: Day, end_date: Day | None = None) -> DataFrame:
-        """Clear a range and report the outcome; a range without forecasts changes nothing."""
-        base, before = self.table.read_for_change()
-        report = stage(
-            ed.clear_forecast_outcome(before, start_date, end_date, self._today()), "report"
-        )
+        """Clear a range and report the outcome; a range without forecasts changes nothing.
+
+        Laid out by date, only the partitions of the range are rewritten.
+        """
+        today = self._today()
+        report = stage(ed.clear_forecast_outcome(self.daily, start_date, end_date, today), "report")
         if report.first()["cleared"]:
-            cleared = ed.clear_forecast_range(before, start_date, end_date, self._today())
-            self.table.publish(cleared, base=base)
+            first = date_value(start_date, today)
+            last = None if end_date is None else date_value(end_date, today)
+            held = self.table.with_layout().filter(self.table.between(first, last))
+            self.table.overwrite(ed.clear_forecast_range(held, start_date, end_date, today))
         return report
 
     def calculate_demand_forecast(
@@ -122,40 +127,44 @@ class Planner:
         mode: str = "update",
     ) -> DataFrame:
         """Forecast, store the forecast, and return its dated rows."""
-        base, before = self.table.read_for_change()
+        self._readable(start_date)
         rows = stage(
             fc.future_forecast_rows(
-                before, periods, start_date, method, keys=self.keys, as_of=self._today()
+                self.daily, periods, start_date, method, keys=self.keys, as_of=self._today()
             ),
             "forecast",
         )
-        self.table.publish(fc.persist_forecast(before, rows, self.keys, mode), base=base)
+        self.table.change(rows, lambda daily: fc.persist_forecast(daily, rows, self.keys, mode))
         return rows
 
     def forecast_to_plan(self, periods: int = 7, start_date: Day | None = None) -> DataFrame:
         """Forecast, plan production to match, and return the outcome of every series."""
-        base, before = self.table.read_for_change()
+        self._readable(start_date)
         planned = forecast_to_plan(
-            before, periods, start_date, keys=self.keys, as_of=self._today()
+            self.daily, periods, start_date, keys=self.keys, as_of=self._today()
         )
         outcomes = stage(planned.outcomes, "outcomes")
-        self.table.publish(planned.table, base=base)
+        self.table.change(planned.changes, lambda daily: ed.upsert_daily(daily, planned.changes, self.keys))
         return outcomes
 
+    def _readable(self, date: Day | None) -> None:
+        """A date that cannot be read is an error, not an empty result."""
+        if isinstance(date, str):
+            found = self.table.spark.range(1).select(date_value(date, self._today())).first()[0]
+            if found is None:
+                raise ValueError(ed.UNREADABLE_TEXT.format(date))
+
     def write_days(self, days: DataFrame, recalc_tail: bool = True) -> None:
         """Add or overwrite whole days."""
-        base, before = self.table.read_for_change()
-        self.table.publish(ed.upsert_daily(before, days, self.keys, recalc_tail), base=base)
+        self.table.change(days, lambda daily: ed.upsert_daily(daily, days, self.keys, recalc_tail))
 
     def next_days(self, days: int, start_date: Day | None = None) -> DataFrame:
         """The dates to fill when the calendar is extended."""
         return ed.extend_calendar(self.daily, days, start_date, self.keys, self._today())
 
     def delete_all_data(self) -> DataFrame:
-        base, before = self.table.read_for_change()
-        empty, report = ed.delete_all_daily(before)
-        report = stage(report, "report")
-        self.table.publish(empty, base=base)
+        report = stage(ed.delete_all_daily(self.daily)[1], "report")
+        self.table.clear()
         return report
 
     def history_bounds(self) -> DataFrame:

@@ -25,11 +25,12 @@ class Planned:
     ``table`` is the whole daily table.  ``outcomes`` has one row per series: ``status``
     (``planned``, or why there is no plan: ``insufficient_history``, ``missing_demand``,
     ``no_history``), ``points_used``, ``last_date`` of the history, the stored ``forecast``,
-    and ``first_planned``, ``last_planned`` and ``days_planned``.
+    and ``first_planned``, ``last_planned`` and ``days_planned``.  ``changes`` are the planned days.
     """
 
     table: DataFrame
     outcomes: DataFrame
+    changes: DataFrame
     keys: Keys = ()
 
     def with_status(self) -> DataFrame:
@@ -98,4 +99,5 @@ def forecast_to_plan(
         ahead.select(*keys, DATE, value.alias(DEMAND), value.alias(PLAN), value.alias(FORECAST)),
         "forecast",
     )
-    return Planned(upsert_daily(daily, changes, keys), plan_outcomes(daily, level, changes, keys), keys)
+    outcomes = plan_outcomes(daily, level, changes, keys)
+    return Planned(upsert_daily(daily, changes, keys), outcomes, changes, keys)

@@ -316,6 +316,7 @@ ORACLE: dict[str, str] = {
     "lookup_available_dates": nearest_sql("daily_by_brand", "series_key, "),
     "lookup_available_dates_single": nearest_sql("daily_all"),
     "publish_snapshot": using("daily_by_brand", f"select {DAILY} from daily_by_brand"),
+    "publish_edits_by_month": edited_sql("date >= date '1999-03-01'"),
     "append_messages": using(
         "history",
         """select cast((select max(id) from history) + row_number() over (order by ts, event_id) as bigint) as id,

@@ -16,10 +16,10 @@ from dayplan.operators import migrate, scans, summary, users
 from dayplan.plans.forecast_to_plan import forecast_to_plan
 from dayplan.schema import DATE, DEMAND, FORECAST, INVENTORY, PLAN
 from dayplan.sources import views
-from dayplan.sources.snapshots import SnapshotTable, publish_snapshot
 from dayplan.sources.staging import new_path
+from dayplan.sources.tables import StoredTable, publish_snapshot
 from dayplan.streaming import events as ev
-from dayplan.streaming.edits import stream_apply_edits
+from dayplan.streaming.edits import stream_apply_edits, write_edits
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -126,12 +126,21 @@ def streamed_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_path(spark, "edit-stream")
     arriving = views.edits(spark, sf_dir)
     arriving.write.parquet(folder)
-    table = SnapshotTable(spark, new_path(spark, "edited-daily"))
-    table.publish(views.daily_stale(spark, sf_dir), layout="series", keys=KEYS, parts=16)
+    table = StoredTable(spark, new_path(spark, "edited-daily"))
+    table.create(views.daily_stale(spark, sf_dir), layout="series", keys=KEYS, parts=16)
     stream = spark.readStream.schema(arriving.schema).parquet(folder)
     return stream_apply_edits(stream, table, new_path(spark, "edit-checkpoint"), KEYS)
 
 
+def edited_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table stored by month after an edit of its last years."""
+    table = StoredTable(spark, new_path(spark, "daily-by-month"))
+    table.create(views.daily_stale(spark, sf_dir))
+    late = views.edits(spark, sf_dir).filter(F.col(DATE) >= F.lit("1999-03-01").cast("date"))
+    write_edits(table, late, KEYS)
+    return table.read()
+
+
 QUERIES: dict[str, Query] = {
     # scans, sources, sinks
     "scan_daily": on_daily(lambda d: scans.scan_daily(d, KEYS)),
@@ -141,6 +150,7 @@ QUERIES: dict[str, Query] = {
     "publish_snapshot": lambda spark, sf_dir: publish_snapshot(
         views.daily(spark, sf_dir), new_path(spark, "published")
     ),
+    "publish_edits_by_month": edited_by_month,
     "append_messages": appended,
     "ensure_column": on_daily(without_forecast),
     # projections, filters

@@ -12,12 +12,15 @@ import atexit
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_folders: dict[str, str] = {}
 _kept: dict[tuple[str, str], str] = {}
 _to_clean: set[str] = set()
+#: Folders made inside the ``short_lived`` blocks that are open.
+_open_blocks: list[list[str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -51,7 +54,28 @@ def _release_quietly(spark: SparkSession, app: str) -> None:
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{app_folder(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+    path = f"{app_folder(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+    for made in _open_blocks:
+        made.append(path)
+    return path
+
+
+@contextmanager
+def short_lived(spark: SparkSession):
+    """Delete what was staged inside the block when it ends, whether it fails or not."""
+    made: list[str] = []
+    _open_blocks.append(made)
+    try:
+        yield
+    finally:
+        _open_blocks.remove(made)
+        for path in made:
+            delete_path(spark, path)
+
+
+def delete_path(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def path_exists(spark: SparkSession, name: str) -> bool:
@@ -80,8 +104,7 @@ def stage_once(spark: SparkSession, label: str, identity: str, build) -> DataFra
 
 def release(spark: SparkSession) -> None:
     """Delete every table this application staged."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(app_folder(spark))
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    delete_path(spark, app_folder(spark))
     app = spark.sparkContext.applicationId
     for mark in [mark for mark in _kept if mark[0] == app]:
         del _kept[mark]

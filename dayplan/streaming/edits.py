@@ -1,4 +1,4 @@
-"""A stream of edits applied to a published daily table."""
+"""A stream of edits applied to a stored daily table."""
 
 from __future__ import annotations
 
@@ -6,38 +6,32 @@ from pyspark.sql import DataFrame
 
 from dayplan.operators.edits import apply_edits
 from dayplan.schema import Keys
-from dayplan.sources.snapshots import SnapshotTable
-from dayplan.sources.staging import stage
+from dayplan.sources.staging import short_lived, stage
+from dayplan.sources.tables import StoredTable
 
 
-def publish_edits(
-    table: SnapshotTable, edits: DataFrame, keys: Keys = (), streams: dict | None = None
-) -> int:
-    """Apply an edit list and publish the result.
-
-    On a table laid out by series only the parts that hold an edited series are read
-    and rewritten.  Fails if another version is published meanwhile.
-    """
-    base, rows = table.read_for_change()
-    names = table.parts_of(edits)
-    if names is None:
-        return table.publish(apply_edits(rows, edits, keys), streams=streams, base=base)
-    return table.publish_parts(apply_edits(table.read_parts(names), edits, keys), names, streams, base)
+def write_edits(table: StoredTable, edits: DataFrame, keys: Keys = ()) -> None:
+    """Apply an edit list; only the partitions that it can change are rewritten."""
+    with short_lived(table.spark):
+        table.change(edits, lambda rows: apply_edits(rows, edits, keys))
 
 
 def stream_apply_edits(
-    edits: DataFrame, table: SnapshotTable, checkpoint: str, keys: Keys = ()
+    edits: DataFrame, table: StoredTable, checkpoint: str, keys: Keys = ()
 ) -> DataFrame:
-    """Apply each arriving batch and publish a version; returns the final table.
+    """Apply each arriving batch to the table; returns the final table.
 
     Within a batch the last writer per key and field wins, across batches the later
-    batch.  The commit notes the batch it contains, so a batch that is replayed after
-    a restart is recognised and skipped.
+    batch.  The table notes the last batch it holds, so a batch that is replayed after a
+    restart is skipped.  One that was written but not noted is written again, with the same
+    result: edits set values, they do not add to them.  What a batch stages is deleted with it.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        if batch_id > table.current()["streams"].get(checkpoint, -1):
-            publish_edits(table, stage(batch, "batch"), keys, {checkpoint: batch_id})
+        if batch_id > table.last_batch(checkpoint):
+            with short_lived(table.spark):
+                write_edits(table, stage(batch, "batch"), keys)
+            table.note_batch(checkpoint, batch_id)
 
     query = (
         edits.writeStream.foreachBatch(apply)

@@ -7,7 +7,7 @@ from conftest import values
 from dayplan.operators import conversations as talk
 from dayplan.operators import users as us
 from dayplan.operators.running import number_rows
-from dayplan import SnapshotTable
+from dayplan import StoredTable
 from dayplan.schema import MESSAGE_SCHEMA, USER_SCHEMA
 
 T0 = dt.datetime(2024, 1, 1, 8, 0)
@@ -67,7 +67,7 @@ def test_appended_ids_follow_the_log(spark, log):
 
 
 def test_a_published_log_grows(spark, tmp_path):
-    table = SnapshotTable(spark, str(tmp_path / "log"))
+    table = StoredTable(spark, str(tmp_path / "log"))
     first = talk.save_messages(table, talk.new_message(spark, "a", "user", "one", at(0), "7"))
     assert values(first, "id") == [1]
     more = talk.new_message(spark, "b", "user", "three", at(5)).unionByName(
@@ -75,11 +75,8 @@ def test_a_published_log_grows(spark, tmp_path):
     )
     assert sorted(values(talk.save_messages(table, more), "id", "content")) == [(2, "two"), (3, "three")]
     assert values(talk.session_history(table.read()), "content") == ["one", "two", "three"]
-    assert table.versions() == [1, 2] and table.read(1).count() == 1
-    folders = list(table.current()["folders"].values())
-    assert len(folders) == 2
-    with pytest.raises(Exception, match="already exists"):
-        table._publish({"layout": None}, None, 2)
+    with pytest.raises(ValueError, match="only be appended"):
+        table.overwrite(table.read())
 
 
 def test_numbering_is_dense_and_in_order(spark):

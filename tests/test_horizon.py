@@ -6,7 +6,7 @@ import random
 
 import pytest
 from conftest import COLUMNS, by_series, day, make_daily, values
-from dayplan import Planner, SnapshotTable
+from dayplan import Planner, StoredTable
 from dayplan.operators import edits as ed
 from dayplan.operators import forecast as fc
 from dayplan.operators import inventory as inv
@@ -73,8 +73,7 @@ def test_planning_over_projections(projected_13):
 
 
 def test_a_planner_stores_projections_and_goes_on(spark, daily_13, tmp_path):
-    table = SnapshotTable(spark, str(tmp_path / "daily"))
-    table.publish(daily_13)
+    table = StoredTable(spark, str(tmp_path / "daily")).create(daily_13)
     planner = Planner(table, as_of="2024-01-07")
     planner.calculate_demand_forecast(periods=3, mode="upsert")
     assert planner.get_latest_inventory().first()[0] == 10

@@ -1,12 +1,11 @@
 import pytest
 from conftest import day, values
-from dayplan import Planner, SnapshotTable
+from dayplan import Planner, StoredTable
 
 
 @pytest.fixture
 def planner(spark, daily_13, tmp_path):
-    table = SnapshotTable(spark, str(tmp_path / "daily"))
-    table.publish(daily_13)
+    table = StoredTable(spark, str(tmp_path / "daily")).create(daily_13)
     return Planner(table, as_of="2024-01-07")
 
 
@@ -29,7 +28,6 @@ def test_reads(planner):
 
 def test_an_edit_is_published_with_its_recalculation(planner):
     assert values(planner.update_demand("05-01-2024", 300), "outcome") == ["updated"]
-    assert planner.table.versions() == [1, 2]
     assert values(planner.get_daily_data(), "inventory")[4:6] == [-175, -165]
     assert planner.get_stockouts().count() == 9
     assert planner.propose_production_plan_for_stockouts().count() == 9
@@ -38,15 +36,19 @@ def test_an_edit_is_published_with_its_recalculation(planner):
 
 
 def test_an_edit_of_a_missing_day_publishes_nothing(planner):
+    before = planner.get_daily_data().inputFiles()
     assert values(planner.update_demand("2030-01-05", 300), "outcome") == ["not_found"]
-    assert values(planner.update_demand("junk", 300), "outcome") == ["not_found"]
-    assert planner.table.versions() == [1]
+    assert values(planner.update_demand("junk", 300), "outcome", "message") == [("invalid_date", "The date could not be read: NULL")]
+    for change in (planner.calculate_demand_forecast, planner.forecast_to_plan):
+        with pytest.raises(ValueError, match="could not be read: junk"):
+            change(start_date="junk")
+    assert planner.get_daily_data().inputFiles() == before
 
 
 def test_a_shift(planner):
-    planner.increase_all_demand(0)
-    assert planner.table.versions() == [1]
-    planner.increase_all_demand(50)
+    assert tuple(planner.increase_all_demand(0).first()) == (0, "Offset is zero; no changes made.")
+    report = planner.increase_all_demand(50).first()
+    assert tuple(report) == (13, "Demand increased by 50 units for 13 days. Inventory recalculated cumulatively.")
     assert values(planner.get_daily_data(), "inventory")[-1] == -520
 
 
@@ -55,11 +57,11 @@ def test_forecasts_are_cleared_in_a_range(planner):
         planner.update_forecast(date, value)
     planner.clear_forecast_range("2024-01-12", "2024-01-13")
     assert forecasts(planner)[-3:] == [10, None, None]
-    versions = planner.table.versions()
+    before = planner.get_daily_data().inputFiles()
     report = planner.clear_forecast_range("2025-01-01", "2025-01-05")
     assert report.first()["message"] == "No forecast values found in the specified date range."
-    assert planner.table.versions() == versions
-    planner.clear_all_forecast()
+    assert planner.get_daily_data().inputFiles() == before
+    assert tuple(planner.clear_all_forecast().first()) == (11, "All forecast values cleared.")
     assert set(forecasts(planner)) == {None}
 
 
@@ -88,6 +90,7 @@ def test_days_are_written_and_deleted(spark, planner):
     assert values(planner.get_daily_data(), "inventory")[-1] == 11
     assert planner.delete_all_data().first()["rows_removed"] == 14
     assert planner.get_daily_data().count() == 0
+    assert planner.increase_all_demand(5).first()["message"] == "No data available to update."
     planner.write_days(
         spark.createDataFrame(rows, "date date, demand bigint, production_plan bigint, forecast bigint")
     )

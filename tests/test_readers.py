@@ -1,6 +1,6 @@
 import pytest
 from conftest import day, values
-from dayplan import Planner, SnapshotTable
+from dayplan import Planner, StoredTable
 from dayplan.operators import inventory as inv
 from dayplan.sources.readers import as_daily, broken_keys
 
@@ -33,8 +33,7 @@ def test_broken_keys_are_listed(spark, many, daily_13):
 
 def test_planner_over_many_series(spark, many, tmp_path):
     rows, daily = many
-    table = SnapshotTable(spark, str(tmp_path / "daily"))
-    table.publish(daily, layout="series", keys=KEYS, parts=8)
+    table = StoredTable(spark, str(tmp_path / "daily")).create(daily, layout="series", keys=KEYS, parts=8)
     planner = Planner(table, KEYS)
     last = max(row[1] for row in rows if row[0] == "s5")
     report = planner.update_production_plan(last, 1000, {"series_key": "s5"})
