@@ -401,6 +401,15 @@ ORACLE: dict[str, str] = {
         from stale left join base using (series_key)""",
         base=f"select series_key, arg_max(inventory, date) as b from stale where date < {START} group by 1",
     ),
+    "recalc_inventory_by_year": using(
+        "stale",
+        f"""select series_key, date, demand, production_plan, forecast,
+          cast(case when date < {START} then inventory else coalesce(b, 0)
+            + sum(case when date >= {START} then production_plan - demand else 0 end)
+              over (partition by series_key order by date) end as bigint) as inventory
+        from stale left join base using (series_key)""",
+        base=f"select series_key, arg_max(inventory, date) as b from stale where date < {START} group by 1",
+    ),
     "recalc_inventory_single": using(
         "stale_all",
         f"""select date, demand, production_plan, forecast,
@@ -420,6 +429,7 @@ ORACLE: dict[str, str] = {
     "set_production_plan": edited_sql("field = 'production_plan'"),
     "set_demand": edited_sql("field = 'demand'"),
     "apply_edits": edited_sql(),
+    "apply_edits_by_year": edited_sql(),
     "stream_apply_edits": edited_sql(),
     "set_forecast": using(
         "edits",

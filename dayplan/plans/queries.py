@@ -16,6 +16,7 @@ from dayplan.operators import migrate, scans, summary, users
 from dayplan.plans.forecast_to_plan import forecast_to_plan
 from dayplan.schema import DATE, DEMAND, FORECAST, INVENTORY, PLAN
 from dayplan.sources import views
+from dayplan.sources.balances import BalanceTable
 from dayplan.sources.staging import new_path
 from dayplan.sources.tables import StoredTable, publish_snapshot
 from dayplan.streaming import events as ev
@@ -141,6 +142,27 @@ def edited_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.read()
 
 
+def balances(spark: SparkSession, sf_dir: str) -> BalanceTable:
+    """The table with wrong balances, stored by year."""
+    return BalanceTable(spark, new_path(spark, "balances"), KEYS).create(views.daily_stale(spark, sf_dir))
+
+
+def recalculated_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = balances(spark, sf_dir)
+    table.recalc_inventory(START)
+    return table.read()
+
+
+def edited_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two edit lists after each other, the later days first."""
+    table = balances(spark, sf_dir)
+    late = F.coalesce(F.col(DATE) >= F.lit("1999-03-01").cast("date"), F.lit(True))
+    edits = views.edits(spark, sf_dir)
+    table.apply_edits(edits.filter(late))
+    table.apply_edits(edits.filter(~late))
+    return table.read()
+
+
 QUERIES: dict[str, Query] = {
     # scans, sources, sinks
     "scan_daily": on_daily(lambda d: scans.scan_daily(d, KEYS)),
@@ -178,6 +200,8 @@ QUERIES: dict[str, Query] = {
     # inventory
     "recalc_inventory": on_stale(lambda d: inv.recalc_inventory(d, START, KEYS)),
     "recalc_inventory_single": on_stale(lambda d: inv.recalc_inventory(d, START), None),
+    "recalc_inventory_by_year": recalculated_by_year,
+    "apply_edits_by_year": edited_by_year,
     "shift_demand": on_stale(lambda d: ed.shift_demand(d, 50, KEYS)),
     # edits
     "set_production_plan": lambda spark, sf_dir: ed.set_production_plan(

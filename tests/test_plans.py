@@ -120,7 +120,7 @@ def test_a_summary_is_one_pruned_scan(stored):
 
 def test_no_python_in_any_plan(spark):
     folder = "/root/testdata/sf0.001"
-    slow = {"stream_debug_messages", "stream_apply_edits", "publish_snapshot", "publish_edits_by_month"}
+    slow = {"stream_debug_messages", "stream_apply_edits", "publish_snapshot", "publish_edits_by_month", "recalc_inventory_by_year", "apply_edits_by_year"}
     for name, build in queries.QUERIES.items():
         if name in slow:
             continue
