@@ -6,9 +6,40 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: From here on a double has no digits behind the point.
+WHOLE = float(1 << 52)
+#: Fixed value: splits a double into two halves of 26 bits.
+SPLITTER = float((1 << 27) + 1)
+
+
 def half_even(column: Column, places: int = 2) -> Column:
-    """Round to ``places`` with ties to the even digit (``round`` goes away from zero)."""
-    return F.bround(column.cast("double"), places)
+    """The double nearest to the decimal number of ``places`` that is nearest to the value.
+
+    The value is what the double holds exactly: 2.675 lies a little below the tie and gives
+    2.67, where ``bround`` rounds its shortest decimal form and gives 2.68.  Ties, such as
+    0.125, go to the even digit.  The scaled value is kept as a product and its rounding error,
+    which is exact, so that the comparison with the tie is.
+    """
+    value, scale = column.cast("double"), float(10**places)
+    scaled = value * scale
+    high = value * SPLITTER - (value * SPLITTER - value)
+    error = (high * scale - scaled) + (value - high) * scale
+    whole = F.floor(scaled).cast("double")
+    over = (scaled - whole) - 0.5
+    odd = F.pmod(whole, F.lit(2.0)) == 1
+    up = (over > 0) | ((over == 0) & ((error > 0) | ((error == 0) & odd)))
+    rounded = (whole + F.when(up, 1.0).otherwise(0.0)) / scale
+    return F.when(F.abs(scaled) < WHOLE, rounded).otherwise(value)
+
+
+def half_even_scaled(column: Column, places: int = 2) -> Column:
+    """The scaled double rounded to a whole number and scaled back, as array libraries round.
+
+    Differs from ``half_even`` where scaling itself rounds to a tie: 2.675 gives 2.68.
+    """
+    scale = float(10**places)
+    value = column.cast("double")
+    return F.when(F.abs(value * scale) < WHOLE, F.rint(value * scale) / scale).otherwise(value)
 
 
 def stored_whole(column: Column) -> Column:

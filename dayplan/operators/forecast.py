@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from dayplan.functions.numbers import half_even, stored_whole
+from dayplan.functions.numbers import half_even, half_even_scaled, stored_whole
 from dayplan.operators.edits import set_forecast
 from dayplan.operators.running import YEAR, with_year
 from dayplan.schema import (
@@ -132,7 +132,7 @@ def moving_average_level(daily: DataFrame, window: int = 3, keys: Keys = ()) ->
         *keys,
         "last_date",
         "points_used",
-        F.when(complete, half_even(F.col("mean"))).alias(FORECAST),
+        F.when(complete, half_even_scaled(F.col("mean"))).alias(FORECAST),
         F.when(complete, "ok").otherwise("missing_demand").alias("status"),
     )
 
@@ -323,39 +323,64 @@ def persist_forecast(
 def moving_average_series(daily: DataFrame, window: int = 3, keys: Keys = ()) -> DataFrame:
     """Rolling mean at every day; NULL until ``window`` days exist or where one is missing.
 
-    The first days of a year borrow the closing points of the years before it, which
-    travel on the small year rows; no window ever spans a whole series.
+    The sum of a window is the difference of two running sums, that of the day and that of the
+    day ``window`` places before.  Inside a year the earlier one is looked up in the year's own
+    order.  A day too near to the beginning of its year finds it by its position in the
+    series, in a join with the closing days of the years.  A row carries four numbers however
+    wide the window is, and no task holds more than a year of a series.
     """
     if window < 1:
         raise ValueError("window must be at least 1")
     rows = history_of(daily, keys)
-    result = "moving_average"
     order = W.partitionBy(*keys, YEAR).orderBy(DATE)
-    inside = order.rowsBetween(1 - window, W.currentRow)
-    local = with_year(rows).select(
+    running = order.rowsBetween(W.unboundedPreceding, W.currentRow)
+    year = W.partitionBy(*keys, YEAR)
+    dated = with_year(rows)
+    local = dated.select(
+        "*",
+        F.row_number().over(order).alias("_place"),
+        F.count("*").over(year).alias("_size"),
+        F.coalesce(F.sum(DEMAND).over(running), F.lit(0)).alias("_sum"),
+        F.count(DEMAND).over(running).alias("_known"),
+    ).select(
         "*",
-        F.least(F.row_number().over(order), F.lit(window)).alias("_days"),
-        F.count(DEMAND).over(inside).alias("_known"),
-        F.coalesce(F.sum(DEMAND).over(inside), F.lit(0)).alias("_sum"),
+        F.lag("_sum", window).over(order).alias("_sum_before"),
+        F.lag("_known", window).over(order).alias("_known_before"),
+    )
+    years = dated.groupBy(*keys, YEAR).agg(
+        F.count("*").alias("_n"), F.coalesce(F.sum(DEMAND), F.lit(0)).alias("_s"), F.count(DEMAND).alias("_k")
+    )
+    earlier = W.partitionBy(*keys).orderBy(YEAR).rowsBetween(W.unboundedPreceding, -1)
+    before = [F.coalesce(F.sum(name).over(earlier), F.lit(0)).alias(f"{name}_all") for name in ("_n", "_s", "_k")]
+    placed = local.join(years.select(*keys, YEAR, *before), [*keys, YEAR]).select(
+        *keys, DATE, DEMAND, "_place", "_size", "_sum_before", "_known_before", "_sum", "_known",
+        (F.col("_n_all") + F.col("_place")).alias("_position"),
+        (F.col("_s_all") + F.col("_sum")).alias("_sum_all"),
+        (F.col("_k_all") + F.col("_known")).alias("_known_all"),
+    )
+    inside = F.col("_place") > window
+    first = F.col("_position") <= window  # nothing stands before the window
+    done = placed.filter(inside | first)
+    whole = F.when(inside, F.col("_known") - F.col("_known_before")).otherwise(F.col("_known_all")) == window
+    total = F.when(inside, F.col("_sum") - F.col("_sum_before")).otherwise(F.col("_sum_all"))
+    enough = whole & (F.col("_position") >= window)
+    mean = lambda total: half_even_scaled(total / F.lit(window))
+    own = done.select(*keys, DATE, DEMAND, F.when(enough, mean(total)).alias("moving_average"))
+    across = placed.filter(~(inside | first)).select(
+        *keys, DATE, DEMAND, (F.col("_position") - window).alias("_at"), "_sum_all", "_known_all"
     )
-    lend = window - 1
-    if lend == 0:
-        return local.select(*keys, DATE, DEMAND, half_even(F.col(DEMAND)).alias(result))
-    closing = last_rows(with_year(rows), lend, [*keys, YEAR])
-    closing = closing.groupBy(*keys, YEAR).agg(ordered_points().alias("_closing"))
-    near = W.partitionBy(*keys).orderBy(YEAR).rowsBetween(-lend, -1)
-    borrowed = closing.select(
-        *keys, YEAR, F.flatten(F.collect_list("_closing").over(near)).alias("_lent")
+    closing = placed.filter(F.col("_size") - F.col("_place") < window).select(
+        *[F.col(key).alias(f"_of_{key}") for key in keys],
+        "_position",
+        F.col("_sum_all").alias("_old_sum"),
+        F.col("_known_all").alias("_old_known"),
     )
-    joined = local.join(borrowed, [*keys, YEAR], "left")
-    need = F.least(F.lit(window) - F.col("_days"), F.size("_lent")).cast("int")
-    used = F.when(need > 0, F.slice("_lent", -need, need)).otherwise(F.array().cast("array<double>"))
-    known = F.filter("_used", lambda value: value.isNotNull())
-    full = (F.col("_days") + F.size("_used") == window) & (F.col("_known") + F.size(known) == window)
-    mean = (F.col("_sum") + add_up(known)) / F.lit(window)
-    return joined.withColumn("_used", used).select(
-        *keys, DATE, DEMAND, F.when(full, half_even(mean)).alias(result)
+    same = [F.col(key) == F.col(f"_of_{key}") for key in keys] + [F.col("_at") == F.col("_position")]
+    gap_free = F.col("_known_all") - F.col("_old_known") == window
+    lent = across.join(closing, same, "left").select(
+        *keys, DATE, DEMAND, F.when(gap_free, mean(F.col("_sum_all") - F.col("_old_sum"))).alias("moving_average")
     )
+    return own.unionByName(lent)
 
 
 def demand_forecast_series(

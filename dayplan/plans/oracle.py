@@ -116,7 +116,7 @@ def summary_sql(column: str, label: str, view: str, keys: str = "") -> str:
     return using(
         view,
         f"""select {shown}cast(coalesce(sum({column}), 0) as bigint) as total_{label},
-          coalesce(round_even(avg({column}), 2), 0) as average_{label},
+          coalesce(cast(format('{{:.2f}}', avg({column})) as double), 0) as average_{label},
           cast(coalesce(min({column}), 0) as bigint) as min_{label},
           cast(coalesce(max({column}), 0) as bigint) as max_{label}
         from {view} {group}""",
@@ -176,8 +176,8 @@ def smoothed_sql(source: str, partition: str) -> str:
     """The level by the recursion itself, as a fold over the ordered demands."""
     key = f"{partition}, " if partition else ""
     group = f"group by {partition}" if partition else ""
-    return f"""select {key}last_date, round_even(list_reduce(list_prepend(l0, ys),
-        lambda level, y: 0.5 * level + 0.5 * y), 2) as forecast
+    return f"""select {key}last_date, cast(format('{{:.2f}}', list_reduce(list_prepend(l0, ys),
+        lambda level, y: 0.5 * level + 0.5 * y)) as double) as forecast
       from (select {key}max(date) as last_date, list(cast(demand as double) order by date) as ys,
               regr_intercept(cast(demand as double), i) filter (where i <= 10) as l0
             from {source} {group})"""
@@ -248,15 +248,24 @@ select id, session_id, string_agg(shown, chr(10) order by line_no) as plain_text
 from shown group by 1, 2"""
 
 TEXT_FORMS = """select date,
-    case day(date) % 8 when 0 then strftime(date, '%Y-%m-%d')
+    case day(date) % 16 when 0 then strftime(date, '%Y-%m-%d')
       when 1 then strftime(date, '%d-%m-%Y')
       when 2 then concat(cast(day(date) as varchar), '/', cast(month(date) as varchar), '/', cast(year(date) as varchar))
       when 3 then concat(monthname(date), ' ', cast(year(date) as varchar))
       when 4 then concat(lower(left(monthname(date), 3)), '  ', cast(year(date) as varchar))
       when 5 then upper(monthname(date))
       when 6 then concat('31-02-', cast(year(date) as varchar))
+      when 8 then concat(monthname(date), ' ', cast(day(date) as varchar), ', ', cast(year(date) as varchar))
+      when 9 then concat(monthname(date), ' ', cast(day(date) as varchar), 'th ', cast(year(date) as varchar))
+      when 10 then strftime(date, '%d.%m.%Y')
+      when 11 then concat(strftime(date, '%Y-%m-%d'), ' 00:00:00')
+      when 12 then concat('in ', cast(month(date) as varchar), ' days')
+      when 13 then concat(cast(month(date) as varchar), ' weeks ago')
+      when 14 then concat(cast(day(date) as varchar), ' de ', spanish[month(date)], ' de ', cast(year(date) as varchar))
+      when 15 then concat(upper(spanish[month(date)][1]), spanish[month(date)][2:], ' ', cast(year(date) as varchar))
       else ['today', 'Yesterday', 'tomorrow', 'junk'][month(date) % 4 + 1] end as raw
-  from daily_all"""
+  from daily_all, (select ['enero', 'febrero', 'marzo', 'abril', 'mayo', 'junio', 'julio', 'agosto',
+    'septiembre', 'octubre', 'noviembre', 'diciembre'] as spanish)"""
 
 TEXT_DATES = """select strftime(date, '%Y-%m-%d') as date_text, demand from daily_all where day(date) % 3 = 0
   union all select strftime(date, '%d-%m-%Y'), demand from daily_all where day(date) % 3 = 1
@@ -477,6 +486,14 @@ ORACLE: dict[str, str] = {
             as moving_average
         from numbered""",
     ),
+    "moving_average_year": using(
+        "numbered",
+        """select series_key, date, demand,
+          case when i >= 365 then round_even(avg(demand) over
+            (partition by series_key order by date rows between 364 preceding and current row), 2) end
+            as moving_average
+        from numbered""",
+    ),
     "ses_forecast": using(
         "numbered periods",
         "select series_key, period, forecast, 'ok' as status from level, periods",
@@ -578,14 +595,13 @@ ORACLE: dict[str, str] = {
     ),
     "normalize_date": using(
         "daily_all",
-        """select date, raw, case
+        """select date, raw, cast(case
             when raw = 'today' then date '2024-06-15' when raw = 'Yesterday' then date '2024-06-14'
-            when raw = 'tomorrow' then date '2024-06-16'
-            else cast(coalesce(try_strptime(raw, '%Y-%m-%d'), try_strptime(raw, '%d-%m-%Y'),
-              try_strptime(raw, '%d/%m/%Y'),
-              try_strptime(concat('1 ', regexp_replace(raw, ' +', ' ')), '%d %B %Y'),
-              try_strptime(concat('1 ', regexp_replace(raw, ' +', ' ')), '%d %b %Y'),
-              try_strptime(concat('1 ', raw, ' 2024'), '%d %B %Y')) as date) end as parsed
+            when raw = 'tomorrow' then date '2024-06-16' when raw = 'junk' then null
+            else case day(date) % 16 when 3 then date_trunc('month', date) when 4 then date_trunc('month', date)
+              when 15 then date_trunc('month', date) when 5 then make_date(2024, month(date), 1)
+              when 6 then null when 12 then date '2024-06-15' + cast(month(date) as int)
+              when 13 then date '2024-06-15' - 7 * cast(month(date) as int) else date end end as date) as parsed
         from texts""",
         texts=TEXT_FORMS,
     ),

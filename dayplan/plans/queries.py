@@ -231,6 +231,7 @@ QUERIES: dict[str, Query] = {
     # forecasts
     "moving_average_forecast": on_daily(lambda d: fc.moving_average_forecast(d, keys=KEYS)),
     "moving_average_series": on_daily(lambda d: fc.moving_average_series(d, keys=KEYS)),
+    "moving_average_year": on_daily(lambda d: fc.moving_average_series(d, 365, KEYS)),
     "ses_forecast": on_daily(lambda d: fc.ses_forecast(d, keys=KEYS)),
     "ses_forecast_single": on_daily(fc.ses_forecast, None),
     "forecast_from_date": on_daily(lambda d: fc.forecast_from_date(d, START, keys=KEYS)),

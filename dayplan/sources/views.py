@@ -14,6 +14,10 @@ from dayplan.schema import DAILY_COLUMNS, DATE, DEMAND, FORECAST, INVENTORY, PLA
 from dayplan.sources.staging import stage_once
 
 SERIES = "series_key"
+SPANISH_MONTHS = (
+    "enero", "febrero", "marzo", "abril", "mayo", "junio",
+    "julio", "agosto", "septiembre", "octubre", "noviembre", "diciembre",
+)
 # The part column that names a series, by the kind of series asked for.
 SERIES_COLUMNS = {"brand": "p_brand", "type": "p_type", "part": "l_partkey"}
 
@@ -230,9 +234,12 @@ def projected(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def date_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every day of the daily table written in one of eight ways."""
+    """Every day of the daily table written in one of sixteen ways."""
     day = F.dayofmonth(DATE)
     english = F.date_format(DATE, "MMMM")
+    spanish = F.element_at(F.array(*[F.lit(name) for name in SPANISH_MONTHS]), F.month(DATE))
+    year, number = F.year(DATE).cast("string"), day.cast("string")
+    counted = F.month(DATE).cast("string")
     forms = [
         F.date_format(DATE, "yyyy-MM-dd"),
         F.date_format(DATE, "dd-MM-yyyy"),
@@ -245,8 +252,16 @@ def date_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.array(*[F.lit(word) for word in ("today", "Yesterday", "tomorrow", "junk")]),
             F.month(DATE) % 4 + 1,
         ),
+        F.concat(english, F.lit(" "), number, F.lit(", "), year),
+        F.concat(english, F.lit(" "), number, F.lit("th "), year),
+        F.date_format(DATE, "dd.MM.yyyy"),
+        F.date_format(DATE, "yyyy-MM-dd HH:mm:ss"),
+        F.concat(F.lit("in "), counted, F.lit(" days")),
+        F.concat(counted, F.lit(" weeks ago")),
+        F.concat(number, F.lit(" de "), spanish, F.lit(" de "), year),
+        F.concat(F.initcap(spanish), F.lit(" "), year),
     ]
-    chosen = F.element_at(F.array(*forms), day % 8 + 1)
+    chosen = F.element_at(F.array(*forms), day % 16 + 1)
     return daily(spark, sf_dir, None).select(DATE, chosen.alias("raw"))
 
 

@@ -33,6 +33,34 @@ def test_forms_relative_to_a_day(spark):
     assert parse(spark, ["May"], dt.date(2020, 2, 2)) == ["2020-05-01"]
 
 
+def test_days_as_people_write_them(spark):
+    fifth = [
+        "January 5, 2024", "january 5th 2024", "5 January 2024", "5th of January, 2024", "Jan 5 2024", "5 jan 2024",
+        "05.01.2024", "5.1.2024", "2024/01/05", "2024.1.5", "2024-01-05 10:00:00", "2024-01-05T10:00:00.250Z",
+        "2024-01-05 10:00 pm", "05/01/2024 23:59", "5 de enero de 2024", "el 5 de Enero del 2024", "5 ene 2024",
+        "Friday, January 5, 2024", "viernes 5 de enero de 2024", "2024 January 5", "5-1-2024", "\t05-01-2024 ",
+    ]
+    assert parse(spark, fifth) == ["2024-01-05"] * len(fifth)
+    others = {
+        "April 1st 2024": "2024-04-01", "12/25/2024": "2024-12-25", "diciembre 2023": "2023-12-01", "Sept 2024": "2024-09-01",
+        "29 February 2024": "2024-02-29", "29 February 2023": None, "13/13/2024": None, "32 January 2024": None, "5 foo 2024": None,
+        "January 5 6 2024": None, "5 January 6": None, "January 20245": None, "1 2 3": None, "05-01-24": None, "10:00": None, "5": None,
+        "January February 2024": None, "in 3 days": None, "5 January": None,
+    }
+    assert parse(spark, list(others)) == list(others.values())
+
+
+def test_offsets_and_words_in_two_languages(spark):
+    relative = {
+        "in 3 days": "2024-02-03", "in 1 day": "2024-02-01", "2 weeks ago": "2024-01-17", "in 1 month": "2024-02-29",
+        "1 year ago": "2023-01-31", "3 days ago": "2024-01-28", "hace 2 semanas": "2024-01-17", "en 3 días": "2024-02-03",
+        "dentro de 2 meses": "2024-03-31", "hace 1 año": "2023-01-31", "hoy": "2024-01-31", "Ayer": "2024-01-30",
+        "MAÑANA": "2024-02-01", "5 January": "2024-01-05", "5 de mayo": "2024-05-05", "mayo": "2024-05-01",
+        "in days": None, "in 3 apples": None, "3 days": None, "in 99999 days": None,
+    }
+    assert parse(spark, list(relative), "2024-01-31") == list(relative.values())
+
+
 def test_column_form(spark):
     frame = spark.createDataFrame([(1, "1/2/2024")], "n int, raw string")
     assert normalize_date_column(frame, "raw").first()["date"] == dt.date(2024, 2, 1)

@@ -1,11 +1,16 @@
 import datetime as dt
+import math
+import random
 
+import numpy as np
 import pytest
 from conftest import by_series, day, make_daily, values
+from dayplan.functions.numbers import half_even, half_even_scaled
 from dayplan.operators import edits as ed
 from dayplan.operators import forecast as fc
 from dayplan.operators import inventory as inv
 from dayplan.plans.forecast_to_plan import forecast_to_plan
+from pyspark.sql import functions as F
 
 KEYS = ["series_key"]
 
@@ -146,10 +151,10 @@ def test_chart_lines(daily_13):
 
 def test_forecast_to_plan(daily_13, many):
     planned = forecast_to_plan(daily_13, periods=4)
-    ahead = planned.filter("date > '2024-01-13'").orderBy("date").collect()
+    ahead = planned.table.filter("date > '2024-01-13'").orderBy("date").collect()
     assert [tuple(row)[1:] for row in ahead] == [(112, 112, 112, 10)] * 4
     rows, daily = many
-    out = forecast_to_plan(daily, 5, keys=KEYS)
+    out = forecast_to_plan(daily, 5, keys=KEYS).table
     series = by_series(rows)
     long_enough = [name for name, held in series.items() if len(held) >= 10]
     assert out.count() == len(rows) + 5 * len(long_enough)
@@ -163,3 +168,36 @@ def test_forecast_to_plan(daily_13, many):
 def test_forecast_as_edits(spark, daily_13):
     change = ed.one_edit(spark, dt.date(2024, 1, 13), "forecast", 5)
     assert values(ed.apply_edits(daily_13, change).orderBy("date"), "forecast")[-1] == 5
+
+
+def test_rounding_takes_the_double_for_what_it_is(spark):
+    pick = random.Random(31)
+    values_ = [2.675, 74.115, 0.125, 0.375, -2.675, -0.125, 1.005, 1e300, -1e16, 0.0, float("inf"), None]
+    values_ += [pick.randrange(-(10**7), 10**7) / 1000 for _ in range(3000)]
+    values_ += [pick.randrange(-(10**6), 10**6) / pick.randrange(1, 400) for _ in range(3000)]
+    frame = spark.createDataFrame([(x,) for x in values_], "x double")
+    rows = frame.select("x", half_even(F.col("x")).alias("exact"), half_even_scaled(F.col("x")).alias("scaled")).collect()
+    for row in rows:
+        if row.x is None or math.isinf(row.x):
+            assert row.exact == row.x == row.scaled
+        else:
+            assert row.exact == round(row.x, 2)
+            if abs(row.x) < 1e12:
+                assert row.scaled == float(np.round(np.float64(row.x), 2))
+    found = {row.x: (row.exact, row.scaled) for row in rows}
+    assert found[2.675] == (2.67, 2.68) and found[0.125] == (0.12, 0.12)
+
+
+@pytest.mark.parametrize("window", [2, 30, 365, 366, 400, 1000])
+def test_wide_windows_cross_years_and_gaps(many, window):
+    rows, daily = many
+    holed = daily.withColumn("demand", F.when(F.dayofmonth("date") != 29, F.col("demand")))
+    out = fc.moving_average_series(holed, window, KEYS).collect()
+    got = {(row["series_key"], row["date"]): row["moving_average"] for row in out}
+    assert len(got) == len(out) == len(rows)
+    for key, own in by_series(rows).items():
+        demand = [None if row[1].day == 29 else row[2] for row in own]
+        for at, row in enumerate(own):
+            part = demand[max(at + 1 - window, 0) : at + 1]
+            want = None if len(part) < window or None in part else float(np.round(sum(part) / window, 2))
+            assert got[key, row[1]] == want
