@@ -47,13 +47,23 @@ def appended_log(log: DataFrame, batch: DataFrame, order: list[str] | None = Non
     return log.select(*MESSAGE_COLUMNS).unionByName(append_messages(log, batch, order))
 
 
+def create_log(table: StoredTable, log: DataFrame) -> StoredTable:
+    """Store a log in the order of its sessions, with Bloom filters for sessions and users.
+
+    A read of one session then takes a few row groups of each written batch, and one of a user
+    those that hold the user.
+    """
+    rows = log.select(*MESSAGE_COLUMNS)
+    return table.create(rows, layout=None, sorted_by=["session_id", "id"], blooms=["session_id", "user_id"])
+
+
 def save_messages(table: StoredTable, batch: DataFrame, order: list[str] | None = None) -> DataFrame:
     """Append a batch to a stored log and return its rows with their ids.
 
     Batches are numbered after the log that is there, so a log has one writer at a time.
     """
     if not table.exists():
-        table.create(table.spark.createDataFrame([], MESSAGE_SCHEMA), layout=None)
+        create_log(table, table.spark.createDataFrame([], MESSAGE_SCHEMA))
     rows = stage(append_messages(table.read(), batch, order), "messages")
     table.append(rows)
     return rows

@@ -467,6 +467,12 @@ ORACLE: dict[str, str] = {
           case when date between {START} and {END} then null else forecast end as forecast, inventory
         from daily_by_brand""",
     ),
+    "clear_forecast_outcome": using(
+        "daily_by_brand",
+        f"""select count(*) as cleared, 'cleared' as outcome,
+          'Forecast cleared from 1997-06-01 to 1999-12-31.' as message
+        from daily_by_brand where forecast is not null and date between {START} and {END}""",
+    ),
     "extend_calendar": using(
         "daily_by_brand",
         """select series_key, cast(last_date + cast(n as int) as date) as date
@@ -656,6 +662,19 @@ ORACLE: dict[str, str] = {
         """select user_id, session_id, min(timestamp) as min_time
         from history where user_id is not null group by 1, 2""",
     ),
+    "session_history_single": using(
+        "history", "select session_id, id, role, content from history where session_id = 'c17'"
+    ),
+    "user_session_history_single": using(
+        "history",
+        """select user_id, session_id, id, role, content from history
+        where user_id = '4' and session_id = 'c24'""",
+    ),
+    "user_sessions_single": using(
+        "history",
+        """select user_id, session_id, min(timestamp) as min_time
+        from history where user_id = '4' group by 1, 2""",
+    ),
     "session_labels": using(
         "history",
         """select session_id, strftime(arg_min(timestamp, id), '%d/%m/%Y %H:%M') as label

@@ -108,6 +108,11 @@ def projected_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.edits(spark, sf_dir).unionByName(ahead)
 
 
+def stored_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = StoredTable(spark, new_path(spark, "log"))
+    return talk.create_log(table, views.conversation_history(spark, sf_dir)).read()
+
+
 def staged_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = views.agent_events(spark, sf_dir)
     early = F.col("kind").isin("raw_response", "tool_called")
@@ -227,6 +232,7 @@ QUERIES: dict[str, Query] = {
     ),
     "clear_all_forecast": on_daily(ed.clear_all_forecast),
     "clear_forecast_range": on_daily(lambda d: ed.clear_forecast_range(d, START, "31/12/1999")),
+    "clear_forecast_outcome": on_daily(lambda d: ed.clear_forecast_outcome(d, START, "31/12/1999")),
     "extend_calendar": on_daily(lambda d: ed.extend_calendar(d, 14, keys=KEYS)),
     # forecasts
     "moving_average_forecast": on_daily(lambda d: fc.moving_average_forecast(d, keys=KEYS)),
@@ -278,6 +284,11 @@ QUERIES: dict[str, Query] = {
     "session_history": on_log(talk.session_history),
     "user_session_history": on_log(talk.user_session_history),
     "user_sessions": on_log(talk.user_sessions),
+    "session_history_single": lambda spark, sf_dir: talk.session_history(stored_log(spark, sf_dir), "c17"),
+    "user_session_history_single": lambda spark, sf_dir: talk.user_session_history(
+        stored_log(spark, sf_dir), "4", "c24"
+    ),
+    "user_sessions_single": lambda spark, sf_dir: talk.user_sessions(stored_log(spark, sf_dir), "4"),
     "session_labels": on_log(talk.session_labels),
     "clear_session": cleared_sessions,
     "message_markup": lambda spark, sf_dir: talk.message_markup(

@@ -27,7 +27,7 @@ from dayplan.sources.staging import delete_path, path_exists
 # Partition columns that hold a part of the date.
 LAYOUTS = {"month": "yyyy-MM", "year": "yyyy"}
 SERIES_PART = "series_part"
-SETTINGS = "layout string, keys array<string>, parts int, schema string"
+SETTINGS = "layout string, keys array<string>, parts int, schema string, sorted_by array<string>, blooms array<string>"
 MARKS = "stream string, batch bigint"
 
 
@@ -51,16 +51,28 @@ class StoredTable:
         return path_exists(self.spark, f"{self.root}/settings/_SUCCESS")
 
     def create(
-        self, table: DataFrame, layout: str | None = "month", keys: Keys = (), parts: int = 64
+        self,
+        table: DataFrame,
+        layout: str | None = "month",
+        keys: Keys = (),
+        parts: int = 64,
+        sorted_by: Keys = (),
+        blooms: Keys = (),
     ) -> StoredTable:
-        """Write ``table`` as a new stored table."""
+        """Write ``table`` as a new stored table.
+
+        Without partitions, the rows of each write can be put in the order of ``sorted_by``
+        over its files, so that the value ranges of row groups tell values apart; columns in
+        ``blooms`` get Bloom filters, which do so where the order does not.
+        """
         if layout not in (None, "series", *LAYOUTS):
             raise ValueError(f"unknown layout {layout!r}")
         if self.exists():
             raise FileExistsError(f"there is a table at {self.root} already")
         self._settings = {"layout": layout, "keys": list(keys), "parts": parts, "schema": table.schema}
+        self._settings |= {"sorted_by": list(sorted_by), "blooms": list(blooms)}
         self._write(table, "overwrite")
-        row = (layout, list(keys), parts, table.schema.json())
+        row = (layout, list(keys), parts, table.schema.json(), list(sorted_by), list(blooms))
         self.spark.createDataFrame([row], SETTINGS).coalesce(1).write.parquet(f"{self.root}/settings")
         return self
 
@@ -157,7 +169,12 @@ class StoredTable:
         if column is None:
             if mode == "overwrite" and path_exists(self.spark, path):
                 raise ValueError("a table without partitions can only be appended to")
-            rows.write.mode("append").parquet(path)
+            if settings["sorted_by"]:
+                rows = rows.repartitionByRange(*settings["sorted_by"]).sortWithinPartitions(*settings["sorted_by"])
+            writer = rows.write.mode("append")
+            for name in settings["blooms"]:
+                writer = writer.option(f"parquet.bloom.filter.enabled#{name}", "true")
+            writer.parquet(path)
             return
         if column == SERIES_PART:
             rows = rows.withColumn(column, series_part(settings["keys"], settings["parts"]))

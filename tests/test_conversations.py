@@ -79,6 +79,36 @@ def test_a_published_log_grows(spark, tmp_path):
         table.overwrite(table.read())
 
 
+def rows_scanned(df):
+    """Rows that the scan of an executed plan handed on."""
+    df.collect()
+    scan = df._jdf.queryExecution().executedPlan().collectLeaves().apply(0)
+    return scan.metrics().apply("numOutputRows").value()
+
+
+def test_a_stored_log_skips_row_groups(spark, tmp_path):
+    size, sessions = 40_000, 400
+    rows = spark.range(size).selectExpr(
+        "id + 1 as id", "concat('s', id % 400) as session_id", "concat('u', (id % 400) * 7919 % 200) as user_id",
+        "'user' as role", "repeat(md5(cast(id as string)), 4) as content", "timestamp_ntz'2024-01-01 00:00:00' as timestamp",
+    )
+    conf = spark._jsc.hadoopConfiguration()
+    conf.set("parquet.block.size", str(1 << 17))  # many row groups in a small table
+    try:
+        table = talk.create_log(StoredTable(spark, str(tmp_path / "log")), rows)
+    finally:
+        conf.unset("parquet.block.size")
+    assert StoredTable(spark, table.root).settings["blooms"] == ["session_id", "user_id"]
+    session = table.read().filter("session_id = 's17'")
+    assert rows_scanned(session) < size / 8 and session.count() == size / sessions
+    user = table.read().filter("user_id = 'u119'")
+    assert rows_scanned(user) < size / 4 and user.count() == 2 * size / sessions
+    assert rows_scanned(table.read().filter("user_id = 'u119x'")) == 0
+    assert sorted(values(talk.session_history(table.read(), "s17"), "id")) == [18 + 400 * k for k in range(100)]
+    talk.save_messages(table, talk.new_message(spark, "s17", "user", "more", at(0), "u119"))
+    assert values(talk.session_history(table.read(), "s17"), "id")[-1] == size + 1
+
+
 def test_numbering_is_dense_and_in_order(spark):
     rows = list(range(5000))
     random.Random(1).shuffle(rows)
