@@ -9,6 +9,7 @@ bytes are fetched.
 from __future__ import annotations
 
 import base64
+import datetime as dt
 import gzip
 import hashlib
 import uuid
@@ -37,10 +38,14 @@ _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """``folder`` with the scheme and the store that Spark gives it, so that tasks open the same one."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
 def file_system(folder: str) -> tuple[pa.fs.FileSystem, str]:
-    """The store of ``folder`` as executors open it for byte ranges; ``file:``, ``s3a:``, ``hdfs:`` and others."""
-    if "://" not in folder and not folder.startswith("file:"):
-        return pa.fs.LocalFileSystem(), folder
+    """The store of a qualified folder as executors open it for byte ranges; ``file:``, ``s3a:``, ``hdfs:`` and others."""
     parts = urlsplit(folder)
     if parts.scheme == "file":
         return pa.fs.LocalFileSystem(), parts.path
@@ -56,32 +61,34 @@ def header_text(text: str | None) -> str:
     return "".join(f"%{ord(c):02X}" if ord(c) < 32 or ord(c) == 127 else c for c in text or "")
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, first: int | None) -> tuple[bytes, str]:
+def record(page_id: int | None, url: str | None, payload: bytes, first: int | None, place: str, dated: str) -> tuple[bytes, str]:
     """One WARC record as a gzip member, and the digest of its payload.
 
-    ``first`` is the page whose response has this payload, for a revisit of it.
+    ``first`` is the page whose response has this payload, for a revisit of it.  ``place``, the
+    archive and the offset in it, gives the record an id of its own, as pages may repeat.
     """
     digest = sha1_of(payload)
     body = b"" if first is not None else payload
     http = _HTTP + b"Content-Length: %d\r\n\r\n" % len(payload) + body
-    name = "" if page_id is None else f"<urn:page:{page_id}>"
     lines = [
         "WARC/1.1",
         f"WARC-Type: {'response' if first is None else 'revisit'}",
-        f"WARC-Record-ID: {name}",
+        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, place)}>",
+        f"WARC-Date: {dated}",
         f"WARC-Target-URI: {header_text(url)}" if url is not None else "",
         f"WARC-Payload-Digest: sha1:{digest}",
         "Content-Type: application/http; msgtype=response",
         f"Content-Length: {len(http)}",
         f"X-Payload-Length: {len(payload)}",
+        f"X-Page-ID: {page_id}" if page_id is not None else "",
     ]
     if first is not None:
-        lines += [f"WARC-Profile: {_REVISIT}", f"WARC-Refers-To: <urn:page:{first}>"]
+        lines += [f"WARC-Profile: {_REVISIT}", f"X-Refers-To-Page-ID: {first}"]
     head = "\r\n".join(line for line in lines if line).encode() + b"\r\n\r\n"
     return gzip.compress(head + http + b"\r\n\r\n", 4, mtime=0), digest
 
 
-def writer(folder: str, archive_bytes: int):
+def writer(folder: str, archive_bytes: int, dated: str):
     """Writes each task's records to archives of its own, and gives their index.
 
     Archives are named by attempt.  Those of an attempt that is lost are in no index, as
@@ -102,7 +109,7 @@ def writer(folder: str, archive_bytes: int):
                         name, size = f"pages-{task:05d}-{uuid.uuid4().hex}.warc.gz", 0
                         store.create_dir(top, recursive=True)
                         out = store.open_output_stream(f"{top}/{name}", compression=None)
-                    member, digest = record(page_id, url, (html or "").encode("utf-8", "surrogatepass"), first)
+                    member, digest = record(page_id, url, (html or "").encode("utf-8", "surrogatepass"), first, f"{name}:{size}", dated)
                     out.write(member)
                     for key, value in zip(rows, (name, size, len(member), url, digest, page_id), strict=True):
                         rows[key].append(value)
@@ -118,15 +125,20 @@ def writer(folder: str, archive_bytes: int):
     return write
 
 
-def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+def write_archives(
+    pages: DataFrame, folder: str, least_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES, dated: str | None = None
+) -> DataFrame:
     """Write a record per row of ``pages(page_id, url, html)`` and return the index.
 
     Of rows with equal payloads of ``least_bytes`` or more the one with the smallest page_id
     is a response and the others revisit it; shorter payloads are always responses.  A row
     without page_id is a response, and none refers to it; rows that repeat the smallest
     page_id are all responses.  A missing html is an empty payload, a missing url stays
-    missing.  Other columns are not written.
+    missing.  Other columns are not written.  ``dated`` is the WARC-Date of all records, by
+    default the time of this call.
     """
+    folder = qualified(pages.sparkSession, folder)
+    dated = dated or dt.datetime.now(dt.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(
         F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"),
@@ -140,7 +152,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, archive_
     long_enough = F.octet_length("html") >= least_bytes
     revisits = F.when(long_enough & (F.col("page_id") != F.col("first")), F.col("first"))
     joined = rows.join(first, "sha1", "left").select("page_id", "url", "html", revisits.alias("first"))
-    return stage(joined.mapInArrow(writer(folder, archive_bytes), INDEX_SCHEMA), "warc-index")
+    return stage(joined.mapInArrow(writer(folder, archive_bytes, dated), INDEX_SCHEMA), "warc-index")
 
 
 def parse(member: bytes) -> tuple:
@@ -152,10 +164,10 @@ def parse(member: bytes) -> tuple:
     kind, digest = fields["WARC-Type"], fields["WARC-Payload-Digest"].removeprefix("sha1:")
     if kind == "response" and (sha1_of(payload) != digest or len(payload) != int(fields["X-Payload-Length"])):
         raise ValueError(f"the payload of {fields['WARC-Record-ID']} does not have its digest")
-    page = lambda text: int(text[len("<urn:page:") : -1]) if text else None
+    page = lambda text: int(text) if text else None
     return (
-        page(fields["WARC-Record-ID"]), fields.get("WARC-Target-URI"), payload if kind == "response" else None,
-        int(fields["X-Payload-Length"]), digest, kind, page(fields.get("WARC-Refers-To")),
+        page(fields.get("X-Page-ID")), fields.get("WARC-Target-URI"), payload if kind == "response" else None,
+        int(fields["X-Payload-Length"]), digest, kind, page(fields.get("X-Refers-To-Page-ID")),
     )
 
 
@@ -203,13 +215,25 @@ def reader(folder: str, with_payload: bool):
 def read_records(index: DataFrame, folder: str, with_payload: bool = True) -> DataFrame:
     """The records that ``index`` selects, by joined byte ranges.
 
-    Payloads of revisits are missing; their length and digest come from the record.
+    Payloads of revisits are missing; their length and digest come from the record.  Tasks are
+    dealt by the bytes of the records, as many as a scan of that size would have: the index
+    itself is far smaller.
     """
+    spark = index.sparkSession
+    folder = qualified(spark, folder)
     ranges = index.select("archive", "offset", "length")
-    dealt = ranges.repartitionByRange("archive", "offset").sortWithinPartitions("archive", "offset")
+    total = ranges.agg(F.sum("length").alias("n")).first().n or 0
+    tasks = 1 + total // scan_bytes(spark)
+    dealt = ranges.repartitionByRange(tasks, "archive", "offset").sortWithinPartitions("archive", "offset")
     return dealt.mapInArrow(reader(folder, with_payload), RECORD_SCHEMA)
 
 
+def scan_bytes(spark: SparkSession) -> int:
+    """What a task of a scan reads at most, by the session's setting."""
+    named = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    return spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(named)
+
+
 def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """Write all pages to new archives, and describe the records that are read back."""
     folder = new_path(spark, "warc")

@@ -1,5 +1,7 @@
 """Archives and token files as exact round trips, mixing against its targets."""
 
+import random
+from pathlib import Path
 import base64
 import hashlib
 import zlib
@@ -50,3 +52,48 @@ def test_mixture_reaches_its_targets(spark):
     assert mixed.columns == [*docs.columns, "shard", "place"]
     assert sum(len(row.text.split()) for row in mixed.collect()) == sum(row.taken for row in got)
     assert mixing.word_budget(docs.limit(0)).count() == 0
+
+
+def test_selected_records_of_several_archives(spark, tmp_path):
+    pick = random.Random(6)
+    texts = ["".join(pick.choice("abcdefgh <>é") for _ in range(pick.choice([0, 40, 3000, 90000]))) for _ in range(160)]
+    texts += [texts[2], texts[2], None]
+    rows = [(k if k != 5 else 4, f"https://h{k % 3}.example/{k}", text) for k, text in enumerate(texts)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").coalesce(2)
+    folder = str(tmp_path / "archives")
+    index = warc.write_archives(pages, folder, archive_bytes=100_000, dated="2024-01-05T00:00:00Z")
+    names = [row.archive for row in index.select("archive").distinct().collect()]
+    assert len(names) > 5 and {path.name for path in Path(folder).iterdir()} == set(names)
+    # Every seventh record and a run at the end: gaps, joined ranges, several archives.
+    wanted = {url for k, (_, url, _) in enumerate(rows) if k % 7 == 0 or k > 140}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200k")
+    try:
+        selected = warc.read_records(index.filter(index.url.isin(*wanted)), folder)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert selected.rdd.getNumPartitions() > 1
+    got = {row.url: row for row in selected.collect()}
+    assert got.keys() == wanted
+    for page_id, url, text in rows:
+        if url in wanted:
+            payload = (text or "").encode()
+            row = got[url]
+            assert (row.page_id, row.payload_bytes, row.payload_digest) == (page_id, len(payload), warc.sha1_of(payload))
+            assert bytes(row.payload) == payload if row.record_type == "response" else row.payload is None and row.refers_to is not None
+    heads = [zlib.decompress(member, 31).split(b"\r\n\r\n")[0].decode() for member in members(folder, index)]
+    ids = [line for head in heads for line in head.split("\r\n") if line.startswith("WARC-Record-ID: <urn:uuid:")]
+    assert len(set(ids)) == len(heads) == len(rows)
+    assert all("WARC-Date: 2024-01-05T00:00:00Z" in head for head in heads)
+
+
+def members(folder, index):
+    for row in index.collect():
+        with (Path(folder) / row.archive).open("rb") as file:
+            file.seek(row.offset)
+            yield file.read(row.length)
+
+
+def test_folders_are_qualified_before_tasks_open_them(spark, tmp_path):
+    named = warc.qualified(spark, str(tmp_path))
+    assert named == f"file:{tmp_path}" and warc.file_system(named)[1] == str(tmp_path)
+    assert warc.qualified(spark, f"file://{tmp_path}").startswith("file:/")
