@@ -27,78 +27,95 @@ FIELD = "<*>"
 PIECES = 4
 #: Lines are also grouped by their tokens that occur in the leaf LEVEL ** k times as often as a template must.
 LEVEL, LEVELS = 8, 6
+#: Parts into which the lines of a leaf, or the texts of a line, are dealt for a join.
+PARTS = 8
+
+
+def plain(line: Column) -> Column:
+    """The line with single blanks and none at its ends."""
+    odd = line.rlike(r"[\x09-\x0D]|\x20\x20|\A\x20|\x20\z")
+    return F.when(odd, F.btrim(F.regexp_replace(line, f"[{SPACES}]+", " "))).otherwise(line)
 
 
 def masked(line: Column) -> Column:
-    """The line with single blanks, and a mark for each token that has a digit."""
-    plain = F.btrim(F.regexp_replace(line, f"[{SPACES}]+", " "))
-    fields = F.regexp_replace(plain, "[^ 0-9]*[0-9][^ ]*", FIELD)
-    return F.when(plain.rlike("[0-9]"), fields).otherwise(plain)
+    """The plain line with a mark for each token that has a digit."""
+    return F.when(line.rlike("[0-9]"), F.regexp_replace(line, "[^ 0-9]*[0-9][^ ]*", FIELD)).otherwise(line)
+
+
+def part(texts: str) -> Column:
+    return F.pmod(F.col(texts), F.lit(PARTS)).alias("part")
+
+
+def in_parts(rows: DataFrame) -> DataFrame:
+    """Every row once for each part, to be joined by merging at any size."""
+    return rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)).cast("array<bigint>"))).hint("merge")
 
 
 def with_leaves(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, text_hash and for each different masked line with a token
-    its ``hash``, its ``leaf`` in the tree, whether it is ``long``, and the line."""
+    """One row per line with a token: doc_id, text_hash, ``at`` (its place among the lines), the masked
+    ``line``, its ``hash``, its ``leaf`` in the tree, and whether it is ``long``."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    filled = F.filter(F.split(text, "\n", -1), lambda line: line.rlike(f"[^{SPACES}]"))
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.array_distinct(F.transform(filled, masked)).alias("lines"))
-    n_tokens = lambda line: F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
-    leaf = lambda line: F.xxhash64(n_tokens(line), F.substring_index(line, " ", LEADING))
-    parsed = F.transform("lines", lambda line: F.struct(F.xxhash64(line).alias("hash"), leaf(line).alias("leaf"), (n_tokens(line) >= LONG_TOKENS).alias("long"), line.alias("line")))
-    return rows.select("doc_id", "text_hash", F.explode(parsed).alias("x")).select("doc_id", "text_hash", "x.*")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.split(text, "\n", -1).alias("lines"))
+    rows = rows.select("doc_id", "text_hash", F.posexplode("lines").alias("at", "line")).filter(F.col("line").rlike(f"[^{SPACES}]"))
+    rows = rows.withColumn("line", plain(F.col("line"))).withColumn("line", masked(F.col("line")))
+    rows = rows.withColumn("n", F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1)
+    leaf = F.xxhash64("n", F.substring_index("line", " ", LEADING)).alias("leaf")
+    return rows.select("doc_id", "text_hash", "at", F.xxhash64("line").alias("hash"), leaf, (F.col("n") >= LONG_TOKENS).alias("long"), "line")
 
 
 def group_keys(variants: DataFrame) -> DataFrame:
-    """``(leaf, key, hash, n_texts, need)``: the groups of each line ``(leaf, hash, line, n_texts, need)`` of a leaf.
+    """``(g, hash, n_texts, need)``: the groups of each line ``(hash, leaf, line, n_texts, need)`` in its leaf.
 
     One group for each set of pieces, of the lines with equal tokens in all of its pieces (the
     empty set is the whole leaf), and one for each level, of the lines with equal frequent
     tokens.  So templates that share a leaf part, unless all pieces have fields and their
-    values are as frequent as the template.
+    values are as frequent as the template.  The leading tokens are the leaf's and part nothing.
     """
-    own = F.split("line", " ", -1)
-    tokens = variants.select("leaf", "hash", "n_texts", "need", F.posexplode(own).alias("at", "token"))
-    counts = tokens.groupBy("leaf", "at", "token").agg(F.sum("n_texts").alias("n"), F.max("need").alias("least"))
-    frequent = counts.filter("n >= least").select("leaf", "at", "token", "n")
-    often = tokens.select("leaf", "hash", "at", "token").join(frequent, ["leaf", "at", "token"])
-    often = often.groupBy("leaf", "hash").agg(F.sort_array(F.collect_list(F.struct("at", "token", "n"))).alias("often"))
-    piece = lambda i: F.floor((i - LEADING) * PIECES / F.greatest(F.size("own") - LEADING, F.lit(1)))
+    own = variants.withColumn("own", F.split("line", " ", -1)).withColumn("m", F.greatest(F.size("own") - LEADING, F.lit(0)))
+    tokens = own.select("hash", "leaf", "n_texts", "need", F.posexplode(F.slice("own", F.lit(LEADING + 1), F.col("m"))).alias("at", "token"))
+    cells = tokens.select("hash", "n_texts", "need", F.xxhash64("leaf", "at", "token").alias("cell"))
+    frequent = cells.groupBy("cell").agg(F.sum("n_texts").alias("n"), F.max("need").alias("least")).filter("n >= least")
+    often = cells.select("hash", "cell").join(frequent.select("cell", "n").hint("merge"), "cell")
+    often = often.groupBy("hash").agg(F.sort_array(F.collect_list(F.struct("cell", "n"))).alias("often"))
+    start = lambda k: F.ceil(F.col("m") * k / PIECES).cast("int")
+    rows = own.join(often.hint("merge"), "hash", "left")
+    for k in range(PIECES):
+        rows = rows.withColumn(f"p{k}", F.xxhash64(F.slice("own", start(k) + LEADING + 1, start(k + 1) - start(k))))
 
     def pieces(chosen: int) -> Column:
-        kept = F.filter("own", lambda t, i: piece(i).isin([k for k in range(PIECES) if chosen >> k & 1]))
-        return F.xxhash64(F.lit(chosen), kept)
+        return F.xxhash64(F.lit(chosen), *[F.col(f"p{k}") for k in range(PIECES) if chosen >> k & 1])
 
     def level(k: int) -> Column:
         kept = F.filter("often", lambda x: x.n >= F.col("need") * LEVEL**k)
-        return F.xxhash64(F.lit(-1), F.transform(kept, lambda x: F.struct(x.at, x.token)))
+        return F.xxhash64(F.lit(-1), F.transform(kept, lambda x: x.cell))
 
-    rows = variants.withColumn("own", own).join(often, ["leaf", "hash"], "left")
     keys = F.array(*[pieces(chosen) for chosen in range(2**PIECES - 1)], *[level(k) for k in range(LEVELS)])
-    return rows.select("leaf", "hash", "n_texts", "need", F.explode(F.array_distinct(keys)).alias("key"))
+    keyed = rows.select("leaf", "hash", "n_texts", "need", F.explode(F.array_distinct(keys)).alias("key"))
+    return keyed.select(F.xxhash64("leaf", "key").alias("g"), "hash", "n_texts", "need")
 
 
 def line_groups(variants: DataFrame) -> DataFrame:
-    """``(leaf, key, hash)`` of the groups that can recur, each set of lines once."""
+    """``(g, hash)`` of the groups that can recur, each set of lines once."""
     keyed = stage(group_keys(variants), "line-group-keys")
-    members = keyed.groupBy("leaf", "key").agg(
+    members = keyed.groupBy("g").agg(
         F.sum("n_texts").alias("n_texts"), F.max("need").alias("need"), F.count("*").alias("n"), F.bit_xor("hash").alias("mark")
     )
-    members = members.filter("n > 1 and n_texts >= need").groupBy("leaf", "n", "mark").agg(F.min("key").alias("key"))
-    return keyed.select("leaf", "key", "hash").join(members.select("leaf", "key"), ["leaf", "key"])
+    members = members.filter("n > 1 and n_texts >= need").groupBy("n", "mark").agg(F.min("g").alias("g"))
+    return keyed.select("g", "hash").join(members.select("g").hint("merge"), "g")
 
 
 def group_templates(grouped: DataFrame) -> DataFrame:
-    """``(leaf, key, template)`` from the different lines ``(leaf, key, line, n_texts)`` of each group.
+    """``(g, template)`` from the different lines ``(g, line, n_texts)`` of each group.
 
     Tokens are counted by group and position with map-side combine; only the tokens of one
     template, as many as its lines have, come together.
     """
-    tokens = grouped.select("leaf", "key", "n_texts", F.posexplode(F.split("line", " ", -1)).alias("at", "token"))
-    counts = tokens.groupBy("leaf", "key", "at", "token").agg(F.sum("n_texts").alias("n"))
-    best = counts.groupBy("leaf", "key", "at").agg(F.max(F.struct("n", "token")).alias("best"), F.sum("n").alias("all"))
+    tokens = grouped.select("g", "n_texts", F.posexplode(F.split("line", " ", -1)).alias("at", "token"))
+    counts = tokens.groupBy("g", "at", "token").agg(F.sum("n_texts").alias("n"))
+    best = counts.groupBy("g", "at").agg(F.max(F.struct("n", "token")).alias("best"), F.sum("n").alias("all"))
     constant = F.when(F.col("best.n") >= MAJORITY * F.col("all"), F.col("best.token")).otherwise(F.lit(FIELD))
-    placed = best.groupBy("leaf", "key").agg(F.sort_array(F.collect_list(F.struct("at", constant.alias("token")))).alias("t"))
-    return placed.select("leaf", "key", F.transform("t", lambda x: x.token).alias("template"))
+    placed = best.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("at", constant.alias("token")))).alias("t"))
+    return placed.select("g", F.transform("t", lambda x: x.token).alias("template"))
 
 
 def recurring_lines(lines: DataFrame, min_texts: int = MIN_TEXTS) -> DataFrame:
@@ -111,25 +128,25 @@ def recurring_lines(lines: DataFrame, min_texts: int = MIN_TEXTS) -> DataFrame:
     need = F.when(F.col("long"), F.lit(min(LONG_TEXTS, min_texts))).otherwise(F.lit(min_texts))
     by_leaf = lines.select("leaf", "long", "text_hash").distinct().groupBy("leaf", "long").agg(F.count("*").alias("n"))
     busy = stage(by_leaf.filter(F.col("n") >= need).select("leaf", need.alias("need")), "busy-leaves")
-    busy_lines = lines.select("text_hash", "hash", "leaf", "line").join(busy, "leaf").distinct()
-    variants = busy_lines.groupBy("leaf", "hash", "line", "need").agg(F.count("*").alias("n_texts"), F.min("text_hash").alias("first"))
+    busy_lines = lines.select("text_hash", "hash", "leaf", "line", part("text_hash")).join(in_parts(busy), ["leaf", "part"])
+    busy_lines = stage(busy_lines.drop("part").distinct(), "busy-lines")
+    variants = busy_lines.groupBy("hash", "leaf", "line", "need").agg(F.count("*").alias("n_texts"), F.min("text_hash").alias("first"))
     variants = stage(variants, "line-variants")
-    grouped = stage(line_groups(variants).join(variants, ["leaf", "hash"]), "line-groups")
+    grouped = stage(line_groups(variants).join(variants.select("hash", "line", "need", "n_texts").hint("merge"), "hash"), "line-groups")
     same = F.size(F.filter(F.arrays_zip("template", F.split("line", " ", -1).alias("own")), lambda x: x.template == x.own))
     fields = F.size(F.filter("template", lambda t: t == FIELD))
     matched = (
-        grouped.join(group_templates(grouped), ["leaf", "key"])
+        grouped.join(group_templates(grouped), "g")
         .withColumn("alike", same >= ALIKE * F.size("template"))
         .withColumn("open", fields < F.size("template"))
     )
-    matched = matched.filter("alike and open").select("leaf", "key", "hash", "need", F.array_join("template", " ").alias("template"))
-    matched = stage(matched, "matched-lines")
-    texts = busy_lines.select("leaf", "hash", "text_hash").join(matched.select("hash", "leaf", "key", "need"), ["leaf", "hash"])
-    texts = texts.select("leaf", "key", "need", "text_hash").distinct()
-    texts = texts.groupBy("leaf", "key", "need").agg(F.count("*").alias("n"), F.min("text_hash").alias("first"))
+    matched = stage(matched.filter("alike and open").select("g", "hash", "need", F.array_join("template", " ").alias("template")), "matched-lines")
+    texts = busy_lines.select("hash", "text_hash").join(matched.select("hash", "g", "need").hint("merge"), "hash")
+    texts = texts.select("g", "need", "text_hash").distinct()
+    texts = texts.groupBy("g", "need").agg(F.count("*").alias("n"), F.min("text_hash").alias("first"))
     keeper = lambda n: F.when(F.col(n) < min_texts, F.col("first")).alias("keeper")
-    often = texts.filter("n >= need").select("leaf", "key", keeper("n"))
-    general = matched.join(often, ["leaf", "key"]).select("hash", "template", "keeper")
+    often = texts.filter("n >= need").select("g", keeper("n"))
+    general = matched.join(often.hint("merge"), "g").select("hash", "template", "keeper")
     alone = variants.filter("n_texts >= need").select("hash", F.col("line").alias("template"), keeper("n_texts"))
     kept_once = F.when(F.count("keeper") == F.count("*"), F.min("keeper")).alias("keeper")
     return general.unionByName(alone).groupBy("hash").agg(F.min("template").alias("template"), kept_once)
@@ -140,26 +157,27 @@ def without_templates(docs: DataFrame, min_texts: int = MIN_TEXTS) -> DataFrame:
 
     ``n_lines`` counts lines with a token.  Lines without one stay where they are, but for a
     text of which nothing else is left, which becomes empty.  A missing text is an empty one.
-    Rows are cleaned one by one, so repeated rows or ids do not matter.
+    Very long texts and lines are taken whole; time grows in proportion to their lines.  Rows
+    are cleaned one by one, so repeated rows or ids do not matter.  Of two tokens that share a
+    place of a template equally often, none has a majority.  An empty table gives an empty one,
+    and other columns of ``docs`` are not looked at.
     """
     lines = stage(with_leaves(docs), "template-lines")
-    dropped = stage(recurring_lines(lines, min_texts), "recurring-lines")
-    hits = lines.select("doc_id", "text_hash", "hash").join(dropped.select("hash", "keeper"), "hash")
+    dropped = stage(recurring_lines(lines, min_texts).select("hash", "keeper"), "recurring-lines")
+    hits = lines.select("doc_id", "text_hash", "hash", "at", part("text_hash")).join(in_parts(dropped), ["hash", "part"])
     hits = hits.filter("keeper is null or keeper != text_hash")
-    hits = hits.groupBy(F.col("doc_id").alias("_hit_id"), F.col("text_hash").alias("_hit_text")).agg(F.collect_set("hash").alias("_hits"))
-    hits = stage(hits, "dropped-by-document")
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("_text_hash"))
+    hits = hits.groupBy(F.col("doc_id").alias("_hit_id"), F.col("text_hash").alias("_hit_text")).agg(F.collect_set("at").alias("_hits"))
+    hits = stage(hits, "dropped-by-document").hint("merge")
+    whole = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole.alias("text"), F.xxhash64(whole).alias("_text_hash"))
     rows = rows.join(hits, rows["doc_id"].eqNullSafe(hits["_hit_id"]) & (rows["_text_hash"] == hits["_hit_text"]), "left")
-    split = F.split("text", "\n", -1)
-    filled = lambda line: line.rlike(f"[^{SPACES}]")
-    goes = lambda line: filled(line) & F.array_contains("_hits", F.xxhash64(masked(line)))
-    left = F.when(F.col("_hits").isNull(), split).otherwise(F.filter(split, lambda line: ~goes(line)))
-    rest = F.when(F.exists(left, filled), F.array_join(left, "\n")).otherwise(F.lit(""))
-    n_dropped = F.when(F.col("_hits").isNull(), 0).otherwise(F.size(split) - F.size(left))
+    hit = F.col("_hits").isNotNull()
+    rows = rows.withColumn("_split", F.when(hit, F.split("text", "\n", -1)))
+    rows = rows.withColumn("_places", F.when(hit, F.array_except(F.sequence(F.lit(0), F.size("_split") - 1), "_hits")))
+    rows = rows.withColumn("_rest", F.array_join(F.transform("_places", lambda i: F.get("_split", i)), "\n"))
     return rows.select(
         "doc_id",
-        F.when(F.col("_hits").isNull(), F.col("text")).otherwise(rest).alias("text"),
-        F.size(F.filter(split, filled)).cast("bigint").alias("n_lines"),
-        n_dropped.cast("bigint").alias("n_dropped"),
+        F.when(~hit, F.col("text")).when(F.col("_rest").rlike(f"[^{SPACES}]"), F.col("_rest")).otherwise(F.lit("")).alias("text"),
+        F.regexp_count("text", F.lit(f"[^{SPACES}][^\\n]*")).cast("bigint").alias("n_lines"),
+        F.when(hit, F.size("_hits")).otherwise(0).cast("bigint").alias("n_dropped"),
     )
