@@ -29,17 +29,21 @@ PIECES = 4
 LEVEL, LEVELS = 8, 6
 #: Parts into which the lines of a leaf, or the texts of a line, are dealt for a join.
 PARTS = 8
+#: The white space of SPACES that a line can hold.
+BLANKS = " \t\x0b\x0c\r"
 
 
 def plain(line: Column) -> Column:
     """The line with single blanks and none at its ends."""
-    odd = line.rlike(r"[\x09-\x0D]|\x20\x20|\A\x20|\x20\z")
+    odd = line.startswith(" ") | line.endswith(" ")
+    for blanks in ("  ", *BLANKS[1:]):
+        odd = odd | line.contains(blanks)
     return F.when(odd, F.btrim(F.regexp_replace(line, f"[{SPACES}]+", " "))).otherwise(line)
 
 
 def masked(line: Column) -> Column:
     """The plain line with a mark for each token that has a digit."""
-    return F.when(line.rlike("[0-9]"), F.regexp_replace(line, "[^ 0-9]*[0-9][^ ]*", FIELD)).otherwise(line)
+    return F.when(line.rlike("[0-9]"), F.regexp_replace(line, "(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", FIELD)).otherwise(line)
 
 
 def part(texts: str) -> Column:
@@ -56,7 +60,8 @@ def with_leaves(docs: DataFrame) -> DataFrame:
     ``line``, its ``hash``, its ``leaf`` in the tree, and whether it is ``long``."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.split(text, "\n", -1).alias("lines"))
-    rows = rows.select("doc_id", "text_hash", F.posexplode("lines").alias("at", "line")).filter(F.col("line").rlike(f"[^{SPACES}]"))
+    rows = rows.select("doc_id", "text_hash", F.posexplode("lines").alias("at", "line"))
+    rows = rows.filter(F.btrim("line", F.lit(BLANKS)) != "")
     rows = rows.withColumn("line", plain(F.col("line"))).withColumn("line", masked(F.col("line")))
     rows = rows.withColumn("n", F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1)
     leaf = F.xxhash64("n", F.substring_index("line", " ", LEADING)).alias("leaf")
@@ -95,27 +100,34 @@ def group_keys(variants: DataFrame) -> DataFrame:
 
 
 def line_groups(variants: DataFrame) -> DataFrame:
-    """``(g, hash)`` of the groups that can recur, each set of lines once."""
-    keyed = stage(group_keys(variants), "line-group-keys")
+    """``(g, hash, all)`` of the groups that can recur, each set of lines once; ``all`` sums its n_texts.
+
+    A line that is alone in its leaf is in no group.
+    """
+    several = variants.groupBy("leaf").agg(F.count("*").alias("n")).filter("n > 1").select("leaf")
+    variants = variants.withColumn("part", part("hash")).join(in_parts(several), ["leaf", "part"]).drop("part")
+    keyed = stage(group_keys(stage(variants, "lines-in-company")), "line-group-keys")
     members = keyed.groupBy("g").agg(
-        F.sum("n_texts").alias("n_texts"), F.max("need").alias("need"), F.count("*").alias("n"), F.bit_xor("hash").alias("mark")
+        F.sum("n_texts").alias("all"), F.max("need").alias("need"), F.count("*").alias("n"), F.bit_xor("hash").alias("mark")
     )
-    members = members.filter("n > 1 and n_texts >= need").groupBy("n", "mark").agg(F.min("g").alias("g"))
-    return keyed.select("g", "hash").join(members.select("g").hint("merge"), "g")
+    members = members.filter("n > 1 and all >= need").groupBy("n", "mark").agg(F.min("g").alias("g"), F.max("all").alias("all"))
+    return keyed.select("g", "hash").join(members.select("g", "all").hint("merge"), "g")
 
 
 def group_templates(grouped: DataFrame) -> DataFrame:
-    """``(g, template)`` from the different lines ``(g, line, n_texts)`` of each group.
+    """``(g, template)`` from the different lines ``(g, line, n_texts, all)`` of each group.
 
-    Tokens are counted by group and position with map-side combine; only the tokens of one
+    A group in which no token has the majority has no row.  Tokens are counted by group and position with map-side combine; only the tokens of one
     template, as many as its lines have, come together.
     """
-    tokens = grouped.select("g", "n_texts", F.posexplode(F.split("line", " ", -1)).alias("at", "token"))
-    counts = tokens.groupBy("g", "at", "token").agg(F.sum("n_texts").alias("n"))
-    best = counts.groupBy("g", "at").agg(F.max(F.struct("n", "token")).alias("best"), F.sum("n").alias("all"))
-    constant = F.when(F.col("best.n") >= MAJORITY * F.col("all"), F.col("best.token")).otherwise(F.lit(FIELD))
-    placed = best.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("at", constant.alias("token")))).alias("t"))
-    return placed.select("g", F.transform("t", lambda x: x.token).alias("template"))
+    own = grouped.select("g", "n_texts", "all", F.split("line", " ", -1).alias("own")).withColumn("size", F.size("own"))
+    tokens = own.select("g", "n_texts", "all", "size", F.posexplode("own").alias("at", "token"))
+    counts = tokens.groupBy("g", "at", "token").agg(F.sum("n_texts").alias("n"), F.max("all").alias("all"), F.max("size").alias("size"))
+    placed = counts.filter(F.col("n") >= MAJORITY * F.col("all")).groupBy("g", "size").agg(F.collect_list(F.struct("at", "token")).alias("constants"))
+    others = F.array_except(F.sequence(F.lit(0), F.col("size") - 1), F.transform("constants", lambda x: x.at))
+    fields = F.transform(others, lambda i: F.struct(i.alias("at"), F.lit(FIELD).alias("token")))
+    ordered = F.sort_array(F.concat("constants", fields))
+    return placed.select("g", F.transform(ordered, lambda x: x.token).alias("template"))
 
 
 def recurring_lines(lines: DataFrame, min_texts: int = MIN_TEXTS) -> DataFrame:
@@ -135,12 +147,10 @@ def recurring_lines(lines: DataFrame, min_texts: int = MIN_TEXTS) -> DataFrame:
     grouped = stage(line_groups(variants).join(variants.select("hash", "line", "need", "n_texts").hint("merge"), "hash"), "line-groups")
     same = F.size(F.filter(F.arrays_zip("template", F.split("line", " ", -1).alias("own")), lambda x: x.template == x.own))
     fields = F.size(F.filter("template", lambda t: t == FIELD))
-    matched = (
-        grouped.join(group_templates(grouped), "g")
-        .withColumn("alike", same >= ALIKE * F.size("template"))
-        .withColumn("open", fields < F.size("template"))
-    )
-    matched = stage(matched.filter("alike and open").select("g", "hash", "need", F.array_join("template", " ").alias("template")), "matched-lines")
+    templates = stage(group_templates(grouped), "group-templates")
+    matched = grouped.join(templates.hint("merge"), "g")
+    matched = matched.filter((fields < F.size("template")) & (same >= ALIKE * F.size("template")))
+    matched = stage(matched.select("g", "hash", "need", F.array_join("template", " ").alias("template")), "matched-lines")
     texts = busy_lines.select("hash", "text_hash").join(matched.select("hash", "g", "need").hint("merge"), "hash")
     texts = texts.select("g", "need", "text_hash").distinct()
     texts = texts.groupBy("g", "need").agg(F.count("*").alias("n"), F.min("text_hash").alias("first"))
