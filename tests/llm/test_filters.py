@@ -302,3 +302,74 @@ def test_templates_that_share_a_leaf_and_long_passages_are_all_found(spark):
     assert all(rows[i].n_dropped == 1 for i in range(90, 138))
     assert sorted(rows[i].n_dropped for i in range(138, 141)) == [0, 1, 1]  # one text keeps the passage
     assert rows[141].n_dropped == rows[142].n_dropped == 0
+
+
+def templates_by_brute_force(texts, hashes, min_texts):
+    """Text, filled lines and dropped lines of each text, with every group of a leaf made by plain comparison."""
+
+    def variant(line):
+        return tuple("<*>" if re.search("[0-9]", token) else token for token in re.split(r"[ \t\x0b-\r]+", line.strip(" \t\x0b\x0c\r")))
+
+    where = {}
+    for text in set(texts):
+        for line in text.split("\n"):
+            if line.strip(" \t\x0b\x0c\r"):
+                where.setdefault(variant(line), set()).add(text)
+    leaves, keepers = {}, {}
+    for line in where:
+        leaves.setdefault((len(line), line[:3]), []).append(line)
+    for (size, _), members in leaves.items():
+        need = min(2, min_texts) if size >= 20 else min_texts
+        counts = Counter((at, token) for line in members for at, token in enumerate(line) for _ in where[line])
+        rest = max(size - 3, 1)
+        keys = [lambda line, c=c: tuple(line[i] for i in range(3, size) if c >> ((i - 3) * 4 // rest) & 1) for c in range(15)]
+        keys += [lambda line, k=k: tuple((at, t) for at, t in enumerate(line) if counts[at, t] >= need * 8**k) for k in range(6)]
+        for key in keys:
+            groups = {}
+            for line in members:
+                groups.setdefault(key(line), []).append(line)
+            for group in groups.values():
+                total = sum(len(where[line]) for line in group)
+                if len(group) == 1 or total < need:
+                    continue
+                at_place = [Counter(line[at] for line in group for _ in where[line]).most_common(1)[0] for at in range(size)]
+                template = [token if n >= 0.6 * total else "<*>" for token, n in at_place]
+                alike = [line for line in group if sum(map(str.__eq__, line, template)) >= 0.6 * size]
+                found = set().union(*(where[line] for line in alike))
+                if set(template) != {"<*>"} and len(found) >= need:
+                    for line in alike:
+                        keepers.setdefault(line, []).append(min(hashes[t] for t in found) if len(found) < min_texts else None)
+        for line in members:
+            if len(where[line]) >= need:
+                keepers.setdefault(line, []).append(min(hashes[t] for t in where[line]) if len(where[line]) < min_texts else None)
+    kept_by = {line: None if None in found else min(found) for line, found in keepers.items()}
+    out = []
+    for text in texts:
+        lines = text.split("\n")
+        filled = [bool(line.strip(" \t\x0b\x0c\r")) for line in lines]
+        goes = [f and variant(x) in kept_by and kept_by[variant(x)] != hashes[text] for f, x in zip(filled, lines)]
+        left = "\n".join(x for g, x in zip(goes, lines) if not g)
+        out.append((text if not any(goes) else left if left.strip(" \t\x0b-\r\n") else "", sum(filled), sum(goes)))
+    return out
+
+
+@pytest.mark.parametrize("seed, min_texts", [(1, 3), (2, 6)])
+def test_line_templates_equal_brute_force(spark, seed, min_texts):
+    pick = random.Random(seed)
+    token = lambda: pick.choice(["red", "blue", "green", "x7", "42", "é", "tall"])
+    base = [[token() for _ in range(n)] for n in (1, 2, 4, 5, 9, 9, 20, 22, 24)]
+
+    def line():
+        tokens = list(pick.choice(base))
+        for _ in range(pick.choice([0, 0, 1, 2, 5])):
+            tokens[pick.randrange(len(tokens))] = token()
+        return pick.choice(["", "", " ", "\t"]) + pick.choice([" ", " ", "  ", "\r"]).join(tokens) + pick.choice(["", " "])
+
+    texts = ["\n".join(pick.choice([line, line, line, lambda: " "])() for _ in range(pick.randrange(1, 6))) for _ in range(120)]
+    texts += texts[:10] + ["", "\n", " \n\t"]
+    docs = documents(spark, texts)
+    hashes = {row.text: row.h for row in docs.selectExpr("text", "xxhash64(text) AS h").collect()}
+    rows = {row.doc_id: (row.text, row.n_lines, row.n_dropped) for row in line_templates.without_templates(docs, min_texts).collect()}
+    want = templates_by_brute_force(texts, hashes, min_texts)
+    assert sum(n for _, _, n in want) > 20
+    assert rows == dict(enumerate(want))
