@@ -690,3 +690,5 @@ ORACLE: dict[str, str] = {
           as stage, seq, kind, name from agent_events""",
     ),
 }
+
+ORACLE["set_forecast_bucketed"] = ORACLE["set_forecast"]

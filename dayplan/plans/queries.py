@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,7 @@ from dayplan.plans.forecast_to_plan import forecast_to_plan
 from dayplan.schema import DATE, DEMAND, FORECAST, INVENTORY, PLAN
 from dayplan.sources import views
 from dayplan.sources.balances import BalanceTable
+from dayplan.sources.buckets import BucketedTable
 from dayplan.sources.staging import new_path
 from dayplan.sources.tables import StoredTable, publish_snapshot
 from dayplan.streaming import events as ev
@@ -168,6 +170,16 @@ def edited_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.read()
 
 
+def set_forecast_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two edit lists, one after the other, on the daily table in buckets."""
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = BucketedTable(spark, f"daily_{uuid.uuid4().hex[:12]}", new_path(spark, "buckets"), KEYS, buckets)
+    table.create(views.daily(spark, sf_dir))
+    for part in ("seq < 3", "seq >= 3"):
+        table.set_forecast(views.edits(spark, sf_dir).filter(part))
+    return table.read()
+
+
 QUERIES: dict[str, Query] = {
     # scans, sources, sinks
     "scan_daily": on_daily(lambda d: scans.scan_daily(d, KEYS)),
@@ -221,6 +233,7 @@ QUERIES: dict[str, Query] = {
     "set_forecast": lambda spark, sf_dir: ed.set_forecast(
         views.daily(spark, sf_dir), views.edits(spark, sf_dir), KEYS
     ),
+    "set_forecast_bucketed": set_forecast_bucketed,
     "edit_report": lambda spark, sf_dir: ed.edit_report(
         views.daily(spark, sf_dir), views.edits(spark, sf_dir), KEYS
     ).drop("message"),
