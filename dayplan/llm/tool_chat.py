@@ -16,6 +16,10 @@ from dayplan.sources.staging import stage
 CALLS = "array<struct<id:string,name:string,arguments:string>>"
 #: An argument refers to the result of an earlier call as {{identifier}}.
 REFERENCE = r"\{\{([^{}]+)\}\}"
+#: A JSON number: sign, digits before and behind the point, power of ten.
+NUMBER = r"\A(-?)(0|[1-9][0-9]*)(?:\.([0-9]+))?(?:[eE]([+-]?[0-9]+))?\z"
+#: Digits that a decimal number holds exactly.
+MOST_DIGITS = 38
 
 
 def messages_of(rows: DataFrame) -> DataFrame:
@@ -102,13 +106,49 @@ def kind_of(value: Column) -> Column:
     )
 
 
+def plain_number(literal: Column) -> Column:
+    """A JSON number written out without exponent or needless zeros, so that equal numbers are
+    equal texts; NULL beyond MOST_DIGITS digits before or behind the point, other text as it is."""
+    part = lambda n: F.regexp_extract(literal, NUMBER, n)
+    digits = F.concat(part(2), part(3))
+    power = F.coalesce(part(4).try_cast("int"), F.when(part(4) == "", F.lit(0)))
+    short = F.rtrim(digits, F.lit("0"))
+    least = F.length(digits) - F.length(short) - F.length(part(3)) + power  # the power of ten of the last digit
+    number = F.ltrim(short, F.lit("0"))
+    point = F.greatest(-least, F.lit(0))
+    padded = F.lpad(number, F.greatest(F.length(number), point + 1), F.lit("0"))
+    split = F.length(padded) - point
+    written = F.when(least >= 0, F.concat(number, F.repeat(F.lit("0"), least))).otherwise(
+        F.concat(F.substring(padded, F.lit(1), split), F.lit("."), F.substring(padded, split + 1, point))
+    )
+    inside = power.isNotNull() & (F.length(number) + F.greatest(least, F.lit(0)) <= MOST_DIGITS) & (point <= MOST_DIGITS)
+    exact = F.when(number == "", F.lit("0")).when(inside, F.concat(part(1), written))
+    return F.when(literal.rlike(NUMBER), exact).otherwise(literal)
+
+
+def plain_numbers(json: str, beyond: str | None = None) -> Column:
+    """JSON text with each number outside of strings as ``plain_number`` writes it, and ``beyond``
+    for those out of its range; without one the whole is NULL then.  Backslashes and quotes inside strings are set aside while the text is
+    cut at its quotes, so time grows with the length only."""
+    held = F.replace(F.replace(F.col(json), F.lit("\\\\"), F.lit("\x01")), F.lit('\\"'), F.lit("\x02"))
+    numbers = lambda text: F.transform(F.regexp_extract_all(text, F.lit("[-+.0-9eE]+|[^-+.0-9eE]+"), F.lit(0)), lambda x: F.coalesce(plain_number(x), F.lit(beyond)))
+    joined = lambda pieces: F.when(~F.exists(pieces, lambda x: x.isNull()), F.array_join(pieces, ""))
+    parts = F.transform(F.split(held, '"', -1), lambda text, i: F.when(i % 2 == 0, joined(numbers(text))).otherwise(text))
+    whole = F.when(~F.exists(parts, lambda x: x.isNull()), F.array_join(parts, '"'))
+    back = F.replace(F.replace(whole, F.lit("\x02"), F.lit('\\"')), F.lit("\x01"), F.lit("\\\\"))
+    unusual = F.col(json).rlike("[0-9][.eE]|-0|[0-9]{19}") & ~F.col(json).rlike("[\x01\x02]")
+    return F.when(unusual, back).otherwise(F.col(json))
+
+
 def checked_calls(messages: DataFrame, schemas: DataFrame, results: DataFrame, calls: DataFrame) -> DataFrame:
     """``(msg, at)`` of every call with canonical ``arguments`` and its ``errors``.
 
     ``schemas(tool, parameter, kind, required)``: the rows of one tool are its parameters.
     """
     each = messages.select("conv_id", "msg", F.posexplode("calls").alias("at", "call")).distinct()
-    each = each.select("conv_id", "msg", "at", "call.*").withColumn("value", F.try_parse_json("arguments"))
+    each = each.select("conv_id", "msg", "at", "call.*").withColumn("exact", plain_numbers("arguments"))
+    too_wide = F.when(F.col("exact").isNull(), F.try_parse_json(plain_numbers("arguments", "0")).isNotNull()).otherwise(False)
+    each = each.withColumn("too_wide", too_wide).withColumn("value", F.try_parse_json("exact")).drop("exact")
     parameters = F.sort_array(F.collect_set(F.struct("parameter", "kind", "required"))).alias("parameters")
     tools = stage(schemas.filter("tool is not null and parameter is not null").groupBy("tool").agg(parameters), "tool-schemas")
     each = each.join(tools, F.col("name") == F.col("tool"), "left").drop("tool")
@@ -132,6 +172,8 @@ def checked_calls(messages: DataFrame, schemas: DataFrame, results: DataFrame, c
         F.transform(F.array_sort(F.array_except(F.map_keys("given"), known)), lambda name: said("unknown parameter: ", name)),
     )
     of_arguments = F.when(F.col("parameters").isNull(), F.array(F.lit("unknown tool"))).when(
+        F.col("too_wide"), F.array(F.lit("number out of range"))
+    ).when(
         ~is_object, F.array(F.lit("arguments are not an object"))
     ).otherwise(by_schema)
     repeated = F.col("call_msg").isNotNull() & (F.col("call_msg") != F.col("msg"))
@@ -150,8 +192,9 @@ def format_chats(rows: DataFrame, schemas: DataFrame) -> DataFrame:
     ``rows`` have conv_id, turn, role, text, calls (id, name, arguments as JSON text) and
     result_of (the id that a tool's message answers); other columns are left out.  Sorted by
     (slot, depth, turn, json) a conversation is in topological order.  The JSON has its keys
-    in order and no white space; missing fields are left out, and arguments that cannot be
-    read stay text.  Of calls with one id in a conversation the first is the call, and of its
+    in order and no white space, and numbers are written out (``1e2`` and ``100.0`` as ``100``);
+    missing fields are left out, and arguments that cannot be read, or with a number of more
+    than 38 digits, stay text.  Very long texts are taken whole.  Of calls with one id in a conversation the first is the call, and of its
     results the first counts.  ``errors`` is empty for a sound message.  A missing
     conversation, turn or identifier is never linked, and identical rows give identical rows.
     """

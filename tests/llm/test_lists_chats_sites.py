@@ -5,6 +5,7 @@ import json
 import math
 import random
 from collections import Counter, defaultdict
+from decimal import Decimal
 from urllib.parse import urlsplit
 
 import pytest
@@ -193,3 +194,37 @@ def test_site_quality_of_odd_tables(spark):
     unlabelled = site_quality.quality(docs, labels.limit(0)).collect()
     assert len(unlabelled) == len(rows) and all(row.evidence == 0 and row.score == pytest.approx(0.5) for row in unlabelled)
     assert site_quality.quality(docs.limit(0), labels).count() == 0
+
+
+def test_numbers_have_one_form(spark, schemas):
+    pick = random.Random(3)
+    literals = ["0", "-0", "0.0", "1e2", "100.0", "100", "1E-3", "-2.50e1", "12345678901234567890123456789012345678", "0.1", "5e-38", "1e37", "0e999"]
+    for _ in range(60):
+        body = str(pick.randrange(10 ** pick.randrange(1, 20)))
+        body += "." + "".join(pick.choice("001234") for _ in range(pick.randrange(1, 9))) if pick.random() < 0.6 else ""
+        literals.append(pick.choice(["", "-"]) + body + (f"{pick.choice('eE')}{pick.choice(['', '+', '-'])}{pick.randrange(9)}" if pick.random() < 0.5 else ""))
+    strings = ['say \\"1e2\\" 1.50', "back\\\\", "3.10\\n" * 20_000]
+    rows, want = [], []
+    for i, literal in enumerate(literals):
+        text = strings[i % 3]
+        rows.append((i, 0, "assistant", None, [("a", "other", '{"z": [true, %s , {"n":%s}], "e": "%s"}' % (literal, literal, text))], None))
+        plain = format(Decimal(literal), "f")
+        plain = plain.rstrip("0").rstrip(".") if "." in plain else plain
+        plain = "0" if Decimal(literal) == 0 else plain
+        want.append('"arguments":{"e":"%s","z":[true,%s,{"n":%s}]}' % (text, plain, plain))
+    got = {row.conv_id: row.json for row in tool_chat.format_chats(chat(spark, rows), schemas).collect()}
+    for i, part in enumerate(want):
+        assert part in got[i], (literals[i], got[i][:200], part[:200])
+
+
+def test_numbers_out_of_range_are_an_error_and_stay_text(spark, schemas):
+    wide = ["1E400", "1e38", "1" * 39, "1e-39", "1e99999999999", "0." + "1" * 39]
+    rows = [(i, 0, "assistant", None, [("a", "find", '{"query": "q", "limit": %s}' % n)], None) for i, n in enumerate(wide)]
+    rows.append((90, 0, "assistant", None, [("a", "find", "not json 1E400")], None))
+    rows.append((91, 0, "assistant", None, [("a", "find", '{"query": "1E400", "limit": 1e2}')], None))
+    got = {row.conv_id: row for row in tool_chat.format_chats(chat(spark, rows), schemas).collect()}
+    for i, n in enumerate(wide):
+        assert got[i].errors == "number out of range; no result"
+        assert json.loads(got[i].json)["tool_calls"][0]["arguments"] == rows[i][4][0][2]
+    assert got[90].errors == "arguments are not an object; no result"
+    assert got[91].errors == "no result" and '"limit":100,' in got[91].json
