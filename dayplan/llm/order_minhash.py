@@ -8,6 +8,10 @@ around the diagonal, and verified links are joined to classes.  In buckets that
 several classes, further texts are paired with the members of other classes.  What is still
 mixed after that is searched exactly: a pair of texts that reaches the similarity shares one
 of its rarest k-mers, so texts of different classes are paired by those.
+
+Before texts are fetched, a pair is compared by the parities of its k-mers in a few hundred
+cells: each cell that differs stands for a k-mer that only one of the two texts has, so that
+pairs with too many of them are no links and leave no row.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dayplan.llm.common import content_key, free_name
@@ -33,6 +37,8 @@ PICKS = 2
 #: Texts of a bucket with several classes that are compared with the rest of it before the
 #: exact search; they decide how much is left to it, not what is found.
 HUBS = 2
+#: 64-bit numbers of a text's parities; they decide how many pairs are verified, not what is found.
+PARITY_WORDS = 8
 KNOWN_WORDS = 500_000
 SKETCH_CELLS = 2_000_000
 _ONE, _TWO = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -87,9 +93,21 @@ def labelled_shingles(hashes: np.ndarray) -> np.ndarray:
     return mixed(kmers + occurrences(kmers) * _TWO)
 
 
+def parities(labelled: np.ndarray) -> np.ndarray:
+    """Whether an odd number of the labelled k-mers falls into each cell, as bits of a few numbers.
+
+    Cells in which two texts differ are at most as many as the k-mers that one of them has alone.
+    """
+    cells = np.bincount((labelled % np.uint64(64 * PARITY_WORDS)).astype(np.int64), minlength=64 * PARITY_WORDS)
+    return np.packbits((cells & 1).astype(np.uint8)).view(np.int64)
+
+
 def sketch(hashes: np.ndarray, seeds: np.ndarray) -> np.ndarray:
     """One number per seed: the smallest ``PICKS`` labelled k-mers in the order of the text."""
-    labelled = labelled_shingles(hashes)
+    return sketch_labelled(labelled_shingles(hashes), seeds)
+
+
+def sketch_labelled(labelled: np.ndarray, seeds: np.ndarray) -> np.ndarray:
     at_once = max(1, SKETCH_CELLS // len(labelled))
     if at_once < len(seeds):  # a long text takes its seeds a few at a time
         parts = [seeds[i : i + at_once] for i in range(0, len(seeds), at_once)]
@@ -111,13 +129,18 @@ def sketch_of(labelled: np.ndarray, seeds: np.ndarray) -> np.ndarray:
     return out
 
 
+def equal_lists(rows: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.arange(len(rows) + 1, dtype=np.int32) * len(rows[0])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows)))
+
+
 def sketcher(n_sketches: int):
     seeds = mixed(np.arange(1, n_sketches + 1, dtype=np.uint64) * _ONE)
 
     def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in batches:
-            keys, found, sizes, seen = [], [], [], set()
+            keys, found, odd, sizes, seen = [], [], [], [], set()
             for key, text in zip(batch.column(0), batch.column(1), strict=True):
                 if key in seen:
                     continue
@@ -126,12 +149,13 @@ def sketcher(n_sketches: int):
                 if len(hashes):
                     keys.append(key.as_py())
                     sizes.append(len(hashes))
-                    found.append(sketch(hashes, seeds).view(np.int64))
+                    labelled = labelled_shingles(hashes)
+                    found.append(sketch_labelled(labelled, seeds).view(np.int64))
+                    odd.append(parities(labelled))
             if keys:
-                offsets = pa.array(np.arange(len(keys) + 1, dtype=np.int32) * n_sketches)
-                lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(found)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), lists], ["text_key", "n", "sketches"]
+                    [pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), equal_lists(found), equal_lists(odd)],
+                    ["text_key", "n", "sketches", "parities"],
                 )
 
     return sketches
@@ -268,19 +292,28 @@ def bucket_members(sketched: DataFrame) -> DataFrame:
     return sketched.select(F.explode(keys).alias("bucket"), "text_key", "n")
 
 
+def shared_enough(parities: str, other: str, shingles_of_both: Column, least: float) -> Column:
+    """False only for two texts whose parities rule out ``least``: the shingles that one of
+    them has alone are too many, in whatever order."""
+    differing = [F.bit_count(F.get(parities, F.lit(i)).bitwiseXOR(F.get(other, F.lit(i)))) for i in range(PARITY_WORDS)]
+    return sum(differing[1:], differing[0]) <= (1 - least) / (1 + least) * shingles_of_both + 1e-6
+
+
 def as_pairs(met: DataFrame, least: float) -> DataFrame:
-    """Different ``(a, b)`` of ``(text_key, n, hub, n_hub)`` whose lengths allow ``least``."""
+    """Different ``(a, b)`` of ``(text_key, n, parities, hub, n_hub, parities_hub)`` whose lengths
+    and parities allow ``least``."""
     shingle_count = lambda n: F.greatest(F.col(n) - (SHINGLE - 1), F.lit(1))
     small, large = F.least(shingle_count("n"), shingle_count("n_hub")), F.greatest(shingle_count("n"), shingle_count("n_hub"))
-    close = met.filter((F.col("hub") != F.col("text_key")) & (small >= least * large))
+    alike = shared_enough("parities", "parities_hub", small + large, least)
+    close = met.filter((F.col("hub") != F.col("text_key")) & (small >= least * large) & alike)
     return close.select(F.least("hub", "text_key").alias("a"), F.greatest("hub", "text_key").alias("b")).distinct()
 
 
 def first_pairs(shared: DataFrame, least: float) -> DataFrame:
     """Every text with the smallest text of each of its buckets, which is found with map-side
     combine: as many pairs as a bucket has texts, spread over tasks in the join."""
-    firsts = shared.groupBy("bucket").agg(F.min(F.struct("text_key", "n")).alias("f"))
-    firsts = firsts.select("bucket", F.col("f.text_key").alias("hub"), F.col("f.n").alias("n_hub"))
+    firsts = shared.groupBy("bucket").agg(F.min(F.struct("text_key", "n", "parities")).alias("f"))
+    firsts = firsts.select("bucket", F.col("f.text_key").alias("hub"), F.col("f.n").alias("n_hub"), F.col("f.parities").alias("parities_hub"))
     return as_pairs(shared.join(stage(firsts, "bucket-firsts"), "bucket"), least)
 
 
@@ -295,10 +328,10 @@ def further_pairs(shared: DataFrame, roots: DataFrame, least: float) -> DataFram
     the bucket's first.  Each bucket that still holds several classes has ``HUBS`` more texts,
     others in every bucket, that are compared with its members of other classes."""
     placed = with_roots(shared, roots)
-    order = lambda k: F.struct(F.xxhash64("text_key", "bucket", F.lit(k)).alias("order"), "text_key", "n", "root")
+    order = lambda k: F.struct(F.xxhash64("text_key", "bucket", F.lit(k)).alias("order"), "text_key", "n", "root", "parities")
     hubs = F.array(*[F.min(order(k)) for k in range(HUBS)])
     split = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), hubs.alias("hubs")).filter("low != high")
-    split = stage(split.select("bucket", F.explode(F.array_distinct("hubs")).alias("h")).select("bucket", F.col("h.text_key").alias("hub"), F.col("h.n").alias("n_hub"), F.col("h.root").alias("hub_root")), "bucket-hubs")
+    split = stage(split.select("bucket", F.explode(F.array_distinct("hubs")).alias("h")).select("bucket", F.col("h.text_key").alias("hub"), F.col("h.n").alias("n_hub"), F.col("h.root").alias("hub_root"), F.col("h.parities").alias("parities_hub")), "bucket-hubs")
     return as_pairs(placed.join(split, "bucket").filter(F.col("root") != F.col("hub_root")), least)
 
 
@@ -321,12 +354,12 @@ def rare_shingles(grams: DataFrame, least: float) -> DataFrame:
     return stage(placed.select("text_key", "root", "n", F.col("g.gram").alias("gram"), (F.col("alone") + F.col("i")).alias("at")), "rare-shingles")
 
 
-def remaining_pairs(shared: DataFrame, roots: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+def remaining_pairs(shared: DataFrame, roots: DataFrame, texts: DataFrame, odd: DataFrame, least: float) -> DataFrame:
     """All ``(a, b)`` in different classes that can reach ``least``, among the texts of buckets
     that still hold several classes.
 
-    Texts are paired at a shared rare shingle if their lengths and its places in them leave
-    room for enough common ones; members of one class make no pair.
+    Texts are paired at a shared rare shingle if their lengths, its places in them and their
+    parities ``odd`` leave room for enough common ones; members of one class make no pair.
     """
     placed = with_roots(shared, roots)
     split = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high")
@@ -336,10 +369,13 @@ def remaining_pairs(shared: DataFrame, roots: DataFrame, texts: DataFrame, least
     grams = stage(held.mapInArrow(shingle_lists, "text_key binary, root binary, grams array<bigint>"), "mixed-shingles")
     rare = rare_shingles(grams, least)
     several = rare.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high")
-    rare = stage(rare.join(several.select("gram").hint("merge"), "gram", "left_semi"), "shared-rare-shingles")
-    other = rare.select("gram", *[F.col(c).alias(f"{c}_2") for c in ("text_key", "root", "n", "at")])
+    rare = rare.join(several.select("gram").hint("merge"), "gram", "left_semi")
+    # Only the shingles that classes share get the parities, which are longer than their rows.
+    rare = stage(rare.join(odd.hint("merge"), "text_key"), "shared-rare-shingles")
+    other = rare.select("gram", *[F.col(c).alias(f"{c}_2") for c in ("text_key", "root", "n", "at", "parities")])
     room = F.least(F.col("n") - F.col("at"), F.col("n_2") - F.col("at_2"))
     fits = (room >= least / (1 + least) * (F.col("n") + F.col("n_2")) - 1e-6) & (F.least("n", "n_2") >= least * F.greatest("n", "n_2"))
+    fits &= shared_enough("parities", "parities_2", F.col("n") + F.col("n_2"), least)
     close = rare.join(other.hint("merge"), "gram").filter((F.col("root") < F.col("root_2")) & fits)
     return close.select(F.least("text_key", "text_key_2").alias("a"), F.greatest("text_key", "text_key_2").alias("b")).distinct()
 
@@ -354,11 +390,13 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 def near_links(texts: DataFrame, n_sketches: int = SKETCHES, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """Verified links ``(a, b, similarity)`` between different texts ``(text_key, text)``,
     which may be given more than once, and the classes ``(node, root)`` that they make."""
-    schema = "text_key binary, n int, sketches array<bigint>"
+    schema = "text_key binary, n int, sketches array<bigint>, parities array<bigint>"
     made = texts.select("text_key", "text").mapInArrow(sketcher(n_sketches), schema)
-    member = bucket_members(stage(made.dropDuplicates(["text_key"]), "sketches"))
+    made = stage(made.dropDuplicates(["text_key"]), "sketches")
+    member, odd = bucket_members(made), made.select("text_key", "parities")
     several = member.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1").select("bucket")
-    shared = stage(member.join(several, "bucket"), "shared-buckets")
+    # The parities are joined to the rows that are left, not dealt with every bucket.
+    shared = stage(member.join(several, "bucket").join(odd.hint("merge"), "text_key"), "shared-buckets")
     ends = stage(shared.select("text_key").distinct(), "bucket-texts")
     # The list of texts in buckets grows with the corpus: joined by shuffle at every size.
     wanted = texts.join(ends.hint("merge"), "text_key", "left_semi").groupBy("text_key").agg(F.min("text").alias("text"))
@@ -368,7 +406,7 @@ def near_links(texts: DataFrame, n_sketches: int = SKETCHES, least: float = SIMI
     more = further_pairs(shared, components(links.select("a", "b")), least)
     more = stage(more.join(first, ["a", "b"], "left_anti"), "further-pairs")
     links = stage(links.unionByName(verified(more, wanted, least)), "bucket-links")
-    rest = remaining_pairs(shared, components(links.select("a", "b")), wanted, least)
+    rest = remaining_pairs(shared, components(links.select("a", "b")), wanted, odd, least)
     rest = stage(rest.join(first.unionByName(more), ["a", "b"], "left_anti"), "remaining-pairs")
     links = links.unionByName(verified(rest, wanted, least))
     return links, components(links.select("a", "b"))

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 from collections import Counter
+from itertools import product
 
 import numpy as np
 import pytest
@@ -182,6 +183,41 @@ def test_no_link_is_lost_in_a_bucket_of_many_classes(spark):
     assert all(rows[i].n_links == 1 and rows[j].n_links == 1 for i, j in together)
 
 
+def test_parities_never_exceed_what_one_text_has_alone():
+    rng, known = random.Random(17), order_minhash.WordHashes()
+    for n in (1, 4, 5, 60, 3000):
+        words = [f"w{rng.randrange(2 * n)}" for _ in range(n)]
+        other = [w if rng.random() < 0.9 else "x" for w in words] + words[: n // 3]
+        a, b = (order_minhash.labelled_shingles(order_minhash.word_hashes(" ".join(w), known)) for w in (words, other))
+        differing = int(np.bitwise_count((order_minhash.parities(a) ^ order_minhash.parities(b)).view(np.uint64)).sum())
+        assert differing <= len(set(a.tolist()) ^ set(b.tolist()))
+        assert (differing == 0) == (words == other)
+
+
+def test_texts_of_one_passage_that_are_no_copies_are_not_fetched(spark, monkeypatch):
+    """Any two texts differ in two of three places, which leaves less than 0.8 in common."""
+    rng = random.Random(23)
+    passage = [f"w{rng.randrange(10**9)}" for _ in range(60)]
+    texts = []
+    for i, j in product(range(12), repeat=2):
+        words = list(passage)
+        words[10], words[30], words[50] = f"a{i}", f"b{j}", f"c{(i + j) % 12}"
+        texts.append(" ".join(words))
+    texts += [f"{t} more" for t in texts[::12]]
+    pairs, verified = [], order_minhash.verified
+
+    def counted(found, *more):
+        pairs.append(found.count())
+        return verified(found, *more)
+
+    monkeypatch.setattr(order_minhash, "verified", counted)
+    rows = {row.doc_id: row for row in order_minhash.classes(documents(spark, texts)).collect()}
+    for k in range(12):
+        assert rows[144 + k].class_id == rows[12 * k].class_id == 12 * k
+    assert len({row.class_id for row in rows.values()}) == 144
+    assert sum(pairs) <= len(texts), pairs
+
+
 def test_near_duplicates_of_odd_documents(spark, odd_docs):
     rows = order_minhash.classes(odd_docs.withColumn("root", odd_docs.lang)).collect()
     assert len(rows) == odd_docs.count()
