@@ -13,6 +13,8 @@ import sys
 import types
 import zlib
 from collections.abc import Iterator
+from itertools import compress, repeat
+from operator import is_
 from string import punctuation
 
 import numpy as np
@@ -22,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from dayplan.llm.common import free_name
-from dayplan.sources.staging import new_path
+from dayplan.sources.staging import new_path, stage
 
 END_ID = 1
 #: Words and stems whose ids a worker remembers; a table is emptied when it is full.
@@ -76,20 +78,22 @@ class WordIds(dict):
             self[""] = b""
         if len(self.stems) > REMEMBERED_STEMS:
             self.stems.clear()
-        known, waiting = self.stems, []
+        known, waiting, stems, marks = self.stems, [], [], []
         for word in words.difference(self):
-            stem = word.rstrip(punctuation)
+            stem = word if word.isalpha() else word.rstrip(punctuation)
             if stem.isalpha() and (stem.isascii() or (max(stem) <= _LAST_PLAIN_LETTER and stem.lower().isalpha())):
                 mark, stem = word[len(stem) :], stem.lower()
                 ids = known.get(stem)
                 if ids is None:
-                    waiting.append((word, stem, mark))
+                    waiting.append(word)
+                    stems.append(stem)
+                    marks.append(mark)
                 else:
                     self[word] = ids + self.mark(mark) if mark else ids
             else:
                 self[word] = self.whole(word)
-        self.learn_stems(list({stem for _, stem, _ in waiting}))
-        for word, stem, mark in waiting:
+        self.learn_stems(list(set(stems)))
+        for word, stem, mark in zip(waiting, stems, marks, strict=True):
             self[word] = known[stem] + self.mark(mark) if mark else known[stem]
 
     def mark(self, text: str) -> bytes:
@@ -112,13 +116,20 @@ class WordIds(dict):
                 self.stems.update({stem: self.whole(stem) for stem in piece})
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = []
+        """Every word is looked up once; only those that are not known are looked up again."""
+        split, found, new = [], [], set()
         for text in texts:
             for space in _OTHER_SPACES:
                 text = text.replace(space, " ")
             split.append(text.split(" "))
-        self.learn(set().union(*split))
-        return [b"".join(map(self.__getitem__, words)) for words in split]
+            found.append(list(map(self.get, split[-1])))
+            if None in found[-1]:
+                new.update(compress(split[-1], map(is_, found[-1], repeat(None))))
+        self.learn(new)
+        return [
+            b"".join([self[word] if ids is None else ids for word, ids in zip(words, known, strict=True)] if None in known else known)
+            for words, known in zip(split, found, strict=True)
+        ]
 
 
 def word_ids(path: str) -> WordIds:
@@ -203,16 +214,18 @@ def token_digests(spark: SparkSession, path: str) -> DataFrame:
     """One row per document of the files: doc_id, start, n_tokens, ids_crc32.
 
     Files follow each other in the order of their names, which is the order of doc_id.
-    Only the sums of files, one row each, are put in order in one task.
+    Only the sums of files, one row each, are put in order in one task.  The ids are read
+    once: what is told of each document is written down, and summed from there.
     """
     name = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("int")
     rows = read_tokens(spark, path).select(name.alias("file"), "doc_id", "file_start", "ids")
-    sums = rows.groupBy("file").agg(F.sum(F.size("ids").cast("bigint")).alias("n"))
+    digests = stage(
+        rows.mapInArrow(_digests, "file int, doc_id bigint, file_start bigint, n_tokens bigint, ids_crc32 bigint"),
+        "token-digests",
+    )
+    sums = digests.groupBy("file").agg(F.sum("n_tokens").alias("n"))
     earlier = W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)
     starts = sums.select("file", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    digests = rows.mapInArrow(
-        _digests, "file int, doc_id bigint, file_start bigint, n_tokens bigint, ids_crc32 bigint"
-    )
     return digests.join(starts, "file").select(
         "doc_id", (F.col("before") + F.col("file_start")).alias("start"), "n_tokens", "ids_crc32"
     )

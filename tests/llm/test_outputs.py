@@ -97,3 +97,17 @@ def test_folders_are_qualified_before_tasks_open_them(spark, tmp_path):
     named = warc.qualified(spark, str(tmp_path))
     assert named == f"file:{tmp_path}" and warc.file_system(named)[1] == str(tmp_path)
     assert warc.qualified(spark, f"file://{tmp_path}").startswith("file:/")
+
+
+def test_words_are_looked_up_once_and_only_new_ones_are_learned(monkeypatch):
+    asked, learn = [], token_orc.WordIds.learn
+    monkeypatch.setattr(token_orc.WordIds, "learn", lambda self, words: (asked.append(set(words)), learn(self, words))[1])
+    known = token_orc.WordIds(vocabulary())
+    texts = ["one two\tTwo, one", "", "three ünï two"]
+    first = known.encode(texts)
+    assert asked == [{"one", "two", "Two,", "three", "ünï"}]
+    assert known.encode(texts) == first == [known.whole(text) for text in texts]
+    assert known.encode(["two four"]) == [known.whole("two four")]
+    assert asked[1:] == [set(), {"four"}]
+    monkeypatch.setattr(token_orc, "REMEMBERED_WORDS", 3)  # the tables are emptied between two lookups of a text
+    assert known.encode(["one five two"]) == [known.whole("one five two")]
