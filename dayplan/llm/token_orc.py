@@ -27,8 +27,8 @@ from dayplan.llm.common import free_name
 from dayplan.sources.staging import new_path, stage
 
 END_ID = 1
-#: Words and stems whose ids a worker remembers; a table is emptied when it is full.
-REMEMBERED_WORDS, REMEMBERED_STEMS = 400_000, 600_000
+#: Words whose ids a worker remembers, stems among them; the table is emptied when it is full.
+REMEMBERED_WORDS = 330_000
 FILE_SCHEMA = "doc_id bigint, file_start bigint, ids array<int>"
 _OTHER_SPACES = "\t\n\x0b\x0c\r"
 #: Letters up to here never change their neighbours when a text is normalised.
@@ -40,7 +40,8 @@ class WordIds(dict):
 
     White space separates tokens in this vocabulary, so the ids of a text are those of its
     words.  A word of plain letters with punctuation after it has the ids of both, and
-    letters of either case share theirs.
+    letters of either case share theirs.  A stem, the plain letters in lower case, is a word
+    like any other.
     """
 
     def __init__(self, path: str):
@@ -49,12 +50,11 @@ class WordIds(dict):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         # Stems need no normalising, and each is one piece: only blanks are to be cut.
-        self.for_stems = Tokenizer.from_file(path)
+        self.for_stems = Tokenizer(self.tokenizer.model)
         self.for_stems.normalizer = normalizers.Sequence([])
         bytes_only = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.for_stems.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), bytes_only])
         self.ends = None
-        self.stems: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
         self[""] = b""
 
@@ -72,18 +72,12 @@ class WordIds(dict):
 
     def learn(self, words: set[str]) -> None:
         """Add the words that are not known yet, many in one call of the library."""
-        if len(self) > REMEMBERED_WORDS:
-            self.clear()
-            self.marks.clear()
-            self[""] = b""
-        if len(self.stems) > REMEMBERED_STEMS:
-            self.stems.clear()
-        known, waiting, stems, marks = self.stems, [], [], []
+        waiting, stems, marks = [], [], []
         for word in words.difference(self):
             stem = word if word.isalpha() else word.rstrip(punctuation)
             if stem.isalpha() and (stem.isascii() or (max(stem) <= _LAST_PLAIN_LETTER and stem.lower().isalpha())):
                 mark, stem = word[len(stem) :], stem.lower()
-                ids = known.get(stem)
+                ids = self.get(stem)
                 if ids is None:
                     waiting.append(word)
                     stems.append(stem)
@@ -94,7 +88,7 @@ class WordIds(dict):
                 self[word] = self.whole(word)
         self.learn_stems(list(set(stems)))
         for word, stem, mark in zip(waiting, stems, marks, strict=True):
-            self[word] = known[stem] + self.mark(mark) if mark else known[stem]
+            self[word] = self[stem] + self.mark(mark) if mark else self[stem]
 
     def mark(self, text: str) -> bytes:
         if text not in self.marks:
@@ -110,13 +104,16 @@ class WordIds(dict):
             if len(cuts) == len(piece):
                 data, last = ids.tobytes(), 0
                 for stem, cut in zip(piece, cuts.tolist(), strict=True):
-                    self.stems[stem] = data[last * 4 : cut * 4]
+                    self[stem] = data[last * 4 : cut * 4]
                     last = cut
             else:  # a word that the library cuts in two
-                self.stems.update({stem: self.whole(stem) for stem in piece})
+                self.update({stem: self.whole(stem) for stem in piece})
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Every word is looked up once; only those that are not known are looked up again."""
+        """Every word is looked up once; only those that are not known are looked up again.
+
+        A full table keeps the words of ``texts`` alone, so that common ones are not learnt again.
+        """
         split, found, new = [], [], set()
         for text in texts:
             for space in _OTHER_SPACES:
@@ -125,6 +122,12 @@ class WordIds(dict):
             found.append(list(map(self.get, split[-1])))
             if None in found[-1]:
                 new.update(compress(split[-1], map(is_, found[-1], repeat(None))))
+        if len(self) > REMEMBERED_WORDS:
+            kept = {word: ids for words, known in zip(split, found, strict=True) for word, ids in zip(words, known, strict=True) if ids is not None}
+            self.clear()
+            self.marks.clear()
+            self.update(kept)
+            self[""] = b""
         self.learn(new)
         return [
             b"".join([self[word] if ids is None else ids for word, ids in zip(words, known, strict=True)] if None in known else known)

@@ -111,3 +111,18 @@ def test_words_are_looked_up_once_and_only_new_ones_are_learned(monkeypatch):
     assert asked[1:] == [set(), {"four"}]
     monkeypatch.setattr(token_orc, "REMEMBERED_WORDS", 3)  # the tables are emptied between two lookups of a text
     assert known.encode(["one five two"]) == [known.whole("one five two")]
+
+
+def test_a_worker_remembers_a_bounded_number_of_words_and_the_common_ones_longest(monkeypatch):
+    monkeypatch.setattr(token_orc, "REMEMBERED_WORDS", 400)
+    asked, learn = [], token_orc.WordIds.learn
+    monkeypatch.setattr(token_orc.WordIds, "learn", lambda self, words: (asked.append(set(words)), learn(self, words))[1])
+    known = token_orc.WordIds(vocabulary())
+    for k in range(30):
+        # Each new word and its stem: two entries of 60 words.
+        new = ["Q" + "".join(chr(97 + int(d)) for d in f"{k:02d}{i:03d}") + ";" for i in range(60)]
+        texts = ["The common, words of ȾȺ Ⱦⱥ all", " ".join(new), "texts. ünï's 漢字 x1 <|endoftext|>"]
+        assert known.encode(texts) == [known.whole(text) for text in texts]
+        held = len(known) + sum(len(value) for value in vars(known).values() if isinstance(value, dict))
+        assert held <= 400 + 200
+    assert all("common," not in words and "texts." not in words for words in asked[1:])
