@@ -13,12 +13,13 @@ import sys
 import types
 import zlib
 from collections.abc import Iterator
-from itertools import compress, repeat
+from itertools import repeat
 from operator import is_
 from string import punctuation
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -27,21 +28,31 @@ from dayplan.llm.common import free_name
 from dayplan.sources.staging import new_path, stage
 
 END_ID = 1
-#: Words whose ids a worker remembers, stems among them; the table is emptied when it is full.
-REMEMBERED_WORDS = 330_000
+#: Parts of words whose ids a worker remembers; the table is emptied when it is full.
+REMEMBERED_WORDS = 200_000
+#: Bytes of text whose words are told apart at once; a longer text is taken alone or with those before it.
+TEXT_BYTES = 2 << 20
 FILE_SCHEMA = "doc_id bigint, file_start bigint, ids array<int>"
-_OTHER_SPACES = "\t\n\x0b\x0c\r"
-#: Letters up to here never change their neighbours when a text is normalised.
-_LAST_PLAIN_LETTER = "ɏ"
+#: Letters that never change their neighbours when a text is normalised, and stay one letter in lower case.
+_PLAIN_LETTERS = "".join(c for c in map(chr, range(0x250)) if c.isalpha() and c.lower().isalpha())
+
+
+def word_parts(words: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """A head and a tail of each word, which have the ids of the word between them, and whether the head is a stem.
+
+    A word of plain letters with punctuation after it, or of one of both, is a stem, the
+    letters in lower case, and a mark.  Any other word is a head, with an empty tail.
+    """
+    stems, marks = pc.utf8_rtrim(words, punctuation), pc.utf8_ltrim(words, _PLAIN_LETTERS)
+    plain = pc.equal(pc.add(pc.binary_length(stems), pc.binary_length(marks)), pc.binary_length(words))
+    return pc.if_else(plain, pc.utf8_lower(stems), words), pc.if_else(plain, marks, ""), plain
 
 
 class WordIds(dict):
-    """The ids of a word as little-endian bytes, encoded when first asked for.
+    """The ids of a part of a word as little-endian bytes, encoded when first asked for.
 
     White space separates tokens in this vocabulary, so the ids of a text are those of its
-    words.  A word of plain letters with punctuation after it has the ids of both, and
-    letters of either case share theirs.  A stem, the plain letters in lower case, is a word
-    like any other.
+    words, and those of a word are those of its parts.  Letters of either case share theirs.
     """
 
     def __init__(self, path: str):
@@ -55,7 +66,6 @@ class WordIds(dict):
         bytes_only = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.for_stems.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), bytes_only])
         self.ends = None
-        self.marks: dict[str, bytes] = {}
         self[""] = b""
 
     def whole(self, text: str) -> bytes:
@@ -70,30 +80,12 @@ class WordIds(dict):
             self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         return self.ends
 
-    def learn(self, words: set[str]) -> None:
-        """Add the words that are not known yet, many in one call of the library."""
-        waiting, stems, marks = [], [], []
-        for word in words.difference(self):
-            stem = word if word.isalpha() else word.rstrip(punctuation)
-            if stem.isalpha() and (stem.isascii() or (max(stem) <= _LAST_PLAIN_LETTER and stem.lower().isalpha())):
-                mark, stem = word[len(stem) :], stem.lower()
-                ids = self.get(stem)
-                if ids is None:
-                    waiting.append(word)
-                    stems.append(stem)
-                    marks.append(mark)
-                else:
-                    self[word] = ids + self.mark(mark) if mark else ids
-            else:
-                self[word] = self.whole(word)
-        self.learn_stems(list(set(stems)))
-        for word, stem, mark in zip(waiting, stems, marks, strict=True):
-            self[word] = self[stem] + self.mark(mark) if mark else self[stem]
-
-    def mark(self, text: str) -> bytes:
-        if text not in self.marks:
-            self.marks[text] = self.whole(text)
-        return self.marks[text]
+    def learn(self, words: list[str]) -> None:
+        """Add the parts of words that are not known yet, many in one call of the library."""
+        heads, tails, plain = word_parts(pa.array(words, pa.string()))
+        self.learn_stems(list(set(_strings(heads.filter(plain))).difference(self)))
+        others = {*_strings(heads.filter(pc.invert(plain))), *_strings(tails.unique())}
+        self.update({word: self.whole(word) for word in others.difference(self)})
 
     def learn_stems(self, stems: list[str], at_once: int = 256) -> None:
         pieces = [stems[i : i + at_once] for i in range(0, len(stems), at_once)]
@@ -109,30 +101,49 @@ class WordIds(dict):
             else:  # a word that the library cuts in two
                 self.update({stem: self.whole(stem) for stem in piece})
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Every word is looked up once; only those that are not known are looked up again.
+    def of_words(self, words: pa.Array) -> pa.ListArray:
+        """The ids of each of some different words.
 
-        A full table keeps the words of ``texts`` alone, so that common ones are not learnt again.
+        Every part is looked up once; only those that are not known are looked up again.  A
+        full table keeps the parts at hand alone, so that common ones are not learnt again.
         """
-        split, found, new = [], [], set()
-        for text in texts:
-            for space in _OTHER_SPACES:
-                text = text.replace(space, " ")
-            split.append(text.split(" "))
-            found.append(list(map(self.get, split[-1])))
-            if None in found[-1]:
-                new.update(compress(split[-1], map(is_, found[-1], repeat(None))))
+        heads, tails, _ = word_parts(words)
+        both = pa.concat_arrays([heads, tails]).dictionary_encode()
+        parts, places = _strings(both.dictionary), both.indices.to_numpy().reshape(2, -1)
+        found = list(map(self.get, parts))
         if len(self) > REMEMBERED_WORDS:
-            kept = {word: ids for words, known in zip(split, found, strict=True) for word, ids in zip(words, known, strict=True) if ids is not None}
+            kept = {part: ids for part, ids in zip(parts, found, strict=True) if ids is not None}
             self.clear()
-            self.marks.clear()
             self.update(kept)
             self[""] = b""
-        self.learn(new)
-        return [
-            b"".join([self[word] if ids is None else ids for word, ids in zip(words, known, strict=True)] if None in known else known)
-            for words, known in zip(split, found, strict=True)
-        ]
+        is_new = np.fromiter(map(is_, found, repeat(None)), bool, len(found))
+        self.learn(_strings(words.filter(pa.array(is_new[places].any(axis=0)))))
+        for place in np.flatnonzero(is_new).tolist():
+            found[place] = self[parts[place]]
+        taken = _lists(found).take(pa.array(places.T.ravel()))
+        return pa.ListArray.from_arrays(taken.offsets[::2], taken.values)
+
+    def of_texts(self, texts: pa.Array) -> pa.ListArray:
+        """The ids of each text, whose different words are looked up once."""
+        split = pc.ascii_split_whitespace(texts.fill_null(""))
+        words = split.flatten().dictionary_encode()
+        taken = self.of_words(words.dictionary).take(words.indices)
+        return pa.ListArray.from_arrays(taken.offsets.take(split.offsets), taken.values)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The same as little-endian bytes."""
+        lists = self.of_texts(pa.array(texts, pa.string()))
+        return [np.asarray(ids.values, "<u4").tobytes() for ids in lists]
+
+
+def _strings(array: pa.Array) -> list[str]:
+    return array.to_numpy(zero_copy_only=False).tolist()
+
+
+def _lists(rows: list[bytes]) -> pa.ListArray:
+    offsets = np.zeros(len(rows) + 1, np.int32)
+    np.cumsum(np.fromiter(map(len, rows), np.int32, len(rows)) // 4, out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(rows), "<i4")))
 
 
 def word_ids(path: str) -> WordIds:
@@ -144,22 +155,28 @@ def word_ids(path: str) -> WordIds:
     return tables[path]
 
 
-def encoder(path: str, end_id: int, at_once: int = 256):
+def by_bytes(batch: pa.RecordBatch, column: int, n_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows of a batch with about ``n_bytes`` in one column."""
+    ends = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    firsts = np.flatnonzero(np.diff(ends // n_bytes, prepend=-1)).tolist()
+    for first, after in zip(firsts, [*firsts[1:], batch.num_rows]):
+        yield batch.slice(first, after - first)
+
+
+def encoder(path: str, end_id: int):
     """Texts in order become rows of ids; ``file_start`` counts the ids before in the task."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, start = word_ids(path), 0
-        end = np.asarray([end_id], "<u4").tobytes()
         for batch in batches:
-            for first in range(0, batch.num_rows, at_once):
-                part = batch.slice(first, at_once)
-                coded = [ids + end for ids in known.encode([text or "" for text in part.column(1).to_pylist()])]
-                sizes = np.array([len(ids) // 4 for ids in coded], np.int64)
-                ends = np.cumsum(sizes)
-                offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
-                ids = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(coded), "<i4")))
-                starts = pa.array(start + ends - sizes)
-                start += int(ends[-1])
+            for part in by_bytes(batch, 1, TEXT_BYTES):
+                lists = known.of_texts(part.column(1))
+                ends = lists.offsets.to_numpy()[1:]
+                ids = np.insert(lists.values.to_numpy(), ends, end_id)
+                offsets = np.concatenate([[0], ends + np.arange(1, len(ends) + 1)])
+                starts = pa.array(start + offsets[:-1])
+                start += len(ids)
+                ids = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([part.column(0), starts, ids], ["doc_id", "file_start", "ids"])
 
     return encode

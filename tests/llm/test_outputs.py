@@ -126,3 +126,30 @@ def test_a_worker_remembers_a_bounded_number_of_words_and_the_common_ones_longes
         held = len(known) + sum(len(value) for value in vars(known).values() if isinstance(value, dict))
         assert held <= 400 + 200
     assert all("common," not in words and "texts." not in words for words in asked[1:])
+
+
+def test_a_word_is_looked_up_once_however_often_it_occurs_and_its_parts_are_shared(monkeypatch):
+    looked_up, asked, learn = [], [], token_orc.WordIds.learn
+    monkeypatch.setattr(token_orc.WordIds, "get", lambda self, *key: (looked_up.append(key[0]), dict.get(self, *key))[1], raising=False)
+    monkeypatch.setattr(token_orc.WordIds, "learn", lambda self, words: (asked.append(set(words)), learn(self, words))[1])
+    known = token_orc.WordIds(vocabulary())
+    texts = ["one, TWO ünï's " * 500, "", "two\n" * 500 + "One"]
+    assert known.encode(texts) == [known.whole(text) for text in texts]
+    assert sorted(looked_up) == sorted({"one", "two", "ünï's", ",", ""})
+    assert known.encode(["TWO, one Two"]) == [known.whole("TWO, one Two")] and asked[1:] == [set()]
+
+
+def test_texts_are_encoded_in_pieces_of_a_batch(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(token_orc, "TEXT_BYTES", 12, raising=False)
+    texts = ["one two", None, "three, " * 40, "", "x1 <|endoftext|>", "İı Ǆ ª", "four"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(texts)], ["doc_id", "text"])
+    got = list(token_orc.encoder(vocabulary(), 1)(iter([batch, batch.slice(0, 0), batch.slice(2)])))
+    assert len(got) == 7
+    rows = [row for piece in got for row in piece.to_pylist()]
+    known, start = token_orc.WordIds(vocabulary()), 0
+    for row, k in zip(rows, [*range(7), *range(2, 7)], strict=True):
+        ids = [*np.frombuffer(known.whole(texts[k] or ""), "<u4").tolist(), 1]
+        assert row == {"doc_id": k, "file_start": start, "ids": ids}
+        start += len(ids)
