@@ -178,6 +178,8 @@ def encoder(path: str, end_id: int):
                 start += len(ids)
                 ids = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([part.column(0), starts, ids], ["doc_id", "file_start", "ids"])
+                # Executors have little memory beside the Java heap; without this, freed arrays stay with the worker.
+                pa.default_memory_pool().release_unused()
 
     return encode
 
